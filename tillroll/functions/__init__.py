@@ -1,6 +1,6 @@
 from tillroll.functions.calendar import (
     DAY_NAMES, MONTH_NAMES, day_name, day_of_week, hour_of, hour_of_text, month_name,
-    month_number, period_columns, quarter_label, weekday_sort_key, year_month, year_quarter,
+    month_number, period_key, period_label, quarter_label, weekday_sort_key, year_month, year_quarter,
 )
 from tillroll.functions.elasticity import arc_elasticity
 from tillroll.functions.groups import COFFEE_SHOP_DEFAULT, COFFEE_SHOP_GROUPS, group_of
@@ -8,7 +8,7 @@ from tillroll.functions.money import as_double, exact, line_revenue, ratio
 
 __all__ = [
     "DAY_NAMES", "MONTH_NAMES", "day_name", "day_of_week", "hour_of", "hour_of_text",
-    "month_name", "month_number", "period_columns", "quarter_label", "weekday_sort_key",
+    "month_name", "month_number", "period_key", "period_label", "quarter_label", "weekday_sort_key",
     "year_month", "year_quarter", "arc_elasticity", "COFFEE_SHOP_DEFAULT",
     "COFFEE_SHOP_GROUPS", "group_of", "as_double", "exact", "line_revenue", "ratio",
 ]

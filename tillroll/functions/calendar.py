@@ -81,15 +81,33 @@ def year_quarter(date) -> Column:
     return F.concat(F.year(d).cast("string"), F.lit("-Q"), F.quarter(d).cast("string"))
 
 
-# period name -> (label expression, sort key expression)
-def period_columns(period: str, date) -> tuple[Column, Column]:
+PERIODS = ("month", "quarter", "month_name", "quarter_label")
+
+
+def period_key(period: str, date) -> Column:
+    """Sortable grouping key of a period: the first day of the month or
+    quarter (multi-year safe), or the month / quarter number (year-less)."""
     d = _c(date)
     if period == "month":
-        return year_month(d), F.year(d) * 100 + F.month(d)
+        return F.trunc(d, "month")
+    if period == "quarter":
+        return F.trunc(d, "quarter")
+    if period == "month_name":
+        return F.month(d)
+    if period == "quarter_label":
+        return F.quarter(d)
+    raise ValueError(f"unknown period {period!r}; one of {PERIODS}")
+
+
+def period_label(period: str, key) -> Column:
+    """Printable label of a ``period_key`` value."""
+    k = _c(key)
+    if period == "month":
+        return year_month(k)
     if period == "quarter":
-        return year_quarter(d), F.year(d) * 10 + F.quarter(d)
+        return year_quarter(k)
     if period == "month_name":
-        return month_name(d), F.month(d)
+        return F.element_at(F.array(*[F.lit(n) for n in MONTH_NAMES]), k)
     if period == "quarter_label":
-        return quarter_label(d), F.quarter(d)
-    raise ValueError(f"unknown period {period!r}")
+        return F.concat(F.lit("Q"), k.cast("string"))
+    raise ValueError(f"unknown period {period!r}; one of {PERIODS}")

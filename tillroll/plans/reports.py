@@ -2,7 +2,8 @@
 column names. Each takes (spark, sf_dir) and returns a lazy DataFrame.
 
 Exact values stay DECIMAL inside; ``report_edge`` converts them to DOUBLE in
-the last projection.
+the last projection. Literal parameters for the driver's tables are in
+``tillroll.plans.params``.
 """
 
 from __future__ import annotations
@@ -12,22 +13,140 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.operators.summary import summarize
+from tillroll.operators import basket, enrich, growth, pricing, quality, traffic
+from tillroll.operators.ranking import rank_within
+from tillroll.operators.summary import metric, summarize
+from tillroll.plans import params as P
 from tillroll.plans.edge import report_edge
 from tillroll.sources.sales import event_sales, sales
+from tillroll.sources.tables import read_table
 
 Report = Callable[[SparkSession, str], DataFrame]
 REPORTS: dict[str, Report] = {}
 
 
 def report(name: str):
-    def register(fn: Report) -> Report:
-        REPORTS[name] = lambda spark, sf_dir: report_edge(fn(spark, sf_dir))
-        REPORTS[name].__doc__ = fn.__doc__
+    def register(fn):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return report_edge(fn(spark, sf_dir))
+        run.__doc__ = fn.__doc__
+        run.__name__ = name
+        REPORTS[name] = run
         return fn
     return register
 
 
+def tiered(spark, sf_dir) -> DataFrame:
+    """Sales lines as the price study sees them: product = brand, price =
+    the line's two-step price."""
+    return sales(spark, sf_dir).select(
+        "transaction_date", "transaction_qty",
+        F.col("product_type").alias("product_detail"),
+        F.col("tier_price").alias("unit_price"))
+
+
+def desc_revenue():
+    return F.col("total_revenue").desc_nulls_first()
+
+
+# ------------------------------------------------------------ data quality
+
+@report("preview_rows")
+def preview_rows(spark, sf_dir):
+    """Ten rows, in the order of all columns."""
+    return quality.preview_rows(sales(spark, sf_dir), 10)
+
+
+@report("row_count")
+def row_count(spark, sf_dir):
+    """Number of sales lines."""
+    return quality.row_count(sales(spark, sf_dir))
+
+
+@report("duplicate_keys")
+def duplicate_keys(spark, sf_dir):
+    """Transaction ids used by more than one line."""
+    return quality.duplicate_keys(sales(spark, sf_dir), ["transaction_id"])
+
+
+@report("null_rows")
+def null_rows(spark, sf_dir):
+    """Rows with any NULL column (documents left join labels)."""
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels")
+    return quality.null_rows(docs.join(labels, on="doc_id", how="left"))
+
+
+@report("nonpositive_rows")
+def nonpositive_rows(spark, sf_dir):
+    """P5: rows with a zero or negative amount (customer balances)."""
+    return quality.nonpositive_rows(read_table(spark, sf_dir, "customer"), ["c_acctbal"])
+
+
+@report("date_range")
+def date_range(spark, sf_dir):
+    """First and last sales date."""
+    return quality.date_range(sales(spark, sf_dir), "transaction_date")
+
+
+@report("distinct_stores")
+def distinct_stores(spark, sf_dir):
+    """Stores (id and name)."""
+    return quality.distinct_values(sales(spark, sf_dir), ["store_id", "store_location"])
+
+
+@report("basket_collisions")
+def basket_collisions(spark, sf_dir):
+    """Lines sharing date, time and store."""
+    return quality.basket_collisions(
+        sales(spark, sf_dir), ["transaction_date", "transaction_time", "store_id"])
+
+
+# -------------------------------------------------------------- enrichment
+
+@report("time_parts")
+def time_parts(spark, sf_dir):
+    """Month, weekday (Sunday = 0) and hour numbers."""
+    df = enrich.with_time_parts(event_sales(spark, sf_dir))
+    return df.select("transaction_id", "month", "day_of_week", "hour")
+
+
+@report("time_names")
+def time_names(spark, sf_dir):
+    """Month and weekday names."""
+    df = enrich.with_time_names(event_sales(spark, sf_dir))
+    return df.select("transaction_id", "month", "day_of_week", "hour")
+
+
+@report("line_revenue")
+def line_revenue(spark, sf_dir):
+    """Revenue of each line (qty × unit price)."""
+    df = enrich.with_revenue(sales(spark, sf_dir).drop("revenue"))
+    return df.select("transaction_id", "transaction_qty", "unit_price", "revenue")
+
+
+@report("basket_key")
+def basket_key(spark, sf_dir):
+    """Basket key of each line."""
+    df = enrich.with_basket_key(sales(spark, sf_dir).drop("transaction"),
+                                ["transaction_date", "customer_id", "store_id"])
+    return df.select("transaction_id", "transaction")
+
+
+@report("quarter_label")
+def quarter_label(spark, sf_dir):
+    """Quarter of each line."""
+    df = enrich.with_quarter(sales(spark, sf_dir))
+    return df.select("transaction_id", "transaction_date", "quarter")
+
+
+@report("category_group")
+def category_group(spark, sf_dir):
+    """Category group of each line (CASE with ELSE)."""
+    df = enrich.with_group(sales(spark, sf_dir), "product_category", P.GROUPS, P.GROUP_DEFAULT)
+    return df.select("transaction_id", "product_category", "category")
+
+
 # ---------------------------------------------------------------- summaries
 
 @report("store_summary")
@@ -37,4 +156,276 @@ def store_summary(spark, sf_dir):
         sales(spark, sf_dir), ["store_id", "store_location"],
         {"total_revenue": "revenue", "total_transactions": "units",
          "avg_transaction_value": "atv"},
-        order=[F.col("total_revenue").desc_nulls_first()])
+        order=[desc_revenue()])
+
+
+@report("hourly_traffic")
+def hourly_traffic(spark, sf_dir):
+    """Units and revenue by month, weekday, hour and store."""
+    return traffic.hourly_traffic(event_sales(spark, sf_dir))
+
+
+@report("basket_size_by_store")
+def basket_size_by_store(spark, sf_dir):
+    """Units per basket by store."""
+    return summarize(sales(spark, sf_dir), ["store_id", "store_location"],
+                     {"avg_transaction_qty": "units_per_basket"})
+
+
+@report("basket_size_by_time")
+def basket_size_by_time(spark, sf_dir):
+    """Units per basket by store, month, weekday and hour."""
+    return traffic.basket_size_by_time(event_sales(spark, sf_dir))
+
+
+@report("basket_size_by_dow_hour")
+def basket_size_by_dow_hour(spark, sf_dir):
+    """E9′: units per basket by weekday and hour (the exported variant)."""
+    return traffic.basket_size_by_time(event_sales(spark, sf_dir), ["day_of_week", "hour"])
+
+
+@report("category_summary")
+def category_summary(spark, sf_dir):
+    """Per category: types, products, units, revenue, revenue per unit."""
+    return summarize(
+        sales(spark, sf_dir), ["product_category"],
+        {"total_product_types": ("distinct", "product_type"),
+         "total_products": ("distinct", "product_detail"),
+         "total_transactions": "units", "total_revenue": "revenue",
+         "avg_transaction_value": "avg_unit_revenue"},
+        order=[desc_revenue()])
+
+
+PRODUCT_METRICS = {"total_transactions": "units", "total_revenue": "revenue",
+                   "avg_transaction_value": "avg_unit_revenue"}
+
+
+@report("type_summary_in_categories")
+def type_summary_in_categories(spark, sf_dir):
+    """Product types of the first category group."""
+    return summarize(
+        sales(spark, sf_dir), ["product_type"],
+        {"total_products": ("distinct", "product_detail"), **PRODUCT_METRICS},
+        where=F.col("product_category").isin(list(P.GROUPS["Beverages"])), order=[desc_revenue()])
+
+
+@report("products_of_top_types")
+def products_of_top_types(spark, sf_dir):
+    """Products of the named top types, revenue first."""
+    return summarize(
+        sales(spark, sf_dir), ["product_detail", "product_type"],
+        {"total_transactions": "units", "total_revenue": "revenue"},
+        where=F.col("product_type").isin(list(P.TOP_TYPES)), order=[desc_revenue()])
+
+
+@report("products_of_bottom_types")
+def products_of_bottom_types(spark, sf_dir):
+    """Products of the named bottom types, least revenue first."""
+    return summarize(
+        sales(spark, sf_dir), ["product_detail", "product_type"], PRODUCT_METRICS,
+        where=F.col("product_type").isin(list(P.BOTTOM_TYPES)),
+        order=[F.col("total_revenue").asc_nulls_last()])
+
+
+@report("type_summary_by_category")
+def type_summary_by_category(spark, sf_dir):
+    """Category × type inside the second category group."""
+    out = summarize(
+        sales(spark, sf_dir), ["product_category", "product_type"],
+        {"total_products": ("distinct", "product_detail"), **PRODUCT_METRICS},
+        where=F.col("product_category").isin(list(P.GROUPS["Snacks"])), order=[desc_revenue()])
+    return out.select("product_type", "product_category", "total_products", "total_transactions",
+                      "total_revenue", "avg_transaction_value")
+
+
+@report("products_in_category")
+def products_in_category(spark, sf_dir):
+    """Products of one category."""
+    return summarize(
+        sales(spark, sf_dir), ["product_detail", "product_type"], PRODUCT_METRICS,
+        where=F.col("product_category") == F.lit(P.ONE_CATEGORY), order=[desc_revenue()])
+
+
+@report("products_in_categories")
+def products_in_categories(spark, sf_dir):
+    """Products of a list of categories."""
+    return summarize(
+        sales(spark, sf_dir), ["product_detail", "product_type"], PRODUCT_METRICS,
+        where=F.col("product_category").isin(list(P.TWO_CATEGORIES)), order=[desc_revenue()])
+
+
+# ------------------------------------------------------------------ growth
+
+@report("store_mom_growth")
+def store_mom_growth(spark, sf_dir):
+    """Month revenue per store, previous month and growth."""
+    return growth.period_growth(sales(spark, sf_dir), ["store_id", "store_location"], "month")
+
+
+@report("store_qoq_growth")
+def store_qoq_growth(spark, sf_dir):
+    """Quarter revenue per store, previous quarter and growth."""
+    return growth.period_growth(sales(spark, sf_dir), ["store_id", "store_location"], "quarter")
+
+
+# ----------------------------------------------------------------- ranking
+
+def _category_products(df: DataFrame) -> DataFrame:
+    return df.groupBy("product_category", "product_detail").agg(
+        F.countDistinct("transaction_id").alias("total_transactions"),
+        F.sum("revenue").alias("total_revenue"),
+        F.count("transaction_id").alias("_lines"))
+
+
+@report("product_rank_in_category")
+def product_rank_in_category(spark, sf_dir):
+    """Product rank inside its category by revenue, then line count."""
+    per_product = _category_products(sales(spark, sf_dir))
+    ranked = rank_within(per_product, ["product_category"],
+                         [desc_revenue(), F.col("_lines").desc_nulls_first()],
+                         name="rank_by_revenue", method=P.FULL_RANK_METHOD)
+    return ranked.select("rank_by_revenue", "product_detail", "product_category",
+                         "total_transactions", "total_revenue")
+
+
+def _group_products(spark, sf_dir) -> DataFrame:
+    df = enrich.with_group(sales(spark, sf_dir), "product_category", P.GROUPS, P.GROUP_DEFAULT)
+    return df.groupBy("category", "product_detail").agg(
+        *[metric(kind).alias(name) for name, kind in PRODUCT_METRICS.items()])
+
+
+@report("product_rank_in_group")
+def product_rank_in_group(spark, sf_dir):
+    """Product rank inside its category group by revenue."""
+    ranked = rank_within(_group_products(spark, sf_dir), ["category"], [desc_revenue()],
+                         name="rank_by_revenue", method=P.FULL_RANK_METHOD)
+    return ranked.select("rank_by_revenue", "category", "product_detail", "total_transactions",
+                         "total_revenue", "avg_transaction_value")
+
+
+@report("top_n_per_group")
+def top_n_per_group(spark, sf_dir):
+    """Top products of each category group (rank <= n, ties kept)."""
+    ranked = rank_within(_group_products(spark, sf_dir), ["category"], [desc_revenue()],
+                         name="rank_by_revenue", top=P.TOP_N)
+    return ranked.select("rank_by_revenue", "category", "product_detail", "total_transactions",
+                         "total_revenue", "avg_transaction_value")
+
+
+@report("bottom_n_per_category")
+def bottom_n_per_category(spark, sf_dir):
+    """Tail sellers in the categories of a combo (rank from the bottom)."""
+    df = sales(spark, sf_dir).where(F.col("product_category").isin(list(P.COMBO_CATEGORIES)))
+    per_product = summarize(df, ["product_category", "product_detail"],
+                            {"total_transactions": "units", "total_revenue": "revenue"})
+    ranked = rank_within(per_product, ["product_category"],
+                         [F.col("total_revenue").asc_nulls_last()], name="rank_from_bottom",
+                         top=P.TOP_N)
+    return ranked.select("rank_from_bottom", "product_category", "product_detail",
+                         "total_transactions", "total_revenue")
+
+
+# ----------------------------------------------------------------- baskets
+
+@report("basket_combos")
+def basket_combos(spark, sf_dir):
+    """A1: content and revenue of each basket with two or more lines."""
+    return basket.basket_combos(sales(spark, sf_dir))
+
+
+@report("combo_summary")
+def combo_summary(spark, sf_dir):
+    """A2 without its limit: baskets, revenue and revenue per basket by combo."""
+    return basket.combo_summary(sales(spark, sf_dir))
+
+
+@report("top_combos")
+def top_combos(spark, sf_dir):
+    """A2: the seven combos with the most revenue."""
+    return basket.top_combos(sales(spark, sf_dir), n=P.TOP_COMBOS)
+
+
+@report("products_in_combo")
+def products_in_combo(spark, sf_dir):
+    """Best products inside the baskets of one combo, by category."""
+    return basket.products_in_combo(sales(spark, sf_dir), P.COMBO).select(
+        "rank_by_revenue", "product_category", "product_detail", "total_transactions",
+        "total_revenue")
+
+
+# ----------------------------------------------------------------- pricing
+
+@report("multi_price_products")
+def multi_price_products(spark, sf_dir):
+    """A3: products sold at more than one price."""
+    return pricing.multi_price_products(sales(spark, sf_dir))
+
+
+@report("price_list")
+def price_list(spark, sf_dir):
+    """Price list text and revenue of multi-price products."""
+    return pricing.price_list(sales(spark, sf_dir))
+
+
+@report("daily_price_units")
+def daily_price_units(spark, sf_dir):
+    """A4: daily units per price (all products)."""
+    return pricing.daily_price_units(tiered(spark, sf_dir))
+
+
+@report("within_day_elasticity")
+def within_day_elasticity(spark, sf_dir):
+    """A5: within-day arc elasticity between the base and raised price."""
+    return pricing.within_day_elasticity(tiered(spark, sf_dir), base_price=P.BASE_PRICE,
+                                         hike_price=P.HIKE_PRICE)
+
+
+@report("within_day_elasticity_minmax")
+def within_day_elasticity_minmax(spark, sf_dir):
+    """A5 for any prices: each day's lowest against its highest price."""
+    return pricing.within_day_elasticity(tiered(spark, sf_dir))
+
+
+@report("price_change_dates")
+def price_change_dates(spark, sf_dir):
+    """Product days with two or more prices."""
+    return pricing.price_change_dates(tiered(spark, sf_dir))
+
+
+@report("two_price_day_revenue")
+def two_price_day_revenue(spark, sf_dir):
+    """A6d: units and revenue per price on price-change days."""
+    return pricing.two_price_day_revenue(tiered(spark, sf_dir))
+
+
+@report("daily_units_mode")
+def daily_units_mode(spark, sf_dir):
+    """Most frequent daily units at the base price."""
+    return pricing.daily_units_mode(tiered(spark, sf_dir), base_price=P.BASE_PRICE)
+
+
+@report("daily_units_mean")
+def daily_units_mean(spark, sf_dir):
+    """Mean daily units at the base price."""
+    return pricing.daily_units_mean(tiered(spark, sf_dir), base_price=P.BASE_PRICE)
+
+
+@report("price_hold_whatif")
+def price_hold_whatif(spark, sf_dir):
+    """Revenue on price-change days against holding the base price."""
+    return pricing.price_hold_whatif(tiered(spark, sf_dir), base_price=P.BASE_PRICE)
+
+
+@report("price_change_calendar")
+def price_change_calendar(spark, sf_dir):
+    """Price-change days by day of month, with month-end days."""
+    return pricing.price_change_calendar(tiered(spark, sf_dir))
+
+
+# ------------------------------------------------------------ time of day
+
+@report("peak_hours")
+def peak_hours(spark, sf_dir):
+    """Hours ranked by units per store, with the peak hours flagged."""
+    return traffic.peak_hours(event_sales(spark, sf_dir), top=P.PEAK_HOURS)
+
