@@ -78,7 +78,7 @@ def top_combos(df: DataFrame, n: int = 7, combo: str = "product_cate_combo", **k
 
 def products_in_combo(df: DataFrame, combo_value: str, basket: str = "transaction",
                       item: str = "product_category", product: str = "product_detail",
-                      top: int | None = None, **kw) -> DataFrame:
+                      top: int | None = None, method: str = "window", **kw) -> DataFrame:
     """Best products inside the baskets of one combo: the baskets whose
     content string equals ``combo_value`` (semi join back to their lines),
     then units and revenue per item × product ranked by revenue inside item."""
@@ -89,4 +89,4 @@ def products_in_combo(df: DataFrame, combo_value: str, basket: str = "transactio
                    .agg(F.sum("transaction_qty").alias("total_transactions"),
                         F.sum("revenue").alias("total_revenue")))
     return rank_within(per_product, [item], [F.col("total_revenue").desc_nulls_first()],
-                       name="rank_by_revenue", top=top)
+                       name="rank_by_revenue", top=top, method=method)

@@ -14,6 +14,9 @@ Two plans:
   its local rank plus the number of rows of the same partition value in the
   earlier slices; those offsets come from a per-slice count table of at most
   (#slices + #partition values) rows. No task ever holds more than one slice.
+  Slice bounds come from sampling, so the sliced rows are checkpointed (to
+  the session's shared checkpoint folder) before the two passes that must
+  agree on them: the local ranks and the per-slice counts.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.session import shared_dir
+
 
 def rank_within(df: DataFrame, partition: Sequence[str], order: Sequence[Column],
                 name: str = "rank", top: int | None = None, method: str = "window",
@@ -48,11 +53,14 @@ def _range_rank(df: DataFrame, partition: list[str], order: list[Column], name:
     n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(p).asc_nulls_last() for p in partition] + order
     cols = df.columns
-    sliced = df.repartitionByRange(n, *keys).withColumn("_slice", F.spark_partition_id())
+    shared_dir(spark)
+    sliced = (df.repartitionByRange(n, *keys)
+              .withColumn("_slice", F.spark_partition_id())
+              .checkpoint(eager=True))
 
     local = sliced.withColumn(
         "_local", F.rank().over(Window.partitionBy("_slice", *partition).orderBy(*order)))
-    counts = local.groupBy("_slice", *partition).agg(F.count(F.lit(1)).alias("_n"))
+    counts = sliced.groupBy("_slice", *partition).agg(F.count(F.lit(1)).alias("_n"))
     earlier = (Window.partitionBy(*partition).orderBy("_slice")
                .rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(

@@ -25,7 +25,7 @@ TOP_N = 3                                                        # top / bottom
 PEAK_HOURS = 4                                                   # hours flagged as peak
 
 # How full rankings are planned (see tillroll.operators.ranking).
-FULL_RANK_METHOD = "window"
+FULL_RANK_METHOD = "range"
 
 __all__ = ["BASE_PRICE", "HIKE_PRICE", "GROUPS", "GROUP_DEFAULT", "TOP_TYPES", "BOTTOM_TYPES",
            "ONE_CATEGORY", "TWO_CATEGORIES", "TOP_COMBOS", "COMBO", "COMBO_CATEGORIES", "TOP_N",

@@ -348,7 +348,8 @@ def top_combos(spark, sf_dir):
 @report("products_in_combo")
 def products_in_combo(spark, sf_dir):
     """Best products inside the baskets of one combo, by category."""
-    return basket.products_in_combo(sales(spark, sf_dir), P.COMBO).select(
+    return basket.products_in_combo(sales(spark, sf_dir), P.COMBO,
+                                    method=P.FULL_RANK_METHOD).select(
         "rank_by_revenue", "product_category", "product_detail", "total_transactions",
         "total_revenue")
 
