@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.elasticity import arc_elasticity
@@ -93,53 +93,84 @@ def within_day_elasticity(df: DataFrame, product: str = "product_detail", price:
 
 
 def _per_day(df: DataFrame, product: str, price: str, base_price) -> DataFrame:
-    """(product, date) → number of prices, revenue at its prices, and units
-    at the base price (NULL when the day has no base-price line)."""
+    """(product, date) → lowest and highest price, revenue at its prices,
+    and units at the base price (``_has_base`` NULL when the day has no
+    base-price line). One aggregate straight from the lines: a day has two
+    or more prices exactly when its lowest price is below its highest, so no
+    DISTINCT (and no Expand) is needed."""
     pb = _price_lit(base_price)
-    daily = daily_units(df, product, price, name="_q")
-    return (daily.groupBy(product, DATE)
-            .agg(F.count(price).alias("_prices"),
-                 F.sum(F.col(price) * F.col("_q")).alias("_rev"),
-                 F.max(F.when(F.col(price) == pb, F.lit(1))).alias("_has_base"),
-                 F.sum(F.when(F.col(price) == pb, F.col("_q"))).alias("_base_q")))
+    at_base = F.col(price) == pb
+    return (df.groupBy(product, DATE)
+            .agg(F.min(price).alias("_pmin"), F.max(price).alias("_pmax"),
+                 F.sum(F.col(price) * F.col(QTY)).alias("_rev"),
+                 F.max(F.when(at_base, F.lit(1))).alias("_has_base"),
+                 F.sum(F.when(at_base, F.col(QTY))).alias("_base_q")))
+
+
+def _is_change_day() -> F.Column:
+    return F.col("_pmin") < F.col("_pmax")
 
 
 def price_change_dates(df: DataFrame, product: str = "product_detail",
                        price: str = "unit_price") -> DataFrame:
     """(product, date) pairs with two or more distinct prices."""
-    return (df.groupBy(product, DATE).agg(F.countDistinct(price).alias("_n"))
-            .where(F.col("_n") > 1).select(product, DATE))
+    return (df.groupBy(product, DATE).agg(F.min(price).alias("_pmin"), F.max(price).alias("_pmax"))
+            .where(_is_change_day()).select(product, DATE))
 
 
 def two_price_day_revenue(df: DataFrame, product: str = "product_detail",
                           price: str = "unit_price") -> DataFrame:
-    """A6d: daily units and revenue per price on the price-change days
-    (IN-subquery → semi join)."""
-    dates = price_change_dates(df, product, price)
-    lines = df.join(dates, on=[product, DATE], how="left_semi")
-    return (daily_units(lines, product, price)
-            .withColumn("revenue", F.col(price) * F.col("total_qty")))
+    """A6d: daily units and revenue per price on the price-change days.
+
+    The study selects the days with an IN-subquery; here the daily table is
+    aggregated first and a window over each (product, day) — a handful of
+    rows, one per price — keeps the days with two prices, so the raw lines
+    are shuffled once, combined, and never re-joined."""
+    w = Window.partitionBy(product, DATE)
+    daily = daily_units(df, product, price)
+    return (daily.withColumn("_two", F.min(price).over(w) < F.max(price).over(w))
+            .where(F.col("_two"))
+            .select(DATE, product, price, "total_qty",
+                    (F.col(price) * F.col("total_qty")).alias("revenue")))
+
+
+def _base_day_levels(days: DataFrame, product: str) -> DataFrame:
+    """(product, base-price daily units) → how many base-price days had that
+    many units, plus the per-product sums the what-if needs, all additive so
+    that one more aggregate gives per-product figures."""
+    base = F.col("_has_base").isNotNull()
+    change = _is_change_day()
+    return days.groupBy(product, "_base_q").agg(
+        F.count(F.when(base, F.col("_base_q"))).alias("_f"),
+        F.count(F.when(base, F.lit(1))).alias("_nb"),
+        F.sum(F.when(base, F.col("_base_q"))).alias("_sq"),
+        F.sum(F.when(change, F.col("_rev"))).alias("_crev"),
+        F.count(F.when(change, F.lit(1))).alias("_cdays"))
+
+
+def _mode_struct() -> F.Column:
+    # most base-price days first, then the smaller unit count
+    return F.max(F.when(F.col("_f") > 0, F.struct(F.col("_f"), (-F.col("_base_q")).alias("_neg"))))
 
 
 def daily_units_mode(df: DataFrame, product: str = "product_detail", price: str = "unit_price",
                      base_price="3.50") -> DataFrame:
     """Per product, the most frequent daily unit count on days with a
     base-price line (ties → the smaller count) and its frequency."""
-    days = _per_day(df, product, price, base_price).where(F.col("_has_base").isNotNull())
-    freq = days.groupBy(product, "_base_q").agg(F.count("_base_q").alias("frequency"))
-    best = freq.groupBy(product).agg(
-        F.max(F.struct(F.col("frequency"), (-F.col("_base_q")).alias("_neg"))).alias("_m"))
+    levels = _base_day_levels(_per_day(df, product, price, base_price), product)
+    best = levels.groupBy(product).agg(_mode_struct().alias("_m")).where(F.col("_m").isNotNull())
     return best.select(product, (-F.col("_m._neg")).cast("bigint").alias("total_qty"),
-                       F.col("_m.frequency").alias("frequency"))
+                       F.col("_m._f").alias("frequency"))
 
 
 def daily_units_mean(df: DataFrame, product: str = "product_detail", price: str = "unit_price",
                      base_price="3.50", digits: int = 4) -> DataFrame:
     """Per product, mean daily units on days with a base-price line
     (rounded to ``digits``)."""
-    days = _per_day(df, product, price, base_price).where(F.col("_has_base").isNotNull())
-    return days.groupBy(product).agg(
-        ratio(exact(F.sum("_base_q")), exact(F.count(F.lit(1))), digits).alias("avg_sales"))
+    levels = _base_day_levels(_per_day(df, product, price, base_price), product)
+    per = levels.groupBy(product).agg(F.sum("_sq").alias("_sq"), F.sum("_nb").alias("_nb"))
+    return per.where(F.col("_nb") > 0).select(
+        product, ratio(exact(F.col("_sq")), exact(F.col("_nb")), digits).alias("avg_sales"))
 
 
 def price_hold_whatif(df: DataFrame, product: str = "product_detail", price: str = "unit_price",
@@ -148,26 +179,22 @@ def price_hold_whatif(df: DataFrame, product: str = "product_detail", price: str
     those days, against holding the base price with the mode or the mean of
     the base-price daily units on each of those days.
 
-    One daily aggregate feeds three per-product aggregates (changes, mean,
-    mode), joined on product; each is already partitioned by product."""
+    One chain of aggregates and no join: lines → (product, day) →
+    (product, base-day units) → product. The first step combines map-side;
+    the later ones work on per-day rows."""
     pb = _price_lit(base_price)
-    days = _per_day(df, product, price, base_price)
-    changes = (days.where(F.col("_prices") > 1).groupBy(product)
-               .agg(F.sum("_rev").alias("total_original_revenue"),
-                    F.count(F.lit(1)).alias("_change_days")))
-    base_days = days.where(F.col("_has_base").isNotNull())
-    mean = base_days.groupBy(product).agg(F.sum("_base_q").alias("_sum_q"),
-                                          F.count(F.lit(1)).alias("_base_days"))
-    freq = base_days.groupBy(product, "_base_q").agg(F.count("_base_q").alias("_f"))
-    mode = freq.groupBy(product).agg(
-        F.max(F.struct(F.col("_f"), (-F.col("_base_q")).alias("_neg"))).alias("_m"))
-    out = changes.join(mean, on=product, how="left").join(mode, on=product, how="left")
-    n_days = exact(F.col("_change_days"))
-    mode_q = exact(-F.col("_m._neg"))
-    return out.select(
+    levels = _base_day_levels(_per_day(df, product, price, base_price), product)
+    per = (levels.groupBy(product)
+           .agg(F.sum("_crev").alias("total_original_revenue"), F.sum("_cdays").alias("_change_days"),
+                F.sum("_sq").alias("_sum_q"), F.sum("_nb").alias("_base_days"), _mode_struct().alias("_m"))
+           .where(F.col("_change_days") > 0))
+    n_days = F.col("_change_days").cast("decimal(10,0)")
+    mode_q = (-F.col("_m._neg")).cast("decimal(18,0)")
+    held = (F.col("_sum_q") * F.col("_change_days")).cast("decimal(20,0)") * pb
+    return per.select(
         product, "total_original_revenue",
         (mode_q * pb * n_days).alias("revenue_with_mode"),
-        ratio(exact(F.col("_sum_q")) * pb * n_days, exact(F.col("_base_days")), 2).alias("revenue_with_avg"))
+        ratio(held, F.col("_base_days").cast("decimal(10,0)"), 2).alias("revenue_with_avg"))
 
 
 def price_change_calendar(df: DataFrame, product: str = "product_detail",
