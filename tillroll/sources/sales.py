@@ -134,12 +134,14 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def event_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``events`` table read as sales lines with a time of day: one unit
-    per event, ``event_type`` as the store, ``value`` as revenue and a basket
-    per user and day. Used by the hour-of-day reports."""
-    e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
-    df = e.select(
+EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value")
+
+
+def event_lines(events: DataFrame) -> DataFrame:
+    """``events`` rows as sales lines with a time of day: one unit per event,
+    ``event_type`` as the store, ``value`` as revenue and a basket per user
+    and day. Works on batch and streaming DataFrames alike."""
+    df = events.select(
         F.col("event_id").alias("transaction_id"),
         F.col("ts").cast("date").alias("transaction_date"),
         F.date_format("ts", "HH:mm:ss").alias("transaction_time"),
@@ -150,3 +152,9 @@ def event_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").cast("decimal(12,2)").alias("revenue"),
     )
     return with_basket_key(df, ("transaction_date", "customer_id"))
+
+
+def event_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` table as sales lines (see ``event_lines``); used by the
+    hour-of-day reports."""
+    return event_lines(read_table(spark, sf_dir, "events", *EVENT_COLUMNS))
