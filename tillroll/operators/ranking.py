@@ -50,13 +50,13 @@ def rank_within(df: DataFrame, partition: Sequence[str], order: Sequence[Column]
 def _range_rank(df: DataFrame, partition: list[str], order: list[Column], name: str,
                 slices: int | None) -> DataFrame:
     spark = df.sparkSession
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(p).asc_nulls_last() for p in partition] + order
     cols = df.columns
     shared_dir(spark)
-    sliced = (df.repartitionByRange(n, *keys)
-              .withColumn("_slice", F.spark_partition_id())
-              .checkpoint(eager=True))
+    # Without an explicit count AQE sizes the slices (it merges neighbouring
+    # ranges only, so slice ids stay in key order).
+    ranged = df.repartitionByRange(slices, *keys) if slices else df.repartitionByRange(*keys)
+    sliced = ranged.withColumn("_slice", F.spark_partition_id()).checkpoint(eager=True)
 
     local = sliced.withColumn(
         "_local", F.rank().over(Window.partitionBy("_slice", *partition).orderBy(*order)))
