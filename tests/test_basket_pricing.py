@@ -53,10 +53,10 @@ def test_products_in_combo(make_sales):
 def _price_days(make_sales):
     rows, tid = [], 0
 
-    def add(date, qty, price, product="Biscotti"):
+    def add(date, qty, price, product="Cookie"):
         nonlocal tid
         tid += 1
-        rows.append(line(tid, date, "08:00:00", qty, 3, price, "Bakery", "Biscotti", product))
+        rows.append(line(tid, date, "08:00:00", qty, 3, price, "Bakery", "Cookie", product))
 
     add("2023-01-09", 5, "3.50"); add("2023-01-09", 3, "4.38")     # -2.2386
     add("2023-02-09", 11, "3.50"); add("2023-02-09", 1, "4.38")    # -7.4621
@@ -83,10 +83,10 @@ def test_whatif_nine_two_price_days_gives_252(make_sales):
     for d in range(1, 10):  # 9 two-price days, 8 units at base each
         for qty, price in ((8, "3.50"), (2, "4.38")):
             tid += 1
-            rows.append(line(tid, f"2023-01-{d:02d}", "08:00:00", qty, 3, price, "Bakery", "B", "Biscotti"))
+            rows.append(line(tid, f"2023-01-{d:02d}", "08:00:00", qty, 3, price, "Bakery", "B", "Cookie"))
     for d, q in ((10, 8), (11, 5), (12, 5)):  # base-price-only days: mode tie 8 vs 5 at 2 each? 8 wins
         tid += 1
-        rows.append(line(tid, f"2023-01-{d:02d}", "08:00:00", q, 3, "3.50", "Bakery", "B", "Biscotti"))
+        rows.append(line(tid, f"2023-01-{d:02d}", "08:00:00", q, 3, "3.50", "Bakery", "B", "Cookie"))
     df = make_sales(rows)
     r = pricing.price_hold_whatif(df, base_price="3.50").first()
     assert r.revenue_with_mode == Decimal("252.00")            # 8 × 3.50 × 9
@@ -98,7 +98,7 @@ def test_whatif_nine_two_price_days_gives_252(make_sales):
 
 
 def test_mode_tie_takes_smaller_value(make_sales):
-    rows = [line(i, f"2023-01-{i:02d}", "08:00:00", q, 3, "3.50", "Bakery", "B", "Biscotti")
+    rows = [line(i, f"2023-01-{i:02d}", "08:00:00", q, 3, "3.50", "Bakery", "B", "Cookie")
             for i, q in enumerate([7, 7, 4, 4, 9], start=1)]
     mode = pricing.daily_units_mode(make_sales(rows), base_price="3.50").first()
     assert (mode.total_qty, mode.frequency) == (4, 2)
@@ -123,4 +123,4 @@ def test_price_change_dates_calendar_and_revenue(make_sales):
     assert sorted((r.unit_price, r.total_qty, r.revenue) for r in rev) == [
         (Decimal("3.50"), 5, Decimal("17.50")), (Decimal("4.38"), 3, Decimal("13.14"))]
     multi = [tuple(r) for r in pricing.multi_price_products(df).collect()]
-    assert multi == [("Biscotti", 3)]   # 3.00, 3.50, 4.38
+    assert multi == [("Cookie", 3)]   # 3.00, 3.50, 4.38

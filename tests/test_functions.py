@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions import calendar as cal
 from tillroll.functions.elasticity import arc_elasticity
-from tillroll.functions.groups import COFFEE_SHOP_GROUPS, group_of
+from tillroll.functions.groups import CAFE_GROUPS, group_of
 from tillroll.functions.money import exact, ratio
 
 
@@ -45,9 +45,9 @@ def test_hour_from_text_and_timestamp(spark):
 
 def test_group_else_catches_null_and_unknown(spark):
     df = spark.createDataFrame([("Coffee",), ("Bakery",), ("Branded",), (None,), ("Nope",)], "c string")
-    got = [r[0] for r in df.select(group_of("c", COFFEE_SHOP_GROUPS, "Merchandise")).collect()]
+    got = [r[0] for r in df.select(group_of("c", CAFE_GROUPS, "Merchandise")).collect()]
     assert got == ["Beverages", "Snacks", "Merchandise", "Merchandise", "Merchandise"]
-    no_else = [r[0] for r in df.select(group_of("c", COFFEE_SHOP_GROUPS, None)).collect()]
+    no_else = [r[0] for r in df.select(group_of("c", CAFE_GROUPS, None)).collect()]
     assert no_else == ["Beverages", "Snacks", None, None, None]
 
 

@@ -11,13 +11,30 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from tillroll.functions.calendar import MONTH_NAMES
-from tillroll.functions.groups import COFFEE_SHOP_GROUPS
+from tillroll.functions.groups import CAFE_GROUPS
 from tillroll.functions.money import exact, ratio
 from tillroll.operators.enrich import with_group
 from tillroll.operators.growth import period_growth
 from tillroll.operators.ranking import rank_within
 from tillroll.operators.summary import summarize
-from tests.conftest import line, read_golden
+from tests.conftest import golden_tables, line, read_golden
+
+# Headers of the exported tables (the reports' own column names).
+MONTHLY = ("store_id", "store_location", "month", "total_revenue", "prev_month_revenue",
+           "mom_revenue_growth")
+QUARTERLY = ("store_id", "store_location", "quarter", "total_revenue", "prev_quarter_revenue",
+             "qtr_revenue_growth")
+CATEGORY_RANK = ("rank_by_revenue", "product_detail", "product_category", "total_transactions",
+                 "total_revenue")
+GROUP_RANK = ("rank_by_revenue", "category", "product_detail", "total_transactions", "total_revenue",
+              "avg_transaction_value")
+TYPES_BY_CATEGORY = ("product_type", "product_category", "total_products", "total_transactions",
+                     "total_revenue", "avg_transaction_value")
+PRODUCTS = ("product_detail", "product_type", "total_transactions", "total_revenue",
+            "avg_transaction_value")
+STORES = ("store_id", "store_location", "total_revenue", "total_transactions", "avg_transaction_value")
+COMBOS = ("product_cate_combo", "combo_transaction", "total_revenue", "avg_transaction_value")
+PRICE_LIST = ("product_category", "product_type", "product_detail", "price_range", "total_revenue")
 
 
 def _dec(v):
@@ -25,7 +42,7 @@ def _dec(v):
 
 
 def test_month_and_quarter_growth(make_sales):
-    months = read_golden("1.3_shops_mom_qoq.csv")
+    months = read_golden(*MONTHLY)
     rows = [line(i, f"2023-{MONTH_NAMES.index(r['month']) + 1:02d}-01", "08:00:00", 1,
                  int(r["store_id"]), r["total_revenue"], "Coffee", location=r["store_location"])
             for i, r in enumerate(months)]
@@ -36,7 +53,7 @@ def test_month_and_quarter_growth(make_sales):
         want = (_dec(r["total_revenue"]), _dec(r["prev_month_revenue"]), _dec(r["mom_revenue_growth"]))
         assert got[(int(r["store_id"]), r["month"])] == want, r
 
-    quarters = read_golden("1.3_shops_qoq.csv")
+    quarters = read_golden(*QUARTERLY)
     got_q = {(r.store_id, r.quarter): (r.total_revenue, r.prev_quarter_revenue, r.qtr_revenue_growth)
              for r in period_growth(df, ["store_id", "store_location"], "quarter_label").collect()}
     for r in quarters:
@@ -45,7 +62,7 @@ def test_month_and_quarter_growth(make_sales):
 
 
 def _ranking_input(spark):
-    rows = read_golden("2.0_product_ranking.csv")
+    rows = read_golden(*CATEGORY_RANK)
     data = [(r["product_category"], r["product_detail"], int(r["total_transactions"]),
              Decimal(r["total_revenue"]), int(r["rank_by_revenue"])) for r in rows]
     return spark.createDataFrame(
@@ -65,8 +82,8 @@ def test_product_rank_in_category_with_ties(spark):
 
 def test_product_rank_in_group_from_category_rows(spark):
     expected = {r["product_detail"]: (r["category"], int(r["rank_by_revenue"]), Decimal(r["total_revenue"]))
-                for r in read_golden("2.1_product_category.csv")}
-    df = with_group(_ranking_input(spark), "product_category", COFFEE_SHOP_GROUPS, "Merchandise")
+                for r in read_golden(*GROUP_RANK)}
+    df = with_group(_ranking_input(spark), "product_category", CAFE_GROUPS, "Merchandise")
     per = df.groupBy("category", "product_detail").agg(F.sum("total_revenue").alias("total_revenue"))
     out = rank_within(per, ["category"], [F.col("total_revenue").desc_nulls_first()],
                       name="rank_by_revenue", method="range", slices=4)
@@ -74,35 +91,40 @@ def test_product_rank_in_group_from_category_rows(spark):
     assert got == expected
 
 
-def test_snack_types_from_product_rows(make_sales):
-    rows, i = [], 0
-    for name, category in (("2.3_snack_bakery.csv", "Bakery"),
-                           ("2.3_snack_packaged_chocolate.csv", "Packaged Chocolate")):
-        for r in read_golden(name):
-            i += 1
-            # one line per product carrying its units and revenue
-            rows.append(line(i, "2023-01-01", "08:00:00", int(r["total_transactions"]), 3, "1.00",
-                             category, r["product_type"], r["product_detail"]))
+def test_types_by_category_from_product_rows(make_sales):
+    """The category × type table equals the roll-up of the per-product
+    tables of those types (one line per product carrying its units and
+    revenue)."""
+    expected = read_golden(*TYPES_BY_CATEGORY)
+    category_of = {r["product_type"]: r["product_category"] for r in expected}
+    products = {}
+    for table in golden_tables(*PRODUCTS):
+        if table and all(r["product_type"] in category_of for r in table):
+            for r in table:
+                products[r["product_detail"]] = r
+    assert products
+    rows = [line(i, "2023-01-01", "08:00:00", int(r["total_transactions"]), 3, "1.00",
+                 category_of[r["product_type"]], r["product_type"], r["product_detail"])
+            for i, r in enumerate(products.values())]
     df = make_sales(rows, enrich=False)
-    revenue = {r["product_detail"]: Decimal(r["total_revenue"])
-               for n in ("2.3_snack_bakery.csv", "2.3_snack_packaged_chocolate.csv") for r in read_golden(n)}
-    mapping = F.create_map(*[x for k, v in revenue.items() for x in (F.lit(k), F.lit(v))])
+    mapping = F.create_map(*[x for k, r in products.items()
+                             for x in (F.lit(k), F.lit(Decimal(r["total_revenue"])))])
     df = df.withColumn("revenue", mapping[F.col("product_detail")].cast("decimal(12,2)"))
     out = summarize(df, ["product_category", "product_type"],
                     {"total_products": ("distinct", "product_detail"), "total_transactions": "units",
                      "total_revenue": "revenue", "avg_transaction_value": "avg_unit_revenue"})
     got = {(r.product_type, r.product_category): (r.total_products, r.total_transactions, r.total_revenue,
                                                   r.avg_transaction_value) for r in out.collect()}
-    for r in read_golden("2.3_snacks.csv"):
+    for r in expected:
         want = (int(r["total_products"]), int(r["total_transactions"]), Decimal(r["total_revenue"]),
                 Decimal(r["avg_transaction_value"]))
         assert got[(r["product_type"], r["product_category"])] == want, r
 
 
 def test_store_and_combo_ratios(spark):
-    stores = read_golden("1.1_revenue_transaction_atv.csv")
+    stores = read_golden(*STORES)
     assert sum(Decimal(r["total_revenue"]) for r in stores) == Decimal("698812.33")
-    combos = read_golden("3.1_MBA_top_combo.csv")
+    combos = read_golden(*COMBOS)
     df = spark.createDataFrame([(Decimal(r["total_revenue"]), int(r["combo_transaction"]),
                                  Decimal(r["avg_transaction_value"])) for r in combos],
                                "rev decimal(22,2), n long, want decimal(10,2)")
@@ -111,15 +133,15 @@ def test_store_and_combo_ratios(spark):
 
 
 def test_price_list_shape(spark):
-    rows = read_golden("3.1_PS.csv")
+    rows = read_golden(*PRICE_LIST)
     assert len(rows) == 15
     for r in rows:
         prices = [Decimal(p) for p in r["price_range"].split(", ")]
         assert len(prices) >= 2 and prices == sorted(prices), r
-    assert any(r["product_detail"].endswith(" ") for r in read_golden("2.0_product_ranking.csv"))
+    assert any(r["product_detail"].endswith(" ") for r in read_golden(*CATEGORY_RANK))
 
 
 def test_dates_of_study_are_one_half_year(spark):
-    months = {r["month"] for r in read_golden("1.3_shops_mom_qoq.csv")}
+    months = {r["month"] for r in read_golden(*MONTHLY)}
     assert months == set(MONTH_NAMES[:6])
     assert dt.date(2023, 6, 30).month == 6

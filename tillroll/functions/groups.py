@@ -7,12 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The coffee-shop grouping of product categories.
-COFFEE_SHOP_GROUPS: dict[str, tuple[str, ...]] = {
+# The cafe grouping of product categories into three groups.
+CAFE_GROUPS: dict[str, tuple[str, ...]] = {
     "Beverages": ("Coffee", "Tea", "Loose Tea", "Drinking Chocolate", "Flavours"),
     "Snacks": ("Bakery", "Packaged Chocolate"),
 }
-COFFEE_SHOP_DEFAULT = "Merchandise"
+CAFE_DEFAULT = "Merchandise"
 
 
 def group_of(col, mapping: Mapping[str, Sequence[str]], default: str | None) -> Column:

@@ -1,6 +1,6 @@
 """Derived columns (one narrow Project each; nothing shuffles).
 
-The reference adds these in place with ALTER + UPDATE; here each is a pure
+The study adds these in place with ALTER + UPDATE; here each is a pure
 ``withColumns`` so re-running is harmless.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, TimestampNTZType, TimestampType
 
 from tillroll.functions import calendar as cal
-from tillroll.functions.groups import COFFEE_SHOP_DEFAULT, COFFEE_SHOP_GROUPS, group_of
+from tillroll.functions.groups import CAFE_DEFAULT, CAFE_GROUPS, group_of
 from tillroll.functions.money import REVENUE_TYPE, line_revenue
 
 
@@ -73,6 +73,6 @@ def with_quarter(df: DataFrame, date: str = "transaction_date", name: str = "qua
 
 
 def with_group(df: DataFrame, col: str = "product_category",
-               mapping: Mapping[str, Sequence[str]] = COFFEE_SHOP_GROUPS,
-               default: str | None = COFFEE_SHOP_DEFAULT, name: str = "category") -> DataFrame:
+               mapping: Mapping[str, Sequence[str]] = CAFE_GROUPS,
+               default: str | None = CAFE_DEFAULT, name: str = "category") -> DataFrame:
     return df.withColumn(name, group_of(col, mapping, default))

@@ -1,6 +1,6 @@
 """One grouped-summary operator with a small metric vocabulary.
 
-The reference uses ``total_transactions`` and ``avg_transaction_value`` for
+The study uses ``total_transactions`` and ``avg_transaction_value`` for
 several different measures; here each measure has its own name and reports
 alias them at the edge:
 

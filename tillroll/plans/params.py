@@ -1,6 +1,6 @@
 """Literal parameters of the registered reports on the driver's tables.
 
-The study hard-codes coffee-shop names; on the driver's tables the same
+The study hard-codes its own category and product names; on the driver's tables the same
 statements run with these values (p_type as category, p_brand as type,
 p_name as product)."""
 
