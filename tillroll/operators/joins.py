@@ -1,9 +1,10 @@
 """Join helpers with an explicit broadcast policy.
 
 * ``bounded_broadcast`` broadcasts a side only after checking that it has at
-  most ``max_rows`` rows (a cheap ``limit(max_rows + 1).count()`` job on a
-  small table); beyond the bound the side is returned as is and the planner
-  shuffles it.
+  most ``max_rows`` rows (a ``limit(max_rows + 1).count()`` job, which stops
+  reading once the bound is passed); beyond the bound the side is returned as
+  is and the planner shuffles it. Meant for narrow tables, where a row bound
+  is a byte bound.
 * ``growing`` marks a side whose size grows with the data: it is never
   broadcast statically, the join is planned as a sort-merge join (which
   spills and which AQE splits when a key is skewed).

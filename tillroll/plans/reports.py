@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators import basket, enrich, growth, pricing, quality, traffic
+from tillroll.operators.joins import bounded_broadcast
 from tillroll.operators.ranking import rank_within
 from tillroll.operators.summary import metric, summarize
 from tillroll.plans import params as P
@@ -73,7 +74,10 @@ def duplicate_keys(spark, sf_dir):
 def null_rows(spark, sf_dir):
     """Rows with any NULL column (documents left join labels)."""
     docs = read_table(spark, sf_dir, "documents")
-    labels = read_table(spark, sf_dir, "labels")
+    # labels is narrow (three numbers): broadcast it while it has at most a
+    # million rows, so the document texts are never shuffled; beyond that,
+    # a sort-merge join.
+    labels = bounded_broadcast(read_table(spark, sf_dir, "labels"), 1_000_000)
     return quality.null_rows(docs.join(labels, on="doc_id", how="left"))
 
 
