@@ -39,6 +39,16 @@ def null_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.where(any_of([F.col(f"`{c}`").isNull() for c in cols]))
 
 
+def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """One row per column: how many rows have it NULL (a single aggregate
+    over all columns, then an unpivot of that one row)."""
+    cols = list(cols) if cols else df.columns
+    counts = df.agg(*[F.count(F.when(F.col(f"`{c}`").isNull(), F.lit(1))).alias(f"n{i}")
+                      for i, c in enumerate(cols)])
+    pairs = [x for i, c in enumerate(cols) for x in (F.lit(c), F.col(f"n{i}"))]
+    return counts.select(F.stack(F.lit(len(cols)), *pairs).alias("column_name", "null_count"))
+
+
 def nonpositive_rows(df: DataFrame, cols: Sequence[str] = ("transaction_qty", "unit_price")) -> DataFrame:
     """Rows where any of ``cols`` is zero or negative. NULL is not an
     outlier (three-valued logic, as in SQL)."""

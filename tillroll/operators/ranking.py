@@ -47,6 +47,13 @@ def rank_within(df: DataFrame, partition: Sequence[str], order: Sequence[Column]
     raise ValueError(f"unknown method {method!r}")
 
 
+def bottom_within(df: DataFrame, partition: Sequence[str], metrics: Sequence[str], n: int,
+                  name: str = "rank_from_bottom") -> DataFrame:
+    """Tail sellers: rank by ``metrics`` ascending (NULLs last) and keep
+    rank <= n, ties kept."""
+    return rank_within(df, partition, [F.col(m).asc_nulls_last() for m in metrics], name=name, top=n)
+
+
 def _range_rank(df: DataFrame, partition: list[str], order: list[Column], name: str,
                 slices: int | None) -> DataFrame:
     spark = df.sparkSession

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import basket, enrich, growth, pricing, quality, traffic
 from tillroll.operators.joins import bounded_broadcast
-from tillroll.operators.ranking import rank_within
+from tillroll.operators.ranking import bottom_within, rank_within
 from tillroll.operators.summary import metric, summarize
 from tillroll.plans import params as P
 from tillroll.plans.edge import report_edge
@@ -81,6 +81,14 @@ def null_rows(spark, sf_dir):
     return quality.null_rows(docs.join(labels, on="doc_id", how="left"))
 
 
+@report("null_profile")
+def null_profile(spark, sf_dir):
+    """P4 as a profile: NULL count per column (documents left join labels)."""
+    docs = read_table(spark, sf_dir, "documents")
+    labels = bounded_broadcast(read_table(spark, sf_dir, "labels"), 1_000_000)
+    return quality.null_profile(docs.join(labels, on="doc_id", how="left"))
+
+
 @report("nonpositive_rows")
 def nonpositive_rows(spark, sf_dir):
     """P5: rows with a zero or negative amount (customer balances)."""
@@ -322,9 +330,7 @@ def bottom_n_per_category(spark, sf_dir):
     df = sales(spark, sf_dir).where(F.col("product_category").isin(list(P.COMBO_CATEGORIES)))
     per_product = summarize(df, ["product_category", "product_detail"],
                             {"total_transactions": "units", "total_revenue": "revenue"})
-    ranked = rank_within(per_product, ["product_category"],
-                         [F.col("total_revenue").asc_nulls_last()], name="rank_from_bottom",
-                         top=P.TOP_N)
+    ranked = bottom_within(per_product, ["product_category"], ["total_revenue"], P.TOP_N)
     return ranked.select("rank_from_bottom", "product_category", "product_detail",
                          "total_transactions", "total_revenue")
 
