@@ -41,18 +41,36 @@ def build_session(cpus: int = 8, shuffle_partitions: int | None = None,
     return spark
 
 
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect sessions have no SparkContext
+        return None
+
+
+def app_id(spark: SparkSession) -> str:
+    sc = _context(spark)
+    return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", "app")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints and intermediate tables.
 
-    Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint dir). Only when neither is set, as in local tests, a fresh
-    folder is created and registered so later calls agree.
+    Read from the session (the context's checkpoint dir or
+    ``spark.checkpoint.dir``). Only when neither is set, as in local tests, a
+    fresh folder is created and registered so later calls agree.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not current:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tillroll-ckpt-"))
-        current = sc.getCheckpointDir()
+    sc = _context(spark)
+    if sc is not None:
+        current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+        if not current:
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tillroll-ckpt-"))
+            current = sc.getCheckpointDir()
+    else:
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        if not current:
+            current = tempfile.mkdtemp(prefix="tillroll-ckpt-")
+            spark.conf.set("spark.checkpoint.dir", current)
     return current.rstrip("/")
 
 

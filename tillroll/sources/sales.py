@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.money import PRICE_TYPE, line_revenue
 from tillroll.operators.enrich import with_basket_key
 from tillroll.operators.joins import bounded_broadcast, growing
-from tillroll.session import shared_dir
+from tillroll.session import app_id, shared_dir
 from tillroll.sources.tables import read_table, table_path
 
 # The base and raised price of the price-change study, and the
@@ -122,7 +122,7 @@ def _input_signature(sf_dir: str) -> str:
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide sales table, built once per application and data set and
     written as parquet under the session's shared folder."""
-    key = (spark.sparkContext.applicationId, _input_signature(sf_dir))
+    key = (app_id(spark), _input_signature(sf_dir))
     with _lock:
         path = _built.get(key)
         if path is None:
