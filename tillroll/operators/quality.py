@@ -9,10 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def preview_rows(df: DataFrame, n: int = 10, order: Sequence[Column] | None = None) -> DataFrame:
-    """First ``n`` rows in a fixed order (all columns by default), so the
-    preview is repeatable. Planned as a distributed top-k
-    (TakeOrderedAndProject): every task keeps only ``n`` rows."""
+def preview_rows(df: DataFrame, n: int = 10, order: Sequence[Column] | None = None,
+                 ordered: bool = True) -> DataFrame:
+    """``n`` rows. Ordered (the default, all columns unless ``order`` is
+    given) the preview is repeatable and planned as a distributed top-k
+    (TakeOrderedAndProject: every task keeps only ``n`` rows). Unordered it
+    is the study's plain LIMIT: Spark stops reading once it has ``n`` rows."""
+    if not ordered:
+        return df.limit(n)
     order = list(order) if order else [F.col(f"`{c}`").asc_nulls_last() for c in df.columns]
     return df.orderBy(*order).limit(n)
 
