@@ -14,9 +14,9 @@ from tillroll.operators.ranking import rank_within
 from tillroll.operators.summary import summarize
 
 
-def _time_order(cols: Sequence[str]):
+def _time_order(cols: Sequence[str], with_month: bool = True):
     order = []
-    if "month" in cols:
+    if with_month and "month" in cols:
         order.append(month_from_name(F.col("month")).asc_nulls_last())
     if "day_of_week" in cols:
         order.append(weekday_sort_key(F.col("day_of_week")).asc())
@@ -37,10 +37,11 @@ def hourly_traffic(df: DataFrame, by: Sequence[str] = ("month", "day_of_week", "
 def basket_size_by_time(df: DataFrame,
                         by: Sequence[str] = ("store_location", "month", "day_of_week", "hour"),
                         time: str = "transaction_time", digits: int = 3) -> DataFrame:
-    """E9 / E9′: units per basket by the given time keys."""
+    """E9 / E9′: units per basket by the given time keys, in Monday-first
+    weekday and hour order (as the study orders it; month is not a sort key)."""
     named = with_time_names(df, time=time)
     return summarize(named, list(by), {"avg_transaction_qty": "units_per_basket"},
-                     order=_time_order(by), digits=digits)
+                     order=_time_order(by, with_month=False), digits=digits)
 
 
 def peak_hours(df: DataFrame, store: str = "store_location", time: str = "transaction_time",
