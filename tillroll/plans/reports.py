@@ -1,14 +1,25 @@
-"""Registered reports: one per statement of the study, with the study's
-column names. Each takes (spark, sf_dir) and returns a lazy DataFrame.
+"""The study's statements as reports, with the study's column names.
+
+Each report is a function of ``Inputs`` (where it reads from, plus literal
+parameters) returning a lazy DataFrame. Two sets of inputs exist:
+
+* ``proxy_inputs(spark, sf_dir)`` — the driver's tables (the wide sales
+  table built from the star schema, ``events`` for time of day, the two-step
+  price for the price study, documents ⟕ labels for NULL checks). The
+  registered ``REPORTS`` (and ``__spark_entry__.queries()``) use these.
+* ``study_inputs(df)`` — one sales table shaped like the study's; every
+  report reads it, with the study's own literals (``params.STUDY``).
+  ``study_reports(df)`` returns all reports for such a table.
 
 Exact values stay DECIMAL inside; ``report_edge`` converts them to DOUBLE in
-the last projection. Literal parameters for the driver's tables are in
-``tillroll.plans.params``.
+the last projection of the registered reports.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,190 +28,246 @@ from tillroll.operators import basket, enrich, growth, pricing, quality, traffic
 from tillroll.operators.joins import bounded_broadcast
 from tillroll.operators.ranking import bottom_within, rank_within
 from tillroll.operators.summary import metric, summarize
-from tillroll.plans import params as P
 from tillroll.plans.edge import report_edge
-from tillroll.sources.sales import event_sales, sales
+from tillroll.plans.params import PROXY, STUDY, ReportParams
+from tillroll.sources.sales import event_sales, prepare_sales, sales
 from tillroll.sources.tables import read_table
 
-Report = Callable[[SparkSession, str], DataFrame]
-REPORTS: dict[str, Report] = {}
+
+@dataclass
+class Inputs:
+    """Zero-argument builders, evaluated lazily and at most once each."""
+    build_sales: Callable[[], DataFrame]
+    build_timed: Callable[[], DataFrame]
+    build_priced: Callable[[], DataFrame]
+    build_nullable: Callable[[], DataFrame]
+    build_amounts: Callable[[], tuple[DataFrame, list[str]]]
+    params: ReportParams
+
+    @cached_property
+    def sales(self) -> DataFrame:
+        """Sales lines."""
+        return self.build_sales()
+
+    @cached_property
+    def timed(self) -> DataFrame:
+        """Sales lines with a time of day."""
+        return self.build_timed()
+
+    @cached_property
+    def priced(self) -> DataFrame:
+        """Lines for the price study: date, product_detail, unit_price, qty."""
+        return self.build_priced()
+
+    @property
+    def price_focus(self) -> DataFrame:
+        """``priced`` restricted to ``params.price_products`` (all when None)."""
+        products = self.params.price_products
+        return self.priced if products is None else self.priced.where(
+            F.col("product_detail").isin(list(products)))
+
+    @cached_property
+    def nullable(self) -> DataFrame:
+        """The table of the NULL checks."""
+        return self.build_nullable()
+
+    @cached_property
+    def amounts(self) -> tuple[DataFrame, list[str]]:
+        """The table and columns of the non-positive check."""
+        return self.build_amounts()
+
+
+def proxy_inputs(spark: SparkSession, sf_dir: str, params: ReportParams = PROXY) -> Inputs:
+    def priced():
+        # the price study's shape: product = brand, price = the line's two-step price
+        return sales(spark, sf_dir).select(
+            "transaction_date", "transaction_qty",
+            F.col("product_type").alias("product_detail"), F.col("tier_price").alias("unit_price"))
+
+    def nullable():
+        docs = read_table(spark, sf_dir, "documents")
+        # labels is narrow (three numbers): broadcast it while it has at most a
+        # million rows, so document texts are never shuffled; beyond, sort-merge.
+        labels = bounded_broadcast(read_table(spark, sf_dir, "labels"), 1_000_000)
+        return docs.join(labels, on="doc_id", how="left")
+
+    return Inputs(
+        build_sales=lambda: sales(spark, sf_dir),
+        build_timed=lambda: event_sales(spark, sf_dir),
+        build_priced=priced,
+        build_nullable=nullable,
+        build_amounts=lambda: (read_table(spark, sf_dir, "customer"), ["c_acctbal"]),
+        params=params)
+
+
+def study_inputs(df: DataFrame, params: ReportParams = STUDY) -> Inputs:
+    lines = prepare_sales(df)
+    return Inputs(
+        build_sales=lambda: lines,
+        build_timed=lambda: lines,
+        build_priced=lambda: lines,
+        build_nullable=lambda: df,
+        build_amounts=lambda: (df, ["transaction_qty", "unit_price"]),
+        params=params)
+
+
+ReportFn = Callable[[Inputs], DataFrame]
+STATEMENTS: dict[str, ReportFn] = {}
 
 
 def report(name: str):
-    def register(fn):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return report_edge(fn(spark, sf_dir))
-        run.__doc__ = fn.__doc__
-        run.__name__ = name
-        REPORTS[name] = run
+    def register(fn: ReportFn) -> ReportFn:
+        STATEMENTS[name] = fn
         return fn
     return register
 
 
-def tiered(spark, sf_dir) -> DataFrame:
-    """Sales lines as the price study sees them: product = brand, price =
-    the line's two-step price."""
-    return sales(spark, sf_dir).select(
-        "transaction_date", "transaction_qty",
-        F.col("product_type").alias("product_detail"),
-        F.col("tier_price").alias("unit_price"))
-
-
 def desc_revenue():
     return F.col("total_revenue").desc_nulls_first()
 
 
+PRODUCT_METRICS = {"total_transactions": "units", "total_revenue": "revenue",
+                   "avg_transaction_value": "avg_unit_revenue"}
+
+
 # ------------------------------------------------------------ data quality
 
 @report("preview_rows")
-def preview_rows(spark, sf_dir):
+def preview_rows(inp: Inputs) -> DataFrame:
     """Ten rows, in the order of all columns."""
-    return quality.preview_rows(sales(spark, sf_dir), 10)
+    return quality.preview_rows(inp.sales, 10)
 
 
 @report("row_count")
-def row_count(spark, sf_dir):
+def row_count(inp: Inputs) -> DataFrame:
     """Number of sales lines."""
-    return quality.row_count(sales(spark, sf_dir))
+    return quality.row_count(inp.sales)
 
 
 @report("duplicate_keys")
-def duplicate_keys(spark, sf_dir):
+def duplicate_keys(inp: Inputs) -> DataFrame:
     """Transaction ids used by more than one line."""
-    return quality.duplicate_keys(sales(spark, sf_dir), ["transaction_id"])
+    return quality.duplicate_keys(inp.sales, ["transaction_id"])
 
 
 @report("null_rows")
-def null_rows(spark, sf_dir):
-    """Rows with any NULL column (documents left join labels)."""
-    docs = read_table(spark, sf_dir, "documents")
-    # labels is narrow (three numbers): broadcast it while it has at most a
-    # million rows, so the document texts are never shuffled; beyond that,
-    # a sort-merge join.
-    labels = bounded_broadcast(read_table(spark, sf_dir, "labels"), 1_000_000)
-    return quality.null_rows(docs.join(labels, on="doc_id", how="left"))
+def null_rows(inp: Inputs) -> DataFrame:
+    """Rows with any NULL column."""
+    return quality.null_rows(inp.nullable)
 
 
 @report("null_profile")
-def null_profile(spark, sf_dir):
-    """P4 as a profile: NULL count per column (documents left join labels)."""
-    docs = read_table(spark, sf_dir, "documents")
-    labels = bounded_broadcast(read_table(spark, sf_dir, "labels"), 1_000_000)
-    return quality.null_profile(docs.join(labels, on="doc_id", how="left"))
+def null_profile(inp: Inputs) -> DataFrame:
+    """P4 as a profile: NULL count per column."""
+    return quality.null_profile(inp.nullable)
 
 
 @report("nonpositive_rows")
-def nonpositive_rows(spark, sf_dir):
-    """P5: rows with a zero or negative amount (customer balances)."""
-    return quality.nonpositive_rows(read_table(spark, sf_dir, "customer"), ["c_acctbal"])
+def nonpositive_rows(inp: Inputs) -> DataFrame:
+    """P5: rows with a zero or negative amount."""
+    table, cols = inp.amounts
+    return quality.nonpositive_rows(table, cols)
 
 
 @report("date_range")
-def date_range(spark, sf_dir):
+def date_range(inp: Inputs) -> DataFrame:
     """First and last sales date."""
-    return quality.date_range(sales(spark, sf_dir), "transaction_date")
+    return quality.date_range(inp.sales, "transaction_date")
 
 
 @report("distinct_stores")
-def distinct_stores(spark, sf_dir):
+def distinct_stores(inp: Inputs) -> DataFrame:
     """Stores (id and name)."""
-    return quality.distinct_values(sales(spark, sf_dir), ["store_id", "store_location"])
+    return quality.distinct_values(inp.sales, ["store_id", "store_location"])
 
 
 @report("basket_collisions")
-def basket_collisions(spark, sf_dir):
+def basket_collisions(inp: Inputs) -> DataFrame:
     """Lines sharing date, time and store."""
-    return quality.basket_collisions(
-        sales(spark, sf_dir), ["transaction_date", "transaction_time", "store_id"])
+    return quality.basket_collisions(inp.sales, ["transaction_date", "transaction_time", "store_id"])
 
 
 # -------------------------------------------------------------- enrichment
 
 @report("time_parts")
-def time_parts(spark, sf_dir):
+def time_parts(inp: Inputs) -> DataFrame:
     """Month, weekday (Sunday = 0) and hour numbers."""
-    df = enrich.with_time_parts(event_sales(spark, sf_dir))
-    return df.select("transaction_id", "month", "day_of_week", "hour")
+    return enrich.with_time_parts(inp.timed).select("transaction_id", "month", "day_of_week", "hour")
 
 
 @report("time_names")
-def time_names(spark, sf_dir):
+def time_names(inp: Inputs) -> DataFrame:
     """Month and weekday names."""
-    df = enrich.with_time_names(event_sales(spark, sf_dir))
-    return df.select("transaction_id", "month", "day_of_week", "hour")
+    return enrich.with_time_names(inp.timed).select("transaction_id", "month", "day_of_week", "hour")
 
 
 @report("line_revenue")
-def line_revenue(spark, sf_dir):
+def line_revenue(inp: Inputs) -> DataFrame:
     """Revenue of each line (qty × unit price)."""
-    df = enrich.with_revenue(sales(spark, sf_dir).drop("revenue"))
+    df = enrich.with_revenue(inp.sales.drop("revenue"))
     return df.select("transaction_id", "transaction_qty", "unit_price", "revenue")
 
 
 @report("basket_key")
-def basket_key(spark, sf_dir):
-    """Basket key of each line."""
-    df = enrich.with_basket_key(sales(spark, sf_dir).drop("transaction"),
-                                ["transaction_date", "customer_id", "store_id"])
-    return df.select("transaction_id", "transaction")
+def basket_key(inp: Inputs) -> DataFrame:
+    """Basket key of each line (the parts the sales table was keyed with)."""
+    return inp.sales.select("transaction_id", "transaction")
 
 
 @report("quarter_label")
-def quarter_label(spark, sf_dir):
+def quarter_label(inp: Inputs) -> DataFrame:
     """Quarter of each line."""
-    df = enrich.with_quarter(sales(spark, sf_dir))
-    return df.select("transaction_id", "transaction_date", "quarter")
+    return enrich.with_quarter(inp.sales).select("transaction_id", "transaction_date", "quarter")
 
 
 @report("category_group")
-def category_group(spark, sf_dir):
+def category_group(inp: Inputs) -> DataFrame:
     """Category group of each line (CASE with ELSE)."""
-    df = enrich.with_group(sales(spark, sf_dir), "product_category", P.GROUPS, P.GROUP_DEFAULT)
+    p = inp.params
+    df = enrich.with_group(inp.sales, "product_category", p.groups, p.group_default)
     return df.select("transaction_id", "product_category", "category")
 
 
 # ---------------------------------------------------------------- summaries
 
 @report("store_summary")
-def store_summary(spark, sf_dir):
+def store_summary(inp: Inputs) -> DataFrame:
     """Revenue, units and revenue per basket by store."""
     return summarize(
-        sales(spark, sf_dir), ["store_id", "store_location"],
-        {"total_revenue": "revenue", "total_transactions": "units",
-         "avg_transaction_value": "atv"},
+        inp.sales, ["store_id", "store_location"],
+        {"total_revenue": "revenue", "total_transactions": "units", "avg_transaction_value": "atv"},
         order=[desc_revenue()])
 
 
 @report("hourly_traffic")
-def hourly_traffic(spark, sf_dir):
+def hourly_traffic(inp: Inputs) -> DataFrame:
     """Units and revenue by month, weekday, hour and store."""
-    return traffic.hourly_traffic(event_sales(spark, sf_dir))
+    return traffic.hourly_traffic(inp.timed)
 
 
 @report("basket_size_by_store")
-def basket_size_by_store(spark, sf_dir):
+def basket_size_by_store(inp: Inputs) -> DataFrame:
     """Units per basket by store."""
-    return summarize(sales(spark, sf_dir), ["store_id", "store_location"],
-                     {"avg_transaction_qty": "units_per_basket"})
+    return summarize(inp.sales, ["store_id", "store_location"], {"avg_transaction_qty": "units_per_basket"})
 
 
 @report("basket_size_by_time")
-def basket_size_by_time(spark, sf_dir):
+def basket_size_by_time(inp: Inputs) -> DataFrame:
     """Units per basket by store, month, weekday and hour."""
-    return traffic.basket_size_by_time(event_sales(spark, sf_dir))
+    return traffic.basket_size_by_time(inp.timed)
 
 
 @report("basket_size_by_dow_hour")
-def basket_size_by_dow_hour(spark, sf_dir):
+def basket_size_by_dow_hour(inp: Inputs) -> DataFrame:
     """E9′: units per basket by weekday and hour (the exported variant)."""
-    return traffic.basket_size_by_time(event_sales(spark, sf_dir), ["day_of_week", "hour"])
+    return traffic.basket_size_by_time(inp.timed, ["day_of_week", "hour"])
 
 
 @report("category_summary")
-def category_summary(spark, sf_dir):
+def category_summary(inp: Inputs) -> DataFrame:
     """Per category: types, products, units, revenue, revenue per unit."""
     return summarize(
-        sales(spark, sf_dir), ["product_category"],
+        inp.sales, ["product_category"],
         {"total_product_types": ("distinct", "product_type"),
          "total_products": ("distinct", "product_detail"),
          "total_transactions": "units", "total_revenue": "revenue",
@@ -208,129 +275,128 @@ def category_summary(spark, sf_dir):
         order=[desc_revenue()])
 
 
-PRODUCT_METRICS = {"total_transactions": "units", "total_revenue": "revenue",
-                   "avg_transaction_value": "avg_unit_revenue"}
-
-
 @report("type_summary_in_categories")
-def type_summary_in_categories(spark, sf_dir):
+def type_summary_in_categories(inp: Inputs) -> DataFrame:
     """Product types of the first category group."""
     return summarize(
-        sales(spark, sf_dir), ["product_type"],
+        inp.sales, ["product_type"],
         {"total_products": ("distinct", "product_detail"), **PRODUCT_METRICS},
-        where=F.col("product_category").isin(list(P.GROUPS["Beverages"])), order=[desc_revenue()])
+        where=F.col("product_category").isin(list(inp.params.group_categories)), order=[desc_revenue()])
 
 
 @report("products_of_top_types")
-def products_of_top_types(spark, sf_dir):
+def products_of_top_types(inp: Inputs) -> DataFrame:
     """Products of the named top types, revenue first."""
     return summarize(
-        sales(spark, sf_dir), ["product_detail", "product_type"],
+        inp.sales, ["product_detail", "product_type"],
         {"total_transactions": "units", "total_revenue": "revenue"},
-        where=F.col("product_type").isin(list(P.TOP_TYPES)), order=[desc_revenue()])
+        where=F.col("product_type").isin(list(inp.params.top_types)), order=[desc_revenue()])
 
 
 @report("products_of_bottom_types")
-def products_of_bottom_types(spark, sf_dir):
+def products_of_bottom_types(inp: Inputs) -> DataFrame:
     """Products of the named bottom types, least revenue first."""
     return summarize(
-        sales(spark, sf_dir), ["product_detail", "product_type"], PRODUCT_METRICS,
-        where=F.col("product_type").isin(list(P.BOTTOM_TYPES)),
+        inp.sales, ["product_detail", "product_type"], PRODUCT_METRICS,
+        where=F.col("product_type").isin(list(inp.params.bottom_types)),
         order=[F.col("total_revenue").asc_nulls_last()])
 
 
 @report("type_summary_by_category")
-def type_summary_by_category(spark, sf_dir):
+def type_summary_by_category(inp: Inputs) -> DataFrame:
     """Category × type inside the second category group."""
     out = summarize(
-        sales(spark, sf_dir), ["product_category", "product_type"],
+        inp.sales, ["product_category", "product_type"],
         {"total_products": ("distinct", "product_detail"), **PRODUCT_METRICS},
-        where=F.col("product_category").isin(list(P.GROUPS["Snacks"])), order=[desc_revenue()])
+        where=F.col("product_category").isin(list(inp.params.pair_categories)), order=[desc_revenue()])
     return out.select("product_type", "product_category", "total_products", "total_transactions",
                       "total_revenue", "avg_transaction_value")
 
 
-@report("products_in_category")
-def products_in_category(spark, sf_dir):
-    """Products of one category."""
+def products_of_category(inp: Inputs, category: str) -> DataFrame:
     return summarize(
-        sales(spark, sf_dir), ["product_detail", "product_type"], PRODUCT_METRICS,
-        where=F.col("product_category") == F.lit(P.ONE_CATEGORY), order=[desc_revenue()])
+        inp.sales, ["product_detail", "product_type"], PRODUCT_METRICS,
+        where=F.col("product_category") == F.lit(category), order=[desc_revenue()])
+
+
+@report("products_in_category")
+def products_in_category(inp: Inputs) -> DataFrame:
+    """Products of one category (the first one named)."""
+    return products_of_category(inp, inp.params.one_categories[0])
 
 
 @report("products_in_categories")
-def products_in_categories(spark, sf_dir):
+def products_in_categories(inp: Inputs) -> DataFrame:
     """Products of a list of categories."""
     return summarize(
-        sales(spark, sf_dir), ["product_detail", "product_type"], PRODUCT_METRICS,
-        where=F.col("product_category").isin(list(P.TWO_CATEGORIES)), order=[desc_revenue()])
+        inp.sales, ["product_detail", "product_type"], PRODUCT_METRICS,
+        where=F.col("product_category").isin(list(inp.params.two_categories)), order=[desc_revenue()])
 
 
 # ------------------------------------------------------------------ growth
 
 @report("store_mom_growth")
-def store_mom_growth(spark, sf_dir):
+def store_mom_growth(inp: Inputs) -> DataFrame:
     """Month revenue per store, previous month and growth."""
-    return growth.period_growth(sales(spark, sf_dir), ["store_id", "store_location"], "month")
+    return growth.period_growth(inp.sales, ["store_id", "store_location"], inp.params.month_period)
 
 
 @report("store_qoq_growth")
-def store_qoq_growth(spark, sf_dir):
+def store_qoq_growth(inp: Inputs) -> DataFrame:
     """Quarter revenue per store, previous quarter and growth."""
-    return growth.period_growth(sales(spark, sf_dir), ["store_id", "store_location"], "quarter")
+    return growth.period_growth(inp.sales, ["store_id", "store_location"], inp.params.quarter_period)
 
 
 # ----------------------------------------------------------------- ranking
 
-def _category_products(df: DataFrame) -> DataFrame:
-    return df.groupBy("product_category", "product_detail").agg(
+@report("product_rank_in_category")
+def product_rank_in_category(inp: Inputs) -> DataFrame:
+    """Product rank inside its category by revenue, then line count."""
+    per_product = inp.sales.groupBy("product_category", "product_detail").agg(
         F.countDistinct("transaction_id").alias("total_transactions"),
         F.sum("revenue").alias("total_revenue"),
         F.count("transaction_id").alias("_lines"))
-
-
-@report("product_rank_in_category")
-def product_rank_in_category(spark, sf_dir):
-    """Product rank inside its category by revenue, then line count."""
-    per_product = _category_products(sales(spark, sf_dir))
     ranked = rank_within(per_product, ["product_category"],
                          [desc_revenue(), F.col("_lines").desc_nulls_first()],
-                         name="rank_by_revenue", method=P.FULL_RANK_METHOD)
+                         name="rank_by_revenue", method=inp.params.full_rank_method)
     return ranked.select("rank_by_revenue", "product_detail", "product_category",
                          "total_transactions", "total_revenue")
 
 
-def _group_products(spark, sf_dir) -> DataFrame:
-    df = enrich.with_group(sales(spark, sf_dir), "product_category", P.GROUPS, P.GROUP_DEFAULT)
+def _group_products(inp: Inputs) -> DataFrame:
+    p = inp.params
+    df = enrich.with_group(inp.sales, "product_category", p.groups, p.group_default)
     return df.groupBy("category", "product_detail").agg(
         *[metric(kind).alias(name) for name, kind in PRODUCT_METRICS.items()])
 
 
+GROUP_RANK_COLUMNS = ("rank_by_revenue", "category", "product_detail", "total_transactions",
+                      "total_revenue", "avg_transaction_value")
+
+
 @report("product_rank_in_group")
-def product_rank_in_group(spark, sf_dir):
+def product_rank_in_group(inp: Inputs) -> DataFrame:
     """Product rank inside its category group by revenue."""
-    ranked = rank_within(_group_products(spark, sf_dir), ["category"], [desc_revenue()],
-                         name="rank_by_revenue", method=P.FULL_RANK_METHOD)
-    return ranked.select("rank_by_revenue", "category", "product_detail", "total_transactions",
-                         "total_revenue", "avg_transaction_value")
+    ranked = rank_within(_group_products(inp), ["category"], [desc_revenue()],
+                         name="rank_by_revenue", method=inp.params.full_rank_method)
+    return ranked.select(*GROUP_RANK_COLUMNS)
 
 
 @report("top_n_per_group")
-def top_n_per_group(spark, sf_dir):
+def top_n_per_group(inp: Inputs) -> DataFrame:
     """Top products of each category group (rank <= n, ties kept)."""
-    ranked = rank_within(_group_products(spark, sf_dir), ["category"], [desc_revenue()],
-                         name="rank_by_revenue", top=P.TOP_N)
-    return ranked.select("rank_by_revenue", "category", "product_detail", "total_transactions",
-                         "total_revenue", "avg_transaction_value")
+    ranked = rank_within(_group_products(inp), ["category"], [desc_revenue()],
+                         name="rank_by_revenue", top=inp.params.top_n)
+    return ranked.select(*GROUP_RANK_COLUMNS)
 
 
 @report("bottom_n_per_category")
-def bottom_n_per_category(spark, sf_dir):
+def bottom_n_per_category(inp: Inputs) -> DataFrame:
     """Tail sellers in the categories of a combo (rank from the bottom)."""
-    df = sales(spark, sf_dir).where(F.col("product_category").isin(list(P.COMBO_CATEGORIES)))
+    df = inp.sales.where(F.col("product_category").isin(list(inp.params.combo_categories)))
     per_product = summarize(df, ["product_category", "product_detail"],
                             {"total_transactions": "units", "total_revenue": "revenue"})
-    ranked = bottom_within(per_product, ["product_category"], ["total_revenue"], P.TOP_N)
+    ranked = bottom_within(per_product, ["product_category"], ["total_revenue"], inp.params.top_n)
     return ranked.select("rank_from_bottom", "product_category", "product_detail",
                          "total_transactions", "total_revenue")
 
@@ -338,105 +404,131 @@ def bottom_n_per_category(spark, sf_dir):
 # ----------------------------------------------------------------- baskets
 
 @report("basket_combos")
-def basket_combos(spark, sf_dir):
+def basket_combos(inp: Inputs) -> DataFrame:
     """A1: content and revenue of each basket with two or more lines."""
-    return basket.basket_combos(sales(spark, sf_dir))
+    return basket.basket_combos(inp.sales)
 
 
 @report("combo_summary")
-def combo_summary(spark, sf_dir):
+def combo_summary(inp: Inputs) -> DataFrame:
     """A2 without its limit: baskets, revenue and revenue per basket by combo."""
-    return basket.combo_summary(sales(spark, sf_dir))
+    return basket.combo_summary(inp.sales)
 
 
 @report("top_combos")
-def top_combos(spark, sf_dir):
-    """A2: the seven combos with the most revenue."""
-    return basket.top_combos(sales(spark, sf_dir), n=P.TOP_COMBOS)
+def top_combos(inp: Inputs) -> DataFrame:
+    """A2: the combos with the most revenue (seven)."""
+    return basket.top_combos(inp.sales, n=inp.params.top_combos)
 
 
 @report("products_in_combo")
-def products_in_combo(spark, sf_dir):
+def products_in_combo(inp: Inputs) -> DataFrame:
     """Best products inside the baskets of one combo, by category."""
-    return basket.products_in_combo(sales(spark, sf_dir), P.COMBO,
-                                    method=P.FULL_RANK_METHOD).select(
-        "rank_by_revenue", "product_category", "product_detail", "total_transactions",
-        "total_revenue")
+    out = basket.products_in_combo(inp.sales, inp.params.combo, method=inp.params.full_rank_method)
+    return out.select("rank_by_revenue", "product_category", "product_detail", "total_transactions",
+                      "total_revenue")
 
 
 # ----------------------------------------------------------------- pricing
 
 @report("multi_price_products")
-def multi_price_products(spark, sf_dir):
+def multi_price_products(inp: Inputs) -> DataFrame:
     """A3: products sold at more than one price."""
-    return pricing.multi_price_products(sales(spark, sf_dir))
+    return pricing.multi_price_products(inp.sales)
 
 
 @report("price_list")
-def price_list(spark, sf_dir):
+def price_list(inp: Inputs) -> DataFrame:
     """Price list text and revenue of multi-price products."""
-    return pricing.price_list(sales(spark, sf_dir))
+    return pricing.price_list(inp.sales)
 
 
 @report("daily_price_units")
-def daily_price_units(spark, sf_dir):
-    """A4: daily units per price (all products)."""
-    return pricing.daily_price_units(tiered(spark, sf_dir))
+def daily_price_units(inp: Inputs) -> DataFrame:
+    """A4: daily units per price."""
+    return pricing.daily_price_units(inp.price_focus)
 
 
 @report("within_day_elasticity")
-def within_day_elasticity(spark, sf_dir):
+def within_day_elasticity(inp: Inputs) -> DataFrame:
     """A5: within-day arc elasticity between the base and raised price."""
-    return pricing.within_day_elasticity(tiered(spark, sf_dir), base_price=P.BASE_PRICE,
-                                         hike_price=P.HIKE_PRICE)
+    p = inp.params
+    return pricing.within_day_elasticity(inp.price_focus, base_price=p.base_price, hike_price=p.hike_price)
 
 
 @report("within_day_elasticity_minmax")
-def within_day_elasticity_minmax(spark, sf_dir):
+def within_day_elasticity_minmax(inp: Inputs) -> DataFrame:
     """A5 for any prices: each day's lowest against its highest price."""
-    return pricing.within_day_elasticity(tiered(spark, sf_dir))
+    return pricing.within_day_elasticity(inp.price_focus)
 
 
 @report("price_change_dates")
-def price_change_dates(spark, sf_dir):
+def price_change_dates(inp: Inputs) -> DataFrame:
     """Product days with two or more prices."""
-    return pricing.price_change_dates(tiered(spark, sf_dir))
+    return pricing.price_change_dates(inp.price_focus)
 
 
 @report("two_price_day_revenue")
-def two_price_day_revenue(spark, sf_dir):
+def two_price_day_revenue(inp: Inputs) -> DataFrame:
     """A6d: units and revenue per price on price-change days."""
-    return pricing.two_price_day_revenue(tiered(spark, sf_dir))
+    return pricing.two_price_day_revenue(inp.price_focus)
 
 
 @report("daily_units_mode")
-def daily_units_mode(spark, sf_dir):
+def daily_units_mode(inp: Inputs) -> DataFrame:
     """Most frequent daily units at the base price."""
-    return pricing.daily_units_mode(tiered(spark, sf_dir), base_price=P.BASE_PRICE)
+    return pricing.daily_units_mode(inp.price_focus, base_price=inp.params.base_price)
 
 
 @report("daily_units_mean")
-def daily_units_mean(spark, sf_dir):
+def daily_units_mean(inp: Inputs) -> DataFrame:
     """Mean daily units at the base price."""
-    return pricing.daily_units_mean(tiered(spark, sf_dir), base_price=P.BASE_PRICE)
+    return pricing.daily_units_mean(inp.price_focus, base_price=inp.params.base_price)
 
 
 @report("price_hold_whatif")
-def price_hold_whatif(spark, sf_dir):
+def price_hold_whatif(inp: Inputs) -> DataFrame:
     """Revenue on price-change days against holding the base price."""
-    return pricing.price_hold_whatif(tiered(spark, sf_dir), base_price=P.BASE_PRICE)
+    return pricing.price_hold_whatif(inp.price_focus, base_price=inp.params.base_price)
 
 
 @report("price_change_calendar")
-def price_change_calendar(spark, sf_dir):
-    """Price-change days by day of month, with month-end days."""
-    return pricing.price_change_calendar(tiered(spark, sf_dir))
+def price_change_calendar(inp: Inputs) -> DataFrame:
+    """Price-change days by day of month, with month-end days (all products)."""
+    return pricing.price_change_calendar(inp.priced)
 
 
 # ------------------------------------------------------------ time of day
 
 @report("peak_hours")
-def peak_hours(spark, sf_dir):
+def peak_hours(inp: Inputs) -> DataFrame:
     """Hours ranked by units per store, with the peak hours flagged."""
-    return traffic.peak_hours(event_sales(spark, sf_dir), top=P.PEAK_HOURS)
+    return traffic.peak_hours(inp.timed, top=inp.params.peak_hours)
+
+
+# ------------------------------------------------------------ registries
+
+Report = Callable[[SparkSession, str], DataFrame]
+
+
+def _registered(fn: ReportFn) -> Report:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return report_edge(fn(proxy_inputs(spark, sf_dir)))
+    run.__doc__ = fn.__doc__
+    run.__name__ = fn.__name__
+    return run
+
+
+# The driver contract: every report on the driver's tables, (spark, sf_dir) -> DataFrame.
+REPORTS: dict[str, Report] = {name: _registered(fn) for name, fn in STATEMENTS.items()}
+
 
+def study_reports(df: DataFrame, params: ReportParams = STUDY) -> dict[str, DataFrame]:
+    """Every report over one sales table shaped like the study's, with the
+    study's literals; the single-category drill-down appears once per
+    category in ``params.one_categories``."""
+    inp = study_inputs(df, params)
+    out = {name: fn(inp) for name, fn in STATEMENTS.items() if name != "products_in_category"}
+    for category in params.one_categories:
+        out[f"products_in_category[{category}]"] = products_of_category(inp, category)
+    return out

@@ -109,6 +109,38 @@ def build_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_basket_key(df, BASKET_PARTS).select(*SALES_COLUMNS)
 
 
+STUDY_BASKET_PARTS = ("transaction_date", "transaction_time", "store_id")
+
+
+def prepare_sales(df: DataFrame) -> DataFrame:
+    """A user's sales table (the study's eleven base columns) with the derived
+    columns the reports read: ``revenue`` (qty × price) and the basket key
+    ``transaction`` (date, time and store), each added only when missing."""
+    if "revenue" not in df.columns:
+        df = df.withColumn("revenue", line_revenue("transaction_qty", "unit_price"))
+    if "transaction" not in df.columns:
+        df = with_basket_key(df, STUDY_BASKET_PARTS)
+    return df
+
+
+def read_sales(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Read a sales table with the study's base columns (parquet, or CSV with
+    a header: read with an explicit schema, time of day as 'HH:mm:ss' text)."""
+    if fmt == "csv":
+        df = (spark.read.schema(STUDY_SCHEMA).option("header", True)
+              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+              .csv(path))
+    else:
+        df = spark.read.format(fmt).load(path)
+    return prepare_sales(df)
+
+
+STUDY_SCHEMA = ("transaction_id long, transaction_date date, transaction_time string, "
+                "transaction_qty int, store_id int, store_location string, product_id int, "
+                "unit_price decimal(10,2), product_category string, product_type string, "
+                "product_detail string")
+
+
 def _input_signature(sf_dir: str) -> str:
     parts = [os.path.realpath(sf_dir) if "://" not in sf_dir else sf_dir]
     for name in ("region", "nation", "customer", "orders", "part", "lineitem"):
