@@ -111,3 +111,19 @@ def test_hot_keys_brute_force(make_sales):
     want = (Decimal(qh - qb) * Decimal("7.88") / (Decimal(qh + qb) * Decimal("0.88"))).quantize(
         Decimal("0.0001"), rounding=ROUND_HALF_UP)
     assert e["2023-01-09"] == want
+
+
+@SETTINGS
+@given(lines_strategy)
+def test_two_distinct_summary_equals_one_level_aggregate(make_sales, data):
+    df = make_sales(_rows(data))
+    metrics = {"types": ("distinct", "product_type"), "products": ("distinct", "product_detail"),
+               "units": "units", "revenue": "revenue", "lines": "line_count", "per_unit": "avg_unit_revenue"}
+    two_level = summarize(df, ["product_category"], metrics)
+    one_level = df.groupBy("product_category").agg(
+        F.countDistinct("product_type").alias("types"), F.countDistinct("product_detail").alias("products"),
+        F.sum("transaction_qty").alias("units"), F.sum("revenue").alias("revenue"),
+        F.count("transaction_id").alias("lines"),
+        F.round(F.sum("revenue") / F.sum("transaction_qty").cast("decimal(20,0)"), 3).alias("per_unit"))
+    assert two_level.schema["revenue"].dataType == one_level.schema["revenue"].dataType
+    assert sorted(map(tuple, two_level.collect()), key=str) == sorted(map(tuple, one_level.collect()), key=str)

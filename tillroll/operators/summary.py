@@ -27,6 +27,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from tillroll.functions.money import exact, ratio
 
@@ -58,14 +59,66 @@ def metric(kind, digits: int = 3) -> Column:
     raise ValueError(f"unknown metric {kind!r}")
 
 
+# Metrics that can be recomputed from partial sums per (group, distinct columns).
+_ADDITIVE = {"units", "revenue", "line_count", "avg_unit_revenue"}
+
+
 def summarize(df: DataFrame, by: Sequence[str], metrics: Mapping[str, object],
               where: Column | None = None, order: Sequence[Column] | None = None,
               digits: int = 3) -> DataFrame:
     """``where`` is applied before grouping (and reaches the parquet scan);
-    ``order`` sorts the result (a range shuffle of the small aggregate)."""
+    ``order`` sorts the result (a range shuffle of the small aggregate).
+
+    Several DISTINCT counts on different columns would make Spark expand every
+    input row once per DISTINCT column before its map-side aggregate. When the
+    other metrics are sums, the lines are first summed per (group, distinct
+    columns) — catalog-sized, combined map-side — and the DISTINCT counts run
+    on that small table instead."""
     if where is not None:
         df = df.where(where)
-    out = df.groupBy(*by).agg(*[metric(kind, digits).alias(name) for name, kind in metrics.items()])
+    distinct = list(dict.fromkeys(k[1] for k in metrics.values() if isinstance(k, tuple)))
+    if len(distinct) >= 2 and all(isinstance(k, tuple) or k in _ADDITIVE for k in metrics.values()):
+        out = _distinct_over_sums(df, by, metrics, distinct, digits)
+    else:
+        out = df.groupBy(*by).agg(*[metric(kind, digits).alias(name) for name, kind in metrics.items()])
     if order:
         out = out.orderBy(*order)
     return out
+
+
+def _sum_type(df: DataFrame, col: str) -> str | None:
+    """The type Spark gives SUM(col) for a DECIMAL column, so the second
+    level keeps the one-level precision."""
+    dtype = df.schema[col].dataType
+    if isinstance(dtype, DecimalType):
+        return f"decimal({min(38, dtype.precision + 10)},{dtype.scale})"
+    return None
+
+
+def _distinct_over_sums(df: DataFrame, by: Sequence[str], metrics: Mapping[str, object],
+                        distinct: Sequence[str], digits: int) -> DataFrame:
+    names = {k for k in metrics.values() if not isinstance(k, tuple)}
+    parts = {}
+    if names & {"units", "avg_unit_revenue"}:
+        parts["_units"] = F.sum(QTY)
+    if names & {"revenue", "avg_unit_revenue"}:
+        parts["_rev"] = F.sum(REVENUE)
+    if "line_count" in names:
+        parts["_lines"] = F.count(LINE_ID)
+    keys = list(by) + [c for c in distinct if c not in by]
+    pre = df.groupBy(*keys).agg(*[e.alias(n) for n, e in parts.items()])
+    rev_type = _sum_type(df, REVENUE) if "_rev" in parts else None
+    revenue = F.sum("_rev").cast(rev_type) if rev_type else F.sum("_rev")
+
+    def level2(kind):
+        if isinstance(kind, tuple):
+            return F.countDistinct(kind[1])
+        if kind == "units":
+            return F.sum("_units")
+        if kind == "revenue":
+            return revenue
+        if kind == "line_count":
+            return F.sum("_lines")
+        return ratio(revenue, exact(F.sum("_units")), digits)      # avg_unit_revenue
+
+    return pre.groupBy(*by).agg(*[level2(kind).alias(name) for name, kind in metrics.items()])
