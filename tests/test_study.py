@@ -72,3 +72,19 @@ def test_read_sales_from_csv(spark, make_sales):
     assert back.count() == len(_study_rows())
     key = back.where("transaction_id = 1").first().transaction
     assert key == "2023-01-09 08:00:00 3"
+
+
+def test_command_line_run_writes_every_report(spark, make_sales):
+    from tillroll.__main__ import folder_name, run
+    from tillroll.sources.sinks import read_report
+
+    df = make_sales(_study_rows(), enrich=False)
+    base = tempfile.mkdtemp(prefix="tillroll-cli-")
+    df.write.option("header", True).csv(f"{base}/sales")
+    written = run(spark, f"{base}/sales", f"{base}/out", fmt="csv",
+                  only=["store_summary", "within_day_elasticity", "products_in_category[Bakery]"])
+    assert sorted(written) == ["products_in_category[Bakery]", "store_summary", "within_day_elasticity"]
+    back = read_report(spark, f"{base}/out/{folder_name('within_day_elasticity')}",
+                       "transaction_date date, product_detail string, change_type string, p_base double, "
+                       "q_base long, p_hike double, q_hike long, price_elasticity double")
+    assert sorted(r.price_elasticity for r in back.collect()) == [-7.4621, -2.2386]
