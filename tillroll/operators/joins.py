@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_ROWS = 100_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
+                      otherwise: str | None = None) -> DataFrame:
+    """``F.broadcast(df)`` when ``df`` has at most ``max_rows`` rows; else
+    ``df`` itself, with the join hint ``otherwise`` (e.g. "merge") if given."""
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
-    return df
+    return df.hint(otherwise) if otherwise else df
 
 
 def growing(df: DataFrame) -> DataFrame:
