@@ -145,3 +145,37 @@ def test_dates_of_study_are_one_half_year(spark):
     months = {r["month"] for r in read_golden(*MONTHLY)}
     assert months == set(MONTH_NAMES[:6])
     assert dt.date(2023, 6, 30).month == 6
+
+
+TYPES = ("product_type", "total_products", "total_transactions", "total_revenue", "avg_transaction_value")
+TOP_PRODUCTS = ("product_detail", "product_type", "total_transactions", "total_revenue")
+
+
+def test_type_table_from_product_rows(make_sales):
+    """Types that also appear in per-product tables (top and bottom types):
+    rolling those products up by type reproduces the type table's rows."""
+    expected = {r["product_type"]: r for r in read_golden(*TYPES)}
+    products = {}
+    for header in (TOP_PRODUCTS, PRODUCTS):
+        for table in golden_tables(*header):
+            if table and all(r["product_type"] in expected for r in table):
+                for r in table:
+                    products[r["product_detail"]] = r
+    assert products
+    rows = [line(i, "2023-01-01", "08:00:00", int(r["total_transactions"]), 3, "1.00",
+                 "Beverage", r["product_type"], r["product_detail"])
+            for i, r in enumerate(products.values())]
+    df = make_sales(rows, enrich=False)
+    mapping = F.create_map(*[x for k, r in products.items()
+                             for x in (F.lit(k), F.lit(Decimal(r["total_revenue"])))])
+    df = df.withColumn("revenue", mapping[F.col("product_detail")].cast("decimal(12,2)"))
+    out = summarize(df, ["product_type"],
+                    {"total_products": ("distinct", "product_detail"), "total_transactions": "units",
+                     "total_revenue": "revenue", "avg_transaction_value": "avg_unit_revenue"})
+    got = {r.product_type: r for r in out.collect()}
+    assert len(got) >= 8
+    for t, r in got.items():
+        want = expected[t]
+        assert (r.total_products, r.total_transactions, r.total_revenue, r.avg_transaction_value) == (
+            int(want["total_products"]), int(want["total_transactions"]), Decimal(want["total_revenue"]),
+            Decimal(want["avg_transaction_value"])), t
