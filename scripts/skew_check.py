@@ -15,6 +15,7 @@ from __future__ import annotations
 import glob
 import json
 import os
+import shutil
 import sys
 import tempfile
 import time
@@ -29,7 +30,8 @@ from tillroll.operators import basket, pricing  # noqa: E402
 from tillroll.operators.ranking import rank_within  # noqa: E402
 from tillroll.operators.summary import summarize  # noqa: E402
 from tillroll.session import build_session  # noqa: E402
-from tillroll.sources.sales import sales  # noqa: E402
+from tillroll.sources.sales import build_sales, sales  # noqa: E402
+from tillroll.sources.tables import read_table, table_path  # noqa: E402
 
 
 def skewed(df):
@@ -44,6 +46,20 @@ def skewed(df):
 MIN_STAGE_RECORDS = 10_000   # ignore tiny stages (final merges of a few rows)
 
 
+def hot_part_tables(spark, sf_dir: str, scratch: str) -> str:
+    """Copies of the driver's tables in which one part key holds a third of
+    lineitem (rewritten by Spark); the other tables are copied as they are."""
+    folder = f"{scratch}/hot-part"
+    os.makedirs(folder)
+    for name in ("region", "nation", "customer", "orders", "part"):
+        shutil.copy(table_path(sf_dir, name), table_path(folder, name))
+    lineitem = read_table(spark, sf_dir, "lineitem")
+    hot = (F.col("l_orderkey") % 3) == 0
+    (lineitem.withColumn("l_partkey", F.when(hot, F.lit(1)).otherwise(F.col("l_partkey")))
+     .repartition(8).write.parquet(table_path(folder, "lineitem")))
+    return folder
+
+
 def task_stats(event_dir: str):
     stage_group, tasks = {}, defaultdict(list)
     for path in sorted(glob.glob(os.path.join(event_dir, "**", "*"), recursive=True)):
@@ -61,8 +77,8 @@ def task_stats(event_dir: str):
                         stage_group[sid] = group
                 elif ev.get("Event") == "SparkListenerTaskEnd":
                     m = ev.get("Task Metrics") or {}
-                    recs = ((m.get("Input Metrics") or {}).get("Records Read", 0)
-                            + (m.get("Shuffle Read Metrics") or {}).get("Total Records Read", 0))
+                    # shuffle stages only: that is where a hot key lands
+                    recs = (m.get("Shuffle Read Metrics") or {}).get("Total Records Read", 0)
                     info = ev.get("Task Info") or {}
                     tasks[ev.get("Stage ID")].append((recs, info.get("Finish Time", 0) - info.get("Launch Time", 0)))
     out = defaultdict(lambda: {"stages": 0, "worst_share": 0.0, "worst_records": 0, "tasks": 0})
@@ -87,15 +103,22 @@ def main() -> None:
         "spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir,
         "spark.eventLog.compress": "false",
         # keep all 16 shuffle partitions visible (AQE would merge small ones)
-        "spark.sql.adaptive.coalescePartitions.enabled": "false"})
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        # AQE's skew-join thresholds scaled down to this data size (defaults:
+        # 256 MB and 64 MB), so its splitting of a hot join key shows here
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1MB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1MB"})
     sc = spark.sparkContext
     sc.setJobGroup("build", "build")
     skewed(sales(spark, sf_dir)).write.parquet(f"{scratch}/sales")
     df = spark.read.parquet(f"{scratch}/sales")
 
+    hot_dir = hot_part_tables(spark, sf_dir, scratch)
+
     per_line = df.groupBy("product_category", "transaction_id").agg(F.sum("revenue").alias("total_revenue"))
     order = [F.col("total_revenue").desc_nulls_first()]
     jobs = {
+        "sales_build, one part with a third of lineitem": lambda: build_sales(spark, hot_dir),
         "store_summary": lambda: summarize(df, ["store_id"], {"r": "revenue", "b": "baskets", "atv": "atv"}),
         "combo_summary": lambda: basket.combo_summary(df),
         "rank_window (lines in category)": lambda: rank_within(per_line, ["product_category"], order),
@@ -119,10 +142,11 @@ def main() -> None:
     stats = task_stats(event_dir)
     print(f"# Hot-key check ({sf_dir}, {rows:,} lines, one third in one basket, product and category)\n")
     print("Largest share of a stage's records read by one task, per job (16 shuffle partitions, AQE")
-    print("partition coalescing off so the spread is visible; an even spread over 16 tasks is about")
-    print("0.06). Records = input rows + shuffle records read; only stages reading at least")
-    print(f"{MIN_STAGE_RECORDS:,} records count. Scan stages (8 files, uneven sizes) are included.\n")
-    print("| job | seconds | stages | worst stage: largest task share | records in that stage | tasks |")
+    print("partition coalescing off and its skew-join thresholds scaled down to 1 MB so the spread is")
+    print("visible at this size; an even spread over 16 tasks is about")
+    print("0.06). Records = shuffle records read (the stages where a hot key lands); only stages")
+    print(f"reading at least {MIN_STAGE_RECORDS:,} shuffle records count.\n")
+    print("| job | seconds | shuffle stages | worst stage: largest task share | records in that stage | tasks |")
     print("| --- | --- | --- | --- | --- | --- |")
     for name in jobs:
         s = stats.get(name, {"stages": 0, "worst_share": 0, "worst_records": 0, "tasks": 0})
