@@ -1,0 +1,2 @@
+"""Structured Streaming forms of the reports (``traffic``: hour-of-day
+traffic kept up to date from arriving sales lines)."""
