@@ -51,10 +51,12 @@ def basket_contents(df: DataFrame, basket: str = "transaction", item: str = "pro
 
 
 def basket_combos(df: DataFrame, basket: str = "transaction", item: str = "product_category",
-                  keys: Sequence[str] = ("store_id", "store_location"), **kw) -> DataFrame:
-    """A1: content string and revenue of each multi-line basket."""
+                  keys: Sequence[str] = ("store_id", "store_location"), ordered: bool = True,
+                  **kw) -> DataFrame:
+    """A1: content string and revenue of each multi-line basket, in basket
+    order (``ordered=False`` skips that global sort of all baskets)."""
     out = basket_contents(df, basket, item, keys, **kw)
-    return out.orderBy(F.col(basket).asc_nulls_last())
+    return out.orderBy(F.col(basket).asc_nulls_last()) if ordered else out
 
 
 def combo_summary(df: DataFrame, basket: str = "transaction", item: str = "product_category",

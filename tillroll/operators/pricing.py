@@ -41,11 +41,14 @@ def multi_price_products(df: DataFrame, product: str = "product_detail",
 
 
 def daily_price_units(df: DataFrame, products: Sequence[str] | None = None,
-                      product: str = "product_detail", price: str = "unit_price") -> DataFrame:
-    """A4: daily units per price, for the given products (all when None)."""
+                      product: str = "product_detail", price: str = "unit_price",
+                      ordered: bool = True) -> DataFrame:
+    """A4: daily units per price, for the given products (all when None), in
+    date order unless ``ordered=False``."""
     if products is not None:
         df = df.where(F.col(product).isin(list(products)))
-    return daily_units(df, product, price).orderBy(F.col(DATE).asc_nulls_last())
+    out = daily_units(df, product, price)
+    return out.orderBy(F.col(DATE).asc_nulls_last()) if ordered else out
 
 
 def price_list(df: DataFrame, by: Sequence[str] = ("product_category", "product_type", "product_detail"),
@@ -64,13 +67,14 @@ def price_list(df: DataFrame, by: Sequence[str] = ("product_category", "product_
 
 
 def within_day_elasticity(df: DataFrame, product: str = "product_detail", price: str = "unit_price",
-                          base_price=None, hike_price=None, digits: int = 4) -> DataFrame:
+                          base_price=None, hike_price=None, digits: int = 4,
+                          ordered: bool = True) -> DataFrame:
     """A5: arc elasticity between a day's base and raised price.
 
     With ``base_price``/``hike_price`` the two prices are those literals (the
     study's 3.50 → 4.38); otherwise each day's lowest and highest price
     (middle prices of a 3-price day are ignored). Days need units > 0 at both
-    prices and two different prices."""
+    prices and two different prices. Date order unless ``ordered=False``."""
     if base_price is not None and hike_price is not None:
         pb, ph = _price_lit(base_price), _price_lit(hike_price)
         pairs = (df.groupBy(DATE, product)
@@ -84,12 +88,12 @@ def within_day_elasticity(df: DataFrame, product: str = "product_detail", price:
                       F.max(price).alias("p_hike"), F.max_by("_q", price).alias("q_hike")))
     out = pairs.where((F.col("q_base") > 0) & (F.col("q_hike") > 0)
                       & (F.col("p_base") != F.col("p_hike")))
-    return (out.select(
+    out = out.select(
         DATE, product, F.lit("Price Hike").alias("change_type"),
         "p_base", F.col("q_base").cast("bigint").alias("q_base"),
         "p_hike", F.col("q_hike").cast("bigint").alias("q_hike"),
         arc_elasticity("q_base", "q_hike", "p_base", "p_hike", digits).alias("price_elasticity"))
-        .orderBy(F.col(DATE).asc_nulls_last()))
+    return out.orderBy(F.col(DATE).asc_nulls_last()) if ordered else out
 
 
 def _per_day(df: DataFrame, product: str, price: str, base_price) -> DataFrame:

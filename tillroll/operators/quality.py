@@ -69,9 +69,8 @@ def distinct_values(df: DataFrame, cols: Sequence[str] = ("store_id", "store_loc
 
 def basket_collisions(df: DataFrame,
                       keys: Sequence[str] = ("transaction_date", "transaction_time", "store_id"),
-                      name: str = "time_count") -> DataFrame:
+                      name: str = "time_count", ordered: bool = True) -> DataFrame:
     """Key combinations shared by several lines: the evidence that lines
-    must be grouped into baskets."""
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-            .where(F.col(name) > 1)
-            .orderBy(*[F.col(k).asc_nulls_last() for k in keys]))
+    must be grouped into baskets (in key order unless ``ordered=False``)."""
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > 1)
+    return out.orderBy(*[F.col(k).asc_nulls_last() for k in keys]) if ordered else out
