@@ -179,3 +179,26 @@ def test_type_table_from_product_rows(make_sales):
         assert (r.total_products, r.total_transactions, r.total_revenue, r.avg_transaction_value) == (
             int(want["total_products"]), int(want["total_transactions"]), Decimal(want["total_revenue"]),
             Decimal(want["avg_transaction_value"])), t
+
+
+def test_study_reports_reproduce_the_group_ranking(make_sales):
+    """End to end through ``study_reports`` with the study's literals: a
+    table with one line per product (its units and revenue from the exported
+    tables) gives the exported group ranking exactly."""
+    from tillroll.plans.reports import study_reports
+
+    by_category = {r["product_detail"]: r for r in read_golden(*CATEGORY_RANK)}
+    by_group = {r["product_detail"]: r for r in read_golden(*GROUP_RANK)}
+    assert set(by_category) == set(by_group)
+    rows = [line(i, "2023-01-02", "08:00:00", int(by_group[p]["total_transactions"]), 3, "1.00",
+                 by_category[p]["product_category"], "T", p) for i, p in enumerate(sorted(by_group))]
+    df = make_sales(rows, enrich=False)
+    mapping = F.create_map(*[x for p, r in by_group.items()
+                             for x in (F.lit(p), F.lit(Decimal(r["total_revenue"])))])
+    df = df.withColumn("revenue", mapping[F.col("product_detail")].cast("decimal(12,2)"))
+    out = study_reports(df)["product_rank_in_group"]
+    got = {r.product_detail: (r.rank_by_revenue, r.category, r.total_transactions, r.total_revenue,
+                              r.avg_transaction_value) for r in out.collect()}
+    want = {p: (int(r["rank_by_revenue"]), r["category"], int(r["total_transactions"]),
+                Decimal(r["total_revenue"]), Decimal(r["avg_transaction_value"])) for p, r in by_group.items()}
+    assert got == want
