@@ -202,3 +202,53 @@ def test_study_reports_reproduce_the_group_ranking(make_sales):
     want = {p: (int(r["rank_by_revenue"]), r["category"], int(r["total_transactions"]),
                 Decimal(r["total_revenue"]), Decimal(r["avg_transaction_value"])) for p, r in by_group.items()}
     assert got == want
+
+
+def test_study_reports_reproduce_the_drill_downs(make_sales):
+    """One line per product of every exported per-product table; the study's
+    type and category drill-downs (E15-E22, with the study's literal lists)
+    reproduce those exported tables exactly."""
+    from tillroll.plans.params import STUDY
+    from tillroll.plans.reports import study_reports
+
+    category_of = {r["product_detail"]: r["product_category"] for r in read_golden(*CATEGORY_RANK)}
+    products = {}
+    for header in (TOP_PRODUCTS, PRODUCTS):
+        for table in golden_tables(*header):
+            for r in table:
+                products[r["product_detail"]] = r
+    rows = [line(i, "2023-01-02", "08:00:00", int(r["total_transactions"]), 3, "1.00",
+                 category_of[p], r["product_type"], p) for i, (p, r) in enumerate(sorted(products.items()))]
+    df = make_sales(rows, enrich=False)
+    mapping = F.create_map(*[x for p, r in products.items()
+                             for x in (F.lit(p), F.lit(Decimal(r["total_revenue"])))])
+    reports = study_reports(df.withColumn("revenue", mapping[F.col("product_detail")].cast("decimal(12,2)")))
+
+    def as_set(df_, cols):
+        return {tuple(str(r[c]) for c in cols) for r in df_.collect()}
+
+    def golden_set(table, cols):
+        return {tuple(str(Decimal(r[c])) if c in ("total_revenue", "avg_transaction_value") else r[c]
+                      for c in cols) for r in table}
+
+    checks = 0
+    for table in golden_tables(*TOP_PRODUCTS):
+        if {r["product_type"] for r in table} == set(STUDY.top_types):
+            assert as_set(reports["products_of_top_types"], TOP_PRODUCTS) == golden_set(table, TOP_PRODUCTS)
+            checks += 1
+    for table in golden_tables(*PRODUCTS):
+        types = {r["product_type"] for r in table}
+        cats = {category_of[r["product_detail"]] for r in table}
+        if types <= set(STUDY.bottom_types):
+            name = "products_of_bottom_types"
+        elif cats == set(STUDY.two_categories):
+            name = "products_in_categories"
+        elif len(cats) == 1 and next(iter(cats)) in STUDY.one_categories:
+            name = f"products_in_category[{next(iter(cats))}]"
+        else:
+            continue
+        assert as_set(reports[name], PRODUCTS) == golden_set(table, PRODUCTS), name
+        checks += 1
+    assert as_set(reports["type_summary_by_category"], TYPES_BY_CATEGORY) == \
+        golden_set(read_golden(*TYPES_BY_CATEGORY), TYPES_BY_CATEGORY)
+    assert checks >= 6
