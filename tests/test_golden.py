@@ -252,3 +252,36 @@ def test_study_reports_reproduce_the_drill_downs(make_sales):
     assert as_set(reports["type_summary_by_category"], TYPES_BY_CATEGORY) == \
         golden_set(read_golden(*TYPES_BY_CATEGORY), TYPES_BY_CATEGORY)
     assert checks >= 6
+
+
+def test_study_reports_reproduce_the_category_ranking(spark):
+    """E7 breaks revenue ties by line count, so each product gets as many
+    lines as the export reports (generated in Spark: about 149,000 lines),
+    its units and revenue on the first one; the exported ranking, ties
+    included, comes back exactly."""
+    from tillroll.plans.reports import study_reports
+
+    ranking = read_golden(*CATEGORY_RANK)
+    units = {r["product_detail"]: int(r["total_transactions"]) for r in read_golden(*GROUP_RANK)}
+    products = spark.createDataFrame(
+        [(i, r["product_detail"], r["product_category"], int(r["total_transactions"]),
+          units[r["product_detail"]], Decimal(r["total_revenue"])) for i, r in enumerate(ranking)],
+        "pid long, product_detail string, product_category string, k int, units int, rev decimal(12,2)")
+    first = F.col("i") == 1
+    lines = products.select("*", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("i")).select(
+        (F.col("pid") * 1_000_000 + F.col("i")).alias("transaction_id"),
+        F.lit("2023-01-02").cast("date").alias("transaction_date"),
+        F.lit("08:00:00").alias("transaction_time"),
+        F.when(first, F.col("units")).otherwise(F.lit(0)).alias("transaction_qty"),
+        F.lit(3).alias("store_id"), F.lit("store 3").alias("store_location"),
+        F.col("pid").cast("int").alias("product_id"),
+        F.lit(Decimal("1.00")).cast("decimal(10,2)").alias("unit_price"),
+        "product_category", F.lit("T").alias("product_type"), "product_detail",
+        F.when(first, F.col("rev")).otherwise(F.lit(Decimal("0.00"))).cast("decimal(12,2)").alias("revenue"))
+    assert lines.count() == sum(int(r["total_transactions"]) for r in ranking)
+    out = study_reports(lines)["product_rank_in_category"]
+    got = {(r.rank_by_revenue, r.product_detail, r.product_category, r.total_transactions, r.total_revenue)
+           for r in out.collect()}
+    want = {(int(r["rank_by_revenue"]), r["product_detail"], r["product_category"],
+             int(r["total_transactions"]), Decimal(r["total_revenue"])) for r in ranking}
+    assert got == want
