@@ -285,3 +285,46 @@ def test_study_reports_reproduce_the_category_ranking(spark):
     want = {(int(r["rank_by_revenue"]), r["product_detail"], r["product_category"],
              int(r["total_transactions"]), Decimal(r["total_revenue"])) for r in ranking}
     assert got == want
+
+
+def test_study_reports_reproduce_growth_and_price_list(make_sales):
+    """Growth with the study's year-less labels, and the price-list text:
+    one line per store and month carrying that month's revenue, and one line
+    per product and price carrying the product's revenue on its first price."""
+    from tillroll.plans.reports import study_reports
+
+    months = read_golden(*MONTHLY)
+    rows = [line(i, f"2023-{MONTH_NAMES.index(r['month']) + 1:02d}-01", "08:00:00", 1,
+                 int(r["store_id"]), "1.00", "Coffee", "T", "P", location=r["store_location"])
+            for i, r in enumerate(months)]
+    price_rows = read_golden(*PRICE_LIST)
+    revenue = {}
+    for r in price_rows:
+        for j, price in enumerate(r["price_range"].split(", ")):
+            tid = 10_000 + len(rows)
+            rows.append(line(tid, "2023-01-09", "09:00:00", 1, 3, price, r["product_category"],
+                             r["product_type"], r["product_detail"]))
+            revenue[tid] = Decimal(r["total_revenue"]) if j == 0 else Decimal("0.00")
+    for i, r in enumerate(months):
+        revenue[i] = Decimal(r["total_revenue"])
+    df = make_sales(rows, enrich=False)
+    mapping = F.create_map(*[x for tid, v in revenue.items() for x in (F.lit(tid), F.lit(v))])
+    reports = study_reports(df.withColumn("revenue", mapping[F.col("transaction_id")].cast("decimal(12,2)")))
+
+    price_stores = {3}   # the price lines add revenue to store 3 in January: compare the other stores
+    got = {(r.store_id, r.month): (r.total_revenue, r.prev_month_revenue, r.mom_revenue_growth)
+           for r in reports["store_mom_growth"].collect() if r.store_id not in price_stores}
+    want = {(int(r["store_id"]), r["month"]): (_dec(r["total_revenue"]), _dec(r["prev_month_revenue"]),
+                                               _dec(r["mom_revenue_growth"]))
+            for r in months if int(r["store_id"]) not in price_stores}
+    assert got == want and len(got) == 12
+    got_q = {(r.store_id, r.quarter): r.qtr_revenue_growth
+             for r in reports["store_qoq_growth"].collect() if r.store_id not in price_stores}
+    want_q = {(int(r["store_id"]), r["quarter"]): _dec(r["qtr_revenue_growth"])
+              for r in read_golden(*QUARTERLY) if int(r["store_id"]) not in price_stores}
+    assert got_q == want_q
+
+    got_p = [(r.product_detail, r.price_range, r.total_revenue) for r in reports["price_list"].collect()]
+    want_p = [(r["product_detail"], r["price_range"], Decimal(r["total_revenue"])) for r in price_rows]
+    assert sorted(got_p) == sorted(want_p)
+    assert [p for p, _, _ in got_p] == [p for p, _, _ in want_p]    # revenue order
