@@ -251,6 +251,11 @@ def test_study_reports_reproduce_the_drill_downs(make_sales):
         checks += 1
     assert as_set(reports["type_summary_by_category"], TYPES_BY_CATEGORY) == \
         golden_set(read_golden(*TYPES_BY_CATEGORY), TYPES_BY_CATEGORY)
+    # E14 over the beverage types whose products are all exported (top and bottom types)
+    covered = set(STUDY.top_types) | set(STUDY.bottom_types)
+    e14 = {r for r in as_set(reports["type_summary_in_categories"], TYPES) if r[0] in covered}
+    assert e14 == {r for r in golden_set(read_golden(*TYPES), TYPES) if r[0] in covered}
+    assert len(e14) == len(covered)
     assert checks >= 6
 
 
