@@ -13,10 +13,13 @@ from pyspark.sql.types import StructType
 from tillroll.plans.edge import report_edge
 
 
-def write_report(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
+def write_report(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite",
+                 exact: bool = True) -> None:
     """CSV (header, text quoted, LF line ends, UTF-8 without BOM, empty
-    field for NULL, blanks kept) or parquet. Exact values are converted at the edge."""
-    out = report_edge(df) if fmt == "csv" else df
+    field for NULL, blanks kept) or parquet. Money and ratios are written as
+    exact decimals with their scale ("3.50", "5.846"); ``exact=False`` writes
+    them as DOUBLE."""
+    out = df if exact else report_edge(df)
     writer = out.write.mode(mode)
     if fmt == "csv":
         (writer.option("header", True).option("quoteAll", True).option("lineSep", "\n")
