@@ -333,3 +333,16 @@ def test_study_reports_reproduce_growth_and_price_list(make_sales):
     want_p = [(r["product_detail"], r["price_range"], Decimal(r["total_revenue"])) for r in price_rows]
     assert sorted(got_p) == sorted(want_p)
     assert [p for p, _, _ in got_p] == [p for p, _, _ in want_p]    # revenue order
+
+
+def test_weekday_order_matches_the_exported_order(spark):
+    """The weekday × hour export is in Monday-first weekday order, then hour:
+    the weekday sort key puts its rows in exactly that order."""
+    from tillroll.functions.calendar import weekday_sort_key
+
+    rows = read_golden("day_of_week", "hour", "avg_transaction_qty")
+    df = spark.createDataFrame([(i, r["day_of_week"], int(r["hour"])) for i, r in enumerate(rows)],
+                               "i int, day_of_week string, hour int")
+    ordered = [r.i for r in df.orderBy(weekday_sort_key("day_of_week"), "hour").collect()]
+    assert ordered == list(range(len(rows)))
+    assert len({r["day_of_week"] for r in rows}) == 7
