@@ -7,8 +7,9 @@ Plan, built to survive a basket or item that holds a large share of rows:
   1. aggregate to (basket, item): a line count and revenue per item. The
      partial aggregate combines a hot basket map-side, so what is shuffled is
      at most one row per (basket, item) per task;
-  2. aggregate to basket: the sorted (item, count) list has at most one entry
-     per distinct item, and the string is expanded from it afterwards.
+  2. aggregate to basket: the sorted list has at most one entry per distinct
+     item (the item and its part of the string, the item repeated once per
+     line), and the parts are joined in item order.
 No step collects raw lines of a basket into one list.
 """
 
@@ -16,20 +17,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.money import exact, ratio
 from tillroll.operators.ranking import rank_within
 
 
-def _combo_string(items: Column, distinct: bool, sep: str) -> Column:
-    if distinct:
-        return F.array_join(F.transform(items, lambda x: x["item"]), sep)
-    return F.array_join(
-        F.flatten(F.transform(items, lambda x: F.array_repeat(x["item"], x["n"].cast("int")))), sep)
-
-
 def basket_contents(df: DataFrame, basket: str = "transaction", item: str = "product_category",
                     keys: Sequence[str] = (), revenue: str = "revenue",
                     min_lines: int = 2, distinct: bool = False, sep: str = ", ",
@@ -39,15 +33,18 @@ def basket_contents(df: DataFrame, basket: str = "transaction", item: str = "pro
     (all lines of the basket)."""
     per_item = (df.groupBy(basket, *keys, item)
                   .agg(F.count(item).alias("_n"), F.sum(revenue).alias("_rev")))
-    entry = F.when(F.col("_n") > 0, F.struct(F.col(item).alias("item"), F.col("_n").alias("n")))
+    # an item's part of the content string: the item once per line (or once)
+    text = F.col(item) if distinct else F.array_join(F.array_repeat(F.col(item), F.col("_n").cast("int")), sep)
+    entry = F.when(F.col("_n") > 0, F.struct(F.col(item).alias("item"), text.alias("text")))
     per_basket = (per_item.groupBy(basket, *keys)
                   .agg(F.sum("_n").alias("_lines"),
                        F.count(entry).alias("_items"),
                        F.sum("_rev").alias(revenue),
                        F.sort_array(F.collect_list(entry)).alias("_list")))
     size = F.col("_items") if distinct else F.col("_lines")
+    content = F.array_join(F.col("_list").getField("text"), sep)    # parts in item order
     return (per_basket.where(size >= min_lines)
-            .select(basket, *keys, _combo_string(F.col("_list"), distinct, sep).alias(combo), revenue))
+            .select(basket, *keys, content.alias(combo), revenue))
 
 
 def basket_combos(df: DataFrame, basket: str = "transaction", item: str = "product_category",

@@ -61,7 +61,7 @@ def price_list(df: DataFrame, by: Sequence[str] = ("product_category", "product_
                 F.sort_array(F.collect_list(price)).alias("_list"),
                 F.sum("_rev").alias("total_revenue"))
            .where(F.col("_prices") > 1))
-    return (out.select(*by, F.array_join(F.transform("_list", lambda p: p.cast("string")), sep)
+    return (out.select(*by, F.array_join(F.col("_list").cast("array<string>"), sep)
                        .alias("price_range"), "total_revenue")
             .orderBy(F.col("total_revenue").desc_nulls_first()))
 
