@@ -138,43 +138,33 @@ def two_price_day_revenue(df: DataFrame, product: str = "product_detail",
                     (F.col(price) * F.col("total_qty")).alias("revenue")))
 
 
-def _base_day_levels(days: DataFrame, product: str) -> DataFrame:
-    """(product, base-price daily units) → how many base-price days had that
-    many units, plus the per-product sums the what-if needs, all additive so
-    that one more aggregate gives per-product figures."""
-    base = F.col("_has_base").isNotNull()
-    change = _is_change_day()
-    return days.groupBy(product, "_base_q").agg(
-        F.count(F.when(base, F.col("_base_q"))).alias("_f"),
-        F.count(F.when(base, F.lit(1))).alias("_nb"),
-        F.sum(F.when(base, F.col("_base_q"))).alias("_sq"),
-        F.sum(F.when(change, F.col("_rev"))).alias("_crev"),
-        F.count(F.when(change, F.lit(1))).alias("_cdays"))
-
-
-def _mode_struct() -> F.Column:
-    # most base-price days first, then the smaller unit count
-    return F.max(F.when(F.col("_f") > 0, F.struct(F.col("_f"), (-F.col("_base_q")).alias("_neg"))))
+def _base_days(days: DataFrame) -> DataFrame:
+    return days.where(F.col("_has_base").isNotNull())
 
 
 def daily_units_mode(df: DataFrame, product: str = "product_detail", price: str = "unit_price",
                      base_price="3.50") -> DataFrame:
     """Per product, the most frequent daily unit count on days with a
-    base-price line (ties → the smaller count) and its frequency."""
-    levels = _base_day_levels(_per_day(df, product, price, base_price), product)
-    best = levels.groupBy(product).agg(_mode_struct().alias("_m")).where(F.col("_m").isNotNull())
-    return best.select(product, (-F.col("_m._neg")).cast("bigint").alias("total_qty"),
-                       F.col("_m._f").alias("frequency"))
+    base-price line (ties → the smaller count) and its frequency.
+
+    Counts per (product, units) are a hash aggregate; the top one per product
+    is a row_number ≤ 1 filter, which Spark plans as a WindowGroupLimit over
+    at most one row per distinct unit count."""
+    days = _base_days(_per_day(df, product, price, base_price))
+    freq = (days.groupBy(product, "_base_q").agg(F.count("_base_q").alias("frequency"))
+            .where(F.col("frequency") > 0))
+    w = Window.partitionBy(product).orderBy(F.col("frequency").desc(), F.col("_base_q").asc())
+    return (freq.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
+            .select(product, F.col("_base_q").cast("bigint").alias("total_qty"), "frequency"))
 
 
 def daily_units_mean(df: DataFrame, product: str = "product_detail", price: str = "unit_price",
                      base_price="3.50", digits: int = 4) -> DataFrame:
     """Per product, mean daily units on days with a base-price line
     (rounded to ``digits``)."""
-    levels = _base_day_levels(_per_day(df, product, price, base_price), product)
-    per = levels.groupBy(product).agg(F.sum("_sq").alias("_sq"), F.sum("_nb").alias("_nb"))
-    return per.where(F.col("_nb") > 0).select(
-        product, ratio(exact(F.col("_sq")), exact(F.col("_nb")), digits).alias("avg_sales"))
+    days = _base_days(_per_day(df, product, price, base_price))
+    per = days.groupBy(product).agg(F.sum("_base_q").alias("_sq"), F.count(F.lit(1)).alias("_nb"))
+    return per.select(product, ratio(exact(F.col("_sq")), exact(F.col("_nb")), digits).alias("avg_sales"))
 
 
 def price_hold_whatif(df: DataFrame, product: str = "product_detail", price: str = "unit_price",
@@ -183,17 +173,22 @@ def price_hold_whatif(df: DataFrame, product: str = "product_detail", price: str
     those days, against holding the base price with the mode or the mean of
     the base-price daily units on each of those days.
 
-    One chain of aggregates and no join: lines → (product, day) →
-    (product, base-day units) → product. The first step combines map-side;
-    the later ones work on per-day rows."""
+    Two aggregates and no join: lines → (product, day), then per product the
+    change-day revenue and count, the base-day sum and count, and the mode of
+    the base-day units (Spark's ``mode`` with ``deterministic=True``: ties go
+    to the smaller count). The first step combines map-side."""
     pb = _price_lit(base_price)
-    levels = _base_day_levels(_per_day(df, product, price, base_price), product)
-    per = (levels.groupBy(product)
-           .agg(F.sum("_crev").alias("total_original_revenue"), F.sum("_cdays").alias("_change_days"),
-                F.sum("_sq").alias("_sum_q"), F.sum("_nb").alias("_base_days"), _mode_struct().alias("_m"))
+    days = _per_day(df, product, price, base_price)
+    base, change = F.col("_has_base").isNotNull(), _is_change_day()
+    per = (days.groupBy(product)
+           .agg(F.sum(F.when(change, F.col("_rev"))).alias("total_original_revenue"),
+                F.count(F.when(change, F.lit(1))).alias("_change_days"),
+                F.sum(F.when(base, F.col("_base_q"))).alias("_sum_q"),
+                F.count(F.when(base, F.lit(1))).alias("_base_days"),
+                F.mode(F.when(base, F.col("_base_q")), deterministic=True).alias("_mode_q"))
            .where(F.col("_change_days") > 0))
     n_days = F.col("_change_days").cast("decimal(10,0)")
-    mode_q = (-F.col("_m._neg")).cast("decimal(18,0)")
+    mode_q = F.col("_mode_q").cast("decimal(18,0)")
     held = (F.col("_sum_q") * F.col("_change_days")).cast("decimal(20,0)") * pb
     return per.select(
         product, "total_original_revenue",
