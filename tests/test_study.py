@@ -88,3 +88,21 @@ def test_command_line_run_writes_every_report(spark, make_sales):
                        "transaction_date date, product_detail string, change_type string, p_base double, "
                        "q_base long, p_hike double, q_hike long, price_elasticity double")
     assert sorted(r.price_elasticity for r in back.collect()) == [-7.4621, -2.2386]
+
+
+def test_read_sales_parquet_and_prepare_is_idempotent(spark, make_sales):
+    from decimal import Decimal as D
+
+    from tillroll.sources.sales import prepare_sales
+    from tillroll.sources.sinks import write_report
+
+    df = make_sales(_study_rows(), enrich=False)
+    base = tempfile.mkdtemp(prefix="tillroll-pq-")
+    df.write.parquet(f"{base}/sales")
+    once = read_sales(spark, f"{base}/sales")
+    twice = prepare_sales(once)
+    assert once.columns == twice.columns and once.exceptAll(twice).count() == 0
+    assert once.where("transaction_id = 1").first().revenue == D("17.50")
+    write_report(once.select("transaction_id", "revenue"), f"{base}/out", fmt="parquet")
+    back = spark.read.parquet(f"{base}/out")
+    assert dict(back.dtypes)["revenue"].startswith("decimal") and back.count() == once.count()
