@@ -35,3 +35,12 @@ def test_shared_dir_is_the_sessions_checkpoint_folder(spark):
     first = shared_dir(spark)
     assert first and shared_dir(spark) == first
     assert spark.sparkContext.getCheckpointDir().rstrip("/") == first
+
+
+def test_scale_settings_size_partitions_from_input():
+    from tillroll.session import scale_settings
+
+    tb100 = scale_settings(100 * (1 << 40), total_cores=8000)
+    assert int(tb100["spark.sql.shuffle.partitions"]) == 409600      # 100 TB / 256 MB
+    assert scale_settings(10 << 20, total_cores=8)["spark.sql.shuffle.partitions"] == "16"
+    assert tb100["spark.sql.autoBroadcastJoinThreshold"] == "-1"

@@ -43,6 +43,30 @@ def build_session(cpus: int = 8, shuffle_partitions: int | None = None,
     return spark
 
 
+MB = 1 << 20
+
+
+def scale_settings(input_bytes: int, total_cores: int) -> dict[str, str]:
+    """Session settings sized for a job reading ``input_bytes`` on
+    ``total_cores`` executor cores: shuffle partitions of about 256 MB (never
+    fewer than two per core; AQE merges small ones), 512 MB input splits, AQE
+    with skew-join splitting, no broadcast from static estimates (AQE
+    broadcasts measured sides under 64 MB), and cleanup of checkpoints.
+    ``spark.checkpoint.dir`` must point at shared storage and is not set here."""
+    partitions = max(2 * total_cores, -(-input_bytes // (256 * MB)))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * MB),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(512 * MB),
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * MB),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
+
+
 def _context(spark: SparkSession):
     try:
         return spark.sparkContext
