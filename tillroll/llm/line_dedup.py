@@ -8,18 +8,18 @@ earlier line; also inside one document, overlaps included) is deleted, its
 first occurrence stays.
 
 1. Fingerprints. From every line starts a gram: the shortest run of at least
-   ``min_words // 2`` words, hashed. Over every shortest stretch of
-   ``min_words - min_words // 2`` words of gram starts the smallest hash is
-   selected. A run of ``min_words`` words holds one whole stretch whose grams
-   lie inside the run, so equal runs select an equal fingerprint.
-2. Positions are joined on fingerprints that occur more than once; all other
-   lines drop out here.
-3. Matches are extended both ways from the selected positions: the shortest
-   run of ``min_words`` words that starts, and the one that ends, at every line
-   around a match. These two families cover each repeated run exactly, to both
-   its ends. A run is compared with the first occurrence of the same run,
-   whichever document holds it, so a passage that thousands share costs one
-   row each and never pairs.
+   ``min_words // 2`` words, hashed. Over the shortest stretch of
+   ``min_words - min_words // 2`` words of gram starts from every line the
+   smallest hash is selected. The selected grams of a run of ``min_words``
+   words lie inside it, so equal runs select equal fingerprints.
+2. Positions are joined on fingerprints that occur at more than one place; all
+   other lines drop out here.
+3. Matches are extended both ways: around every matched position stand the
+   shortest runs of ``min_words`` words that start, and those that end, at each
+   line. These two families cover each repeated run exactly, to both its ends.
+   A run is compared with the first occurrence of the same run, whichever
+   document holds it, so a passage that thousands share costs one row each and
+   never pairs.
 4. Lines in a run that is not a first occurrence are deleted.
 
 All steps are DataFrame operations: windows are partitioned by document, the
@@ -58,10 +58,10 @@ def _keyed(documents: DataFrame) -> DataFrame:
                                   KEY[1]: F.xxhash64(F.lit(1), "doc_id", "text")})
 
 
-def line_runs(rows: DataFrame, min_words: int) -> DataFrame:
-    """Per non-blank line: KEY, doc_id, pos, words, the gram's selection mark
-    ``chosen`` (or null) and the runs of ``min_words`` words that start
-    (``ahead``, ``ahead_pos``) and end (``behind``, ``behind_pos``) here."""
+def line_spans(rows: DataFrame, min_words: int) -> DataFrame:
+    """The shortest runs of ``min_words`` words that start or end at a line:
+    KEY, doc_id, first_pos, last_pos, the hash of the run's lines, and the
+    fingerprint (``mark``, at line ``mark_pos``) that lies in the run."""
     gram, stretch = min_words // 2, min_words - min_words // 2
     lines = (rows.select(*KEY, "doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
              .withColumn("words", F.regexp_count("line", F.lit(WORD)).cast("long"))
@@ -75,50 +75,48 @@ def line_runs(rows: DataFrame, min_words: int) -> DataFrame:
     def starting(words: int):
         return by_row.orderBy("begin").rangeBetween(0, words - 1)
 
+    # A run that ends here and is not the one that starts at its first line.
     ending = by_row.orderBy("end").rangeBetween(1 - min_words, 0)
-    full = lambda frame, words: F.sum("words").over(frame) >= words
-    grams = (lines.withColumn("ahead", F.when(full(starting(min_words), min_words),
-                                              F.collect_list("h").over(starting(min_words))))
+    total = F.sum("words").over(ending)
+    behind = F.when(total - F.col("words") >= min_words, F.collect_list("h").over(ending))
+    lines = lines.withColumn("behind", behind).withColumn("behind_pos", F.min("pos").over(ending)).withColumn(
+        "behind", F.when(F.col("behind").isNotNull(), _hash128("behind")))
+
+    def list_from(words: int):
+        return F.when(F.sum("words").over(starting(words)) >= words, F.collect_list("h").over(starting(words)))
+
+    lines = (lines.withColumn("ahead", list_from(min_words)).withColumn("gram", list_from(gram))
              .withColumn("ahead_pos", F.max("pos").over(starting(min_words)))
-             .withColumn("gram", F.when(full(starting(gram), gram), F.collect_list("h").over(starting(gram))))
-             .withColumn("gram", F.when(F.col("gram").isNotNull(),
-                                        F.struct(F.xxhash64("gram").alias("g"), F.col("pos").alias("p"))))
-             .withColumn("least", F.when(full(starting(stretch), stretch), F.min("gram").over(starting(stretch))))
-             .withColumn("behind", F.when(full(ending, min_words), F.collect_list("h").over(ending)))
-             .withColumn("behind_pos", F.min("pos").over(ending)))
-    return grams.select(*KEY, "doc_id", "pos", "words", "begin", "end", "least",
-                        F.when(F.col("ahead").isNotNull(), _hash128("ahead")).alias("ahead"), "ahead_pos",
-                        F.when(F.col("behind").isNotNull(), _hash128("behind")).alias("behind"), "behind_pos")
+             .withColumn("ahead", F.when(F.col("ahead").isNotNull(), _hash128("ahead")))
+             .withColumn("gram", F.when(F.col("gram").isNotNull(), F.struct(F.xxhash64("gram").alias("g"), "pos")))
+             .withColumn("least", F.min("gram").over(starting(stretch)))
+             .withColumn("behind_least", F.when(F.col("behind").isNotNull(), F.first("least").over(ending))))
+    spans = F.array(
+        F.when(F.col("ahead").isNotNull(), F.struct(
+            F.col("ahead").alias("run"), F.col("pos").alias("first_pos"), F.col("ahead_pos").alias("last_pos"),
+            F.col("least").alias("mark"))),
+        F.when(F.col("behind").isNotNull(), F.struct(
+            F.col("behind").alias("run"), F.col("behind_pos").alias("first_pos"), F.col("pos").alias("last_pos"),
+            F.col("behind_least").alias("mark"))))
+    return lines.select(*KEY, "doc_id", F.explode(F.array_compact(spans)).alias("s")).select(
+        *KEY, "doc_id", "s.run", "s.first_pos", "s.last_pos", F.col("s.mark.g").alias("mark"),
+        F.col("s.mark.pos").alias("mark_pos"))
 
 
 def repeated_lines(rows: DataFrame, min_words: int = 50) -> DataFrame:
     """KEY and pos of every line to delete; ``rows`` has KEY, doc_id and text."""
-    runs = materialize(line_runs(rows, min_words), "line-runs")
-    chosen = (runs.filter("least is not null")
-              .select(*KEY, F.col("least.g").alias("g"), F.col("least.p").alias("pos")).distinct())
-    shared = chosen.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
-    seeds = materialize(chosen.join(shared, "g", "left_semi").select(*KEY, "pos").distinct(), "line-seeds")
-
-    # A run can only repeat if it holds a seed: look from each seed at the runs around it.
-    marked = (runs.join(seeds.select(*KEY, "pos", F.lit(1).alias("seed")), [*KEY, "pos"], "left"))
-    by_row = Window.partitionBy(*KEY)
-    ahead_seed = F.max("seed").over(by_row.orderBy("begin").rangeBetween(0, min_words - 1))
-    behind_seed = F.max("seed").over(by_row.orderBy("end").rangeBetween(1 - min_words, 0))
-    near = marked.withColumn("ahead_seed", ahead_seed).withColumn("behind_seed", behind_seed)
-    spans = near.select(*KEY, "doc_id", F.explode(F.array(
-        F.when(F.col("ahead_seed").isNotNull() & F.col("ahead").isNotNull(), F.struct(
-            F.lit(True).alias("forward"), F.col("ahead").alias("run"),
-            F.col("pos").alias("first_pos"), F.col("ahead_pos").alias("last_pos"))),
-        F.when(F.col("behind_seed").isNotNull() & F.col("behind").isNotNull(), F.struct(
-            F.lit(False).alias("forward"), F.col("behind").alias("run"),
-            F.col("behind_pos").alias("first_pos"), F.col("pos").alias("last_pos"))))).alias("s")).filter("s is not null")
-    spans = materialize(spans.select(*KEY, "doc_id", "s.*"), "line-spans")
+    spans = materialize(line_spans(rows, min_words), "line-spans")
+    at = F.struct(*KEY, "mark_pos")
+    shared = (spans.groupBy("mark").agg(F.min(at).alias("x"), F.max(at).alias("y"))
+              .filter("x != y").select("mark"))
+    matched = spans.join(shared, "mark", "left_semi")
     place = F.struct("doc_id", *KEY, "first_pos")
-    first = (spans.groupBy("forward", "run").agg(F.min(place).alias("place"), F.count("*").alias("n"))
-             .filter("n > 1").select("forward", "run", "place"))
-    later = (spans.join(first, ["forward", "run"])
-             .filter(~place.eqNullSafe(F.col("place"))).select(*KEY, "first_pos", "last_pos"))
-    return later.select(*KEY, F.explode(F.sequence("first_pos", "last_pos")).alias("pos")).distinct()
+    matched = materialize(matched.select("run", place.alias("place"), "last_pos"), "line-matches")
+    first = (matched.groupBy("run").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+             .filter("first != last").select("run", "first"))
+    later = matched.join(first, "run").filter("place != first")
+    return later.select(*(F.col(f"place.{c}") for c in KEY), F.explode(
+        F.sequence("place.first_pos", "last_pos")).alias("pos")).distinct()
 
 
 def dedup_lines(documents: DataFrame, min_words: int = 50) -> DataFrame:
