@@ -32,14 +32,14 @@ def _stars(links: DataFrame) -> DataFrame:
     return small.filter("u != v").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node in ``links`` (columns a, b): root is the
-    smallest node that can be reached."""
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
+    """(node, root) of every node in ``links`` (columns a, b; at most ``rows``):
+    root is the smallest node that can be reached."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                        .filter("u != v").distinct(), "edges")
+                        .filter("u != v").distinct(), "edges", rows)
     before = _digest(edges)
     while before[0]:
-        edges = materialize(_stars(edges), "edges")
+        edges = materialize(_stars(edges), "edges", 2 * before[0])
         now = _digest(edges)
         if now == before:
             break

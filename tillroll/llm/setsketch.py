@@ -12,10 +12,13 @@ pairs that could reach the threshold are verified on their full sets.
 Equal sets are one class from the start (128-bit set hash), so exact copies
 cost one row. Classes that share a band bucket with another class are written
 once with their registers and full sets. Then three rounds per bucket:
-(1) every class against the bucket's smallest class, (2) against a leader drawn
-per bucket, (3) every pair that is still in different components. Pairs of one
-component need no test, so a bucket of n copies costs about n pairs; nothing is
-capped. Components come from alternating hook-and-shorten joins over the links.
+(1) every class against the bucket's smallest class, (2) against a class drawn
+as leader, as long as leaders find links, (3) every pair that is still in
+different components. Pairs of one component need no test, so a bucket of n
+copies costs about n pairs; nothing is capped. In the third round the pairs of
+small buckets are joined; a large bucket is cut into blocks of about ``block``
+classes by a hash, its blocks meet, and each pair is compared in the first
+bucket that both share. Components come from alternating hook-and-shorten joins over the links.
 
 With ``bands`` = 40 of 5 registers, two sets of similarity 0.8 share no bucket
 with probability 1.3e-7; the likelihood test drops a pair only if 0.8 is less
@@ -53,6 +56,7 @@ class SketchParams:
     limit: int = 4000
     seed: int = 11
     slack: float = 18.0
+    block: int = 256
 
     @property
     def registers(self) -> int:
@@ -120,7 +124,7 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, p: Sk
     best, at = np.full(len(a), -np.inf), np.zeros(len(a))
     target = np.full(len(a), -np.inf)
     lose = lambda x: -np.log1p(-np.clip(x, 0, 1) * (p.base - 1) / p.base) / np.log(p.base)
-    for step in np.linspace(0, 1, 101):
+    for step in np.linspace(0, 1, 51):
         j = step * most
         more, less = lose(u - v * j), lose(v - u * j)
         ll = (up * np.log(np.maximum(more, 1e-12)) + down * np.log(np.maximum(less, 1e-12))
@@ -229,60 +233,137 @@ def link_classes(documents: DataFrame, signed: DataFrame, p: SketchParams) -> Da
     width = 2 * p.rows
     bands = F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda b: F.xxhash64(
         b, F.substring(F.col("sketch"), b * width + 1, F.lit(width))))
-    buckets = classes.select(F.explode(bands).alias("bucket"), "set_hash")
+    buckets = classes.select(F.posexplode(bands).alias("band", "bucket"), "set_hash")
     crowded = (buckets.groupBy("bucket").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y"))
                .filter("x != y").select("bucket"))
     members = materialize(buckets.join(crowded, "bucket"), "members")
     total = members.count()
     if not total:
         return members.select("set_hash", F.col("set_hash").alias("root"))
-    candidates = materialize(members.select("set_hash").distinct(), "candidates")
-    known = materialize(classes.join(candidates, "set_hash"), "classes")
-    source = (signed.join(candidates, "set_hash").groupBy("set_hash")
+    candidates = materialize(members.select("set_hash").distinct(), "candidates", total)
+    known = materialize(classes.join(candidates, "set_hash", "left_semi"), "classes")
+    source = (signed.join(candidates, "set_hash", "left_semi").groupBy("set_hash")
               .agg(F.min(F.struct("key_a", "key_b")).alias("key")).select("set_hash", "key.*"))
     texts = (text_keyed(documents).select("key_a", "key_b", text_bytes().alias("text"))
              .join(source, ["key_a", "key_b"]).dropDuplicates(["key_a", "key_b"]).select("set_hash", "text"))
     sets = materialize(texts.mapInArrow(_full(p), "set_hash binary, members binary"), "sets")
 
     tested = links = labels = None
-    turn, last = 0, False
+    turn, last, n_links = 0, False, 0
     while True:
         placed = members.withColumn("comp", F.col("set_hash")) if labels is None else (
             members.join(labels, "set_hash", "left").withColumn("comp", F.coalesce("root", "set_hash")).drop("root"))
-        counts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        mixed = (counts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"),
-                                              F.count("*").alias("comps"))
-                 .filter("comps > 1").select("bucket", F.col("main.comp").alias("main"),
-                                             F.expr("n * (n - main.n)").alias("open")))
-        open_pairs = 0 if labels is None else mixed.agg(F.coalesce(F.sum("open"), F.lit(0))).first()[0]
-        if labels is not None and not open_pairs:
-            return labels
-        last = last or (labels is not None and open_pairs <= 4 * total)
+        open_pairs = total
+        if labels is not None:  # pairs of a bucket that are not within its largest component
+            counts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+            open_pairs = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.max("n").alias("most")).agg(
+                F.coalesce(F.sum(F.expr("n * (n - most)")), F.lit(0))).first()[0]
+            if not open_pairs:
+                return labels
+        last = last or (labels is not None and open_pairs <= total)
+        crowds = None
         if last:  # all pairs that may still join two components
-            others = placed.join(mixed, "bucket").filter("comp != main").select(
-                "bucket", F.col("set_hash").alias("x"), F.col("comp").alias("comp_x"))
-            pairs = others.join(placed, "bucket").filter("comp != comp_x")
+            info = counts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n")).select(
+                "bucket", F.col("main.comp").alias("main"), "n", F.expr("n * (n - main.n)").alias("open"))
+            mixed = placed.join(info.filter("open > 0"), "bucket")
+            small, large = mixed.filter(F.col("open") <= 4 * p.block), mixed.filter(F.col("open") > 4 * p.block)
+            pairs = small.filter("comp != main").select(
+                "bucket", F.col("set_hash").alias("x"), F.col("comp").alias("comp_x")).join(
+                small.select("bucket", "set_hash", "comp"), "bucket").filter("comp != comp_x")
+            crowds = materialize(_crowd_links(large, known, sets, p), "crowds")
         else:
             lead = F.min(F.struct(F.xxhash64("set_hash", F.lit(turn)) if turn else F.lit(0), "set_hash", "comp"))
-            leaders = placed.join(mixed.select("bucket"), "bucket", "left_semi").groupBy("bucket").agg(
-                lead.alias("l")).select("bucket", F.col("l.set_hash").alias("x"), F.col("l.comp").alias("comp_x"))
+            leaders = placed.groupBy("bucket").agg(lead.alias("l")).select(
+                "bucket", F.col("l.set_hash").alias("x"), F.col("l.comp").alias("comp_x"))
             pairs = placed.join(leaders, "bucket").filter("comp != comp_x")
         pairs = pairs.select(*_ordered("x", "set_hash")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+        pairs = materialize(pairs, "pairs", open_pairs if last else total)
+        tests = pairs.count()
         found = materialize(_links(pairs, known, sets, p), "links")
+        if crowds is not None:
+            found = found.unionByName(crowds)
         gained = found.count()
+        n_links += gained
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         if gained or labels is None:
-            labels = materialize(components(links).select(F.col("node").alias("set_hash"), "root"), "labels")
+            labels = materialize(components(links, n_links).select(
+                F.col("node").alias("set_hash"), "root"), "labels", 2 * n_links)
         if last:
             return labels
-        last = not gained  # leaders find nothing more: settle the rest pair by pair
+        last = 20 * gained < tests  # leaders find little more: settle the rest pair by pair
         turn += 1
 
 
+def _crowd_links(rows: DataFrame, classes: DataFrame, sets: DataFrame, p: SketchParams) -> DataFrame:
+    """Links between different components inside large buckets, block against
+    block; ``rows``: bucket, band, set_hash, comp, main, n."""
+    content = classes.select("set_hash", "sketch").join(sets, "set_hash")
+    full = (rows.join(content, "set_hash")
+            .withColumn("block", F.pmod(F.xxhash64(F.lit(p.seed), "set_hash"), F.ceil(F.col("n") / p.block))))
+    # A block's size is bounded by the hash; a large bucket has many blocks.
+    entry = F.struct("set_hash", "comp", "sketch", "members")
+    blocks = full.groupBy("bucket", "band", "block").agg(
+        F.collect_list(entry).alias("every"),
+        F.collect_list(F.when(F.col("comp") != F.col("main"), entry)).alias("others"))
+    left = blocks.filter(F.size("others") > 0).select("bucket", "band", "others")
+    return (left.join(blocks.select("bucket", "every"), "bucket").select("band", "others", "every")
+            .mapInArrow(_compare(p), "a binary, b binary"))
+
+
+def _common(set_x: list, set_y: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``i`` (ascending) with the sets ``j``."""
+    out = np.zeros(len(i), np.int64)
+    for k in np.unique(i):
+        at, x = np.flatnonzero(i == k), set_x[k]
+        sizes = np.array([len(set_y[m]) for m in j[at]])
+        flat = np.concatenate([set_y[m] for m in j[at]])
+        hit = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+        out[at] = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+    return out
+
+
+def _compare(p: SketchParams):
+    def side(entries):
+        return ([e["set_hash"] for e in entries], [e["comp"] for e in entries],
+                np.array([np.frombuffer(e["sketch"], np.uint16) for e in entries]),
+                [np.frombuffer(e["members"], U) for e in entries])
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for band, others, every in zip(*batch.columns, strict=True):
+                band = band.as_py()
+                hash_x, comp_x, reg_x, set_x = side(others.as_py())
+                hash_y, comp_y, reg_y, set_y = side(every.as_py())
+                size_x, size_y = np.array([len(s) for s in set_x]), np.array([len(s) for s in set_y])
+                code = {c: i for i, c in enumerate(dict.fromkeys(comp_x + comp_y))}
+                low = np.minimum(size_x[:, None], size_y[None])
+                use = (np.array([code[c] for c in comp_x])[:, None] != np.array([code[c] for c in comp_y])[None]) & (
+                    100 * low >= p.threshold_pct * np.maximum(size_x[:, None], size_y[None]))
+                xs, ys = np.nonzero(use)
+                for part in range(0, len(xs), 20_000):
+                    i, j = xs[part: part + 20_000], ys[part: part + 20_000]
+                    ra, rb = reg_x[i], reg_y[j]
+                    # Each pair is tested in the first bucket that both share.
+                    shared = (ra == rb).reshape(len(i), p.bands, p.rows).all(axis=2).argmax(axis=1) == band
+                    i, j = i[shared], j[shared]
+                    if not len(i):
+                        continue
+                    keep = likely(ra[shared], rb[shared], size_x[i], size_y[j], p)[1]
+                    i, j = i[keep], j[keep]
+                    both = _common(set_x, set_y, i, j)
+                    near = 100 * both >= p.threshold_pct * (size_x[i] + size_y[j] - both)
+                    for k, m in zip(i[near], j[near], strict=True):
+                        first, second = sorted((hash_x[k], hash_y[m]))
+                        a.append(first)
+                        b.append(second)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+    return run
+
+
 def near_duplicates(documents: DataFrame, params: SketchParams | None = None) -> DataFrame:
     """(key_a, key_b, doc_id, n_shingles, set_hash, component_id, kept) per row
     of ``documents``: component_id is the smallest doc_id of all documents that

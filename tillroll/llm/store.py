@@ -36,8 +36,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a scan of what was written."""
+def materialize(df: DataFrame, name: str, rows: int | None = None, per_task: int = 200_000) -> DataFrame:
+    """Write ``df`` to the shared folder and return a scan of what was written.
+    ``rows``, a bound on its rows where one is known, keeps a small table from
+    being written by more tasks than one for every ``per_task`` rows."""
     path = scratch_path(df.sparkSession, name)
+    if rows is not None:
+        tasks = 1 + rows // per_task
+        if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(tasks)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
