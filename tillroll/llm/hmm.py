@@ -371,8 +371,9 @@ def hmm_scores(documents: DataFrame, params: HmmParams | None = None, held_mod:
         .mapInArrow(_encode(words, own, p.classes, log_c, symbol, log_den), CODED), "codes")
 
     training = coded.filter(~F.col("held_out"))
-    sample = (training.orderBy(F.xxhash64("row", F.lit(p.seed)))
-              .select(F.substring("codes", 1, 2 * p.start_tokens).alias("codes")).limit(p.start_docs).collect())
+    chosen = training.select("row").orderBy(F.xxhash64("row", F.lit(p.seed))).limit(p.start_docs)
+    sample = (training.join(F.broadcast(chosen), "row", "left_semi").orderBy("row")
+              .select(F.substring("codes", 1, 2 * p.start_tokens).alias("codes")).collect())
     model = starting_model([np.frombuffer(bytes(r["codes"]), "<u2") for r in sample], unigram, p)
     fields = ", ".join(f"s{z} double" for z in range(p.states))
     for _ in range(p.iterations if n_docs else 0):

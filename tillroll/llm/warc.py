@@ -95,8 +95,11 @@ def _info(dictionary: bytes) -> bytes:
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of records: SAMPLES pages by a hash
     of their ids, the first SAMPLE_BYTES of each."""
-    rows = (pages.select("page_id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload"), "digest")
-            .orderBy(F.xxhash64("page_id", "digest")).limit(SAMPLES).collect())
+    drawn = F.xxhash64("page_id", "digest")
+    chosen = pages.select(drawn.alias("draw")).distinct().orderBy("draw").limit(SAMPLES)
+    rows = (pages.select("page_id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload"), "digest",
+                         drawn.alias("draw"))
+            .join(F.broadcast(chosen), "draw", "left_semi").dropDuplicates(["draw"]).orderBy("draw").collect())
     records = [record(r["page_id"], r["url"], "response", None, r["digest"], bytes(r["payload"])) for r in rows]
     try:
         return zstandard.train_dictionary(DICT_BYTES, records).as_bytes()
