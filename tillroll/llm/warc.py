@@ -120,7 +120,7 @@ def _write(folder: str, dictionary: bytes, level: int):
                            strict=True):
                 page_id, url, payload, digest, refers_to = (v.as_py() for v in row)
                 if out is None:
-                    out = store.open_output_stream(name)
+                    out = store.open_output_stream(name, compression=None)
                     out.write(struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary)
                     out.write(compressor.compress(_info(dictionary)))
                 kind = "response" if refers_to is None else "revisit"
@@ -173,7 +173,7 @@ def _read(folder: str, batch_rows: int = 2000):
         for batch in batches:
             for name, expected in zip(batch.column("file").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 rows, seen = [], 0
-                with store.open_input_stream(f"{path}/{name}") as stream:
+                with store.open_input_stream(f"{path}/{name}", compression=None) as stream:
                     for raw in frames(stream)[1]:
                         f = parse(raw)
                         if f["WARC-Type"] == "warcinfo":
