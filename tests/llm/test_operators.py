@@ -1,0 +1,475 @@
+"""Each operator against its brute-force version, on edge cases and on the sf0.001 tables."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import SF_SMOKE
+from tests.llm import brute
+from tests.llm.conftest import edge_rows, prose
+from tillroll.llm import hmm, line_dedup, mixing, packing, phrases, pu_quality, queries, setsketch, sharding, topk, warc
+from tillroll.sources.tables import read_table
+
+CLASH = ["key_a", "score", "shard", "slot", "target", "taken", "_size", "_row", "row", "removed_lines"]
+
+
+def clashing(df):
+    """``df`` with columns named like those that operators use inside."""
+    return df.withColumns({c: F.lit("own") for c in CLASH})
+
+
+def key(row):
+    return tuple((v is None, v) for v in row)
+
+
+# 1. language model
+
+def check_base(scored, rows):
+    cols = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score")
+    got = sorted((tuple(r[c] for c in cols) for r in scored), key=key)
+    want = sorted(brute.lm_base(rows), key=key)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5] for g in got], [w[5] for w in want])
+
+
+def test_lm_edge_cases(edge_docs, no_docs):
+    params = hmm.HmmParams(states=3, iterations=2)
+    scored = hmm.hmm_scores(clashing(edge_docs), params).collect()
+    check_base(scored, [(r[0], r[1]) for r in edge_rows()])
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in scored)
+    assert hmm.hmm_scores(no_docs, params).collect() == []
+
+
+def test_lm_beats_unigram_on_held_out_texts(spark):
+    documents = read_table(spark, SF_SMOKE, "documents")
+    scored = queries.op1_lm_scoring(spark, SF_SMOKE).collect()
+    check_base(scored, [(r["doc_id"], r["text"]) for r in documents.collect()])
+    held = [r for r in scored if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def random_hmm(k=3, symbols=7, seed=0):
+    rng = np.random.default_rng(seed)
+    norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
+    return hmm.Hmm(norm(rng.random(k), 0), norm(rng.random((k, k)), 1), norm(rng.random((symbols, k)), 0))
+
+
+def plain_forward(m, codes):
+    alpha, total = m.start, 0.0
+    for c in codes:
+        alpha = (alpha @ m.trans) * m.emit[c]
+        total += math.log(alpha.sum())
+        alpha = alpha / alpha.sum()
+    return total
+
+
+def test_forward_is_exact_across_segments():
+    m, rng = random_hmm(), np.random.default_rng(1)
+    docs = [rng.integers(0, 7, n) for n in (1, 63, 64, 65, 500, 128, 2)]
+    assert np.allclose(hmm.log_likelihood(m, docs), [plain_forward(m, d) for d in docs])
+
+
+def test_expected_counts_match_enumeration():
+    from itertools import product
+
+    m, codes = random_hmm(k=2), np.array([0, 3, 6, 3])
+    start, moves, emit = np.zeros(2), np.zeros((2, 2)), np.zeros((7, 2))
+    paths = list(product(range(2), repeat=5))
+    weight = []
+    for p in paths:
+        w = m.start[p[0]]
+        for t, c in enumerate(codes):
+            w *= m.trans[p[t], p[t + 1]] * m.emit[c, p[t + 1]]
+        weight.append(w)
+    for p, w in zip(paths, np.array(weight) / sum(weight), strict=True):
+        start[p[0]] += w
+        for t, c in enumerate(codes):
+            moves[p[t], p[t + 1]] += w
+            emit[c, p[t + 1]] += w
+    got = hmm.expected_counts(m, [codes])
+    assert all(np.allclose(x, y) for x, y in zip(got, (start, moves, emit), strict=True))
+
+
+def test_baum_welch_never_lowers_the_likelihood():
+    m, rng = random_hmm(), np.random.default_rng(2)
+    docs = [rng.integers(0, 7, n) for n in (40, 90, 200)]
+    last = -np.inf
+    for _ in range(6):
+        now = hmm.log_likelihood(m, docs).sum()
+        assert now >= last - 1e-9
+        last = now
+        s, a, b = hmm.expected_counts(m, docs)
+        m = hmm.Hmm(s / s.sum(), a / a.sum(axis=1, keepdims=True), b / b.sum(axis=0, keepdims=True))
+
+
+# 2. line dedup
+
+def cut(spark, docs, min_words):
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    return {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, min_words).collect()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_matches_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pool = [" ".join(rng.choice("abcde") for _ in range(rng.randint(1, 7))) for _ in range(12)] + ["", " "]
+    docs = {i: "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14))) for i in range(25)}
+    assert cut(spark, docs, 10) == brute.dedup_lines(docs, 10)
+
+
+def test_line_dedup_extends_beyond_the_shortest_run(spark):
+    long = " ".join(f"x{i}" for i in range(60))
+    docs = {1: f"a\n{long}\nb", 2: f"c\n{long}\ntail of two", 3: f"d\n{long}\ntail of two\ne"}
+    assert cut(spark, docs, 50) == {1: docs[1], 2: "c\ntail of two", 3: "d\ne"}
+
+
+def test_line_dedup_edge_cases(edge_docs, no_docs):
+    out = line_dedup.dedup_lines(clashing(edge_docs)).collect()
+    assert len(out) == len(edge_rows()) and all(r["key_a"] == "own" for r in out)
+    by_id = {r["doc_id"]: r for r in out if r["doc_id"] is not None and r["doc_id"] != 42}
+    assert by_id[34]["text"] is None and by_id[35]["text"] == "" and by_id[32]["text"] == ""
+    assert by_id[41]["text"].startswith("same line again") and by_id[41]["removed_lines"] == 39
+    assert all(by_id[k]["removed_lines"] == 0 for k in (*range(1, 32), 36, 37, 40))
+    assert line_dedup.dedup_lines(no_docs).collect() == []
+
+
+# 3. fingerprints
+
+def test_fingerprints_of_edits(spark, edge_docs, no_docs):
+    texts = {k: prose(k, 80) for k in range(50)} | {50: "", 51: "ab", 52: prose(1, 80)}
+    df = spark.createDataFrame([(k, t or None) for k, t in texts.items()], "doc_id long, text string")
+    for per_slot in (4096, 5):
+        rows = {r["doc_id"]: r for r in phrases.fingerprint_edits(df, per_slot).collect()}
+        assert {k: r["edited_sha256"] for k, r in rows.items()} == brute.edited(texts)
+        assert {k: r["n_chars"] for k, r in rows.items()} == {k: len(t) for k, t in texts.items()}
+        assert rows[1]["fingerprint"] == rows[52]["fingerprint"]
+        long = [r for k, r in rows.items() if k < 50]
+        assert min(r["near_edited"] for r in long) > 0.2 and max(r["near_next"] for r in long) < 0.2
+    assert phrases.fingerprint_edits(edge_docs).count() == len(edge_rows())
+    assert phrases.fingerprint_edits(no_docs).collect() == []
+
+
+def test_phrases_are_locally_consistent_and_batch_free():
+    rng = random.Random(4)
+    body = bytes(rng.choice(b"abcdef  ") for _ in range(4000))
+    for level in range(4):
+        a = list(phrases.parse_levels([b"xy" + body]))[level][0]
+        b = list(phrases.parse_levels([b"another start " + body + b" end"]))[level][0]
+        assert len(np.intersect1d(a, b)) > 0.9 * len(np.unique(a))
+    texts = [b"", b"a", b"aaaa", b"ab" * 50, body, b"\xff\x00"]
+    assert phrases.sketches(texts) == [phrases.sketches([t])[0] for t in texts]
+    assert phrases.likeness(*phrases.sketches([b"", b""])) == 1.0
+    assert phrases.likeness(*phrases.sketches([b"", body])) == 0.0
+
+
+# 4. near-dedup
+
+def near(df, **params):
+    p = setsketch.SketchParams(width=2, **params)
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in
+                   setsketch.near_duplicates(df, p).collect()), key=key)
+
+
+def wanted(rows):
+    found = brute.near_components(rows, 2)
+    return sorted(((i, n, c, i == c) for (i, _), (n, c) in zip(rows, found, strict=True)), key=key)
+
+
+def test_near_dedup_edge_cases(edge_docs, no_docs):
+    got = near(clashing(edge_docs))
+    assert got == wanted([(r[0], r[1]) for r in edge_rows()])
+    assert near(no_docs) == []
+    kept = setsketch.keep_one_per_group(clashing(edge_docs), setsketch.SketchParams(width=2))
+    ids = Counter(r["doc_id"] for r in kept.collect())
+    assert kept.columns == clashing(edge_docs).columns
+    assert ids[31] == 1 and ids[32] == 0 and ids[33] == 0 and ids[42] == 2 and ids[34] == ids[35] == ids[36] == 1
+    assert setsketch.keep_one_per_group(no_docs).collect() == []
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_near_dedup_of_crowded_buckets(spark, block):
+    """Copies with many different edits: chains, loners beside a large component."""
+    rng, base = random.Random(5), prose(9, 150).split()
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.choice((1, 2, 5, 9, 14))):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near(df, block=block) == wanted(rows)
+
+
+def test_registers_merge_and_estimate():
+    p, rng = setsketch.SketchParams(), np.random.default_rng(0)
+    for share in (0.3, 0.6, 0.9):
+        x = np.unique(rng.integers(0, 2 ** 63, 2000).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: int(len(x) * share)], rng.integers(0, 2 ** 63, 300).astype(np.uint64)]))
+        a, b, both = setsketch.registers([x, y, np.union1d(x, y)], p)
+        assert (np.maximum(a, b) == both).all()
+        true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+        j, keep = setsketch.likely(a[None], b[None], np.array([len(x)]), np.array([len(y)]), p)
+        assert abs(j[0] - true) < 0.12 and (keep[0] or true < 0.8)
+
+
+# 5. packing
+
+def test_packing_round_trip(edge_docs, no_docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    ids = [[*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0] for r in edge_rows()]
+    rows = packing.pack(clashing(edge_docs)).collect()
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    want = sorted(((r[0], s, n, crc(x[s:s + n]), len(x)) for r, x in zip(edge_rows(), ids, strict=True)
+                   for s, n in pieces_of(len(x))), key=key)
+    cols = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    assert sorted((tuple(r[c] for c in cols) for r in rows), key=key) == want
+    check_sequences(rows)
+    assert packing.pack(no_docs).collect() == []
+
+
+def pieces_of(n):
+    at = 0
+    for length in packing.cut(n):
+        yield at, length
+        at += length
+
+
+def check_sequences(rows, most=1024):
+    used = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == used.get(r["sequence_id"], 0)
+        used[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(used.values(), default=0) <= most
+    return used
+
+
+def test_packing_pads_little_over_many_tasks(spark):
+    docs = read_table(spark, SF_SMOKE, "documents").repartition(7)
+    rows = packing.pack(docs).collect()
+    used = check_sequences(rows)
+    assert sum(used.values()) == sum(r["length"] for r in rows)
+    assert 1 - sum(used.values()) / (1024 * len(used)) < 0.03
+
+
+def test_cut_lengths():
+    for n in [*range(1, 2100), 10_000]:
+        c = packing.cut(n)
+        assert sum(c) == n and max(c) <= 1024
+        assert all(32 * (1024 - (1024 // x) * x) <= 1024 or x == 1024 // (1024 // x) for x in c)
+
+
+def test_fast_and_full_encodings_agree():
+    import public_tokenizers as public
+
+    e = packing.Encoder(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    rng, letters = random.Random(7), [chr(i) for i in range(0x250)]
+    for _ in range(500):
+        t = "".join(rng.choice(letters) for _ in range(rng.randrange(60)))
+        assert e(t) == e.full.encode(t, add_special_tokens=False).ids
+
+
+# 6. top-k
+
+def search(spark, rows, **kw):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = topk.top_k(df, **kw).collect()
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in out}
+    assert len(got) == len(out)
+    return got
+
+
+def test_topk_matches_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.3, 16).astype(np.float32)]) for i in range(400)]
+    rows += [(400 + i, rows[7][1]) for i in range(20)]  # ties
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    assert search(spark, rows, k=5, every=20) == brute.top_k(rows, 5, 20)
+
+
+def test_topk_edge_cases(spark):
+    good = [(0, [0.5, 1.0]), (50, [0.25, -1.0]), (3, [1.0, 1.0])]
+    bad = [(100, None), (150, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (None, [9.0, 9.0]),
+           (200, []), (250, [1.0, 2.0, 3.0])]
+    assert search(spark, good + bad) == brute.top_k(good, 5, 50)
+    assert search(spark, []) == {}
+    assert search(spark, [(0, [1.0])]) == {}
+
+
+def test_block_search_stops_early_and_stays_exact():
+    rng = np.random.default_rng(1)
+    x = rng.integers(-50, 50, (500, 6))
+    x[:10] += 200
+    q = np.full((1, 6), 40)
+    at, cols, score = topk.search_block(topk.Lists(np.arange(500), x), np.array([-1]), q, 3, np.full(1, -np.inf))
+    assert len(cols) <= topk.FEW and sorted(score)[-3:] == sorted((x @ q[0]).tolist())[-3:]
+
+
+# 7. mixing
+
+def check_mix(rows, source_of):
+    sizes = {}
+    for r in rows:
+        sizes[source_of[r["doc_id"]]] = r["source_size"]
+    want = brute.targets(sizes)
+    taken = Counter()
+    for r in rows:
+        s = source_of[r["doc_id"]]
+        assert r["target"] == pytest.approx(want[s]) and 0 <= r["taken"] <= 2 * r["size"]
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 2 + 0.001 * want[s] for s in want)
+
+
+def test_mixing(spark, edge_docs, no_docs):
+    rows = [r for r in edge_rows() if r[0] not in (None, 42)]
+    docs = spark.createDataFrame(rows, edge_docs.schema)
+    out = mixing.mix_quotas(clashing(docs)).collect()
+    assert {r["doc_id"]: r["size"] for r in out} == {r[0]: len(brute.words(r[1])) for r in rows}
+    check_mix(out, {r[0]: r[3] for r in rows})
+    assert sorted(out) == sorted(mixing.mix_quotas(clashing(docs.repartition(5))).collect())
+    assert mixing.mix_quotas(edge_docs).count() == len(edge_rows())
+    assert mixing.mix_quotas(no_docs).collect() == [] and mixing.mix_documents(no_docs).collect() == []
+
+
+def test_mixing_of_sharded_sources(spark):
+    docs = read_table(spark, SF_SMOKE, "documents")
+    rows = mixing.mix_quotas(docs, mixing.MixParams(shard_words=2000)).collect()
+    check_mix(rows, {r["doc_id"]: r["source"] for r in docs.collect()})
+
+
+def test_mix_documents_takes_whole_documents(edge_docs):
+    mixed = mixing.mix_documents(clashing(edge_docs)).collect()
+    whole = Counter(tuple(r) for r in clashing(edge_docs).collect())
+    got = Counter(tuple(r) for r in mixed)
+    assert all(n <= 2 * whole[r] for r, n in got.items()) and set(got) <= set(whole)
+
+
+@pytest.mark.parametrize("votes,n", [([53, 24, 23], 7), ([1, 1, 1], 2), ([1000, 1], 5), ([7, 5, 3, 3, 1], 100),
+                                     ([10] * 9, 4), ([0, 3, 8], 6)])
+def test_sainte_lague(spark, votes, n):
+    df = spark.createDataFrame([(0, k, v, n) for k, v in enumerate(votes)], "g int, k int, v long, n long")
+    got = {r["k"]: r["quota"] for r in mixing.sainte_lague(df, ["g"], "v", "n", [F.col("k")]).collect()}
+    assert [got[k] for k in range(len(votes))] == brute.seats(votes, n)
+
+
+# 8. quality
+
+def test_quality_on_held_out_rows(spark):
+    labels = {r["doc_id"]: r["quality"] for r in read_table(spark, "/root/testdata/sf0.01", "labels").collect()}
+    rows = queries.op8_quality(spark, "/root/testdata/sf0.01").collect()
+    assert all(r["held_out"] == (brute.rest(r["doc_id"], 3) == 1) for r in rows)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
+    held = [(r["predicted"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
+    assert np.mean([a == b for a, b in held]) > 0.93
+    assert np.mean([a for a, b in held if b == 1]) > 0.97
+
+
+def test_quality_edge_cases(spark, edge_docs, no_docs):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (2, 0), (None, 1), (3, None), (4, 0), (31, 1)], "doc_id long, quality int")
+    model = pu_quality.train(edge_docs, labels)
+    out = pu_quality.scored(clashing(edge_docs), model)
+    assert out.count() == len(edge_rows()) and out.columns.count("score") == 1
+    assert all(0 <= r["score"] <= 1 for r in out.collect())
+    none = pu_quality.train(no_docs, labels.limit(0))
+    assert {r["score"] for r in pu_quality.scored(edge_docs, none).collect()} == {0.5}
+    assert pu_quality.scored(no_docs, model).collect() == []
+
+
+def test_prior_from_positives_alone():
+    rng, p = np.random.default_rng(0), pu_quality.QualityParams(steps=150)
+    good, junk = rng.normal(0, 1, (3000, 3)), rng.normal(4, 1, (1000, 3))
+    model = pu_quality.fit(good[:1500], np.concatenate([good[1500:], junk[:500]]), None, p)
+    assert 0.5 < model.prior < 0.9
+    assert (model.score(junk[500:]) < 0.5).mean() > 0.9 and (model.score(good) >= 0.5).mean() > 0.9
+
+
+# 9. WARC
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "<p>" + "x y " * 400 + "</p>"
+    pages = [(1, "http://a/1", big), (2, "http://a/2 \r\nX", big), (3, None, big), (4, "http://b", "short"),
+             (5, "http://b", "short"), (6, "http://c", None), (7, "u", ""), (8, "ü", "é" * 500), (9, "v", "é" * 500),
+             (None, "n", big), (10, "w", "a" * 300_000), (11, "z", "r" * 1200), (11, "z", "r" * 1200)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("own"))
+    rows = warc.archive_roundtrip(df).collect()
+    got = sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"])
+                  for r in rows), key=key)
+    want = []
+    for i, _, h in pages:
+        x = (h or "").encode()
+        last = max((j for j, _, k in pages if (k or "").encode() == x and j is not None), default=None)
+        revisit = len(x) >= 1000 and i != last
+        want.append((i, len(x), hashlib.sha1(x).hexdigest(), "revisit" if revisit else "response",
+                     last if revisit else None))
+    assert got == sorted(want, key=key)
+    assert warc.archive_roundtrip(df.limit(0)).collect() == []
+
+
+def test_warc_files_hold_a_dictionary_frame_and_single_records(spark, tmp_path):
+    import zstandard
+
+    folder = f"file://{tmp_path}/archive"
+    pages = read_table(spark, SF_SMOKE, "pages")
+    manifest = warc.write_archive(pages, folder).collect()
+    assert sum(r["records"] for r in manifest) == pages.count()
+    with open(tmp_path / "archive" / manifest[0]["file"], "rb") as f:
+        raw = f.read()
+    size = int.from_bytes(raw[4:8], "little")
+    assert raw[:4] == (0x184D2A5D).to_bytes(4, "little") and size > 0
+    one = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw[8:8 + size])).decompressobj()
+    assert b"WARC-Type: warcinfo" in one.decompress(raw[8 + size:])
+
+
+# 10. sharding
+
+def plain_table(names, slots):
+    owner, nth, filled = {}, [0] * len(names), 0
+    while filled < slots:
+        for i, name in enumerate(names):
+            offset, skip = sharding.preference(name, slots)
+            while (offset + nth[i] * skip) % slots in owner:
+                nth[i] += 1
+            owner[(offset + nth[i] * skip) % slots] = i
+            filled += 1
+            if filled == slots:
+                break
+    return [owner[k] for k in range(slots)]
+
+
+def test_table_is_even_and_stable():
+    names = [f"s{i}" for i in range(9)]
+    table = sharding.fill_table(names, 997)
+    assert table == plain_table(names, 997)
+    assert max(Counter(table).values()) - min(Counter(table).values()) <= 1
+    fewer = sharding.fill_table(names[:-1], 997)
+    moved = sum(a != b for a, b in zip(table, fewer, strict=True) if a != 8)
+    assert moved < 0.15 * 997
+    for bad in ([], ["a", "a"]):
+        with pytest.raises(ValueError):
+            sharding.fill_table(bad, 997)
+    with pytest.raises(ValueError):
+        sharding.fill_table(names, 1000)
+
+
+def test_placement(spark, edge_docs, no_docs, tmp_path):
+    names = queries.SHARDS
+    out = sharding.assign_shards(clashing(edge_docs), "doc_id", names)
+    rows = out.collect()
+    table = sharding.fill_table(names)
+    assert len(rows) == len(edge_rows()) and out.columns.count("shard") == 1
+    assert all(r["shard"] == table[r["slot"]] for r in rows)
+    assert len({r["shard"] for r in rows if r["doc_id"] == 42}) == 1
+    assert sharding.assign_shards(no_docs, "doc_id", names).collect() == []
+    sharding.write_shards(edge_docs, "doc_id", names, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert Counter(r["doc_id"] for r in back.collect()) == Counter(r[0] for r in edge_rows())

@@ -1,11 +1,11 @@
 """Line dedup by winnowing over line hashes.
 
-A line's identity is a 128-bit hash of its text; blank
-lines are passed over and kept. A line weighs its number of words. A *run* is
-a sequence of consecutive non-blank lines; a run of ``min_words`` words or
-more that already occurred earlier (smaller doc_id, then smaller key, then
-earlier line; also inside one document, overlaps included) is deleted, its
-first occurrence stays.
+A line's identity is a 128-bit hash of its text, its weight the number of its
+words. Blank lines are passed over, and go only where they lie inside a deleted
+run. A *run* is a sequence of consecutive non-blank lines; a run of
+``min_words`` words or more that already occurred earlier (smaller doc_id, then
+smaller key, then earlier line; also inside one document, overlaps included) is
+deleted, its first occurrence stays.
 
 1. Fingerprints. From every line starts a gram: the shortest run of at least
    ``min_words // 2`` words, hashed. Over the shortest stretch of

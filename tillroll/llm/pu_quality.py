@@ -9,8 +9,8 @@ non-negative unbiased risk
 with the logistic loss, by full-gradient steps; where the second term is
 negative its gradient is reversed, so the negative risk stays non-negative. The
 class prior pi is estimated from all labelled training rows (the share of 1s,
-add-one); where labels hold positives only, by the smallest ratio of unlabelled
-to positive mass over the statistics' bins.
+add-one); where labels hold positives only, by the lower quartile of the ratios of
+unlabelled to positive mass over the statistics' usual bins.
 
 Statistics come from the whole text alone: its byte classes, words, repeats and
 lines. Fitting takes a bounded sample of training rows (``most_rows`` of each
@@ -130,7 +130,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, p: Qu
     mass_u = np.bincount(xu.ravel(), minlength=size) / len(xu)
     if prior is None:
         usual = mass_p >= 0.05
-        prior = float(np.clip((mass_u[usual] / mass_p[usual]).min(initial=1.0), 0.05, 0.95))
+        ratio = mass_u[usual] / mass_p[usual]
+        prior = float(np.clip(np.quantile(ratio, 0.25) if len(ratio) else 0.5, 0.05, 0.95))
     w, bias = np.zeros(size), float(np.log(prior / (1 - prior)))
     moment, speed = np.zeros(size + 1), np.zeros(size + 1)
     # Bins a text falls into are few: gradients are sums over rows per bin.
