@@ -31,7 +31,7 @@ def test_combos_sorted_duplicates_kept_singles_dropped(make_sales):
                        ("A, B", 2, Decimal("13.00"), Decimal("6.50"))]
     top = [r.product_cate_combo for r in basket.top_combos(df, n=1).collect()]
     assert top == ["A, B"]
-    distinct = sorted(r.product_cate_combo for r in basket.basket_contents(df, distinct=True).collect())
+    distinct = sorted(r.product_cate_combo for r in basket.basket_combos(df, distinct=True).collect())
     assert distinct == ["A, B", "A, B"]
 
 
@@ -43,6 +43,29 @@ def test_combos_independent_of_row_order_and_partitions(make_sales):
         assert sorted(tuple(r) for r in basket.basket_combos(shuffled).collect()) == base
 
 
+def test_items_that_hold_the_separator_stay_apart(make_sales):
+    df = make_sales([line(1, "2023-01-02", "07:00:00", 1, 3, "2.00", "A, B"), line(2, "2023-01-02", "07:00:00", 1, 3, "1.00", "C"),
+                     line(3, "2023-01-02", "08:00:00", 1, 3, "2.00", "A"), line(4, "2023-01-02", "08:00:00", 1, 3, "3.00", "B, C")])
+    assert sorted(tuple(r)[:3] for r in basket.combo_summary(df).collect()) == [
+        ("A, B, C", 1, Decimal("3.00")), ("A, B, C", 1, Decimal("5.00"))]
+    found = {r.product_category for r in basket.products_in_combo(df, ["A, B", "C"]).collect()}
+    assert found == {"A, B", "C"}
+
+
+def test_key_parts_and_key_text_give_the_same_baskets(make_sales):
+    df, parts = _baskets(make_sales), ("transaction_date", "transaction_time", "store_id")
+    for fn in (basket.basket_combos, basket.combo_summary):
+        assert sorted(map(tuple, fn(df, parts=parts).collect())) == sorted(map(tuple, fn(df).collect()))
+
+
+def test_hot_basket(spark):
+    df = spark.range(1_000_000).selectExpr(
+        "'k' as transaction", "1 as store_id", "'s' as store_location", "cast(id % 3 as string) as product_category",
+        "cast(1 as decimal(12,2)) as revenue")
+    assert [r.combo_transaction for r in basket.combo_summary(df).collect()] == [1]
+    assert len(basket.basket_combos(df).first().product_cate_combo) == 3 * 1_000_000 - 2
+
+
 def test_products_in_combo(make_sales):
     df = _baskets(make_sales)
     out = sorted((r.product_category, r.product_detail, r.total_transactions, r.rank_by_revenue)

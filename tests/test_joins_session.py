@@ -1,7 +1,9 @@
 import contextlib
 import io
 
-from tillroll.operators.joins import bounded_broadcast, growing
+import pytest
+
+from tillroll.operators.joins import bounded_broadcast
 from tillroll.session import shared_dir
 
 
@@ -12,23 +14,15 @@ def _plan(df) -> str:
     return buf.getvalue()
 
 
-def test_bounded_broadcast_checks_rows_and_falls_back(spark):
+def test_bounded_broadcast_checks_rows_and_bytes(spark):
     big = spark.range(1000).withColumnRenamed("id", "k")
     small = spark.range(10).withColumnRenamed("id", "k")
     within = big.join(bounded_broadcast(small, max_rows=10), "k")
     assert "BroadcastHashJoin" in _plan(within)
-    beyond = big.join(bounded_broadcast(small, max_rows=9, otherwise="merge"), "k")
-    plan = _plan(beyond)
-    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
-    assert within.count() == beyond.count() == 10
-
-
-def test_growing_sides_join_by_sort_merge(spark):
-    a = spark.range(20).withColumnRenamed("id", "k")
-    b = spark.range(5).withColumnRenamed("id", "k")
-    joined = growing(a).join(growing(b), "k")
-    assert "SortMergeJoin" in _plan(joined)
-    assert joined.count() == 5
+    for beyond in (bounded_broadcast(small, max_rows=9), bounded_broadcast(small, max_bytes=79)):
+        joined = big.join(beyond, "k")
+        assert "BroadcastExchange" not in _plan(joined)
+        assert within.count() == joined.count() == 10
 
 
 def test_shared_dir_is_the_sessions_checkpoint_folder(spark):
@@ -37,10 +31,17 @@ def test_shared_dir_is_the_sessions_checkpoint_folder(spark):
     assert spark.sparkContext.getCheckpointDir().rstrip("/") == first
 
 
-def test_scale_settings_size_partitions_from_input():
-    from tillroll.session import scale_settings
+def test_shared_dir_needs_a_setting_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+        @staticmethod
+        def getConf():
+            return {}
+
+    class Session:
+        sparkContext = Context
 
-    tb100 = scale_settings(100 * (1 << 40), total_cores=8000)
-    assert int(tb100["spark.sql.shuffle.partitions"]) == 409600      # 100 TB / 256 MB
-    assert scale_settings(10 << 20, total_cores=8)["spark.sql.shuffle.partitions"] == "16"
-    assert tb100["spark.sql.autoBroadcastJoinThreshold"] == "-1"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)

@@ -6,8 +6,8 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry_mod
 from tests.conftest import SF_SMOKE, have_data
+from tillroll.plans import REPORTS
 from tillroll.sources.sales import build_sales
 
 
@@ -22,7 +22,7 @@ def _plan(df) -> str:
 def plans(spark):
     if not have_data(SF_SMOKE):
         pytest.skip("no smoke data")
-    return {name: _plan(fn(spark, SF_SMOKE)) for name, fn in entry_mod.queries().items()}
+    return {name: _plan(fn(spark, SF_SMOKE)) for name, fn in REPORTS.items()}
 
 
 def test_no_python_on_any_report_path(plans):
@@ -44,7 +44,7 @@ def test_category_and_type_filters_reach_the_scan(plans):
 def test_reports_read_only_the_columns_they_use(plans):
     schema = re.search(r"ReadSchema: struct<(.*)>", plans["store_summary"]).group(1)
     assert sorted(re.findall(r"(\w+):", schema)) == \
-        ["revenue", "store_id", "store_location", "transaction", "transaction_qty"]
+        ["customer_id", "revenue", "store_id", "store_location", "transaction_date", "transaction_qty"]
 
 
 def test_top_n_is_cut_before_the_shuffle(plans):
@@ -68,4 +68,15 @@ def test_sales_build_broadcasts_only_fixed_lookups(spark):
         pytest.skip("no smoke data")
     tree = _plan(build_sales(spark, SF_SMOKE)).split("\n\n")[0]
     assert tree.count("BroadcastExchange (") == 2          # nation and region
-    assert tree.count("SortMergeJoin") == 3                  # orders, lineitem, part
+    assert tree.count("SortMergeJoin") == 3                  # orders, lineitem, part (AQE may do otherwise)
+
+
+def test_event_reports_take_the_hour_from_the_timestamp(plans):
+    for name in ("time_parts", "time_names", "hourly_traffic", "basket_size_by_time", "peak_hours"):
+        assert "date_format" not in plans[name], name
+
+
+def test_date_sorts_can_split_a_hot_date(plans):
+    for name in ("daily_price_units", "within_day_elasticity", "within_day_elasticity_minmax"):
+        key = re.search(r"rangepartitioning\((.*)\)", plans[name]).group(1)
+        assert "transaction_date" in key and "product_detail" in key, name

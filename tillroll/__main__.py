@@ -26,10 +26,10 @@ def run(spark: SparkSession, source: str, out: str, fmt: str = "parquet",
         out_format: str = "csv", only: list[str] | None = None) -> list[str]:
     reports = study_reports(read_sales(spark, source, fmt))
     written = []
-    for name, df in reports.items():
+    for name in reports:
         if only and name not in only:
             continue
-        write_report(df, f"{out.rstrip('/')}/{folder_name(name)}", fmt=out_format)
+        write_report(reports[name], f"{out.rstrip('/')}/{folder_name(name)}", fmt=out_format)
         written.append(name)
     return written
 

@@ -1,95 +1,134 @@
 """Market-basket operators.
 
-A basket's content string lists its items sorted, duplicates kept
-("Tea, Tea" is possible: the study counts lines, not distinct items).
+A basket's content lists its items sorted, duplicates kept ("Tea, Tea" is
+possible: the study counts lines, not distinct items).
 
 Plan, built to survive a basket or item that holds a large share of rows:
   1. aggregate to (basket, item): a line count and revenue per item. The
      partial aggregate combines a hot basket map-side, so what is shuffled is
-     at most one row per (basket, item) per task;
-  2. aggregate to basket: the sorted list has at most one entry per distinct
-     item (the item and its part of the string, the item repeated once per
-     line), and the parts are joined in item order.
-No step collects raw lines of a basket into one list.
+     at most one row per (basket, item) per task. Baskets are grouped by the
+     parts of their key, not by its text;
+  2. aggregate to basket: a sorted list of (item, lines), at most one entry
+     per distinct item. Combos are grouped and compared as these lists, so
+     items that hold the separator stay apart.
+The content's text, each item repeated once per line, is written in the last
+projection only; for ``basket_combos`` that text is the statement's own
+output, and a basket whose text passes 2 GB cannot be a row of it.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.money import exact, ratio
 from tillroll.operators.ranking import rank_within
 
+CONTENT = "_content"
 
-def basket_contents(df: DataFrame, basket: str = "transaction", item: str = "product_category",
+
+def _key(parts: Sequence[str]) -> list[Column]:
+    """The key's parts; all NULL as soon as one is (the key's text is NULL then)."""
+    whole = F.lit(True)
+    for p in parts:
+        whole = whole & F.col(p).isNotNull()
+    return [F.when(whole, F.col(p)).alias(f"_key_{i}") for i, p in enumerate(parts)]
+
+
+def basket_contents(df: DataFrame, parts: Sequence[str] = ("transaction",), item: str = "product_category",
                     keys: Sequence[str] = (), revenue: str = "revenue",
-                    min_lines: int = 2, distinct: bool = False, sep: str = ", ",
-                    combo: str = "product_cate_combo") -> DataFrame:
+                    min_lines: int = 2, distinct: bool = False) -> DataFrame:
     """One row per basket with at least ``min_lines`` non-NULL items (or
-    distinct items when ``distinct``): basket, keys, combo string, revenue
-    (all lines of the basket)."""
-    per_item = (df.groupBy(basket, *keys, item)
-                  .agg(F.count(item).alias("_n"), F.sum(revenue).alias("_rev")))
-    # an item's part of the content string: the item once per line (or once)
-    text = F.col(item) if distinct else F.array_join(F.array_repeat(F.col(item), F.col("_n").cast("int")), sep)
-    entry = F.when(F.col("_n") > 0, F.struct(F.col(item).alias("item"), text.alias("text")))
-    per_basket = (per_item.groupBy(basket, *keys)
-                  .agg(F.sum("_n").alias("_lines"),
-                       F.count(entry).alias("_items"),
-                       F.sum("_rev").alias(revenue),
-                       F.sort_array(F.collect_list(entry)).alias("_list")))
+    distinct items when ``distinct``): the key's parts as ``_key_0`` ..., keys,
+    the sorted list of (item, lines) as ``_content``, and the revenue of all
+    its lines."""
+    key = [f"_key_{i}" for i in range(len(parts))]
+    lines = df.select(*_key(parts), *keys, F.col(item).alias("_item"), F.col(revenue).alias("_revenue"))
+    per_item = lines.groupBy(*key, *keys, "_item").agg(
+        F.count("_item").alias("_n"), F.sum("_revenue").alias("_rev"))
+    entry = F.when(F.col("_n") > 0, F.struct(
+        F.col("_item").alias("item"), (F.lit(1).cast("bigint") if distinct else F.col("_n")).alias("n")))
+    per_basket = (per_item.groupBy(*key, *keys)
+                  .agg(F.sum("_n").alias("_lines"), F.count(entry).alias("_items"), F.sum("_rev").alias(revenue),
+                       F.sort_array(F.collect_list(entry)).alias(CONTENT)))
     size = F.col("_items") if distinct else F.col("_lines")
-    content = F.array_join(F.col("_list").getField("text"), sep)    # parts in item order
-    return (per_basket.where(size >= min_lines)
-            .select(basket, *keys, content.alias(combo), revenue))
+    return per_basket.where(size >= min_lines).select(*key, *keys, CONTENT, revenue)
+
+
+def _text(sep: str) -> Column:
+    """A content as text, every item once per line."""
+    return F.array_join(F.flatten(F.transform(
+        CONTENT, lambda x: F.array_repeat(x["item"], x["n"].cast("int")))), sep)
 
 
 def basket_combos(df: DataFrame, basket: str = "transaction", item: str = "product_category",
                   keys: Sequence[str] = ("store_id", "store_location"), ordered: bool = True,
-                  **kw) -> DataFrame:
+                  parts: Sequence[str] | None = None, sep: str = ", ",
+                  combo: str = "product_cate_combo", revenue: str = "revenue", **kw) -> DataFrame:
     """A1: content string and revenue of each multi-line basket, in basket
-    order (``ordered=False`` skips that global sort of all baskets)."""
-    out = basket_contents(df, basket, item, keys, **kw)
+    order (``ordered=False`` skips that global sort of all baskets). ``parts``
+    are the columns that make up the key ``basket`` (default: that column)."""
+    parts = parts or (basket,)
+    out = basket_contents(df, parts, item, keys, revenue, **kw)
+    name = F.concat_ws(" ", *(F.col(f"_key_{i}").cast("string") for i in range(len(parts))))
+    name = F.when(F.col("_key_0").isNotNull(), name) if len(parts) > 1 else F.col("_key_0")
+    out = out.select(name.alias(basket), *keys, _text(sep).alias(combo), revenue)
     return out.orderBy(F.col(basket).asc_nulls_last()) if ordered else out
 
 
-def combo_summary(df: DataFrame, basket: str = "transaction", item: str = "product_category",
-                  combo: str = "product_cate_combo", digits: int = 2, **kw) -> DataFrame:
+def _combos(df: DataFrame, parts: Sequence[str], item: str, digits: int, **kw) -> DataFrame:
+    baskets = basket_contents(df, parts, item, (), **kw)
+    return (baskets.groupBy(CONTENT)
+            .agg(F.count(F.lit(1)).alias("combo_transaction"),
+                 F.sum("revenue").alias("total_revenue"),
+                 ratio(F.sum("revenue"), exact(F.count(F.lit(1))), digits).alias("avg_transaction_value")))
+
+
+def _named(combos: DataFrame, combo: str, sep: str) -> DataFrame:
+    return combos.select(_text(sep).alias(combo), "combo_transaction", "total_revenue", "avg_transaction_value")
+
+
+def combo_summary(df: DataFrame, item: str = "product_category", combo: str = "product_cate_combo",
+                  digits: int = 2, parts: Sequence[str] = ("transaction",), sep: str = ", ", **kw) -> DataFrame:
     """A2 before its limit: per combo the number of baskets, their revenue
     and revenue per basket."""
-    baskets = basket_contents(df, basket, item, (), combo=combo, **kw)
-    return (baskets.groupBy(combo)
-            .agg(F.count(combo).alias("combo_transaction"),
-                 F.sum("revenue").alias("total_revenue"),
-                 ratio(F.sum("revenue"), exact(F.count(combo)), digits).alias("avg_transaction_value")))
+    return _named(_combos(df, parts, item, digits, **kw), combo, sep)
 
 
-def top_combos(df: DataFrame, n: int = 7, combo: str = "product_cate_combo", **kw) -> DataFrame:
+def top_combos(df: DataFrame, n: int = 7, item: str = "product_category", combo: str = "product_cate_combo",
+               digits: int = 2, parts: Sequence[str] = ("transaction",), sep: str = ", ", **kw) -> DataFrame:
     """A2: the ``n`` combos with the most revenue (ties broken by combo
-    text). A distributed top-k: each task keeps ``n`` rows."""
-    return (combo_summary(df, combo=combo, **kw)
-            .orderBy(F.col("total_revenue").desc_nulls_first(), F.col(combo).asc_nulls_last())
-            .limit(n))
+    content). A distributed top-k: each task keeps ``n`` rows, and only those
+    become text."""
+    best = (_combos(df, parts, item, digits, **kw)
+            .orderBy(F.col("total_revenue").desc_nulls_first(), F.col(CONTENT).asc()).limit(n))
+    return _named(best, combo, sep).orderBy(F.col("total_revenue").desc_nulls_first(), F.col(combo).asc())
 
 
-def products_in_combo(df: DataFrame, combo_value: str, basket: str = "transaction",
+def products_in_combo(df: DataFrame, combo_value: str | Sequence[str], parts: Sequence[str] = ("transaction",),
                       item: str = "product_category", product: str = "product_detail",
-                      top: int | None = None, method: str = "window", **kw) -> DataFrame:
-    """Best products inside the baskets of one combo: the baskets whose
-    content string equals ``combo_value`` (semi join back to their lines),
-    then units and revenue per item × product ranked by revenue inside item.
+                      top: int | None = None, method: str | None = None, sep: str = ", ",
+                      min_lines: int = 2, distinct: bool = False) -> DataFrame:
+    """Best products inside the baskets of one combo (its items as a list, or
+    as text that ``sep`` splits): the baskets whose content equals it (semi
+    join back to their lines), then units and revenue per item × product
+    ranked by revenue inside item.
 
     The semi join shuffles the lines by basket; AQE splits the partition of a
     hot basket (left-semi joins are split on the left side). A window per
     basket over (basket, item, product) rows was measured as the other plan:
     it shuffles more, because those rows hardly combine when baskets are
     small."""
-    baskets = (basket_contents(df, basket, item, (), **kw)
-               .where(F.col("product_cate_combo") == F.lit(combo_value)).select(basket))
-    lines = df.join(baskets, on=basket, how="left_semi")
+    items = combo_value.split(sep) if isinstance(combo_value, str) else combo_value
+    wanted = F.array(*(F.struct(F.lit(i).alias("item"), F.lit(1 if distinct else n).cast("bigint").alias("n"))
+                       for i, n in sorted(Counter(items).items())))
+    baskets = basket_contents(df, parts, item, (), min_lines=min_lines, distinct=distinct).where(
+        F.col(CONTENT) == wanted)
+    key = [f"_key_{i}" for i in range(len(parts))]
+    lines = df.select("*", *_key(parts)).join(baskets.where(F.col(key[0]).isNotNull()).select(*key), key, "left_semi")
     per_product = (lines.groupBy(item, product)
                    .agg(F.sum("transaction_qty").alias("total_transactions"),
                         F.sum("revenue").alias("total_revenue")))

@@ -1,31 +1,33 @@
-"""Join helpers with an explicit broadcast policy.
-
-* ``bounded_broadcast`` broadcasts a side only after checking that it has at
-  most ``max_rows`` rows (a ``limit(max_rows + 1).count()`` job, which stops
-  reading once the bound is passed); beyond the bound the side is returned as
-  is and the planner shuffles it. Meant for narrow tables, where a row bound
-  is a byte bound.
-* ``growing`` marks a side whose size grows with the data: it is never
-  broadcast statically, the join is planned as a sort-merge join (which
-  spills and which AQE splits when a key is skewed).
+"""Broadcast only what a size check allows.
+
+``bounded_broadcast`` marks a side for broadcast after counting its rows (a
+count reads parquet footers and sends one number per task, no rows) and
+multiplying by the width of a row; beyond either bound the side is returned
+as is and Spark plans the join by its own size checks. Sides that grow with
+the data carry no hint at all.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 DEFAULT_MAX_ROWS = 100_000
+DEFAULT_MAX_BYTES = 32 << 20
+TEXT_BYTES = 64  # taken for the width of a text
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
-                      otherwise: str | None = None) -> DataFrame:
-    """``F.broadcast(df)`` when ``df`` has at most ``max_rows`` rows; else
-    ``df`` itself, with the join hint ``otherwise`` (e.g. "merge") if given."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df.hint(otherwise) if otherwise else df
+def row_bytes(df: DataFrame) -> int:
+    """Width of a row: eight bytes a column, more for text."""
+    return sum(TEXT_BYTES if isinstance(f.dataType, StringType) else 8 for f in df.schema.fields)
 
 
-def growing(df: DataFrame) -> DataFrame:
-    return df.hint("merge")
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
+                      max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
+    """``F.broadcast(df)`` when ``df`` has at most ``max_rows`` rows and about
+    ``max_bytes`` bytes; else ``df`` itself."""
+    rows = df.count()
+    if rows <= max_rows and rows * row_bytes(df) <= max_bytes:
+        return F.broadcast(df)
+    return df

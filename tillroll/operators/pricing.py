@@ -23,6 +23,11 @@ from tillroll.functions.money import PRICE_TYPE, exact, ratio
 DATE, QTY = "transaction_date", "transaction_qty"
 
 
+def _in_date_order(df: DataFrame, *then: str) -> DataFrame:
+    """Date order; the further keys let a sort split a date that holds many rows."""
+    return df.orderBy(*(F.col(c).asc_nulls_last() for c in (DATE, *then)))
+
+
 def _price_lit(value) -> F.Column:
     return F.lit(Decimal(str(value))).cast(PRICE_TYPE)
 
@@ -48,13 +53,14 @@ def daily_price_units(df: DataFrame, products: Sequence[str] | None = None,
     if products is not None:
         df = df.where(F.col(product).isin(list(products)))
     out = daily_units(df, product, price)
-    return out.orderBy(F.col(DATE).asc_nulls_last()) if ordered else out
+    return _in_date_order(out, product, price) if ordered else out
 
 
 def price_list(df: DataFrame, by: Sequence[str] = ("product_category", "product_type", "product_detail"),
                price: str = "unit_price", revenue: str = "revenue", sep: str = ", ") -> DataFrame:
     """Products with two or more prices: their distinct prices in
-    numeric order as text, and revenue; revenue first."""
+    numeric order as text, and revenue; revenue first. The list holds a
+    product's distinct prices, not its lines."""
     per_price = df.groupBy(*by, price).agg(F.sum(revenue).alias("_rev"))
     out = (per_price.groupBy(*by)
            .agg(F.count(price).alias("_prices"),
@@ -93,7 +99,7 @@ def within_day_elasticity(df: DataFrame, product: str = "product_detail", price:
         "p_base", F.col("q_base").cast("bigint").alias("q_base"),
         "p_hike", F.col("q_hike").cast("bigint").alias("q_hike"),
         arc_elasticity("q_base", "q_hike", "p_base", "p_hike", digits).alias("price_elasticity"))
-    return out.orderBy(F.col(DATE).asc_nulls_last()) if ordered else out
+    return _in_date_order(out, product) if ordered else out
 
 
 def _per_day(df: DataFrame, product: str, price: str, base_price) -> DataFrame:

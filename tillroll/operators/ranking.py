@@ -1,6 +1,7 @@
 """RANK() inside a partition (ties share a rank and leave a gap).
 
-Two plans:
+Two plans; full rankings take the second, rankings with ``top=`` the first,
+unless ``method`` says otherwise:
 
 * ``method="window"`` — ``rank().over(partitionBy(...))``: one shuffle by the
   partition key. With ``top=`` Spark inserts a partial WindowGroupLimit before
@@ -31,8 +32,9 @@ from tillroll.session import shared_dir
 
 
 def rank_within(df: DataFrame, partition: Sequence[str], order: Sequence[Column],
-                name: str = "rank", top: int | None = None, method: str = "window",
+                name: str = "rank", top: int | None = None, method: str | None = None,
                 slices: int | None = None) -> DataFrame:
+    method = method or ("range" if top is None else "window")
     if method == "window":
         w = Window.partitionBy(*partition).orderBy(*order)
         out = df.withColumn(name, F.rank().over(w))

@@ -31,10 +31,24 @@ from pyspark.sql.types import DecimalType
 
 from tillroll.functions.money import exact, ratio
 
-QTY, REVENUE, LINE_ID, BASKET = "transaction_qty", "revenue", "transaction_id", "transaction"
+QTY, REVENUE, LINE_ID = "transaction_qty", "revenue", "transaction_id"
+BASKET = ("transaction",)
 
 
-def metric(kind, digits: int = 3) -> Column:
+def basket_count(parts: Sequence[str], by: Sequence[str] = ()) -> Column:
+    """Distinct baskets by the parts of their key; a NULL part is no basket.
+    Parts that are grouped by anyway are only checked for NULL."""
+    rest = [p for p in parts if p not in by]
+    if not rest:
+        return F.countDistinct(F.when(F.concat(*(F.col(p).cast("string") for p in parts)).isNotNull(), F.lit(1)))
+    first = F.col(rest[0])
+    for p in parts:
+        if p in by:
+            first = F.when(F.col(p).isNotNull(), first)
+    return F.countDistinct(first, *rest[1:])
+
+
+def metric(kind, digits: int = 3, basket: Sequence[str] = BASKET, by: Sequence[str] = ()) -> Column:
     if isinstance(kind, tuple):
         op, col = kind
         if op != "distinct":
@@ -49,11 +63,11 @@ def metric(kind, digits: int = 3) -> Column:
     if kind == "line_count":
         return F.count(LINE_ID)
     if kind == "baskets":
-        return F.countDistinct(BASKET)
+        return basket_count(basket, by)
     if kind == "atv":
-        return ratio(F.sum(REVENUE), exact(F.countDistinct(BASKET)), digits)
+        return ratio(F.sum(REVENUE), exact(basket_count(basket, by)), digits)
     if kind == "units_per_basket":
-        return ratio(exact(F.sum(QTY)), exact(F.countDistinct(BASKET)), digits)
+        return ratio(exact(F.sum(QTY)), exact(basket_count(basket, by)), digits)
     if kind == "avg_unit_revenue":
         return ratio(F.sum(REVENUE), exact(F.sum(QTY)), digits)
     raise ValueError(f"unknown metric {kind!r}")
@@ -65,8 +79,8 @@ _ADDITIVE = {"units", "revenue", "line_count", "avg_unit_revenue"}
 
 def summarize(df: DataFrame, by: Sequence[str], metrics: Mapping[str, object],
               where: Column | None = None, order: Sequence[Column] | None = None,
-              digits: int = 3) -> DataFrame:
-    """``where`` is applied before grouping (and reaches the parquet scan);
+              digits: int = 3, basket: Sequence[str] = BASKET) -> DataFrame:
+    """``basket`` names the columns that make a basket's key. ``where`` is applied before grouping (and reaches the parquet scan);
     ``order`` sorts the result (a range shuffle of the small aggregate).
 
     Several DISTINCT counts on different columns would make Spark expand every
@@ -80,7 +94,7 @@ def summarize(df: DataFrame, by: Sequence[str], metrics: Mapping[str, object],
     if len(distinct) >= 2 and all(isinstance(k, tuple) or k in _ADDITIVE for k in metrics.values()):
         out = _distinct_over_sums(df, by, metrics, distinct, digits)
     else:
-        out = df.groupBy(*by).agg(*[metric(kind, digits).alias(name) for name, kind in metrics.items()])
+        out = df.groupBy(*by).agg(*[metric(kind, digits, basket, by).alias(name) for name, kind in metrics.items()])
     if order:
         out = out.orderBy(*order)
     return out

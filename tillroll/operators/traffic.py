@@ -36,12 +36,13 @@ def hourly_traffic(df: DataFrame, by: Sequence[str] = ("month", "day_of_week", "
 
 def basket_size_by_time(df: DataFrame,
                         by: Sequence[str] = ("store_location", "month", "day_of_week", "hour"),
-                        time: str = "transaction_time", digits: int = 3) -> DataFrame:
+                        time: str = "transaction_time", digits: int = 3,
+                        basket: Sequence[str] = ("transaction",)) -> DataFrame:
     """E9 / E9′: units per basket by the given time keys, in Monday-first
     weekday and hour order (as the study orders it; month is not a sort key)."""
     named = with_time_names(df, time=time)
     return summarize(named, list(by), {"avg_transaction_qty": "units_per_basket"},
-                     order=_time_order(by, with_month=False), digits=digits)
+                     order=_time_order(by, with_month=False), digits=digits, basket=basket)
 
 
 def peak_hours(df: DataFrame, store: str = "store_location", time: str = "transaction_time",
@@ -50,6 +51,6 @@ def peak_hours(df: DataFrame, store: str = "store_location", time: str = "transa
     named = with_time_names(df, time=time)
     hourly = summarize(named, [store, "hour"], {"total_transactions": "units"})
     ranked = rank_within(hourly, [store], [F.col("total_transactions").desc_nulls_first()],
-                         name="hour_rank")
+                         name="hour_rank", method="window")  # 24 hours a store
     return (ranked.withColumn("is_peak", F.col("hour_rank") <= top)
             .orderBy(F.col(store).asc_nulls_last(), F.col("hour_rank"), F.col("hour")))

@@ -45,7 +45,7 @@ PROXY = ReportParams(
     pair_categories=("SMALL", "MEDIUM"),
     top_types=("Brand#1", "Brand#2", "Brand#3"),
     bottom_types=("Brand#22", "Brand#23", "Brand#24", "Brand#25"),
-    one_categories=("LARGE",),
+    one_categories=("LARGE", "SMALL", "MEDIUM", "PROMO"),
     two_categories=("LARGE", "SMALL"),
     combo="LARGE, STANDARD",
     combo_categories=("LARGE", "STANDARD"),

@@ -17,9 +17,9 @@ the last projection of the registered reports.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-from functools import cached_property
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, replace
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +30,8 @@ from tillroll.operators.ranking import bottom_within, rank_within
 from tillroll.operators.summary import metric, summarize
 from tillroll.plans.edge import report_edge
 from tillroll.plans.params import PROXY, STUDY, ReportParams
-from tillroll.sources.sales import event_sales, prepare_sales, sales
+from tillroll.sources.sales import (BASKET_PARTS, EVENT_BASKET_PARTS, STUDY_BASKET_PARTS, event_sales, prepare_sales,
+                                    sales)
 from tillroll.sources.tables import read_table
 
 
@@ -43,6 +44,9 @@ class Inputs:
     build_nullable: Callable[[], DataFrame]
     build_amounts: Callable[[], tuple[DataFrame, list[str]]]
     params: ReportParams
+    time: str                        # time of day in ``timed``
+    basket: Sequence[str]            # the basket key's parts in ``sales``
+    timed_basket: Sequence[str]      # and in ``timed``
 
     @cached_property
     def sales(self) -> DataFrame:
@@ -97,18 +101,20 @@ def proxy_inputs(spark: SparkSession, sf_dir: str, params: ReportParams = PROXY)
         build_priced=priced,
         build_nullable=nullable,
         build_amounts=lambda: (read_table(spark, sf_dir, "customer"), ["c_acctbal"]),
-        params=params)
+        params=params, time="transaction_ts", basket=BASKET_PARTS, timed_basket=EVENT_BASKET_PARTS)
 
 
 def study_inputs(df: DataFrame, params: ReportParams = STUDY) -> Inputs:
     lines = prepare_sales(df)
+    # A table that brings its own basket key is grouped by that key.
+    basket = ("transaction",) if "transaction" in df.columns else STUDY_BASKET_PARTS
     return Inputs(
         build_sales=lambda: lines,
         build_timed=lambda: lines,
         build_priced=lambda: lines,
         build_nullable=lambda: df,
         build_amounts=lambda: (df, ["transaction_qty", "unit_price"]),
-        params=params)
+        params=params, time="transaction_time", basket=basket, timed_basket=basket)
 
 
 ReportFn = Callable[[Inputs], DataFrame]
@@ -192,13 +198,13 @@ def basket_collisions(inp: Inputs) -> DataFrame:
 @report("time_parts")
 def time_parts(inp: Inputs) -> DataFrame:
     """Month, weekday (Sunday = 0) and hour numbers."""
-    return enrich.with_time_parts(inp.timed).select("transaction_id", "month", "day_of_week", "hour")
+    return enrich.with_time_parts(inp.timed, time=inp.time).select("transaction_id", "month", "day_of_week", "hour")
 
 
 @report("time_names")
 def time_names(inp: Inputs) -> DataFrame:
     """Month and weekday names."""
-    return enrich.with_time_names(inp.timed).select("transaction_id", "month", "day_of_week", "hour")
+    return enrich.with_time_names(inp.timed, time=inp.time).select("transaction_id", "month", "day_of_week", "hour")
 
 
 @report("line_revenue")
@@ -236,31 +242,38 @@ def store_summary(inp: Inputs) -> DataFrame:
     return summarize(
         inp.sales, ["store_id", "store_location"],
         {"total_revenue": "revenue", "total_transactions": "units", "avg_transaction_value": "atv"},
-        order=[desc_revenue()])
+        order=[desc_revenue()], basket=inp.basket)
 
 
 @report("hourly_traffic")
 def hourly_traffic(inp: Inputs) -> DataFrame:
     """Units and revenue by month, weekday, hour and store."""
-    return traffic.hourly_traffic(inp.timed)
+    return traffic.hourly_traffic(inp.timed, time=inp.time)
 
 
 @report("basket_size_by_store")
 def basket_size_by_store(inp: Inputs) -> DataFrame:
     """Units per basket by store."""
-    return summarize(inp.sales, ["store_id", "store_location"], {"avg_transaction_qty": "units_per_basket"})
+    return summarize(inp.sales, ["store_id", "store_location"], {"avg_transaction_qty": "units_per_basket"},
+                     basket=inp.basket)
 
 
 @report("basket_size_by_time")
 def basket_size_by_time(inp: Inputs) -> DataFrame:
     """Units per basket by store, month, weekday and hour."""
-    return traffic.basket_size_by_time(inp.timed)
+    return traffic.basket_size_by_time(inp.timed, time=inp.time, basket=inp.timed_basket)
 
 
 @report("basket_size_by_dow_hour")
 def basket_size_by_dow_hour(inp: Inputs) -> DataFrame:
     """E9′: units per basket by weekday and hour (the exported variant)."""
-    return traffic.basket_size_by_time(inp.timed, ["day_of_week", "hour"])
+    return traffic.basket_size_by_time(inp.timed, ["day_of_week", "hour"], time=inp.time, basket=inp.timed_basket)
+
+
+@report("basket_size_by_hour")
+def basket_size_by_hour(inp: Inputs) -> DataFrame:
+    """E9 over all stores and days: units per basket by hour."""
+    return traffic.basket_size_by_time(inp.timed, ["hour"], time=inp.time, basket=inp.timed_basket)
 
 
 @report("category_summary")
@@ -406,25 +419,26 @@ def bottom_n_per_category(inp: Inputs) -> DataFrame:
 @report("basket_combos")
 def basket_combos(inp: Inputs) -> DataFrame:
     """A1: content and revenue of each basket with two or more lines."""
-    return basket.basket_combos(inp.sales)
+    return basket.basket_combos(inp.sales, parts=inp.basket)
 
 
 @report("combo_summary")
 def combo_summary(inp: Inputs) -> DataFrame:
     """A2 without its limit: baskets, revenue and revenue per basket by combo."""
-    return basket.combo_summary(inp.sales)
+    return basket.combo_summary(inp.sales, parts=inp.basket)
 
 
 @report("top_combos")
 def top_combos(inp: Inputs) -> DataFrame:
     """A2: the combos with the most revenue (seven)."""
-    return basket.top_combos(inp.sales, n=inp.params.top_combos)
+    return basket.top_combos(inp.sales, n=inp.params.top_combos, parts=inp.basket)
 
 
 @report("products_in_combo")
 def products_in_combo(inp: Inputs) -> DataFrame:
     """Best products inside the baskets of one combo, by category."""
-    out = basket.products_in_combo(inp.sales, inp.params.combo, method=inp.params.full_rank_method)
+    out = basket.products_in_combo(inp.sales, inp.params.combo, parts=inp.basket,
+                                  method=inp.params.full_rank_method)
     return out.select("rank_by_revenue", "product_category", "product_detail", "total_transactions",
                       "total_revenue")
 
@@ -503,7 +517,7 @@ def price_change_calendar(inp: Inputs) -> DataFrame:
 @report("peak_hours")
 def peak_hours(inp: Inputs) -> DataFrame:
     """Hours ranked by units per store, with the peak hours flagged."""
-    return traffic.peak_hours(inp.timed, top=inp.params.peak_hours)
+    return traffic.peak_hours(inp.timed, time=inp.time, top=inp.params.peak_hours)
 
 
 # ------------------------------------------------------------ registries
@@ -511,9 +525,9 @@ def peak_hours(inp: Inputs) -> DataFrame:
 Report = Callable[[SparkSession, str], DataFrame]
 
 
-def _registered(fn: ReportFn) -> Report:
+def _registered(fn: ReportFn, params: ReportParams = PROXY) -> Report:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return report_edge(fn(proxy_inputs(spark, sf_dir)))
+        return report_edge(fn(proxy_inputs(spark, sf_dir, params)))
     run.__doc__ = fn.__doc__
     run.__name__ = fn.__name__
     return run
@@ -522,13 +536,44 @@ def _registered(fn: ReportFn) -> Report:
 # The driver contract: every report on the driver's tables, (spark, sf_dir) -> DataFrame.
 REPORTS: dict[str, Report] = {name: _registered(fn) for name, fn in STATEMENTS.items()}
 
+# The literal forms of some statements: the other single categories, growth
+# without the year, and the price study of one product.
+for _i, _category in enumerate(PROXY.one_categories[1:], start=2):
+    REPORTS[f"products_in_category_{_i}"] = _registered(
+        products_in_category, replace(PROXY, one_categories=(_category,)))
+_YEARLESS = replace(PROXY, month_period="month_name", quarter_period="quarter_label")
+REPORTS["store_mom_growth_yearless"] = _registered(store_mom_growth, _YEARLESS)
+REPORTS["store_qoq_growth_yearless"] = _registered(store_qoq_growth, _YEARLESS)
+_ONE = replace(PROXY, price_products=("Brand#13",))
+for _fn in (daily_price_units, within_day_elasticity, price_hold_whatif):
+    REPORTS[f"{_fn.__name__}_one"] = _registered(_fn, _ONE)
+
+
+class LazyReports(Mapping):
+    """Report name to DataFrame; a report is built when it is first looked up
+    (full rankings run a job when they are built)."""
+
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]]):
+        self._builders, self._built = builders, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
 
-def study_reports(df: DataFrame, params: ReportParams = STUDY) -> dict[str, DataFrame]:
+def study_reports(df: DataFrame, params: ReportParams = STUDY) -> Mapping[str, DataFrame]:
     """Every report over one sales table shaped like the study's, with the
     study's literals; the single-category drill-down appears once per
-    category in ``params.one_categories``."""
+    category in ``params.one_categories``. Reports are built on access."""
     inp = study_inputs(df, params)
-    out = {name: fn(inp) for name, fn in STATEMENTS.items() if name != "products_in_category"}
+    out = {name: partial(fn, inp) for name, fn in STATEMENTS.items() if name != "products_in_category"}
     for category in params.one_categories:
-        out[f"products_in_category[{category}]"] = products_of_category(inp, category)
-    return out
+        out[f"products_in_category[{category}]"] = partial(products_of_category, inp, category)
+    return LazyReports(out)

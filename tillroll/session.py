@@ -6,7 +6,9 @@ creates a session: it uses the one it is given and only reads its settings.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,30 +45,6 @@ def build_session(cpus: int = 8, shuffle_partitions: int | None = None,
     return spark
 
 
-MB = 1 << 20
-
-
-def scale_settings(input_bytes: int, total_cores: int) -> dict[str, str]:
-    """Session settings sized for a job reading ``input_bytes`` on
-    ``total_cores`` executor cores: shuffle partitions of about 256 MB (never
-    fewer than two per core; AQE merges small ones), 512 MB input splits, AQE
-    with skew-join splitting, no broadcast from static estimates (AQE
-    broadcasts measured sides under 64 MB), and cleanup of checkpoints.
-    ``spark.checkpoint.dir`` must point at shared storage and is not set here."""
-    partitions = max(2 * total_cores, -(-input_bytes // (256 * MB)))
-    return {
-        "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * MB),
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.files.maxPartitionBytes": str(512 * MB),
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * MB),
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-    }
-
-
 def _context(spark: SparkSession):
     try:
         return spark.sparkContext
@@ -83,22 +61,41 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints and intermediate tables.
 
     Read from the session (the context's checkpoint dir or
-    ``spark.checkpoint.dir``). Only when neither is set, as in local tests, a
-    fresh folder is created and registered so later calls agree.
+    ``spark.checkpoint.dir``). Where neither is set, a master that runs in one
+    process (``local[...]``, as in tests) gets a fresh local folder, registered
+    so later calls agree; on a cluster that is an error, because executors on
+    other machines could not read such a folder.
     """
     sc = _context(spark)
-    if sc is not None:
+    if sc is None:
+        current = spark.conf.get("spark.checkpoint.dir", None)
+    else:
         current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-        if not current:
+        if not current and re.fullmatch(r"local(\[.*\])?", sc.master):
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="tillroll-ckpt-"))
             current = sc.getCheckpointDir()
-    else:
-        current = spark.conf.get("spark.checkpoint.dir", None)
-        if not current:
-            current = tempfile.mkdtemp(prefix="tillroll-ckpt-")
-            spark.conf.set("spark.checkpoint.dir", current)
+    if not current:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return current.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system and path object for ``path``: what Spark reads, this can list."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` (a table this application wrote) when the driver ends."""
+    fs, target = file_system(spark, path)
+
+    def remove():
+        try:
+            fs.delete(target, True)
+        except Exception:  # the JVM has ended first: the folder's own cleanup remains
+            pass
+    atexit.register(remove)
+
+
 def env_cpus(default: int = 8) -> int:
     return int(os.environ.get("BENCH_CPUS", default))

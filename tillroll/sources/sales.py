@@ -37,17 +37,16 @@ tier_price        3.50 when l_discount <= 0.07 else 4.38 (a two-step price
 from __future__ import annotations
 
 import hashlib
-import os
-import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
 from tillroll.functions.money import PRICE_TYPE, line_revenue
 from tillroll.operators.enrich import with_basket_key
-from tillroll.operators.joins import bounded_broadcast, growing
-from tillroll.session import app_id, shared_dir
+from tillroll.operators.joins import bounded_broadcast
+from tillroll.session import app_id, file_system, remove_at_exit, shared_dir
 from tillroll.sources.tables import read_table, table_path
 
 # The base and raised price of the price-change study, and the
@@ -63,9 +62,6 @@ SALES_COLUMNS = (
 )
 BASKET_PARTS = ("transaction_date", "customer_id", "store_id")
 
-_lock = threading.Lock()
-_built: dict[tuple[str, str], str] = {}
-
 
 def build_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lazy star join (no write). Prefer ``sales`` for repeated reports."""
@@ -81,10 +77,10 @@ def build_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = bounded_broadcast(nation), bounded_broadcast(region)
     cust_store = (customer.join(nation, customer.c_nationkey == nation.n_nationkey)
                   .select("c_custkey", F.col("n_regionkey").alias("store_id")))
-    order_store = (growing(orders).join(growing(cust_store), orders.o_custkey == cust_store.c_custkey)
+    order_store = (orders.join(cust_store, orders.o_custkey == cust_store.c_custkey)
                    .select("o_orderkey", "o_custkey", "o_orderdate", "store_id"))
-    lines = (growing(lineitem).join(growing(order_store), lineitem.l_orderkey == order_store.o_orderkey)
-             .join(growing(part), lineitem.l_partkey == part.p_partkey)
+    lines = (lineitem.join(order_store, lineitem.l_orderkey == order_store.o_orderkey)
+             .join(part, lineitem.l_partkey == part.p_partkey)
              .join(region, F.col("store_id") == region.r_regionkey))
 
     qty = F.col("l_quantity").cast("int")
@@ -115,7 +111,11 @@ STUDY_BASKET_PARTS = ("transaction_date", "transaction_time", "store_id")
 def prepare_sales(df: DataFrame) -> DataFrame:
     """A user's sales table (the study's eleven base columns) with the derived
     columns the reports read: ``revenue`` (qty × price) and the basket key
-    ``transaction`` (date, time and store), each added only when missing."""
+    ``transaction`` (date, time and store), each added only when missing. A
+    column that already has one of these names must have its type."""
+    for name, fits in (("revenue", NumericType), ("transaction", StringType)):
+        if name in df.columns and not isinstance(df.schema[name].dataType, fits):
+            raise TypeError(f"column {name} is {df.schema[name].dataType.simpleString()}, not what reports read")
     if "revenue" not in df.columns:
         df = df.withColumn("revenue", line_revenue("transaction_qty", "unit_price"))
     if "transaction" not in df.columns:
@@ -125,9 +125,10 @@ def prepare_sales(df: DataFrame) -> DataFrame:
 
 def read_sales(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Read a sales table with the study's base columns (parquet, or CSV with
-    a header: read with an explicit schema, time of day as 'HH:mm:ss' text)."""
+    a header: read with an explicit schema, time of day as 'HH:mm:ss' text; a
+    field that does not fit its type fails the read instead of becoming NULL)."""
     if fmt == "csv":
-        df = (spark.read.schema(STUDY_SCHEMA).option("header", True)
+        df = (spark.read.schema(STUDY_SCHEMA).option("header", True).option("mode", "FAILFAST")
               .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
               .csv(path))
     else:
@@ -141,38 +142,52 @@ STUDY_SCHEMA = ("transaction_id long, transaction_date date, transaction_time st
                 "product_detail string")
 
 
-def _input_signature(sf_dir: str) -> str:
-    parts = [os.path.realpath(sf_dir) if "://" not in sf_dir else sf_dir]
-    for name in ("region", "nation", "customer", "orders", "part", "lineitem"):
-        path = table_path(sf_dir, name)
-        if os.path.exists(path):
-            st = os.stat(path)
-            parts.append(f"{name}:{st.st_size}:{st.st_mtime_ns}")
-    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+INPUTS = ("region", "nation", "customer", "orders", "part", "lineitem")
+
+
+def input_signature(spark: SparkSession, sf_dir: str) -> str:
+    """A digest of every input file's path, size and modification time, listed
+    through Spark's file system (also in sub-folders and remote stores)."""
+    parts = []
+    for name in INPUTS:
+        fs, target = file_system(spark, table_path(sf_dir, name))
+        files = fs.listFiles(target, True)
+        while files.hasNext():
+            f = files.next()
+            parts.append(f"{f.getPath().toString()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha1("|".join(sorted(parts)).encode()).hexdigest()[:16]
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The wide sales table, built once per application and data set and
-    written as parquet under the session's shared folder."""
-    key = (app_id(spark), _input_signature(sf_dir))
-    with _lock:
-        path = _built.get(key)
-        if path is None:
-            path = f"{shared_dir(spark)}/tillroll-sales-{key[1]}-{uuid.uuid4().hex[:8]}"
-            (build_sales(spark, sf_dir)
-             .sortWithinPartitions("product_category", "product_type", "product_detail")
-             .write.mode("overwrite").parquet(path))
-            _built[key] = path
+    """The wide sales table, built once per application and state of the input
+    files, written as parquet under the session's shared folder and deleted
+    when the driver ends. Where the table is comes from the application id and
+    the input's signature alone, so changed input is never served from an old
+    copy."""
+    path = f"{shared_dir(spark)}/tillroll-sales-{app_id(spark)}-{input_signature(spark, sf_dir)}"
+    fs, target = file_system(spark, path)
+    if not fs.exists(target):
+        remove_at_exit(spark, path)
+        draft = f"{path}-{uuid.uuid4().hex[:8]}"
+        (build_sales(spark, sf_dir)
+         .sortWithinPartitions("product_category", "product_type", "product_detail")
+         .write.parquet(draft))
+        written = file_system(spark, draft)[1]
+        if not fs.exists(target):
+            fs.rename(written, target)
+        else:  # another thread was first
+            fs.delete(written, True)
     return spark.read.parquet(path)
 
 
+EVENT_BASKET_PARTS = ("transaction_date", "customer_id")
 EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value")
 
 
 def event_lines(events: DataFrame) -> DataFrame:
     """``events`` rows as sales lines with a time of day: one unit per event,
     ``event_type`` as the store, ``value`` as revenue and a basket per user
-    and day. Works on batch and streaming DataFrames alike."""
+    and day."""
     df = events.select(
         F.col("event_id").alias("transaction_id"),
         F.col("ts").cast("date").alias("transaction_date"),
@@ -183,7 +198,7 @@ def event_lines(events: DataFrame) -> DataFrame:
         F.col("user_id").alias("customer_id"),
         F.col("value").cast("decimal(12,2)").alias("revenue"),
     )
-    return with_basket_key(df, ("transaction_date", "customer_id"))
+    return with_basket_key(df, EVENT_BASKET_PARTS)
 
 
 def event_sales(spark: SparkSession, sf_dir: str) -> DataFrame:

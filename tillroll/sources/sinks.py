@@ -12,18 +12,20 @@ from pyspark.sql.types import StructType
 
 from tillroll.plans.edge import report_edge
 
+NULL_MARK = "\\N"
+
 
 def write_report(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite",
                  exact: bool = True) -> None:
-    """CSV (header, text quoted, LF line ends, UTF-8 without BOM, empty
-    field for NULL, blanks kept) or parquet. Money and ratios are written as
+    """CSV (header, text quoted, LF line ends, UTF-8 without BOM, ``\\N`` for
+    NULL, an empty field for empty text, blanks kept) or parquet. Money and ratios are written as
     exact decimals with their scale ("3.50", "5.846"); ``exact=False`` writes
     them as DOUBLE."""
     out = df if exact else report_edge(df)
     writer = out.write.mode(mode)
     if fmt == "csv":
         (writer.option("header", True).option("quoteAll", True).option("lineSep", "\n")
-         .option("emptyValue", "").option("nullValue", "")
+         .option("emptyValue", "").option("nullValue", NULL_MARK)
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
          .csv(path))
     elif fmt == "parquet":
@@ -33,8 +35,10 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwr
 
 
 def read_report(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Read a CSV report back with an explicit schema (no inference); an
-    empty field is NULL and text is not trimmed."""
-    return (spark.read.schema(schema).option("header", True).option("nullValue", "")
+    """Read a CSV report back with an explicit schema (no inference); the mark
+    of ``write_report`` is NULL, an empty field is empty text, and text is not
+    trimmed."""
+    return (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
+            .option("nullValue", NULL_MARK).option("emptyValue", "")
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
             .csv(path))
