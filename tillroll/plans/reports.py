@@ -561,6 +561,9 @@ class LazyReports(Mapping):
             self._built[name] = self._builders[name]()
         return self._built[name]
 
+    def __contains__(self, name) -> bool:
+        return name in self._builders
+
     def __iter__(self):
         return iter(self._builders)
 
