@@ -19,7 +19,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from __spark_entry__ import queries  # noqa: E402
+from tillroll.plans import REPORTS  # noqa: E402
 from tillroll.session import build_session  # noqa: E402
 
 
@@ -47,7 +47,7 @@ def main() -> None:
     print()
     print("| report | shuffles | broadcasts | scans | Python | filters pushed to parquet | median s | shuffle bytes |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- |")
-    for name, build in queries().items():
+    for name, build in REPORTS.items():
         text = formatted_plan(build(spark, sf_dir))
         tree = text.split("\n\n")[0]
         bx = len(re.findall(r"BroadcastExchange \(", tree))

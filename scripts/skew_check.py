@@ -121,7 +121,8 @@ def main() -> None:
         "sales_build, one part with a third of lineitem": lambda: build_sales(spark, hot_dir),
         "store_summary": lambda: summarize(df, ["store_id"], {"r": "revenue", "b": "baskets", "atv": "atv"}),
         "combo_summary": lambda: basket.combo_summary(df),
-        "rank_window (lines in category)": lambda: rank_within(per_line, ["product_category"], order),
+        "rank_window (lines in category)": lambda: rank_within(per_line, ["product_category"], order,
+                                                               method="window"),
         "rank_range (lines in category)": lambda: rank_within(per_line, ["product_category"], order,
                                                               method="range"),
         "top3_window_group_limit": lambda: rank_within(per_line, ["product_category"], order, top=3),
@@ -130,6 +131,12 @@ def main() -> None:
         "price_hold_whatif": lambda: pricing.price_hold_whatif(
             df.withColumn("unit_price", F.col("tier_price")), base_price="3.50"),
     }
+    # a third of the lines on one date, sold under many product names
+    hot_date = df.withColumns({
+        "transaction_date": F.when(F.col("transaction_id") % 3 == 0, F.lit("1995-06-01").cast("date"))
+        .otherwise(F.col("transaction_date")),
+        "product_detail": F.concat("product_detail", (F.col("transaction_id") % 50).cast("string"))})
+    jobs["daily_price_units, one date with a third"] = lambda: pricing.daily_price_units(hot_date)
     seconds = {}
     for name, build in jobs.items():
         sc.setJobGroup(name, name)
