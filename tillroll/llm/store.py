@@ -8,31 +8,17 @@ a machine-local disk. The folders of one process are removed when it exits.
 
 from __future__ import annotations
 
-import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.session import shared_dir
-
-_written: list[tuple[object, str]] = []
-
-
-def _remove_written() -> None:
-    for jvm, path in _written:
-        try:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
-        except Exception:  # the JVM is gone: the deployment's own cleanup of the folder remains
-            return
+from tillroll.session import remove_at_exit, shared_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder, removed at the end of the process."""
-    if not _written:
-        atexit.register(_remove_written)
     path = f"{shared_dir(spark)}/tillroll-llm-{name}-{uuid.uuid4().hex}"
-    _written.append((spark.sparkContext._jvm, path))
+    remove_at_exit(spark, path)
     return path
 
 
