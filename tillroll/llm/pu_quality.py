@@ -34,7 +34,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.llm.store import materialize
 from tillroll.llm.text import text_bytes
 
 
@@ -171,16 +170,15 @@ def train(documents: DataFrame, labels: DataFrame, params: QualityParams | None
     prior = (pos + 1) / (pos + neg + 2) if neg else None
     drawn = F.xxhash64(F.lit(p.seed), "doc_id")
 
-    def sample(rows: DataFrame, name: str) -> np.ndarray:
+    def sample(rows: DataFrame) -> np.ndarray:
         chosen = F.broadcast(rows.select("doc_id").distinct().orderBy(drawn).limit(p.most_rows))  # bounded by most_rows
         texts = (documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
                  .join(chosen, "doc_id", "left_semi"))
-        stats = (materialize(texts.mapInArrow(_describe(1), "doc_id long, stats array<double>"), name)
-                 .dropDuplicates(["doc_id"]).orderBy("doc_id"))
-        return np.array([r[1] for r in stats.collect()]).reshape(-1, N_STATS)
+        stats = texts.mapInArrow(_describe(1), "doc_id long, stats array<double>").dropDuplicates(["doc_id"]).collect()
+        return np.array([r["stats"] for r in sorted(stats)]).reshape(-1, N_STATS)
 
-    return fit(sample(ids.join(known.filter("quality = 1"), "doc_id", "left_semi"), "positives"),
-               sample(ids.filter("doc_id is not null"), "unlabelled"), prior, p)
+    return fit(sample(ids.join(known.filter("quality = 1"), "doc_id", "left_semi")),
+               sample(ids.filter("doc_id is not null")), prior, p)
 
 
 def scored(documents: DataFrame, model: PuModel) -> DataFrame:
