@@ -9,9 +9,11 @@ fills its class's bins, and what remains is classed anew.
 
 Workers fill bins independently: each task keeps a counter per class and needs
 no other task. Pieces of bins that a task could not fill (fewer than j per
-class) meet once by class and group of tasks, then once by class, and the
-bounded remainder of that (fewer than j pieces for each class, at most about
-4,600) is packed first-fit decreasing.
+class) meet by class in groups of ``GROUP`` tasks, what is left then in groups
+of such groups, until one group is left: no step gathers more than GROUP * j
+pieces of a class, however many tasks there are. The bounded remainder (fewer
+than j pieces for each class, at most about 4,600) is packed first-fit
+decreasing.
 
 Tokenization uses the tiktoken ranks of the same vocabulary for texts whose
 characters all lie below U+0250 (equal ids, several times faster) and the
@@ -37,7 +39,7 @@ from tillroll.llm.store import materialize
 
 CAPACITY = 1024
 SEPARATOR = 0
-GROUP = 64  # tasks whose unfilled bins meet first
+GROUP = 8  # tasks, or groups of them, whose unfilled bins meet
 PLAIN = re.compile("[ɐ-\U0010ffff]")
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -124,12 +126,16 @@ def _first_fit(capacity: int):
     return run
 
 
-def _bins(pieces: DataFrame, by: list[str]) -> DataFrame:
-    """Pieces numbered within ``by`` get a bin per ``class`` of them; ``full``
-    tells whether the bin has all its pieces."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    return (pieces.withColumn("bin", F.floor(F.col("nth") / F.col("class")))
-            .withColumn("full", (F.col("bin") + 1) * F.col("class") <= n))
+def _regrouped(pieces: DataFrame, order: list[str]) -> DataFrame:
+    """Pieces with the group of their ``owner`` as the new one, and bins of a
+    ``class`` of them in it; ``full`` tells whether the bin has all its pieces."""
+    by = Window.partitionBy("class", "owner")
+    numbered = (pieces.withColumn("owner", F.floor(F.col("owner") / GROUP))
+                .withColumn("nth", F.row_number().over(by.orderBy(*order)) - 1)
+                .withColumn("bin", F.floor(F.col("nth") / F.col("class"))))
+    before = Window.partitionBy("class", "owner", "bin").orderBy("nth")
+    return (numbered.withColumn("full", (F.col("bin") + 1) * F.col("class") <= F.count("*").over(by))
+            .withColumn("offset", F.sum("length").over(before) - F.col("length")))
 
 
 def pack(documents: DataFrame, capacity: int = CAPACITY,
@@ -142,35 +148,31 @@ def pack(documents: DataFrame, capacity: int = CAPACITY,
     sizes = pieces.groupBy("task", "class").agg(F.count("*").alias("n"))
     data = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     key = ["task", "class"]
-    order = ["doc_id", "start", "ids_crc32", "task", "nth"]
+    order = ["doc_id", "start", "ids_crc32", "task", "piece"]
 
     # Stage 1: bins of one task. Counts per task and class are joined, not windowed.
     one = (pieces.join(sizes, key).withColumn("bin", F.floor(F.col("nth") / F.col("class")))
            .withColumn("full", (F.col("bin") + 1) * F.col("class") <= F.col("n")).drop("n"))
-    rest = materialize(one.filter("not full").drop("bin", "full", "offset"), "unfilled")
-    # Stage 2: unfilled bins of a group of tasks; stage 3: of all groups.
-    group = F.floor(F.col("task") / GROUP)
-    two = _bins(rest.withColumn("group", group).withColumn(
-        "nth", F.row_number().over(Window.partitionBy("class", "group").orderBy(*order)) - 1), ["class", "group"])
-    left = two.filter("not full").drop("bin", "full")
-    three = _bins(left.withColumn("nth", F.row_number().over(
-        Window.partitionBy("class").orderBy("group", *order)) - 1), ["class"])
-    tail = (three.filter("not full").select(*data).repartition(1)
+    rest = materialize(one.filter("not full").drop("bin", "full", "offset")
+                       .withColumnsRenamed({"nth": "piece"}).withColumn("owner", F.col("task")), "unfilled")
+
+    def placed(df: DataFrame, stage: int) -> DataFrame:
+        return df.select(*data, "class", "owner", "bin", F.lit(stage).alias("stage"), "offset")
+
+    parts = placed(one.filter("full").withColumn("owner", F.col("task")), 1)
+    # Further stages: unfilled bins of a group of owners, as long as there are several.
+    stage, last = 1, rest.agg(F.coalesce(F.max("owner"), F.lit(0))).first()[0]
+    while last:
+        stage, last = stage + 1, last // GROUP
+        rest = materialize(_regrouped(rest, order), "regrouped")
+        parts = parts.unionByName(placed(rest.filter("full"), stage))
+        rest = rest.filter("not full")
+    tail = (rest.select(*data).repartition(1)
             .mapInArrow(_first_fit(capacity), "doc_id long, start long, length long, ids_crc32 long, "
                         "doc_tokens long, bin long, offset long"))
-
-    def placed(df: DataFrame, stage: int, owner) -> DataFrame:
-        return df.select(*data, "class", owner.alias("owner"), "bin", F.lit(stage).alias("stage"), "offset")
-
-    def lined_up(df: DataFrame, by: list[str]) -> DataFrame:
-        before = Window.partitionBy(*by, "bin").orderBy("nth")
-        return df.withColumn("offset", F.sum("length").over(before) - F.col("length"))
-
-    parts = placed(one.filter("full"), 1, F.col("task")).unionByName(
-        placed(lined_up(two.filter("full"), ["class", "group"]), 2, F.col("group"))).unionByName(
-        placed(lined_up(three.filter("full"), ["class"]), 3, F.lit(0).cast("long"))).unionByName(
-        tail.withColumns({"class": F.lit(0), "owner": F.lit(0).cast("long"), "stage": F.lit(4)}))
-    # An id names stage, class, owner and bin; stage: 3 bits, class: 11, task or group: 20 (a million tasks), bin: 29
-    sequence = (F.shiftleft(F.col("stage").cast("long"), 60) + F.shiftleft(F.col("class").cast("long"), 49)
-                + F.shiftleft(F.col("owner"), 29) + F.col("bin"))
+    parts = parts.unionByName(tail.withColumns({
+        "class": F.lit(0), "owner": F.lit(0).cast("long"), "stage": F.lit(stage + 1)}))
+    # An id names stage, class, owner and bin; stage: 4 bits, class: 11, owner: 20 (a million tasks), bin: 28
+    sequence = (F.shiftleft(F.col("stage").cast("long"), 59) + F.shiftleft(F.col("class").cast("long"), 48)
+                + F.shiftleft(F.col("owner"), 28) + F.col("bin"))
     return parts.select(*data, sequence.alias("sequence_id"), "offset")
