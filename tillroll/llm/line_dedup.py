@@ -107,13 +107,15 @@ def repeated_lines(rows: DataFrame, min_words: int = 50) -> DataFrame:
     """KEY and pos of every line to delete; ``rows`` has KEY, doc_id and text."""
     spans = materialize(line_spans(rows, min_words), "line-spans")
     at = F.struct(*KEY, "mark_pos")
-    shared = (spans.groupBy("mark").agg(F.min(at).alias("x"), F.max(at).alias("y"))
-              .filter("x != y").select("mark"))
+    # Both small sides are written first: a join of two scans is one whose hot
+    # keys adaptive execution can split, a join with an aggregate is not.
+    shared = materialize(spans.groupBy("mark").agg(F.min(at).alias("x"), F.max(at).alias("y"))
+                         .filter("x != y").select("mark"), "line-marks")
     matched = spans.join(shared, "mark", "left_semi")
     place = F.struct("doc_id", *KEY, "first_pos")
     matched = materialize(matched.select("run", place.alias("place"), "last_pos"), "line-matches")
-    first = (matched.groupBy("run").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-             .filter("first != last").select("run", "first"))
+    first = materialize(matched.groupBy("run").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+                        .filter("first != last").select("run", "first"), "line-firsts")
     later = matched.join(first, "run").filter("place != first")
     return later.select(*(F.col(f"place.{c}") for c in KEY), F.explode(
         F.sequence("place.first_pos", "last_pos")).alias("pos")).distinct()
