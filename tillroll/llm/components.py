@@ -4,7 +4,8 @@ Each round replaces links by links to smaller nodes (large star: a node's
 larger neighbours point to its smallest neighbour; small star: its smaller
 neighbours do) until every node points to the smallest node of its component.
 Every step is an aggregate and a join over links, written to the shared folder;
-no component is gathered in one place.
+no component is gathered in one place. The smallest neighbours are written
+before they are joined, so adaptive execution can split a node of many links.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ def _digest(links: DataFrame):
     return links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
 
-def _stars(links: DataFrame) -> DataFrame:
-    """One large-star and one small-star step on links u > v."""
+def _stars(links: DataFrame, rows: int) -> DataFrame:
+    """One large-star and one small-star step on links u > v (``rows`` of them)."""
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")),
+                        "least", 2 * rows)
     large = (both.join(least, "u").filter(F.col("v") > F.col("u"))
              .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct())
-    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    large = materialize(large, "large", rows)
+    low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low", rows)
     small = large.join(low, "u").select(F.explode(F.array(
         F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
         F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
@@ -39,7 +42,7 @@ def components(links: DataFrame, rows: int | None = None) -> DataFrame:
                         .filter("u != v").distinct(), "edges", rows)
     before = _digest(edges)
     while before[0]:
-        edges = materialize(_stars(edges), "edges", 2 * before[0])
+        edges = materialize(_stars(edges, before[0]), "edges", 2 * before[0])
         now = _digest(edges)
         if now == before:
             break

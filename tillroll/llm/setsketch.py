@@ -14,7 +14,8 @@ cost one row. Classes that share a band bucket with another class are written
 once with their registers and full sets. Then three rounds per bucket:
 (1) every class against the bucket's smallest class, (2) against a class drawn
 as leader, as long as leaders find links, (3) every pair that is still in
-different components. Pairs of one component need no test, so a bucket of n
+different components. Tables joined on a bucket or a root are written before, as
+adaptive execution splits a hot key only between two scans. Pairs of one component need no test, so a bucket of n
 copies costs about n pairs; nothing is capped. In the third round the pairs of
 small buckets are joined; a large bucket is cut into blocks of about ``block``
 classes by a hash, its blocks meet, and each pair is compared in the first
@@ -234,8 +235,8 @@ def link_classes(documents: DataFrame, signed: DataFrame, p: SketchParams) -> Da
     bands = F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda b: F.xxhash64(
         b, F.substring(F.col("sketch"), b * width + 1, F.lit(width))))
     buckets = classes.select(F.posexplode(bands).alias("band", "bucket"), "set_hash")
-    crowded = (buckets.groupBy("bucket").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y"))
-               .filter("x != y").select("bucket"))
+    crowded = materialize(buckets.groupBy("bucket").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y"))
+                          .filter("x != y").select("bucket"), "crowded")
     members = materialize(buckets.join(crowded, "bucket"), "members")
     total = members.count()
     if not total:
@@ -265,7 +266,7 @@ def link_classes(documents: DataFrame, signed: DataFrame, p: SketchParams) -> Da
         if last:  # all pairs that may still join two components
             info = counts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n")).select(
                 "bucket", F.col("main.comp").alias("main"), "n", F.expr("n * (n - main.n)").alias("open"))
-            mixed = placed.join(info.filter("open > 0"), "bucket")
+            mixed = placed.join(materialize(info.filter("open > 0"), "open", total), "bucket")
             small, large = mixed.filter(F.col("open") <= 4 * p.block), mixed.filter(F.col("open") > 4 * p.block)
             pairs = small.filter("comp != main").select(
                 "bucket", F.col("set_hash").alias("x"), F.col("comp").alias("comp_x")).join(
@@ -275,7 +276,7 @@ def link_classes(documents: DataFrame, signed: DataFrame, p: SketchParams) -> Da
             lead = F.min(F.struct(F.xxhash64("set_hash", F.lit(turn)) if turn else F.lit(0), "set_hash", "comp"))
             leaders = placed.groupBy("bucket").agg(lead.alias("l")).select(
                 "bucket", F.col("l.set_hash").alias("x"), F.col("l.comp").alias("comp_x"))
-            pairs = placed.join(leaders, "bucket").filter("comp != comp_x")
+            pairs = placed.join(materialize(leaders, "leaders", total), "bucket").filter("comp != comp_x")
         pairs = pairs.select(*_ordered("x", "set_hash")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -374,7 +375,7 @@ def near_duplicates(documents: DataFrame, params: SketchParams | None = None) ->
     classes = signed.filter("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("least"))
     rooted = (classes.join(labels, "set_hash", "left")
               .withColumn("root", F.coalesce("root", "set_hash")).withColumnRenamed("set_hash", "member"))
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    groups = materialize(rooted.groupBy("root").agg(F.min("least").alias("component")), "components")
     component = rooted.join(groups, "root").select(F.col("member").alias("set_hash"), "component", "root")
     joined = signed.drop("sketch").join(component, "set_hash", "left")
     named = joined.withColumn("component_id", F.when(F.col("set_hash").isNull(), F.col("doc_id"))
