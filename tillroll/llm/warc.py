@@ -202,9 +202,11 @@ def write_archive(pages: DataFrame, folder: str, least: int = LEAST, level: int
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    # Only payloads that occur more than once need their largest page.
-    copies = (rows.filter(F.length("payload") >= least).groupBy("digest")
-              .agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").select("digest", "last"))
+    # Only payloads that occur more than once need their largest page. Written
+    # first, as adaptive execution splits hot keys only between two scans.
+    copies = materialize(rows.filter(F.length("payload") >= least).groupBy("digest")
+                         .agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
+                         .filter("n > 1").select("digest", "last"), "copies")
     typed = rows.join(copies, "digest", "left").withColumn(
         "refers_to", F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")))
     dictionary = train_dictionary(rows)
