@@ -347,6 +347,25 @@ def test_mixing_of_sharded_sources(spark):
     check_mix(rows, {r["doc_id"]: r["source"] for r in docs.collect()})
 
 
+def test_mixing_of_small_sources_beside_a_very_large_one(spark):
+    """Sizes of 10 billion words in all: every source gets its target to a word."""
+    big = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), (
+        500_000 + F.col("id") % 7).alias("_size"))
+    few = spark.range(60).select((20_000 + F.col("id")).alias("doc_id"), F.concat(F.lit("b"), F.col("id") % 6).alias(
+        "source"), (1 + 37 * F.col("id")).alias("_size"))
+    one = spark.range(1).select(F.lit(30_000).cast("long").alias("doc_id"), F.lit("c").alias("source"),
+                                F.lit(90_000_000_000).alias("_size"))
+    p = mixing.MixParams(shard_words=1 << 22)
+    for rows in (big.unionByName(few), few.unionByName(one)):
+        small = rows.withColumn("_draw", F.xxhash64("doc_id"))
+        targets, shards = mixing._plan(small, p)
+        want = {r["source"]: r["target"] for r in targets.collect()}
+        taken = {r["source"]: r["n"] for r in mixing._taken(small, targets, shards, p, whole=False)
+                 .groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+        assert len(want) == 7 and all(abs(taken[s] - want[s]) <= 1 for s in want)
+        assert all(r["_words"] <= p.epochs * r["shard_size"] for r in shards.collect())
+
+
 def test_mix_documents_takes_whole_documents(edge_docs):
     mixed = mixing.mix_documents(clashing(edge_docs)).collect()
     whole = Counter(tuple(r) for r in clashing(edge_docs).collect())

@@ -5,13 +5,16 @@ Targets: the mix has ``share`` times all words; sources in code point order
 its source's size and the excess is reshared by weight (each target is
 min(cap, level * weight) for the one level that adds up).
 
-The mix is cut into ``blocks`` equal blocks of words. Sources get them by
-highest quotients target / (2 s + 1), then each source's quota goes to its
-shards the same way, by shard size, so every quota is a whole number of blocks.
+A seat is one word of the mix, at any size of the corpus. A source gets its
+target rounded down or up, up by highest quotients target / (2 s + 1) as far as
+words are left; then each source's quota goes to its shards by highest
+quotients size / (2 s + 1). A quota of at most ``epochs`` times the source gives
+no shard more than ``epochs`` times its size: (2 s + 1) / size is below
+2 * ``epochs`` for all seats up to there and above it for all others.
 A shard lays its documents out in an order drawn from ``seed`` and takes the
-first blocks of that order, in as many rounds as the quota asks for.
+first words of that order, in as many rounds as the quota asks for.
 
-Highest quotients are found without listing all seats: rounding target / block
+Highest quotients are found without listing all seats: rounding the exact share
 is off by at most half a seat per party, so only seats around that value are
 ranked, a number in proportion to the number of parties.
 
@@ -41,7 +44,6 @@ class MixParams:
     weights: tuple[int, ...] = (5, 2, 1)
     share: float = 1.5
     epochs: int = 2
-    blocks: int = 1 << 20
     shard_words: int = 1 << 18
     seed: int = 42
 
@@ -69,13 +71,16 @@ def source_targets(sizes: DataFrame, p: MixParams) -> DataFrame:
         .otherwise(F.least("cap", F.coalesce(F.col("at") * F.col("w"), F.col("cap")))).alias("target"))
 
 
-def sainte_lague(parties: DataFrame, by: list[str], votes: str, seats: str, order: list[Column]) -> DataFrame:
+def sainte_lague(parties: DataFrame, by: list[str], votes: str, seats: str, order: list[Column],
+                 most: str | None = None) -> DataFrame:
     """``parties`` with a column ``quota``: the ``seats`` of each group ``by``
     go to its parties by highest quotients votes / (2 s + 1), ties to the
-    first in ``order``. A group without votes gets none."""
+    first in ``order``. A group without votes gets none. With ``most``, every
+    party gets its exact share rounded down or up, and at most ``most``."""
     group = Window.partitionBy(*by)
-    exact = F.col(seats) * F.col(votes) / F.sum(votes).over(group)
+    exact = F.col(seats) * F.col(votes).cast("double") / F.sum(votes).over(group)
     reach = F.ceil(F.col("_exact") * F.col("_parties") / (2 * F.greatest(F.col(seats), F.lit(1)))) + 2
+    reach = F.lit(0) if most else reach
     base = parties.withColumn("_exact", F.coalesce(exact, F.lit(0.0))).withColumn(
         "_parties", F.count("*").over(group)).withColumn(
         "_low", F.greatest(F.lit(0), F.floor("_exact") - reach).cast("long")).withColumn(
@@ -83,7 +88,8 @@ def sainte_lague(parties: DataFrame, by: list[str], votes: str, seats: str, orde
     base = base.withColumn("_open", F.col(seats) - F.sum("_low").over(group)).withColumn(
         "_id", F.row_number().over(group.orderBy(*order)))
     keys = [*by, "_id"]
-    seat = base.filter(F.col(votes) > 0).select(
+    inside = (F.col("_exact") > F.col("_low")) & (F.col("_low") < F.col(most)) if most else F.lit(True)
+    seat = base.filter((F.col(votes) > 0) & inside).select(
         *(F.col(c).alias(f"_won_{c}") for c in keys), "_open", F.col(votes).cast("double").alias("_votes"),
         F.explode(F.sequence("_low", "_high")).alias("_s"))
     won = (seat.withColumn("_rank", F.row_number().over(
@@ -120,18 +126,18 @@ def _plan(small: DataFrame, p: MixParams) -> tuple[DataFrame, DataFrame]:
     """Targets per source, and quotas in words per (source, shard)."""
     sizes = small.groupBy("source").agg(F.sum("_size").alias("source_size"))
     targets = materialize(source_targets(sizes, p), "targets")
-    total = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
-    block = max(1, -(-int(total) // p.blocks))
-    seats = round(total / block)
-    quotas = sainte_lague(targets.withColumn("_all", F.lit(0)).withColumn("_seats", F.lit(seats).cast("long")),
-                          ["_all"], "target", "_seats", [F.col("source").isNull(), F.col("source")])
+    words = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    seats = int(min(p.share, p.epochs) * words)
+    parties = targets.withColumns({"_all": F.lit(0), "_seats": F.lit(seats).cast("long"),
+                                   "_most": p.epochs * F.col("source_size")})
+    quotas = sainte_lague(parties, ["_all"], "target", "_seats", [F.col("source").isNull(), F.col("source")], "_most")
     quotas = quotas.select("source", "source_size", F.col("quota").alias("source_quota"))
     shards = (_with_source(small, targets).withColumn("_shard", _shard(p))
               .groupBy("source", "_shard").agg(F.sum("_size").alias("shard_size")))
     shards = _with_source(shards, quotas.drop("source_size"))
     placed = sainte_lague(shards, ["source"], "shard_size", "source_quota", [F.col("_shard")])
-    return targets, materialize(placed.select("source", "_shard", "shard_size", (
-        F.col("quota") * block).cast("long").alias("_words")), "shards")
+    return targets, materialize(placed.select(
+        "source", "_shard", "shard_size", F.col("quota").alias("_words")), "shards")
 
 
 def _taken(rows: DataFrame, targets: DataFrame, shards: DataFrame, p: MixParams, whole: bool) -> DataFrame:
