@@ -168,6 +168,24 @@ def test_phrases_are_locally_consistent_and_batch_free():
     assert phrases.likeness(*phrases.sketches([b"", body])) == 0.0
 
 
+def test_likeness_across_the_length_of_short_texts():
+    """Texts that differ by one word at their end are alike, whatever their numbers of phrases."""
+    rng, crossed = random.Random(8), 0
+    for _ in range(200):
+        word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+        a = " ".join(word() for _ in range(rng.randint(16, 26)))
+        pair = [t.encode() for t in (a, f"{a} {word()} {word()}")]
+        levels = list(phrases.parse_levels(pair))
+        few = np.diff(levels[phrases.LEVEL][1], append=len(levels[phrases.LEVEL][0])) < phrases.FEW
+        x, y = phrases.sketches(pair)
+        assert phrases.likeness(x, y) == phrases.likeness(y, x) > 0.4
+        if few[0] != few[1]:
+            crossed += 1
+            assert phrases.likeness(x, y) > 0.7
+            assert phrases.likeness(x, phrases.sketches([word().encode() * 30])[0]) < 0.2
+    assert crossed >= 10
+
+
 # 4. near-dedup
 
 def near(df, **params):

@@ -10,11 +10,13 @@ starts depends on a bounded neighbourhood only, so equal substrings get equal
 phrase names in their interior, at any offset and in any document.
 
 The fingerprint is the name of the whole text (its root, two 64-bit names under
-different seeds) and the ``size`` smallest hashes among its phrase names of
-level ``level`` and above, where a phrase spans about eighteen bytes or more; texts
-with fewer than ``FEW`` phrases there use all levels and their bytes. Two fingerprints estimate the
-share of phrases in common: with J the Jaccard estimate from the smallest
-``size`` hashes of both, the likeness is 2J / (1 + J); 1 for equal roots.
+different seeds) and two parts: the ``size`` smallest hashes among its phrase
+names of level ``level`` and above, where a phrase spans about eighteen bytes or
+more (no hashes if there are fewer than ``FEW`` phrases on that level), and the
+``size`` smallest among its bytes and the names of all levels. Two fingerprints
+estimate the share of phrases in common, by the first parts if both have one and
+by the second parts if either text is too short: with J the Jaccard estimate from
+the smallest ``size`` hashes of both, the likeness is 2J / (1 + J); 1 for equal roots.
 
 ``fingerprint_edits`` pairs each text with the next one by descending doc_id.
 The ids alone are scanned first to lay out ranges of ids; the texts are
@@ -122,9 +124,17 @@ def parse_levels(texts: list[bytes], seed: int = 1):
         yield x, first
 
 
+def _smallest(names: list[np.ndarray], owner: list[np.ndarray], n: int, size: int) -> list[np.ndarray]:
+    """Per text the smallest of its hashes, ascending."""
+    key = np.unique((np.concatenate(owner).astype(U) << U(32)) | np.concatenate(names))
+    begin = np.searchsorted((key >> U(32)).astype(np.int64), np.arange(n + 1))
+    low = (key & U(0xFFFFFFFF)).astype("<u4")
+    return [low[i: min(j, i + size)] for i, j in zip(begin[:-1], begin[1:], strict=True)]
+
+
 def sketches(texts: list[bytes], size: int = SIZE, level: int = LEVEL) -> list[bytes]:
-    """Per text: 16 bytes of root names, then its smallest phrase hashes as
-    ascending little-endian 32-bit numbers."""
+    """Per text: 16 bytes of root names; if it is not empty, little-endian 32-bit
+    numbers: how many hashes the coarse part has, that part, the fine part."""
     out: list[bytes] = [b"\0" * 16] * len(texts)
     full = [i for i, t in enumerate(texts) if t]
     if not full:
@@ -134,31 +144,34 @@ def sketches(texts: list[bytes], size: int = SIZE, level: int = LEVEL) -> list[b
     raw = np.frombuffer(b"".join(body), np.uint8)
     sizes = np.array([len(t) for t in body])
     depth = np.zeros(len(body), int)  # levels until a text is one symbol
-    short = np.ones(len(body), bool)  # too few phrases on the chosen level: all levels and bytes count
+    short = np.ones(len(body), bool)  # too few phrases on the chosen level: no coarse part
     for k, (x, first) in enumerate(levels):
         count = np.diff(first, append=len(x))
         depth[count > 1] = k + 1
         if k == level:
             short = count < FEW
-    of = np.repeat(np.arange(len(body)), sizes)
-    names, owner = [_mix(raw[short[of]].astype(U)) >> U(32)], [of[short[of]]]
+    cells = np.unique((np.repeat(np.arange(len(body)), sizes) << 8) | raw)
+    names, owner = [_mix((cells & 255).astype(U)) >> U(32)], [cells >> 8]
+    coarse, above = [np.zeros(0, U)], [np.zeros(0, np.int64)]
     for k, (x, first) in enumerate(levels):
         count = np.diff(first, append=len(x))
         of = np.repeat(np.arange(len(body)), count)
-        use = ((k >= level) | short)[of] & (k <= depth[of])
+        use = k <= depth[of]
         names.append(_mix(x[use] + U(k)) >> U(32))
         owner.append(of[use])
-    key = np.unique((np.concatenate(owner).astype(U) << U(32)) | np.concatenate(names))
-    of = (key >> U(32)).astype(np.int64)
-    begin = np.searchsorted(of, np.arange(len(body) + 1))
-    low = (key & U(0xFFFFFFFF)).astype("<u4")
+        if k >= level:
+            long = ~short[owner[-1]]
+            coarse.append(names[-1][long])
+            above.append(owner[-1][long])
+    fine = _smallest(names, owner, len(body), size)
+    coarse = _smallest(coarse, above, len(body), size)
     root = np.zeros(len(body), U)
     for k, (x, first) in enumerate(levels):
         root[depth == k] = x[first[depth == k]]
     other = _mix(root ^ _mix(sizes.astype(U) + U(77)))
     for j, i in enumerate(full):
         out[i] = (root[j].tobytes() + other[j].tobytes()
-                  + low[begin[j]: min(begin[j + 1], begin[j] + size)].tobytes())
+                  + np.array([len(coarse[j])], "<u4").tobytes() + coarse[j].tobytes() + fine[j].tobytes())
     return out
 
 
@@ -169,6 +182,8 @@ def likeness(a: bytes, b: bytes, size: int = SIZE) -> float:
     x, y = np.frombuffer(a, "<u4", offset=16), np.frombuffer(b, "<u4", offset=16)
     if not len(x) or not len(y):
         return 0.0
+    m, n = 1 + int(x[0]), 1 + int(y[0])
+    x, y = (x[1:m], y[1:n]) if m > 1 and n > 1 else (x[m:], y[n:])
     union = np.union1d(x, y)[:size]
     both = np.isin(union, x, assume_unique=True) & np.isin(union, y, assume_unique=True)
     j = both.mean()
