@@ -296,6 +296,19 @@ def test_fast_and_full_encodings_agree():
         assert e(t) == e.full.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_are_those_of_the_unmodified_file():
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    e = packing.Encoder(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    plain = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    assert e("a <|endoftext|> b") == [64, 220, 50256, 275]
+    rng, parts = random.Random(9), ["<|endoftext|>", "<|endoftext", "|>", " ", "a", "b c", "é", "\n", "\U0001f600", "5"]
+    for _ in range(500):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        assert e(t) == plain.encode(t, add_special_tokens=False).ids
+
+
 # 6. top-k
 
 def search(spark, rows, **kw):
