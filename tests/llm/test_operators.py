@@ -108,6 +108,25 @@ def test_baum_welch_never_lowers_the_likelihood():
         m = hmm.Hmm(s / s.sum(), a / a.sum(axis=1, keepdims=True), b / b.sum(axis=0, keepdims=True))
 
 
+def test_rare_words_have_emissions_of_their_own(spark):
+    """Two words of one suffix class and one frequency, 40 in 400,000 tokens, score by their context."""
+    rng = random.Random(3)
+    text = lambda side, word, n: " ".join([*(f"{side}{rng.randrange(20)}" for _ in range(n)), word,
+                                           *(f"{side}{rng.randrange(20)}" for _ in range(n))])
+    train = [i for i in range(2600) if brute.rest(i, 5) != 1][:2000]
+    rows = []
+    for nth, i in enumerate(train):
+        side = "ab"[nth % 2]
+        rows.append((i, text(side, {"a": "xxend", "b": "yyend"}[side] if nth % 50 < 2 else f"{side}0", 100)))
+    around = [text("a", "#", 30) for _ in range(8)]
+    held = [i for i in range(3000, 3200) if brute.rest(i, 5) == 1]
+    asked = [(i, a.replace("#", w)) for i, (a, w) in zip(held, [(a, w) for a in around for w in ("xxend", "yyend")])]
+    df = spark.createDataFrame(rows + asked, "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in hmm.hmm_scores(df, hmm.HmmParams(states=2)).collect()}
+    ids = [i for i, _ in asked]
+    assert len(ids) == 16 and all(score[a] > score[b] + 0.2 for a, b in zip(ids[::2], ids[1::2]))
+
+
 # 2. line dedup
 
 def cut(spark, docs, min_words):

@@ -1,57 +1,57 @@
 """Hidden Markov language model trained by Baum-Welch over the whole corpus.
 
 Tokens are the words of a text and one end mark. The model emits *symbols*: a
-word that makes up at least 1 / ``own_share`` of the training tokens is a
-symbol of its own, every other word belongs to the class of its last three
-bytes, and P(word | class) is the add-a-half estimate over the class's
+word with at least ``own_count`` training tokens is a symbol of its own at any
+size of the corpus, every rarer or unknown word belongs to the class of its last
+three bytes, and P(word | class) is the add-a-half estimate over the class's
 training words. A text's probability is the exact scaled forward probability
 of its symbols times P(word | class) of each word without an own symbol.
 
-Spark jobs: (1) word counts of the training texts (partial counts per task,
-then one shuffle by word) written as the vocabulary table; (2) encoding of
-every text into symbol codes; (3) a pass over all training codes for each
-Baum-Welch iteration, which adds up expected counts per symbol across
-partitions; (4) one forward pass over all codes. Counts of words that make up
-1 / ``shared_share`` of all tokens go to the workers as a dictionary: at most
-``shared_share`` such words can exist, which bounds it at any corpus size. The
-counts of rarer words come from a join with the vocabulary, whose keys are
-rare by construction and hence never hot.
+Emissions of words are a distributed table that grows with the vocabulary; the
+driver holds those of the classes and the end mark only. Texts are cut into
+chunks of about ``chunk_tokens`` tokens, each with its distinct words once and
+its tokens as places in that list. Spark jobs: (1) chunks; (2) word counts
+(counts per chunk, then one shuffle by word), joined back to the chunks' words;
+(3) for each Baum-Welch iteration the emissions are joined to the chunks' words
+with own symbols, meet their chunk's tokens by chunk, and a pass over all training
+tokens gives expected counts per word and chunk, added up by word into the
+next table; (4) one forward pass over all tokens by the same way. A word is one
+row per chunk in every join, so no word is hot.
+
+Starting values are the symbols' frequencies over all training tokens with a
+seeded perturbation; ``iterations`` passes follow.
 
 Defined cases: null text is empty (one end mark); a null id belongs to the
 training part (crc32 of '' is 0); repeated rows count and score one by one;
-without training rows every probability is the uniform start. Starting values
-come from a bounded sample (``start_docs`` texts, ``start_tokens`` tokens of
-each), the Baum-Welch passes then read every training token.
+without training rows every probability is the uniform start.
 """
 
 from __future__ import annotations
 
+import gc
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.store import materialize
 from tillroll.llm.text import crc_mod, text_bytes
 
-END = 0  # symbol of the end mark
-SEGMENT = 64
+SEGMENT = 256
 LN10 = float(np.log(10.0))
 
 
 @dataclass
 class HmmParams:
     states: int = 6
-    iterations: int = 3
-    start_iterations: int = 12
-    start_docs: int = 512
-    start_tokens: int = 1024
-    own_share: int = 8192
-    shared_share: int = 1 << 20
+    iterations: int = 15
+    own_count: int = 16
+    chunk_tokens: int = 1 << 22
     classes: int = 1024
     prior_weight: float = 50.0
     seed: int = 7
@@ -149,8 +149,13 @@ def log_likelihood(m: Hmm, docs: list[np.ndarray]) -> np.ndarray:
 
 def expected_counts(m: Hmm, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exact posterior counts of start states, moves and emissions."""
+    return _expected(m, docs)[:3]
+
+
+def _expected(m: Hmm, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The expected counts and the log likelihood of ``docs``."""
     seg = Segments(docs)
-    enter, x, _ = seg.chain(m)
+    enter, x, loglik = seg.chain(m)
     k, s = len(m.start), len(seg.length)
     leave = np.ones((s, k))
     w = np.ones((seg.n_docs, k))
@@ -185,148 +190,172 @@ def expected_counts(m: Hmm, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     gamma, symbol = np.concatenate(gammas), np.concatenate(symbols)
     for z in range(k):
         emit[:, z] = np.bincount(symbol, weights=gamma[:, z], minlength=len(emit))
-    return start, moves, emit
+    return start, moves, emit, float(loglik.sum())
 
 
-def reestimate(start: np.ndarray, moves: np.ndarray, emit: np.ndarray, unigram: np.ndarray,
-               weight: float) -> Hmm:
-    """Maximum a posteriori update: emissions lean on the symbol frequencies,
-    moves and starts on the uniform, by ``weight`` pseudo-counts per state."""
-    s = start + 1.0
-    a = moves + 1.0
-    b = emit + weight * unigram[:, None]
-    return Hmm(s / s.sum(), a / a.sum(axis=1, keepdims=True), b / b.sum(axis=0, keepdims=True))
+def _chunks(classes: int, limit: int):
+    """Rows (doc_id, held_out, text) to chunks, of training or held-out texts only."""
+    def run(batches):
+        base, nth = TaskContext.get().partitionId() << 32, 0
+        open_: dict = {}
+
+        def emit(held):
+            nonlocal nth
+            ids, lens, codes, seen, _ = open_.pop(held)
+            flat = np.concatenate(codes)
+            nth += 1
+            words = list(seen)
+            counts = np.bincount(flat, minlength=len(words) + 1)[1:]
+            cls = [suffix_class(w, classes) for w in words]
+            return pa.RecordBatch.from_pydict({
+                "chunk": pa.array([base + nth], pa.int64()), "held_out": pa.array([held]),
+                "doc_ids": pa.array([ids], pa.list_(pa.int64())),
+                "lens": pa.array([np.array(lens, "<i8").tobytes()], pa.binary()),
+                "codes": pa.array([flat.astype("<u4").tobytes()], pa.binary()),
+                "cls": pa.array([np.array([classes, *cls], "<u4").tobytes()], pa.binary()),
+                "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.StructArray.from_arrays(
+                    [pa.array(range(1, len(words) + 1), pa.int32()), pa.array(words, pa.binary()),
+                     pa.array(counts, pa.int64()), pa.array(cls, pa.int32())], ["idx", "word", "times", "cls"]))})
 
+        for batch in batches:
+            for doc_id, held, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = text.lower().split()
+                if held not in open_:
+                    open_[held] = [[], [], [], {}, 0]
+                part = open_[held]
+                seen = part[3]
+                code = np.zeros(len(words) + 1, np.int64)  # 0 is the end mark
+                code[:-1] = [seen.setdefault(w, len(seen) + 1) for w in words]
+                part[0].append(doc_id)
+                part[1].append(len(code))
+                part[2].append(code)
+                part[4] += len(code)
+                if part[4] >= limit:
+                    yield emit(held)
+        for held in list(open_):
+            yield emit(held)
+    return run
 
-def starting_model(codes: list[np.ndarray], unigram: np.ndarray, p: HmmParams) -> Hmm:
-    """A seeded random model, improved on the bounded sample ``codes``."""
-    rng = np.random.default_rng(p.seed)
-    k = p.states
-    emit = unigram[:, None] * rng.gamma(1.0, 1.0, (len(unigram), k)) + 1e-3 * unigram[:, None]
-    trans = np.full((k, k), 0.1 / max(1, k - 1))
-    np.fill_diagonal(trans, 0.9 if k > 1 else 1.0)
-    model = Hmm(np.full(k, 1 / k), trans, emit / emit.sum(axis=0, keepdims=True))
-    for _ in range(p.start_iterations if codes else 0):
-        model = reestimate(*expected_counts(model, codes), unigram, p.prior_weight)
-    return model
 
+CHUNKS = ("chunk long, held_out boolean, doc_ids array<long>, lens binary, codes binary, cls binary, "
+          "words array<struct<idx:int,word:binary,times:long,cls:int>>")
+LAST = 2 ** 31 - 1  # sorts a chunk's tokens behind its words
 
-def _count_words(classes: int, flush: int = 300_000):
-    def run(batches):
-        seen: Counter = Counter()
 
-        def rows():
-            words = list(seen)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()), pa.array(seen.values(), pa.int64()),
-                 pa.array([suffix_class(w, classes) for w in words], pa.int32())],
-                ["word", "n", "cls"])
+@dataclass
+class Shared:
+    """What every task knows: starts, moves, and emissions of classes and, last, the end mark."""
 
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(text.as_py().lower().split())
-                if len(seen) > flush:
-                    yield rows()
-                    seen.clear()
-        if seen:
-            yield rows()
-    return run
+    start: np.ndarray
+    trans: np.ndarray
+    emit: np.ndarray
 
 
-class _Known(dict):
-    def __missing__(self, word):
-        return -1
+def _doc_slices(lens: np.ndarray, limit: int = 400_000):
+    """Slices of documents of about ``limit`` tokens."""
+    start = size = 0
+    for i, n in enumerate(lens.tolist()):
+        if size and size + n > limit:
+            yield start, i
+            start, size = i, 0
+        size += n
+    yield start, len(lens)
+
+
+def _by_chunk(batches):
+    """Sorted rows of words and tokens to (words, tokens) per chunk; words: idx, id, n, s0, ..."""
+    parts: list = []
+    for batch in batches:
+        last = np.flatnonzero(batch.column("idx").to_numpy(zero_copy_only=False) == LAST)
+        begin = 0
+        for at in [*last.tolist(), None]:
+            parts.append(batch.slice(begin, (batch.num_rows if at is None else at) - begin)
+                         .drop_columns(["doc_ids", "lens", "codes", "cls"]))
+            if at is None:
+                break
+            t = pa.Table.from_batches(parts)
+            yield t, {c: batch.column(c)[at].as_py() for c in ("held_out", "doc_ids", "lens", "codes", "cls")}
+            parts, begin = [], at + 1
 
 
-CODED = ("row long, doc_id long, held_out boolean, n_tokens long, n_shared long, "
-         "shared_log double, own_log double, den_log double, codes binary, "
-         "rare array<struct<word:binary,n:long>>")
+def _local(shared: Shared, words: pa.Table, tokens: dict):
+    """The model with rows for the classes, the end mark and the chunk's own words, in
+    order; the lengths of its documents; the place of each word of the chunk; the documents."""
+    place = np.frombuffer(tokens["cls"], "<u4").astype(np.int64)
+    place[words["idx"].to_numpy()] = len(shared.emit) + np.arange(len(words))
+    emit = np.stack([words[f"s{z}"].to_numpy() for z in range(len(shared.start))], axis=1)
+    lens = np.frombuffer(tokens["lens"], "<i8")
+    flat = np.frombuffer(tokens["codes"], "<u4")
+    return (Hmm(shared.start, shared.trans, np.concatenate([shared.emit, emit])), lens, place,
+            np.split(place[flat], np.cumsum(lens)[:-1]))
 
 
-def _encode(shared, own: int, classes: int, log_c: np.ndarray, symbol: np.ndarray, log_den: np.ndarray):
-    """``shared``: broadcast list of the shared words, own-symbol words first;
-    ``log_c[i]``: log10 of its count plus a half, the end mark's last."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()),
-                        ("n_tokens", pa.int64()), ("n_shared", pa.int64()), ("shared_log", pa.float64()),
-                        ("own_log", pa.float64()), ("den_log", pa.float64()), ("codes", pa.binary()),
-                        ("rare", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))])
+def _expect(shared: Shared):
+    """Expected counts: rows of words per chunk, then of classes, starts (-1), moves
+    (-2 - state) and, first value, the log likelihood (-2 - states)."""
+    k, dense = len(shared.start), len(shared.emit)
+    names = ["id", "n", "sym"] + [f"s{z}" for z in range(k)]
 
     def run(batches):
-        known = _Known((w, i) for i, w in enumerate(shared.value))
-        index = known.__getitem__
-        for batch in batches:
-            out = []
-            for row, doc_id, held, text in zip(*(batch.column(i) for i in range(4)), strict=True):
-                words = text.as_py().lower().split()
-                idx = np.fromiter(map(index, words), np.int32, len(words))
-                code = np.empty(len(words) + 1, np.int64)
-                code[-1] = END
-                hit = idx >= 0
-                code[:-1][hit] = symbol[idx[hit]]
-                at = np.flatnonzero(~hit)
-                rare = [words[i] for i in at]
-                code[:-1][at] = [own + 1 + suffix_class(w, classes) for w in rare]
-                logs = log_c[idx[hit]]
-                mine = code[:-1][hit] <= own
-                counts = Counter(rare)
-                out.append((row.as_py(), doc_id.as_py(), held.as_py(), len(code), int(hit.sum()),
-                            float(logs.sum()), float(logs[mine].sum()),
-                            float(log_den[code[code > own] - own - 1].sum()),
-                            code.astype("<u2").tobytes(),
-                            [{"word": w, "n": n} for w, n in counts.items()]))
+        few = np.zeros((dense + 1 + k + 1, k))
+        for words, tokens in _by_chunk(batches):
+            model, lens, _, docs = _local(shared, words, tokens)
+            total = np.zeros(model.emit.shape)
+            for i, j in _doc_slices(lens):
+                start, moves, part, loglik = _expected(model, docs[i:j])
+                total += part
+                few[dense] += start
+                few[dense + 1: dense + 1 + k] += moves
+                few[-1, 0] += loglik
+            few[:dense] += total[:dense]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(col, t.type) for col, t in zip(zip(*out, strict=True), schema, strict=True)]
-                if out else [pa.array([], t.type) for t in schema], schema=schema)
+                [pa.array(words[c].to_numpy(), pa.int64()) for c in ("id", "n")] + [pa.nulls(len(words), pa.int32())]
+                + [pa.array(np.ascontiguousarray(total[dense:, z])) for z in range(k)], names)
+        ids = [*range(dense), -1, *(-2 - z for z in range(k + 1))]
+        used = np.flatnonzero(few.any(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(len(used), pa.int64())] * 2 + [pa.array(np.array(ids)[used], pa.int32())]
+            + [pa.array(few[used, z]) for z in range(k)], names)
     return run
 
 
-def _codes(batch, column) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), "<u2") for x in batch.column(column)]
+SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+          "base_score double, score double")
 
 
-def _grouped(docs: list[np.ndarray], limit: int = 400_000):
-    """Slices of about ``limit`` tokens."""
-    start = size = 0
-    for i, d in enumerate(docs):
-        if size and size + len(d) > limit:
-            yield start, i
-            start, size = i, 0
-        size += len(d)
-    if start < len(docs):
-        yield start, len(docs)
-
-
-def _expect(model: Hmm):
-    k = len(model.start)
+def _forward(shared: Shared, own_count: int, log_den: np.ndarray, n_docs: int, total: int, distinct: int):
+    base_den = np.log10(total + 0.5 * (distinct + 1))
 
     def run(batches):
-        total = None
-        for batch in batches:
-            docs = _codes(batch, 0)
-            for i, j in _grouped(docs):
-                part = expected_counts(model, docs[i:j])
-                total = part if total is None else [x + y for x, y in zip(total, part, strict=True)]
-        if total is None:
-            return
-        start, moves, emit = total
-        used = np.flatnonzero(emit.any(axis=1))
-        ids = np.concatenate([used, [-1], -2 - np.arange(k)]).astype(np.int32)
-        values = np.concatenate([emit[used], start[None], moves])
-        yield pa.RecordBatch.from_arrays([pa.array(ids)] + [pa.array(values[:, z].copy()) for z in range(k)],
-                                         ["sym"] + [f"s{z}" for z in range(k)])
+        for words, tokens in _by_chunk(batches):
+            own = words.filter(pc.greater_equal(words["n"], own_count))
+            model, lens, place, docs = _local(shared, own, tokens)
+            logs = np.concatenate([log_likelihood(model, docs[i:j]) for i, j in _doc_slices(lens)]) / LN10
+            flat, begin = np.frombuffer(tokens["codes"], "<u4"), np.cumsum(lens) - lens
+            count = np.full(len(place), n_docs)  # place 0 is the end mark
+            count[words["idx"].to_numpy()] = words["n"].to_numpy()
+            log_c = np.log10(count + 0.5)
+            rare = place < len(log_den)
+            inside = np.zeros(len(place))
+            inside[rare] = log_c[rare] - log_den[place[rare]]
+            per_doc = lambda x: np.add.reduceat(x[flat], begin)  # noqa: E731, B023
+            ids = tokens["doc_ids"]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ids, pa.int64()), pa.array([tokens["held_out"]] * len(ids), pa.bool_()),
+                pa.array(lens, pa.int64()), pa.array(per_doc((count > 0).astype(np.int64)), pa.int64()),
+                pa.array([total] * len(ids), pa.int64()), pa.array(per_doc(log_c) - lens * base_den),
+                pa.array(logs + per_doc(inside))], [c.split()[0] for c in SCORED.split(", ")])
     return run
 
 
-def _forward(model: Hmm):
-    def run(batches):
-        for batch in batches:
-            docs = _codes(batch, batch.schema.get_field_index("codes"))
-            logs = [log_likelihood(model, docs[i:j]) for i, j in _grouped(docs)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(batch.num_columns - 1)]
-                + [pa.array(np.concatenate(logs) / LN10 if logs else np.zeros(0))],
-                batch.schema.names[:-1] + ["hmm_log"])
-    return run
+def _met(chunks: DataFrame, own: DataFrame, emissions: DataFrame, rest: DataFrame | None = None) -> DataFrame:
+    """The words ``own`` with their emissions (and the ``rest`` without), each
+    chunk's tokens behind them."""
+    words = own.join(emissions.drop("n"), "id")
+    words = words if rest is None else words.unionByName(rest, allowMissingColumns=True)
+    tokens = chunks.select("chunk", F.lit(LAST).alias("idx"), "held_out", "doc_ids", "lens", "codes", "cls")
+    return (words.unionByName(tokens, allowMissingColumns=True).repartition("chunk")
+            .sortWithinPartitions("chunk", "idx"))
 
 
 def hmm_scores(documents: DataFrame, params: HmmParams | None = None, held_mod: int = 5,
@@ -335,75 +364,76 @@ def hmm_scores(documents: DataFrame, params: HmmParams | None = None, held_mod:
     held_out, n_tokens, n_known, train_tokens, base_score (add-a-half unigram)
     and score (log10 probability of the text under the trained model)."""
     p = params or HmmParams()
-    spark = documents.sparkSession
+    spark, k = documents.sparkSession, p.states
+    states = [f"s{z}" for z in range(k)]
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"),
                             (crc_mod("doc_id", held_mod) == held_rest).alias("held_out"),
                             text_bytes().alias("text"))
-
-    vocab = (docs.filter(~F.col("held_out")).select("text")
-             .mapInArrow(_count_words(p.classes), "word binary, n long, cls int")
-             .groupBy("word").agg(F.sum("n").alias("n"), F.first("cls").alias("cls")))
-    vocab = materialize(vocab, "vocab")
-    n_docs = docs.filter(~F.col("held_out")).count()
+    chunks = materialize(docs.mapInArrow(_chunks(p.classes, p.chunk_tokens), CHUNKS), "chunks")
+    listed = chunks.select("chunk", "held_out", F.explode("words").alias("w")).select("chunk", "held_out", "w.*")
+    vocab = materialize(listed.filter("not held_out").groupBy("word").agg(
+        F.sum("times").alias("n"), F.first("cls").alias("cls"))
+        .withColumn("id", F.monotonically_increasing_id()), "vocab")
+    entries = materialize(listed.select("chunk", "held_out", "idx", "word").join(
+        vocab.select("word", "n", "id"), "word", "left").select(
+        "chunk", "held_out", "idx", "id", F.coalesce("n", F.lit(0)).alias("n")), "words")
+
+    n_docs = chunks.filter("not held_out").agg(F.coalesce(F.sum(F.size("doc_ids")), F.lit(0))).first()[0]
     size = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total = size["n"] + n_docs
-    distinct = size["v"] + (n_docs > 0)
-
-    # At most shared_share words can have this many tokens: a bounded dictionary.
-    shared = [(bytes(r["word"]), r["n"], r["cls"]) for r in
-              vocab.filter(F.col("n") * p.shared_share >= total).collect()]
-    shared.sort(key=lambda r: (-r[1], r[0]))
-    own = sum(n * p.own_share >= total for _, n, _ in shared)
-    in_class = {r["cls"]: (r["n"], r["v"]) for r in
-                vocab.filter(F.col("n") * p.own_share < total).groupBy("cls")
-                .agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    class_n = np.array([in_class.get(c, (0, 0))[0] for c in range(p.classes)], float)
-    class_v = np.array([in_class.get(c, (0, 0))[1] for c in range(p.classes)], float)
+    total, distinct = size["n"] + n_docs, size["v"] + (n_docs > 0)
+    own = vocab.filter(F.col("n") >= p.own_count)
+    class_n, class_v = np.zeros(p.classes), np.zeros(p.classes)
+    for r in vocab.filter(F.col("n") < p.own_count).groupBy("cls").agg(
+            F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        class_n[r["cls"]], class_v[r["cls"]] = r["n"], r["v"]
     log_den = np.log10(class_n + 0.5 * (class_v + 1))
-    unigram = np.concatenate([[n_docs], [n for _, n, _ in shared[:own]], class_n]) + 0.5
-    unigram /= unigram.sum()
-
-    symbol = np.array([i + 1 if i < own else own + 1 + c for i, (_, _, c) in enumerate(shared)], np.int64)
-    words = spark.sparkContext.broadcast([w for w, _, _ in shared])
-    log_c = np.log10(np.array([n for _, n, _ in shared], float) + 0.5)
-    coded = materialize(
-        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-        .mapInArrow(_encode(words, own, p.classes, log_c, symbol, log_den), CODED), "codes")
-
-    training = coded.filter(~F.col("held_out"))
-    chosen = training.select("row").orderBy(F.xxhash64("row", F.lit(p.seed))).limit(p.start_docs)
-    sample = (training.join(F.broadcast(chosen), "row", "left_semi").orderBy("row")
-              .select(F.substring("codes", 1, 2 * p.start_tokens).alias("codes")).collect())
-    model = starting_model([np.frombuffer(bytes(r["codes"]), "<u2") for r in sample], unigram, p)
-    fields = ", ".join(f"s{z} double" for z in range(p.states))
-    for _ in range(p.iterations if n_docs else 0):
-        counted = (training.select("codes").mapInArrow(_expect(model), f"sym int, {fields}")
-                   .groupBy("sym").agg(*(F.sum(f"s{z}").alias(f"s{z}") for z in range(p.states))).collect())
-        emit, moves = np.zeros((len(unigram), p.states)), np.zeros((p.states, p.states))
-        start = np.zeros(p.states)
-        for sym, *values in counted:
+
+    # Frequencies of all symbols, and the start: each times a seeded draw per state.
+    unigram = np.append(class_n, n_docs) + 0.5
+    norm = float(unigram.sum()) + own.agg(F.coalesce(F.sum(F.col("n") + 0.5), F.lit(0.0))).first()[0]
+    unigram /= norm
+    frequency = (F.col("n") + 0.5) / norm
+    few = unigram[:, None] * (np.random.default_rng(p.seed).gamma(1.0, 1.0, (len(unigram), k)) + 1e-3)
+    draw = [-F.log((F.pmod(F.xxhash64("word", F.lit(p.seed), F.lit(z)), F.lit(1 << 31)) + 0.5) / (1 << 31)) + 1e-3
+            for z in range(k)]
+    raw = materialize(own.select("id", "n", *((frequency * d).alias(c) for d, c in zip(draw, states, strict=True))),
+                      "start")
+
+    def normal(few: np.ndarray, raw: DataFrame, lean: float) -> tuple[np.ndarray, DataFrame]:
+        """Emissions in proportion to ``few`` and ``raw``, plus ``lean`` times the frequencies."""
+        few = few + lean * unigram[:, None]
+        sums = raw.agg(*(F.coalesce(F.sum(F.col(c) + lean * frequency), F.lit(0.0)) for c in states)).first()
+        sums = few.sum(axis=0) + np.array(sums)
+        return few / sums, raw.select("id", "n", *(
+            ((F.col(c) + lean * frequency) / float(x)).alias(c) for c, x in zip(states, sums, strict=True)))
+
+    trans = np.full((k, k), 0.1 / max(1, k - 1))
+    np.fill_diagonal(trans, 0.9 if k > 1 else 1.0)
+    few, table = normal(few, raw, 0.0)
+    model, passes = Shared(np.full(k, 1 / k), trans, few), 0
+    training, has_own = chunks.filter("not held_out"), F.col("n") >= p.own_count
+    words = entries.filter(has_own & ~F.col("held_out")).drop("held_out")
+    fields = "id long, n long, sym int, " + ", ".join(f"{c} double" for c in states)
+    while n_docs and passes < p.iterations:
+        counted = materialize(
+            _met(training, words, table).mapInArrow(_expect(model), fields)
+            .groupBy("id", "n", "sym").agg(*(F.sum(c).alias(c) for c in states)), "expected")
+        few = np.zeros((p.classes + 1, k))
+        start, moves, loglik = np.zeros(k), np.zeros((k, k)), 0.0
+        for _, _, sym, *values in counted.filter("sym is not null").collect():  # a row per class and state
             if sym >= 0:
-                emit[sym] = values
+                few[sym] = values
             elif sym == -1:
                 start[:] = values
+            elif sym == -2 - k:
+                loglik = values[0]
             else:
                 moves[-2 - sym] = values
-        model = reestimate(start, moves, emit, unigram, p.prior_weight)
-
-    rare = (coded.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
-            .join(vocab.select("word", "n"), "word", "left")
-            .groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_log"),
-                                F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_rare_known")))
-    scored = coded.select("row", "doc_id", "held_out", "n_tokens", "n_shared", "shared_log", "own_log",
-                          "den_log", "codes")
-    schema = ("row long, doc_id long, held_out boolean, n_tokens long, n_shared long, shared_log double, "
-              "own_log double, den_log double, hmm_log double")
-    end_log = float(np.log10(n_docs + 0.5))
-    rare_log = F.coalesce("rare_log", F.lit(0.0))
-    base_den = float(np.log10(total + 0.5 * (distinct + 1)))
-    return (scored.mapInArrow(_forward(model), schema).join(rare, "row", "left").select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("n_shared") + F.coalesce("n_rare_known", F.lit(0)) + F.lit(int(n_docs > 0))).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("shared_log") + rare_log + F.lit(end_log) - F.col("n_tokens") * F.lit(base_den)).alias("base_score"),
-        (F.col("hmm_log") + F.col("shared_log") - F.col("own_log") + rare_log - F.col("den_log")).alias("score")))
+        few, table = normal(few, counted.filter("sym is null"), p.prior_weight)
+        model = Shared((start + 1) / (start + 1).sum(), (moves + 1) / (moves + 1).sum(axis=1, keepdims=True), few)
+        passes += 1
+        gc.collect()
+        spark._jvm.System.gc()  # shuffles of the pass before go
+    entries = entries.drop("held_out")
+    return _met(chunks, entries.filter(has_own), table, entries.filter(~has_own)).mapInArrow(
+        _forward(model, p.own_count, log_den, int(n_docs), int(total), int(distinct)), SCORED)
