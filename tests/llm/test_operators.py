@@ -127,6 +127,18 @@ def test_rare_words_have_emissions_of_their_own(spark):
     assert len(ids) == 16 and all(score[a] > score[b] + 0.2 for a, b in zip(ids[::2], ids[1::2]))
 
 
+def test_training_finds_states_behind_the_first_tokens_of_texts(spark):
+    """What tells states apart stands behind the first 1,024 tokens: six topics of eight words at a time."""
+    rng, rows = random.Random(6), []
+    for i in range(60):
+        tail = [f"{'abcdef'[k // 8 % 6]}{rng.randrange(12)}" for k in range(600)]
+        rows.append((i, " ".join(["same"] * 1030 + tail)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for held in (False, True):
+        scored = [r for r in hmm.hmm_scores(df).collect() if r["held_out"] == held]
+        assert sum(r["score"] for r in scored) > 0.6 * sum(r["base_score"] for r in scored)
+
+
 # 2. line dedup
 
 def cut(spark, docs, min_words):

@@ -19,7 +19,8 @@ next table; (4) one forward pass over all tokens by the same way. A word is one
 row per chunk in every join, so no word is hot.
 
 Starting values are the symbols' frequencies over all training tokens with a
-seeded perturbation; ``iterations`` passes follow.
+seeded perturbation. Iterations go on until the log likelihood gains less than
+``gain`` of its size, or ``iterations`` passes if that is given.
 
 Defined cases: null text is empty (one end mark); a null id belongs to the
 training part (crc32 of '' is 0); repeated rows count and score one by one;
@@ -49,7 +50,8 @@ LN10 = float(np.log(10.0))
 @dataclass
 class HmmParams:
     states: int = 6
-    iterations: int = 15
+    iterations: int | None = None
+    gain: float = 1e-3
     own_count: int = 16
     chunk_tokens: int = 1 << 22
     classes: int = 1024
@@ -410,11 +412,11 @@ def hmm_scores(documents: DataFrame, params: HmmParams | None = None, held_mod:
     trans = np.full((k, k), 0.1 / max(1, k - 1))
     np.fill_diagonal(trans, 0.9 if k > 1 else 1.0)
     few, table = normal(few, raw, 0.0)
-    model, passes = Shared(np.full(k, 1 / k), trans, few), 0
+    model, last, passes = Shared(np.full(k, 1 / k), trans, few), None, 0
     training, has_own = chunks.filter("not held_out"), F.col("n") >= p.own_count
     words = entries.filter(has_own & ~F.col("held_out")).drop("held_out")
     fields = "id long, n long, sym int, " + ", ".join(f"{c} double" for c in states)
-    while n_docs and passes < p.iterations:
+    while n_docs and (p.iterations is None or passes < p.iterations):
         counted = materialize(
             _met(training, words, table).mapInArrow(_expect(model), fields)
             .groupBy("id", "n", "sym").agg(*(F.sum(c).alias(c) for c in states)), "expected")
@@ -432,8 +434,12 @@ def hmm_scores(documents: DataFrame, params: HmmParams | None = None, held_mod:
         few, table = normal(few, counted.filter("sym is null"), p.prior_weight)
         model = Shared((start + 1) / (start + 1).sum(), (moves + 1) / (moves + 1).sum(axis=1, keepdims=True), few)
         passes += 1
+        done = last is not None and loglik - last < p.gain * abs(last)
+        last = loglik
         gc.collect()
         spark._jvm.System.gc()  # shuffles of the pass before go
+        if done:
+            break
     entries = entries.drop("held_out")
     return _met(chunks, entries.filter(has_own), table, entries.filter(~has_own)).mapInArrow(
         _forward(model, p.own_count, log_den, int(n_docs), int(total), int(distinct)), SCORED)
