@@ -274,7 +274,6 @@ def test_packing_round_trip(edge_docs, no_docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     ids = [[*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0] for r in edge_rows()]
     rows = packing.pack(clashing(edge_docs)).collect()
     crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
