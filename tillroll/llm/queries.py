@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tillroll.llm import langid
 from tillroll.llm.hmm import hmm_scores
 from tillroll.llm.line_dedup import dedup_lines
 from tillroll.llm.mixing import mix_quotas
@@ -65,6 +66,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(read_table(spark, sf_dir, "documents", "doc_id"), "doc_id", SHARDS)
 
 
+def op11_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held_out = crc_mod("doc_id", 5) == 0
+    model = langid.train(documents.filter(~held_out))
+    return langid.predicted(documents, model, keep=["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,6 +91,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_sharding": op10_sharding,
+    "op11_langid": op11_langid,
     "pipeline": pipeline,
 }
 
