@@ -29,7 +29,7 @@ likelihoods a word. Rows that repeat count as often as they stand there.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, replace
 from itertools import chain
 
@@ -52,7 +52,7 @@ class LangidParams:
     longest_word: int = 48
     cutoff: float = 1e-5
     most_features: int = 1 << 21
-    held: int = 1 << 18         # distinct words or n-grams counted in a task before they are handed on
+    held: int = 1 << 19         # distinct words or n-grams counted in a task before they are handed on
 
     @property
     def floor(self) -> float:
@@ -70,53 +70,96 @@ def grams(word: str, n: int) -> list[str]:
     return [s[k:k + n] for k in range(len(s) - n + 1)]
 
 
-def _summed(keys: list[str], held: int, count):
-    """Counts per task: ``count`` adds a batch to a Counter of key tuples; handed on when it passes ``held``."""
+def _counted(held: int, count):
+    """Partial counts of a task: ``count`` adds a batch to a Counter per (language, n) and yields now and
+    then; they are handed on as (lang, n, feature, count) when there are more than ``held`` of them."""
     def run(batches):
-        def out(seen):
-            columns = [list(c) for c in zip(*seen, strict=True)]
-            types = [pa.int32() if k == "n" else pa.string() for k in keys]
-            return pa.RecordBatch.from_arrays(
-                [*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), pa.array(list(seen.values()), pa.int64())],
-                [*keys, "count"])
-
-        seen: Counter = Counter()
-        for batch in batches:
-            for _ in count(batch, seen):
-                if len(seen) > held:
-                    yield out(seen)
+        def out():
+            for (lang, n), seen in tables.items():
+                if seen:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(seen), int))),
+                         pa.array(np.full(len(seen), n, np.int32)), pa.array(seen.keys(), pa.string()),
+                         pa.array(seen.values(), pa.int64())], ["lang", "n", "feature", "count"])
                     seen.clear()
-        if seen:
-            yield out(seen)
+
+        tables: defaultdict = defaultdict(Counter)
+        for batch in batches:
+            for _ in count(batch, tables):
+                if sum(map(len, tables.values())) > held:
+                    yield from out()
+        yield from out()
     return run
 
 
+COUNTS = "lang string, n int, feature string, count long"
+
+
+def _summed(partial: DataFrame) -> DataFrame:
+    return partial.groupBy("lang", "n", "feature").agg(F.sum("count").alias("count"))
+
+
 def word_counts(documents: DataFrame, p: LangidParams) -> DataFrame:
-    """(lang, word, count) over all rows with a language and a text."""
-    def count(batch, seen):
+    """(lang, n = 0, feature, count) of the words of all rows with a language and a text."""
+    def count(batch, tables):
         words = splitter(p)
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for word, n in Counter(words(text.as_py().lower())).items():
-                seen[lang, word] += n
+            tables[lang, 0].update(words(text.as_py().lower()))
             yield
 
     rows = documents.filter("lang is not null and text is not null").select("lang", "text")
-    return (rows.mapInArrow(_summed(["lang", "word"], p.held, count), "lang string, word string, count long")
-            .groupBy("lang", "word").agg(F.sum("count").alias("count")))
+    return _summed(rows.mapInArrow(_counted(p.held, count), COUNTS))
+
+
+def _gram_tables(words: list[str], times: np.ndarray, longest: int):
+    """(n, distinct n-grams, their counts) of words that occur ``times`` times. The words stand
+    one after another with single blanks; an n-gram's number follows from the number of the one
+    that is a character shorter and the character after it."""
+    line = f" {' '.join(words)} "
+    _, char = np.unique(np.frombuffer(line.encode("utf-32-le"), np.uint32), return_inverse=True)
+    blank = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32)
+    at = np.arange(len(line) - 1)
+    word = np.searchsorted(blank, at, side="right") - 1  # a word with the blank before it
+    end = blank[word + 1]
+    number, alphabet = char[:-1], int(char.max()) + 1
+    inside = np.flatnonzero(at != blank[word])
+    for n in range(1, longest + 1):
+        if n > 1:
+            keep = end[at] >= at + n - 1
+            at, number = at[keep], number[keep] * alphabet + char[at[keep] + n - 1]
+        some = inside if n == 1 else slice(None)
+        _, first, number_of = np.unique(number[some], return_index=True, return_inverse=True)
+        counts = np.bincount(number_of, weights=times[word[at[some]]]).astype(np.int64)
+        yield n, [line[k:k + n] for k in at[some][first].tolist()], counts
+        if n > 1:
+            number = number_of
 
 
 def gram_counts(words: DataFrame, p: LangidParams) -> DataFrame:
     """(lang, n, feature, count) of the character n-grams of all counted words."""
-    def count(batch, seen):
-        for lang, word, times in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            for n in range(1, p.longest + 1):
-                for g in grams(word, n):
-                    seen[lang, n, g] += times
-            yield
+    def run(batches):
+        def out():
+            for lang, (features, times) in waiting.items():
+                for n, found, counts in _gram_tables(features, np.array(times, float), p.longest):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(found), pa.string()), pa.array(np.full(len(found), n, np.int32)),
+                         pa.array(found, pa.string()), pa.array(counts)], ["lang", "n", "feature", "count"])
+            waiting.clear()
+
+        waiting: dict[str, tuple[list, list]] = {}
+        size = 0
+        for batch in batches:
+            for lang, word, times in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True):
+                features, counts = waiting.setdefault(lang, ([], []))
+                features.append(word)
+                counts.append(times)
+                size += len(word)
+                if size > 2 * p.held:
+                    yield from out()
+                    size = 0
+        yield from out()
 
-    return (words.mapInArrow(_summed(["lang", "n", "feature"], p.held, count),
-                             "lang string, n int, feature string, count long")
-            .groupBy("lang", "n", "feature").agg(F.sum("count").alias("count")))
+    return _summed(words.mapInArrow(run, COUNTS))
 
 
 class LanguageModel:
@@ -177,7 +220,7 @@ class LanguageModel:
 class Scorer:
     """A model with the rows of words met lately (``held`` of them beside the known words)."""
 
-    def __init__(self, model: LanguageModel, held: int = 1 << 16):
+    def __init__(self, model: LanguageModel, held: int = 1 << 18):
         self.model, self.words = model, splitter(model.params)
         known = len(model.index[0])
         self.first, self.last = known, known + held
@@ -209,7 +252,7 @@ def train(documents: DataFrame, params: LangidParams | None = None) -> LanguageM
     """Count all rows of ``documents`` (text, lang) that have both."""
     p = params or LangidParams()
     words = materialize(word_counts(documents, p), "words")
-    size, most = F.char_length("word"), p.most_features // (p.longest + 1)
+    size, most = F.char_length("feature"), p.most_features // (p.longest + 1)
     totals = words.groupBy("lang").agg(F.sum("count").alias("t0"), F.sum(F.col("count") * size).alias("t1"), *(
         F.sum(F.col("count") * F.greatest(F.lit(0), size + 3 - n)).alias(f"t{n}") for n in range(2, p.longest + 1)))
     sizes = totals.limit(most + 1).collect()
@@ -220,9 +263,7 @@ def train(documents: DataFrame, params: LangidParams | None = None) -> LanguageM
     p = replace(p, cutoff=max(p.cutoff, len(sizes) / most))
     total = words.sparkSession.createDataFrame(
         [(r["lang"], n, r[f"t{n}"]) for r in sizes for n in range(p.longest + 1)], "lang string, n int, total long")
-    counted = words.select("lang", F.lit(0).alias("n"), F.col("word").alias("feature"), "count").union(
-        gram_counts(words, p))
-    kept = (counted.join(F.broadcast(total), ["lang", "n"])  # at most ``most_features`` rows
+    kept = (words.union(gram_counts(words, p)).join(F.broadcast(total), ["lang", "n"])  # at most ``most_features`` rows
             .filter(F.col("count") >= p.cutoff * F.col("total"))
             .select("n", "feature", "lang", F.log10(F.col("count") / F.col("total")).alias("value")).toArrow())
     return LanguageModel(p, {r["lang"]: r["t0"] for r in sizes},
