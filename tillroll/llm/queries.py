@@ -11,6 +11,7 @@ from tillroll.llm.mixing import mix_quotas
 from tillroll.llm.packing import pack
 from tillroll.llm.phrases import fingerprint_edits
 from tillroll.llm.pu_quality import scored, train
+from tillroll.llm.repair import damage, repair_report
 from tillroll.llm.setsketch import SketchParams, near_duplicates
 from tillroll.llm.sharding import assign_shards
 from tillroll.llm.text import crc_mod
@@ -74,6 +75,11 @@ def op11_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return repair_report(conversations, damage(conversations))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,6 +98,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_sharding": op10_sharding,
     "op11_langid": op11_langid,
+    "op12_conversation_repair": op12_conversation_repair,
     "pipeline": pipeline,
 }
 
@@ -165,6 +172,77 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest
        CASE WHEN n >= 1000 AND page_id <> newest THEN newest END AS refers_to
 FROM payloads"""
 
+
+
+def _edit(label: str, cost: str, letter: str, line: str) -> str:
+    return f"{{'c': {label}.c + {cost}, 'a': {label}.a || '{letter}', 't': list_append({label}.t, {line})}}"
+
+
+def _delete(label: str) -> str:
+    return f"{{'c': {label}.c + 3, 'a': {label}.a || 'D', 't': {label}.t}}"
+
+
+def _written(label: str, initial: str, role: str) -> str:
+    """Keep or rewrite a turn as the next one of a role."""
+    return (f"CASE WHEN initial = '{initial}' THEN {_edit(label, 'cut', 'K', 'line')} "
+            f"ELSE {_edit(label, '2 + cut', 'R', repr(role + ':') + ' || text')} END")
+
+
+_NOWHERE = "{'c': CAST(1000000000 AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])}"
+_INSERTED = (", ".join(_edit(x, "2", "I", "'user:'") for x in "nsa"), _edit("u1", "2", "I", "'assistant:'"))
+
+# Labels n, s, u, a: cheapest edits so far that have written nothing, or system,
+# user or assistant last; u1, a1: the same with insertions before the next turn.
+REPAIR_SQL = f"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)
+              ORDER BY b) AS t FROM range(256) AS bytes(b)),
+faults AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' ||
+               coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+             lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1]), 4294967295), 4294967295) % 20 AS fault
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM faults WHERE fault <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS r,
+         substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM damaged),
+turns AS (
+  SELECT *, role || ':' || text AS line, NOT blank AND seen > 1 AS repeat,
+         CAST(NOT blank AND seen = 1 AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS BIGINT) AS cut
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY r) AS seen,
+               lag(initial) OVER (PARTITION BY conv_id ORDER BY r) AS before FROM placed)),
+stats AS (
+  SELECT conv_id, count(*) AS m, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (repeat) AS duplicate, CAST(sum(cut) AS BIGINT) AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM turns GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS r, {{'c': CAST(0 AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])}} AS n,
+         {_NOWHERE} AS s, {_NOWHERE} AS u, {_NOWHERE} AS a FROM stats
+  UNION ALL
+  SELECT x.conv_id, x.r + 1, {_delete("n")},
+         CASE WHEN initial = 's' AND NOT gone THEN list_min([{_delete("s")}, {_edit("n", "cut", "K", "line")}]) ELSE {_delete("s")} END,
+         CASE WHEN gone THEN {_delete("u1")} ELSE list_min([{_delete("u1")}, {_written("n", "u", "user")},
+           {_written("s", "u", "user")}, {_written("a1", "u", "user")}]) END,
+         CASE WHEN gone THEN {_delete("a1")} ELSE list_min([{_delete("a1")}, {_written("u1", "a", "assistant")}]) END
+  FROM (SELECT *, list_min([a, {_INSERTED[1]}]) AS a1 FROM (SELECT *, list_min([u, {_INSERTED[0]}]) AS u1 FROM walk)) AS x
+  JOIN (SELECT *, blank OR repeat AS gone FROM turns) AS y ON x.conv_id IS NOT DISTINCT FROM y.conv_id AND y.r = x.r + 1),
+ends AS (
+  SELECT conv_id, list_min([n, a, {_INSERTED[1]}]) AS best
+  FROM (SELECT w.*, list_min([u, {_INSERTED[0]}]) AS u1 FROM walk AS w JOIN stats AS z
+        ON w.conv_id IS NOT DISTINCT FROM z.conv_id AND w.r = z.m)),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+       coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+FROM ids AS i LEFT JOIN stats AS z ON i.conv_id IS NOT DISTINCT FROM z.conv_id
+     LEFT JOIN ends AS e ON i.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
 # Scoring, fingerprints, tokenization, seeded draws, the classifier, the slot
 # table and the pipeline are not SQL: tests/llm compares those with brute force.
 ORACLE: dict[str, str] = {
@@ -172,4 +250,5 @@ ORACLE: dict[str, str] = {
     "op4_near_dedup": NEAR_DEDUP_SQL,
     "op6_topk_search": TOPK_SQL,
     "op9_warc": WARC_SQL,
+    "op12_conversation_repair": REPAIR_SQL,
 }
