@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillroll.llm import langid
 from tillroll.llm.hmm import hmm_scores
 from tillroll.llm.line_dedup import dedup_lines
 from tillroll.llm.mixing import mix_quotas
+from tillroll.llm.negatives import hard_negatives
 from tillroll.llm.packing import pack
 from tillroll.llm.phrases import fingerprint_edits
 from tillroll.llm.pu_quality import scored, train
@@ -80,6 +82,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(conversations, damage(conversations))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), label)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,6 +106,7 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_langid": op11_langid,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": pipeline,
 }
 
@@ -243,6 +251,27 @@ SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM ids AS i LEFT JOIN stats AS z ON i.conv_id IS NOT DISTINCT FROM z.conv_id
      LEFT JOIN ends AS e ON i.conv_id IS NOT DISTINCT FROM e.conv_id"""
 
+NEGATIVES_SQL = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM usable a JOIN usable c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3"""
+
 # Scoring, fingerprints, tokenization, seeded draws, the classifier, the slot
 # table and the pipeline are not SQL: tests/llm compares those with brute force.
 ORACLE: dict[str, str] = {
@@ -251,4 +280,5 @@ ORACLE: dict[str, str] = {
     "op6_topk_search": TOPK_SQL,
     "op9_warc": WARC_SQL,
     "op12_conversation_repair": REPAIR_SQL,
+    "op13_hard_negatives": NEGATIVES_SQL,
 }
