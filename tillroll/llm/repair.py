@@ -242,11 +242,13 @@ class Repair:
         self.rows = conversations.select("conv_id", "turn", role, text, copies.alias("copies"))
         ids = conversations.schema["conv_id"].dataType.simpleString()
         self.turns = materialize(self._numbered(), "turns")
-        part = F.expr(f"(place - 1) div {segment}").alias("part")
         turn = F.struct("place", F.substring("role", 1, 1).alias("initial"), "must_go", "truncated", "copies")
-        parts = materialize(
-            self.turns.groupBy("conv_id", part).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-            .mapInArrow(_segments, PART.format(ids)), "parts")
+        # Segments are few bytes but much work: a stated number of tasks, which is not merged by size.
+        tasks = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        segments = (self.turns.withColumn("part", F.expr(f"(place - 1) div {segment}"))
+                    .repartition(tasks, "conv_id", "part").groupBy("conv_id", "part"))
+        parts = materialize(segments.agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+                            .mapInArrow(_segments, PART.format(ids)), "parts")
         last = parts.agg(F.max("part")).first()[0] or 0
         while last:
             last //= segment
