@@ -7,7 +7,7 @@ import pytest
 from tests.conftest import SF_SMOKE, have_data
 from tillroll import __main__ as cli
 from tillroll.plans import study_reports
-from tillroll.sources.sales import STUDY_SCHEMA, input_signature, prepare_sales, read_sales, sales
+from tillroll.sources.sales import STUDY_SCHEMA, prepare_sales, read_sales, sales, sales_upkeep
 
 ROW = "1,2023-01-02,07:00:00,2,3,Astoria,5,3.50,Bakery,Scone,Plain Scone"
 HEADER = ",".join(f.split()[0] for f in STUDY_SCHEMA.replace("decimal(10,2)", "decimal").split(", "))
@@ -25,10 +25,10 @@ def inputs(tmp_path):
 
 
 def test_rows_appended_in_a_sub_folder_are_seen(spark, inputs):
-    before, signature = sales(spark, str(inputs)).count(), input_signature(spark, str(inputs))
-    assert input_signature(spark, f"file://{inputs}") == signature
+    before, files = sales(spark, str(inputs)).count(), sales_upkeep(spark, str(inputs)).files()
+    assert sales_upkeep(spark, f"file://{inputs}").files() == files
     shutil.copy(f"{SF_SMOKE}/lineitem.parquet", inputs / "lineitem.parquet" / "day=1" / "b.parquet")
-    assert input_signature(spark, str(inputs)) != signature
+    assert sales_upkeep(spark, str(inputs)).files() != files
     assert sales(spark, str(inputs)).count() == 2 * before
 
 

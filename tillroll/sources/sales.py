@@ -4,7 +4,8 @@ The driver's tables are a star schema, so the wide table is built once per
 session by a Spark job (four joins) and written to the shared folder named by
 ``spark.checkpoint.dir``; every report then scans that table with pruned
 columns and pushed filters instead of re-running the joins. A written table
-also cuts lineage, so a lost executor costs a re-read, not a re-join.
+also cuts lineage, so a lost executor costs a re-read, not a re-join. Files
+added to the input later are joined and appended (``sources.upkeep``).
 
 Join plan at scale: nation and region are lookups of fixed size (25 and 5
 rows); they are broadcast after a row-count check. customer, orders, part
@@ -37,7 +38,7 @@ tier_price        3.50 when l_discount <= 0.07 else 4.38 (a two-step price
 from __future__ import annotations
 
 import hashlib
-import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,7 @@ from tillroll.operators.enrich import with_basket_key
 from tillroll.operators.joins import bounded_broadcast
 from tillroll.session import app_id, file_system, remove_at_exit, shared_dir
 from tillroll.sources.tables import read_table, table_path
+from tillroll.sources.upkeep import Link, MaintainedJoin, Read
 
 # The base and raised price of the price-change study, and the
 # discount at or below which a line counts as sold at the base price.
@@ -65,14 +67,17 @@ BASKET_PARTS = ("transaction_date", "customer_id", "store_id")
 
 def build_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lazy star join (no write). Prefer ``sales`` for repeated reports."""
-    region = read_table(spark, sf_dir, "region", "r_regionkey", "r_name")
-    nation = read_table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey")
-    customer = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
-    orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
-    part = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type",
-                      "p_retailprice")
-    lineitem = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey",
-                          "l_linenumber", "l_quantity", "l_discount")
+    return star_join(partial(read_table, spark, sf_dir))
+
+
+def star_join(read: Read) -> DataFrame:
+    """The join of the tables that ``read`` returns by name."""
+    region = read("region").select("r_regionkey", "r_name")
+    nation = read("nation").select("n_nationkey", "n_regionkey")
+    customer = read("customer").select("c_custkey", "c_nationkey")
+    orders = read("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    part = read("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
+    lineitem = read("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount")
 
     nation, region = bounded_broadcast(nation), bounded_broadcast(region)
     cust_store = (customer.join(nation, customer.c_nationkey == nation.n_nationkey)
@@ -143,41 +148,33 @@ STUDY_SCHEMA = ("transaction_id long, transaction_date date, transaction_time st
 
 
 INPUTS = ("region", "nation", "customer", "orders", "part", "lineitem")
+LINKS = (Link("lineitem", "l_orderkey", "orders", "o_orderkey"), Link("lineitem", "l_partkey", "part", "p_partkey"),
+         Link("orders", "o_custkey", "customer", "c_custkey"))
+
+
+def sales_upkeep(spark: SparkSession, sf_dir: str, root: str | None = None) -> MaintainedJoin:
+    """The written sales table of ``sf_dir`` and its manifest. With ``root``, a
+    folder of your own, it outlives the application, so the next one joins
+    only the files that came since; otherwise it lies in the session's shared
+    folder and is deleted when the driver ends."""
+    if root is None:
+        fs, target = file_system(spark, sf_dir)
+        of = hashlib.sha1(fs.makeQualified(target).toString().encode()).hexdigest()[:16]
+        root = f"{shared_dir(spark)}/tillroll-sales-{app_id(spark)}-{of}"
+        if root not in _removed:
+            _removed.add(root)
+            remove_at_exit(spark, root)
+    return MaintainedJoin(spark, root, {n: table_path(sf_dir, n) for n in INPUTS}, star_join, ",".join(SALES_COLUMNS),
+                          LINKS, ("product_category", "product_type", "product_detail"))
+
+
+_removed: set[str] = set()  # folders that go when the driver ends
 
 
-def input_signature(spark: SparkSession, sf_dir: str) -> str:
-    """A digest of every input file's path, size and modification time, listed
-    through Spark's file system (also in sub-folders and remote stores)."""
-    parts = []
-    for name in INPUTS:
-        fs, target = file_system(spark, table_path(sf_dir, name))
-        files = fs.listFiles(target, True)
-        while files.hasNext():
-            f = files.next()
-            parts.append(f"{f.getPath().toString()}:{f.getLen()}:{f.getModificationTime()}")
-    return hashlib.sha1("|".join(sorted(parts)).encode()).hexdigest()[:16]
-
-
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The wide sales table, built once per application and state of the input
-    files, written as parquet under the session's shared folder and deleted
-    when the driver ends. Where the table is comes from the application id and
-    the input's signature alone, so changed input is never served from an old
-    copy."""
-    path = f"{shared_dir(spark)}/tillroll-sales-{app_id(spark)}-{input_signature(spark, sf_dir)}"
-    fs, target = file_system(spark, path)
-    if not fs.exists(target):
-        remove_at_exit(spark, path)
-        draft = f"{path}-{uuid.uuid4().hex[:8]}"
-        (build_sales(spark, sf_dir)
-         .sortWithinPartitions("product_category", "product_type", "product_detail")
-         .write.parquet(draft))
-        written = file_system(spark, draft)[1]
-        if not fs.exists(target):
-            fs.rename(written, target)
-        else:  # another thread was first
-            fs.delete(written, True)
-    return spark.read.parquet(path)
+def sales(spark: SparkSession, sf_dir: str, root: str | None = None) -> DataFrame:
+    """The wide sales table: joined once, then only for files that are added to
+    the input (see ``sales_upkeep``); changed input is never served from an old copy."""
+    return sales_upkeep(spark, sf_dir, root).read()
 
 
 EVENT_BASKET_PARTS = ("transaction_date", "customer_id")
