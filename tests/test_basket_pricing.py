@@ -66,6 +66,27 @@ def test_hot_basket(spark):
     assert len(basket.basket_combos(df).first().product_cate_combo) == 3 * 1_000_000 - 2
 
 
+def test_products_in_combo_counts_each_item(make_sales):
+    """A basket fits by how often it holds each item; with ``distinct`` by which items it holds; lines without an item do not count."""
+    at = "2023-01-02"
+    df = make_sales([line(1, at, "07:00:00", 1, 3, "2.00", "A", detail="x"), line(2, at, "07:00:00", 1, 3, "1.00", "B", detail="y"),
+                     line(3, at, "08:00:00", 1, 3, "2.00", "A", detail="x"), line(4, at, "08:00:00", 1, 3, "2.00", "A", detail="z"),
+                     line(5, at, "08:00:00", 1, 3, "1.00", "B", detail="y"),
+                     line(6, at, "09:00:00", 1, 3, "1.00", "B", detail="w"), line(7, at, "09:00:00", 1, 3, "1.00", "A", detail="w"),
+                     line(8, at, "09:00:00", 1, 3, "1.00", None, detail="w"),
+                     line(9, at, "10:00:00", 1, 3, "1.00", "A", detail="v"), line(10, at, "10:00:00", 1, 3, "1.00", "B", detail="v"),
+                     line(11, at, "10:00:00", 1, 3, "1.00", "C", detail="v")])
+
+    def products(*combo, **kw):
+        return {r.product_detail for r in basket.products_in_combo(df, list(combo), **kw).collect()}
+
+    assert products("A", "B") == {"x", "y", "w"}
+    assert products("B", "A", "A") == {"x", "y", "z"}
+    assert products("A", "B", distinct=True) == {"x", "y", "z", "w"}
+    assert products("A") == set()
+    assert products("A", "C") == set()
+
+
 def test_products_in_combo(make_sales):
     df = _baskets(make_sales)
     out = sorted((r.product_category, r.product_detail, r.total_transactions, r.rank_by_revenue)

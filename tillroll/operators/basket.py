@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.money import exact, ratio
+from tillroll.operators.joins import might_be_in
 from tillroll.operators.ranking import rank_within
 
 CONTENT = "_content"
@@ -108,6 +109,20 @@ def top_combos(df: DataFrame, n: int = 7, item: str = "product_category", combo:
     return _named(best, combo, sep).orderBy(F.col("total_revenue").desc_nulls_first(), F.col(combo).asc())
 
 
+def _baskets_of(lines: DataFrame, key: Sequence[str], wanted: Counter, min_lines: int, distinct: bool) -> DataFrame:
+    """Keys of the baskets that hold exactly the ``wanted`` items (each as often, or each at all when ``distinct``)."""
+    n = [f"_n_{i}" for i in range(len(wanted))]
+    counts = lines.groupBy(*key).agg(
+        F.count(F.when(~F.col("_item").isin(*wanted), True)).alias("_others"),
+        *(F.count(F.when(F.col("_item") == i, True)).alias(c) for i, c in zip(wanted, n, strict=True)))
+    fits = F.col("_others") == 0
+    for c, times in zip(n, wanted.values(), strict=True):
+        fits = fits & (F.col(c) > 0 if distinct else F.col(c) == times)
+    if (len(wanted) if distinct else wanted.total()) < min_lines:
+        fits = F.lit(False)
+    return counts.where(fits).select(*key)
+
+
 def products_in_combo(df: DataFrame, combo_value: str | Sequence[str], parts: Sequence[str] = ("transaction",),
                       item: str = "product_category", product: str = "product_detail",
                       top: int | None = None, method: str | None = None, sep: str = ", ",
@@ -117,18 +132,16 @@ def products_in_combo(df: DataFrame, combo_value: str | Sequence[str], parts: Se
     join back to their lines), then units and revenue per item × product
     ranked by revenue inside item.
 
-    The semi join shuffles the lines by basket; AQE splits the partition of a
-    hot basket (left-semi joins are split on the left side). A window per
-    basket over (basket, item, product) rows was measured as the other plan:
-    it shuffles more, because those rows hardly combine when baskets are
-    small."""
+    A content is compared without listing it: per basket, the lines of each
+    wanted item and of all others are counted, which is one row of numbers a
+    basket, combined map-side. Lines then pass a Bloom filter of the baskets found
+    before the semi join shuffles what is left by basket; AQE splits the partition
+    of a hot basket (left-semi joins are split on the left side)."""
     items = combo_value.split(sep) if isinstance(combo_value, str) else combo_value
-    wanted = F.array(*(F.struct(F.lit(i).alias("item"), F.lit(1 if distinct else n).cast("bigint").alias("n"))
-                       for i, n in sorted(Counter(items).items())))
-    baskets = basket_contents(df, parts, item, (), min_lines=min_lines, distinct=distinct).where(
-        F.col(CONTENT) == wanted)
     key = [f"_key_{i}" for i in range(len(parts))]
-    lines = df.select("*", *_key(parts)).join(baskets.where(F.col(key[0]).isNotNull()).select(*key), key, "left_semi")
+    baskets = _baskets_of(df.select(*_key(parts), F.col(item).alias("_item")).where(F.col(key[0]).isNotNull()),
+                          key, Counter(items), min_lines, distinct)
+    lines = might_be_in(df.select("*", *_key(parts)), baskets, key).join(baskets, key, "left_semi")
     per_product = (lines.groupBy(item, product)
                    .agg(F.sum("transaction_qty").alias("total_transactions"),
                         F.sum("revenue").alias("total_revenue")))
