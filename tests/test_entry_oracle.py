@@ -70,7 +70,7 @@ def test_query_matches_oracle(spark, duck, name):
 # Reports whose statement has an ORDER BY without ties in it: rows in order.
 ORDERED = ("store_summary", "category_summary", "store_mom_growth", "store_qoq_growth", "daily_price_units",
            "within_day_elasticity", "top_combos", "type_summary_in_categories", "basket_size_by_hour",
-           "price_change_calendar", "store_mom_growth_yearless")
+           "price_change_calendar", "store_mom_growth_yearless", "category_affinity")
 
 
 @pytest.mark.parametrize("name", ORDERED)
@@ -81,3 +81,17 @@ def test_ordered_reports_keep_their_order(spark, duck, name):
     cols = [d[0] for d in res.description]
     want = [tuple(_norm(r[cols.index(c)]) for c in df.columns) for r in res.fetchall()]
     assert got == want
+
+
+WEEK = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November",
+          "December"]
+
+
+@pytest.mark.parametrize("name, keys", [("hourly_traffic", ("month", "day_of_week", "hour")),
+                                        ("basket_size_by_time", ("day_of_week", "hour"))])
+def test_reports_by_time_are_in_calendar_order(spark, name, keys):
+    """Months, Monday-first weekdays and hours; other keys are not part of the order."""
+    place = {"month": MONTHS.index, "day_of_week": WEEK.index, "hour": int}
+    got = [tuple(place[k](r[k]) for k in keys) for r in entry_mod.queries()[name](spark, SF_CHECK).collect()]
+    assert len(set(got)) > 100 and got == sorted(got)

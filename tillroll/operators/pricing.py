@@ -174,10 +174,12 @@ def daily_units_mean(df: DataFrame, product: str = "product_detail", price: str
 
 
 def price_hold_whatif(df: DataFrame, product: str = "product_detail", price: str = "unit_price",
-                      base_price="3.50") -> DataFrame:
+                      base_price="3.50", stats: Sequence[str] = ("mode", "avg")) -> DataFrame:
     """Per product with price-change days: the revenue actually taken on
-    those days, against holding the base price with the mode or the mean of
-    the base-price daily units on each of those days.
+    those days, against holding the base price with a statistic of the
+    base-price daily units on each of those days: ``mode``, ``avg`` (the mean) or
+    ``median`` (the exact middle, half-way between the two middle days of an
+    even number), one column ``revenue_with_<stat>`` each.
 
     Two aggregates and no join: lines → (product, day), then per product the
     change-day revenue and count, the base-day sum and count, and the mode of
@@ -186,20 +188,25 @@ def price_hold_whatif(df: DataFrame, product: str = "product_detail", price: str
     pb = _price_lit(base_price)
     days = _per_day(df, product, price, base_price)
     base, change = F.col("_has_base").isNotNull(), _is_change_day()
+    units = F.when(base, F.col("_base_q"))
+    of = {"mode": [F.mode(units, deterministic=True).alias("_mode_q")],
+          "avg": [F.sum(units).alias("_sum_q"), F.count(F.when(base, F.lit(1))).alias("_base_days")],
+          "median": [F.median(units).cast("decimal(19,1)").alias("_median_q")]}
     per = (days.groupBy(product)
            .agg(F.sum(F.when(change, F.col("_rev"))).alias("total_original_revenue"),
                 F.count(F.when(change, F.lit(1))).alias("_change_days"),
-                F.sum(F.when(base, F.col("_base_q"))).alias("_sum_q"),
-                F.count(F.when(base, F.lit(1))).alias("_base_days"),
-                F.mode(F.when(base, F.col("_base_q")), deterministic=True).alias("_mode_q"))
+                *(c for stat in stats for c in of[stat]))
            .where(F.col("_change_days") > 0))
     n_days = F.col("_change_days").cast("decimal(10,0)")
-    mode_q = F.col("_mode_q").cast("decimal(18,0)")
-    held = (F.col("_sum_q") * F.col("_change_days")).cast("decimal(20,0)") * pb
-    return per.select(
-        product, "total_original_revenue",
-        (mode_q * pb * n_days).alias("revenue_with_mode"),
-        ratio(held, F.col("_base_days").cast("decimal(10,0)"), 2).alias("revenue_with_avg"))
+
+    def revenue(stat: str) -> F.Column:
+        if stat == "avg":
+            held = (F.col("_sum_q") * F.col("_change_days")).cast("decimal(20,0)") * pb
+            return ratio(held, F.col("_base_days").cast("decimal(10,0)"), 2)
+        held = F.col("_mode_q").cast("decimal(18,0)") if stat == "mode" else F.col("_median_q")
+        return held * pb * n_days
+
+    return per.select(product, "total_original_revenue", *(revenue(s).alias(f"revenue_with_{s}") for s in stats))
 
 
 def price_change_calendar(df: DataFrame, product: str = "product_detail",

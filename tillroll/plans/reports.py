@@ -24,7 +24,7 @@ from functools import cached_property, partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.operators import basket, enrich, growth, pricing, quality, traffic
+from tillroll.operators import affinity, basket, enrich, growth, pricing, quality, traffic
 from tillroll.operators.joins import bounded_broadcast
 from tillroll.operators.ranking import bottom_within, rank_within
 from tillroll.operators.summary import metric, summarize
@@ -443,6 +443,12 @@ def products_in_combo(inp: Inputs) -> DataFrame:
                       "total_revenue")
 
 
+@report("category_affinity")
+def category_affinity(inp: Inputs) -> DataFrame:
+    """Pairs of categories bought together: support, confidence and lift."""
+    return affinity.item_affinity(inp.sales, parts=inp.basket, with_item="with_category")
+
+
 # ----------------------------------------------------------------- pricing
 
 @report("multi_price_products")
@@ -506,6 +512,12 @@ def price_hold_whatif(inp: Inputs) -> DataFrame:
     return pricing.price_hold_whatif(inp.price_focus, base_price=inp.params.base_price)
 
 
+@report("price_hold_whatif_median")
+def price_hold_whatif_median(inp: Inputs) -> DataFrame:
+    """A6 with the median of the daily units."""
+    return pricing.price_hold_whatif(inp.price_focus, base_price=inp.params.base_price, stats=("median",))
+
+
 @report("price_change_calendar")
 def price_change_calendar(inp: Inputs) -> DataFrame:
     """Price-change days by day of month, with month-end days (all products)."""
