@@ -17,7 +17,7 @@ from tillroll.operators.enrich import with_group
 from tillroll.operators.growth import period_growth
 from tillroll.operators.ranking import rank_within
 from tillroll.operators.summary import summarize
-from tests.conftest import golden_tables, line, read_golden
+from tests.conftest import GOLDEN_ROOT, golden_tables, line, read_golden
 
 # Headers of the exported tables (the reports' own column names).
 MONTHLY = ("store_id", "store_location", "month", "total_revenue", "prev_month_revenue",
@@ -346,3 +346,25 @@ def test_weekday_order_matches_the_exported_order(spark):
     ordered = [r.i for r in df.orderBy(weekday_sort_key("day_of_week"), "hour").collect()]
     assert ordered == list(range(len(rows)))
     assert len({r["day_of_week"] for r in rows}) == 7
+
+
+def golden_file(*columns):
+    """The bytes of the single export with this header."""
+    header = ",".join(f'"{c}"' for c in columns)
+    (found,) = [p for p in sorted(GOLDEN_ROOT.rglob("*.csv")) if p.open(encoding="utf-8").readline().rstrip("\n") == header]
+    return found.read_bytes()
+
+
+def test_exported_growth_files_are_the_exports_byte_for_byte(make_sales, tmp_path):
+    from tillroll.plans.reports import study_reports
+    from tillroll.sources.sinks import export_report
+
+    months = read_golden(*MONTHLY)
+    rows = [line(i, f"2023-{MONTH_NAMES.index(r['month']) + 1:02d}-01", "08:00:00", 1, int(r["store_id"]), "1.00",
+                 "Coffee", "T", "P", location=r["store_location"]) for i, r in enumerate(months)]
+    revenue = F.create_map(*[x for i, r in enumerate(months) for x in (F.lit(i), F.lit(Decimal(r["total_revenue"])))])
+    reports = study_reports(make_sales(rows, enrich=False).withColumn(
+        "revenue", revenue[F.col("transaction_id")].cast("decimal(12,2)")))
+    for name, columns in (("store_mom_growth", MONTHLY), ("store_qoq_growth", QUARTERLY)):
+        export_report(reports[name], str(tmp_path / f"{name}.csv"))
+        assert (tmp_path / f"{name}.csv").read_bytes() == golden_file(*columns), name

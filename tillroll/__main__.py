@@ -3,7 +3,8 @@
     python -m tillroll --input /data/sales.csv --format csv --out /data/reports
 
 Each report is written by the executors as its own folder under ``--out``
-(CSV with a header, or parquet); nothing is collected to the driver.
+(CSV with a header, or parquet), or with ``--out-format file`` as one CSV file
+like the study's exports; nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import SparkSession
 
 from tillroll.plans.reports import study_reports
 from tillroll.sources.sales import read_sales
-from tillroll.sources.sinks import write_report
+from tillroll.sources.sinks import export_report, write_report
 
 
 def folder_name(report: str) -> str:
@@ -29,7 +30,11 @@ def run(spark: SparkSession, source: str, out: str, fmt: str = "parquet",
     for name in reports:
         if only and name not in only:
             continue
-        write_report(reports[name], f"{out.rstrip('/')}/{folder_name(name)}", fmt=out_format)
+        target = f"{out.rstrip('/')}/{folder_name(name)}"
+        if out_format == "file":
+            export_report(reports[name], f"{target}.csv")
+        else:
+            write_report(reports[name], target, fmt=out_format)
         written.append(name)
     return written
 
@@ -39,7 +44,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--input", required=True, help="sales table (the study's eleven columns)")
     ap.add_argument("--format", default="parquet", help="input format: parquet (default) or csv")
     ap.add_argument("--out", required=True, help="output folder, one sub-folder per report")
-    ap.add_argument("--out-format", default="csv", choices=["csv", "parquet"])
+    ap.add_argument("--out-format", default="csv", choices=["csv", "parquet", "file"])
     ap.add_argument("--only", nargs="*", help="report names to run (default: all)")
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName("tillroll").getOrCreate()
