@@ -9,21 +9,31 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMOKE, have_data
 from tillroll.sources import upkeep
-from tillroll.sources.sales import INPUTS, build_sales, sales_upkeep
+from tillroll.operators import quality
+from tillroll.sources.sales import INPUTS, build_sales, sales_quality, sales_upkeep
 from tillroll.sources.tables import read_table
 
 
-@pytest.fixture
-def parts(spark, tmp_path):
+@pytest.fixture(scope="module")
+def halves(spark, tmp_path_factory):
     """Every table in folders, with a half of customer, orders, part and lineitem kept back."""
     if not have_data(SF_SMOKE):
         pytest.skip("no smoke data")
+    root = tmp_path_factory.mktemp("halves")
     keys = {"customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey", "lineitem": "l_orderkey"}
     for name in INPUTS:
         df = read_table(spark, SF_SMOKE, name)
         now = F.col(keys[name]) % 2 == 0 if name in keys else F.lit(True)
-        df.where(now).coalesce(1).write.parquet(str(tmp_path / "in" / f"{name}.parquet"))
-        df.where(~now).coalesce(1).write.parquet(str(tmp_path / "later" / f"{name}.parquet"))
+        df.where(now).coalesce(1).write.parquet(str(root / "in" / f"{name}.parquet"))
+        if name in keys:
+            df.where(~now).coalesce(1).write.parquet(str(root / "later" / f"{name}.parquet"))
+    return root
+
+
+@pytest.fixture
+def parts(halves, tmp_path):
+    """A copy of ``halves`` to change."""
+    shutil.copytree(halves, tmp_path, dirs_exist_ok=True)
     return tmp_path
 
 
@@ -129,3 +139,31 @@ def test_another_layout_is_written_anew(spark, parts):
     table.refresh()
     table.layout += ",more"
     assert table.refresh().action == "rebuild"
+
+
+def test_quality_of_the_table_without_a_scan(spark, parts, monkeypatch):
+    """Counts, NULLs, outliers and the date range ride on the writes and add up over parts."""
+    here = str(parts / "in")
+    read_table(spark, SF_SMOKE, "lineitem").where("l_orderkey < 40").withColumn(
+        "l_quantity", F.when(F.col("l_linenumber") == 1, 0).when(F.col("l_linenumber") > 1, F.col("l_quantity"))).coalesce(
+        1).write.mode("append").parquet(f"{here}/lineitem.parquet")
+    for _ in range(2):  # as first written, and with appended parts
+        got = {(r.measure, r.column_name): r.value for r in sales_quality(spark, here, str(parts / "out")).collect()}
+        table = build_sales(spark, here)
+        span = quality.date_range(table).first()
+        assert got["rows", ""] == str(table.count())
+        assert {c: got["nulls", c] for c in table.columns} == {
+            r.column_name: str(r.null_count) for r in quality.null_profile(table).collect()}
+        for c in ("transaction_qty", "unit_price"):
+            assert got["nonpositive", c] == str(quality.nonpositive_rows(table, [c]).count())
+        assert int(got["nonpositive", "transaction_qty"]) > 0
+        assert (got["least", "transaction_date"], got["greatest", "transaction_date"]) == (str(span.min), str(span.max))
+        add(parts, "lineitem", "orders")
+    monkeypatch.setattr(upkeep.MaintainedJoin, "_table", lambda *a: pytest.fail("the table was read"))
+    sales_upkeep(spark, here, str(parts / "out")).refresh()
+    assert sales_quality(spark, here, str(parts / "out")).count() == len(got)
+
+
+def test_measures_of_no_rows():
+    columns = quality.combined_measures([{"rows:": "0", "least:d": None}, {"rows:": "0", "least:d": None}])
+    assert columns == [("rows", "", "0"), ("least", "d", None)]

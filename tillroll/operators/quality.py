@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -74,3 +74,30 @@ def basket_collisions(df: DataFrame,
     must be grouped into baskets (in key order unless ``ordered=False``)."""
     out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > 1)
     return out.orderBy(*[F.col(k).asc_nulls_last() for k in keys]) if ordered else out
+
+
+def quality_measures(columns: Sequence[str], amounts: Sequence[str] = (), ranges: Sequence[str] = ()) -> dict[str, Column]:
+    """P2, P4, P5 and P6 as aggregates that can ride on another job as observed
+    metrics: rows, NULLs of each of ``columns``, values of ``amounts`` that are zero
+    or less, least and greatest of ``ranges`` (dates, or text: they are compared as
+    text). Each can be put together from the values of parts."""
+    out = {"rows:": F.count(F.lit(1))}
+    out |= {f"nulls:{c}": F.count(F.when(F.col(c).isNull(), 1)) for c in columns}
+    out |= {f"nonpositive:{c}": F.count(F.when(F.col(c) <= 0, 1)) for c in amounts}
+    for c in ranges:
+        out |= {f"least:{c}": F.min(c), f"greatest:{c}": F.max(c)}
+    return out
+
+
+def combined_measures(parts: Sequence[Mapping[str, str | None]]) -> list[tuple[str, str, str | None]]:
+    """(measure, column, value) of the whole from the measures of its parts."""
+    out = []
+    for key in dict.fromkeys(k for p in parts for k in p):
+        measure, column = key.split(":", 1)
+        values = [v for p in parts if (v := p.get(key)) is not None]
+        if measure in ("least", "greatest"):
+            value = (min if measure == "least" else max)(values, default=None)
+        else:
+            value = str(sum(map(int, values)))
+        out.append((measure, column, value))
+    return out

@@ -47,6 +47,7 @@ from pyspark.sql.types import NumericType, StringType
 from tillroll.functions.money import PRICE_TYPE, line_revenue
 from tillroll.operators.enrich import with_basket_key
 from tillroll.operators.joins import bounded_broadcast
+from tillroll.operators.quality import combined_measures, quality_measures
 from tillroll.session import app_id, file_system, remove_at_exit, shared_dir
 from tillroll.sources.tables import read_table, table_path
 from tillroll.sources.upkeep import Link, MaintainedJoin, Read
@@ -165,7 +166,8 @@ def sales_upkeep(spark: SparkSession, sf_dir: str, root: str | None = None) -> M
             _removed.add(root)
             remove_at_exit(spark, root)
     return MaintainedJoin(spark, root, {n: table_path(sf_dir, n) for n in INPUTS}, star_join, ",".join(SALES_COLUMNS),
-                          LINKS, ("product_category", "product_type", "product_detail"))
+                          LINKS, ("product_category", "product_type", "product_detail"),
+                          measures=quality_measures(SALES_COLUMNS, ("transaction_qty", "unit_price"), ("transaction_date",)))
 
 
 _removed: set[str] = set()  # folders that go when the driver ends
@@ -177,6 +179,14 @@ def sales(spark: SparkSession, sf_dir: str, root: str | None = None) -> DataFram
     return sales_upkeep(spark, sf_dir, root).read()
 
 
+def sales_quality(spark: SparkSession, sf_dir: str, root: str | None = None) -> DataFrame:
+    """Rows, NULLs of each column, non-positive amounts and the date range of
+    the whole sales table, from what was measured when its parts were written:
+    (measure, column_name, value as text). No scan of the table."""
+    rows = combined_measures(sales_upkeep(spark, sf_dir, root).measured())
+    return spark.createDataFrame(rows, "measure string, column_name string, value string")
+
+
 EVENT_BASKET_PARTS = ("transaction_date", "customer_id")
 EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value")
 

@@ -15,6 +15,10 @@ the table. ``refresh`` lists the input files and compares:
 * a file is gone or differs: the join is written anew;
 * more than ``most_parts`` parts: they are read and written as one, without the join.
 
+A part can be measured while it is written: ``measures`` are aggregates that ride on
+the write as observed metrics, no scan of their own, and their values stand in the
+manifest, so what they say of the whole table is known without reading it.
+
 A new manifest is a file of the next number, renamed into place; the rename
 fails where another process was first, which then counts, and the draft is
 thrown away. Readers see the old table or the new one, never a mixture; parts
@@ -28,7 +32,7 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.session import file_system
@@ -60,9 +64,12 @@ class MaintainedJoin:
     written by another version is written anew."""
 
     def __init__(self, spark: SparkSession, root: str, tables: Mapping[str, str], build: Callable[[Read], DataFrame],
-                 layout: str, links: Sequence[Link] = (), sort: Sequence[str] = (), most_parts: int = 16):
+                 layout: str, links: Sequence[Link] = (), sort: Sequence[str] = (), most_parts: int = 16,
+                 measures: Mapping[str, Column] | None = None):
         self.spark, self.root, self.tables, self.build = spark, root.rstrip("/"), dict(tables), build
-        self.layout, self.links, self.sort, self.most_parts = layout, links, sort, most_parts
+        self.links, self.sort, self.most_parts = links, sort, most_parts
+        self.measures, self._measured = dict(measures or {}), {}
+        self.layout = ";".join([layout, *self.measures])
 
     # ------------------------------------------------------------ input files
 
@@ -130,10 +137,13 @@ class MaintainedJoin:
     # ------------------------------------------------------------------ parts
 
     def _write(self, df: DataFrame) -> str:
-        part = uuid.uuid4().hex
+        part, seen = uuid.uuid4().hex, Observation()
+        if self.measures:
+            df = df.observe(seen, *(c.cast("string").alias(name) for name, c in self.measures.items()))
         if self.sort:
             df = df.sortWithinPartitions(*self.sort)
         df.write.parquet(f"{self.root}/parts/{part}")
+        self._measured[part] = seen.get if self.measures else {}
         return part
 
     def _bounds(self, name: str, new: DataFrame) -> dict[str, list]:
@@ -184,7 +194,9 @@ class MaintainedJoin:
             else:
                 part = self._write(self.build(lambda n: self._scan(n, list(now[n]))))  # noqa: B023
                 done = Refresh("rebuild", [part], [{n: len(f) for n, f in now.items()}])
-            if self._publish(number + 1, {"layout": self.layout, "inputs": now, "parts": done.parts}):
+            known = (before["measured"] if usable else {}) | self._measured
+            measured = {p: known[p] for p in done.parts}
+            if self._publish(number + 1, {"layout": self.layout, "inputs": now, "parts": done.parts, "measured": measured}):
                 return done
             for part in set(done.parts) - set(before["parts"] if usable else []):
                 fs, target = self._folder(f"parts/{part}")
@@ -197,6 +209,12 @@ class MaintainedJoin:
         """The table, brought up to the input's state first."""
         return self._table(self.refresh().parts)
 
+    def measured(self) -> list[dict[str, str | None]]:
+        """What was measured of each part (values as text), the parts brought up to the input's state first."""
+        parts = self.refresh().parts
+        known = self.manifest()[1]["measured"]
+        return [known[p] for p in parts if p in known]
+
     def vacuum(self) -> list[str]:
         """Delete parts that the newest manifest does not name (no reader may still use them)."""
         used = set((self.manifest()[1] or {"parts": []})["parts"])
