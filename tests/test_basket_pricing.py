@@ -1,5 +1,9 @@
+import random
 from decimal import Decimal
 
+import pytest
+from pyspark.sql import functions as F
+
 from tillroll.operators import basket, pricing
 from tests.conftest import line
 
@@ -168,3 +172,27 @@ def test_price_change_dates_calendar_and_revenue(make_sales):
         (Decimal("3.50"), 5, Decimal("17.50")), (Decimal("4.38"), 3, Decimal("13.14"))]
     multi = [tuple(r) for r in pricing.multi_price_products(df).collect()]
     assert multi == [("Cookie", 3)]   # 3.00, 3.50, 4.38
+
+
+@pytest.mark.parametrize("lines", [1, 2, 3, 7, 1000])
+def test_segments_in_order_are_the_content(make_sales, lines):
+    rng = random.Random(lines)
+    rows = [line(k, "2023-01-02", f"0{rng.randrange(1, 8)}:00:00", 1, 3, "2.00", rng.choice(["A, B", "C", "Tea", "", None]))
+            for k in range(60)]
+    df = make_sales(rows + [line(99, "2023-01-02", "09:00:00", 1, 3, "2.00", "C")])
+    texts = {}
+    for r in basket.basket_segments(df, lines=lines).collect():
+        texts.setdefault(r.transaction, []).append((r.segment, r.product_cate_combo))
+    assert all([s for s, _ in t] == list(range(len(t))) for t in texts.values())
+    assert {k: "".join(x for _, x in t) for k, t in texts.items()} == {
+        r.transaction: r.product_cate_combo for r in basket.basket_combos(df).collect()}
+
+
+def test_a_basket_of_many_lines_is_cut_into_bounded_pieces(spark):
+    """Three million lines of two items in one basket; no piece is longer than its lines."""
+    df = spark.range(3_000_000).select(F.lit("b").alias("transaction"), F.lit(1).alias("revenue"),
+                                       F.when(F.col("id") % 3 == 0, "A").otherwise("B").alias("product_category"))
+    out = basket.basket_segments(df, lines=400_000).collect()
+    assert [r.segment for r in out] == list(range(8))
+    assert max(len(r.product_cate_combo) for r in out) <= 3 * 400_000
+    assert "".join(r.product_cate_combo for r in out) == ", ".join("A" * 1_000_000 + "B" * 2_000_000)

@@ -13,7 +13,8 @@ Plan, built to survive a basket or item that holds a large share of rows:
      items that hold the separator stay apart.
 The content's text, each item repeated once per line, is written in the last
 projection only; for ``basket_combos`` that text is the statement's own
-output, and a basket whose text passes 2 GB cannot be a row of it.
+output, and a basket whose text passes 2 GB cannot be a row of it:
+``basket_segments`` gives such a text in pieces of a fixed number of lines.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.money import exact, ratio
@@ -80,6 +81,37 @@ def basket_combos(df: DataFrame, basket: str = "transaction", item: str = "produ
     return out.orderBy(F.col(basket).asc_nulls_last()) if ordered else out
 
 
+def basket_segments(df: DataFrame, parts: Sequence[str] = ("transaction",), item: str = "product_category",
+                    lines: int = 1_000_000, sep: str = ", ", combo: str = "product_cate_combo",
+                    min_lines: int = 2, ordered: bool = True) -> DataFrame:
+    """The content strings of ``basket_combos`` in pieces: the key's parts,
+    ``segment`` (from 0) and the text of that many ``lines`` of the content (the
+    last piece has the rest), each but the first beginning with ``sep``, so that the
+    pieces of a basket in order are its content string. The cut depends on the content alone.
+
+    A basket is one row per distinct item, with where the item's lines begin in
+    the content; a row goes to the segments its lines reach into and says how
+    many of them lie there. So no row, task or group holds more than the
+    distinct items of a basket or ``lines`` lines of text, whatever the basket's length."""
+    key = list(parts)
+    whole = df.where(F.col(item).isNotNull())
+    for p in parts:
+        whole = whole.where(F.col(p).isNotNull())
+    per_item = whole.groupBy(*key, F.col(item).alias("_item")).agg(F.count(F.lit(1)).alias("_n"))
+    basket = Window.partitionBy(*key)
+    placed = (per_item.withColumn("_lines", F.sum("_n").over(basket)).where(F.col("_lines") >= min_lines)
+              .withColumn("_end", F.sum("_n").over(basket.orderBy("_item").rowsBetween(Window.unboundedPreceding, 0))))
+    start = F.col("_end") - F.col("_n")
+    reached = placed.withColumn("segment", F.explode(F.sequence(
+        F.floor(start / lines), F.floor((F.col("_end") - 1) / lines))))
+    first, last = F.col("segment") * lines, (F.col("segment") + 1) * lines
+    here = F.least("_end", last) - F.greatest(start, first)
+    entry = F.struct(F.col("_item").alias("item"), here.alias("n"))
+    out = reached.groupBy(*key, "segment").agg(F.sort_array(F.collect_list(entry)).alias(CONTENT))
+    out = out.select(*key, "segment", F.concat(F.when(F.col("segment") > 0, sep).otherwise(""), _text(sep)).alias(combo))
+    return out.orderBy(*(F.col(c).asc_nulls_last() for c in key), "segment") if ordered else out
+
+
 def _combos(df: DataFrame, parts: Sequence[str], item: str, digits: int, **kw) -> DataFrame:
     baskets = basket_contents(df, parts, item, (), **kw)
     return (baskets.groupBy(CONTENT)
