@@ -358,6 +358,19 @@ def test_topk_matches_brute_force(spark, monkeypatch):
     assert search(spark, rows, k=5, every=20) == brute.top_k(rows, 5, 20)
 
 
+def test_topk_of_large_components(spark):
+    """Scores that might not fit a long take no part; large ones that do are exact to the last digit."""
+    rng = random.Random(9)
+    good = [(i, [float(rng.randrange(-2 ** 20, 2 ** 20)) for _ in range(3)]) for i in range(120)]
+    got = search(spark, [*good, (1000, [1e17, 0.0, 0.0]), (1050, [1e30, 1.0, 1.0]), (1100, [1e300] * 3)], k=4)
+    vectors = {i: [int(256 * c) for c in v] for i, v in good}
+    want = {}
+    for q in (0, 50, 100):
+        best = sorted((-sum(map(int.__mul__, vectors[q], v)), i) for i, v in vectors.items() if i != q)[:4]
+        want |= {(q, rank): (i, -s) for rank, (s, i) in enumerate(best, 1)}
+    assert got == want
+
+
 def test_topk_edge_cases(spark):
     good = [(0, [0.5, 1.0]), (50, [0.25, -1.0]), (3, [1.0, 1.0])]
     bad = [(100, None), (150, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (None, [9.0, 9.0]),

@@ -16,7 +16,8 @@ blocks of candidates, nothing else is crossed); each task keeps k rows per
 query, and a window per query keeps the best k of those.
 
 Defined cases: vectors that are null or empty or hold null or non-finite
-components, and rows with a null id, take no part; a query meets only vectors
+components, rows with a null id, and vectors whose squared length in those integers
+reaches 2^62 (their scores might not fit a long) take no part; a query meets only vectors
 of its own length; rows that repeat an id are vectors of their own, and none
 of them is a candidate for its own id's queries; fewer candidates than k: all.
 """
@@ -35,7 +36,7 @@ QUERY_BLOCK = 512
 STEPS = (0.25, 0.5, 0.75, 1.0)
 FEW = 16
 EXACT = 2 ** 53  # float64 sums of integers are exact below; above, bounds get slack
-LARGEST = 2 ** 62
+LARGEST = 2.0 ** 62  # squared length from which a score might not fit a long
 
 
 def _pack(limit: int):
@@ -98,8 +99,6 @@ def search_block(lists: Lists, query_ids: np.ndarray, whole: np.ndarray, k: int,
     that k rows are already known to reach."""
     n, q = len(lists.x), whole.astype(np.float64)
     largest = np.abs(q).max(initial=0) * np.abs(lists.x).max(initial=0) * q.shape[1]
-    if largest >= LARGEST:
-        raise ValueError("a score may not fit a long")
     slack = largest * 2.0 ** -40 if largest >= EXACT else 0.0
     todo = np.arange(len(q))
     found = []
@@ -176,6 +175,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     usable = vectors.filter(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~bad).select(
         F.col("vec_id").cast("long").alias("vec_id"),
         F.transform(x, lambda c: F.floor(F.lit(scale) * c.cast("double"))).alias("v"))
+    square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
+    usable = usable.filter(square < LARGEST)
     packed = "dim int, ids binary, matrix binary"
     blocks = materialize(usable.mapInArrow(_pack(BLOCK), packed), "blocks")
     queries = (usable.filter(F.col("vec_id") % every == 0).mapInArrow(_pack(QUERY_BLOCK), packed)
