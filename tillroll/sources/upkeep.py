@@ -34,6 +34,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tillroll.session import file_system
 
@@ -68,7 +69,7 @@ class MaintainedJoin:
                  measures: Mapping[str, Column] | None = None):
         self.spark, self.root, self.tables, self.build = spark, root.rstrip("/"), dict(tables), build
         self.links, self.sort, self.most_parts = links, sort, most_parts
-        self.measures, self._measured = dict(measures or {}), {}
+        self.measures, self._measured, self._schema = dict(measures or {}), {}, None
         self.layout = ";".join([layout, *self.measures])
 
     # ------------------------------------------------------------ input files
@@ -110,8 +111,10 @@ class MaintainedJoin:
         numbers = [int(n) for f in fs.listStatus(folder) if (n := f.getPath().getName()).isdigit()]
         if not numbers:
             return 0, None
-        lines = self.spark.read.text(f"{self.root}/manifest/{max(numbers)}", wholetext=True).first()
-        return max(numbers), json.loads(lines[0])
+        stream = fs.open(self._folder(f"manifest/{max(numbers)}")[1])
+        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return max(numbers), json.loads(text)
 
     def _publish(self, number: int, content: dict) -> bool:
         """Put a manifest in place; False where that number is taken."""
@@ -143,6 +146,7 @@ class MaintainedJoin:
         if self.sort:
             df = df.sortWithinPartitions(*self.sort)
         df.write.parquet(f"{self.root}/parts/{part}")
+        self._schema = df.schema.json()
         self._measured[part] = seen.get if self.measures else {}
         return part
 
@@ -196,14 +200,20 @@ class MaintainedJoin:
                 done = Refresh("rebuild", [part], [{n: len(f) for n, f in now.items()}])
             known = (before["measured"] if usable else {}) | self._measured
             measured = {p: known[p] for p in done.parts}
-            if self._publish(number + 1, {"layout": self.layout, "inputs": now, "parts": done.parts, "measured": measured}):
+            schema = self._schema or before["schema"]  # nothing was written where the new files join nothing
+            if self._publish(number + 1, {"layout": self.layout, "schema": schema, "inputs": now, "parts": done.parts,
+                                          "measured": measured}):
                 return done
             for part in set(done.parts) - set(before["parts"] if usable else []):
                 fs, target = self._folder(f"parts/{part}")
                 fs.delete(target, True)
 
     def _table(self, parts: Sequence[str]) -> DataFrame:
-        return self.spark.read.parquet(*(f"{self.root}/parts/{p}" for p in parts))
+        reader = self.spark.read
+        content = self.manifest()[1]
+        if content:  # no job to infer what is known
+            reader = reader.schema(StructType.fromJson(json.loads(content["schema"])))
+        return reader.parquet(*(f"{self.root}/parts/{p}" for p in parts))
 
     def read(self) -> DataFrame:
         """The table, brought up to the input's state first."""
