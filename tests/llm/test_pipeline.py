@@ -15,7 +15,7 @@ from tillroll.sources.tables import read_table
 
 def test_registered():
     assert set(queries.QUERIES) <= set(entry.queries())
-    assert sum(name.startswith("op") for name in queries.QUERIES) == 10
+    assert sum(name.startswith("op") for name in queries.QUERIES) == 13
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "mixing", "packing"]
 
 
