@@ -23,13 +23,17 @@ _LAZY = {
     "read_sales": "tillroll.sources.sales",
     "event_sales": "tillroll.sources.sales",
     "write_report": "tillroll.sources.sinks",
+    "export_report": "tillroll.sources.sinks",
+    "sales_quality": "tillroll.sources.sales",
     "study_reports": "tillroll.plans.reports",
     "summarize": "tillroll.operators.summary",
     "period_growth": "tillroll.operators.growth",
     "rank_within": "tillroll.operators.ranking",
     "bottom_within": "tillroll.operators.ranking",
     "basket_combos": "tillroll.operators.basket",
+    "basket_segments": "tillroll.operators.basket",
     "combo_summary": "tillroll.operators.basket",
+    "item_affinity": "tillroll.operators.affinity",
     "top_combos": "tillroll.operators.basket",
     "products_in_combo": "tillroll.operators.basket",
     "price_list": "tillroll.operators.pricing",
