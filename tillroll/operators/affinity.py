@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.money import ratio
@@ -46,10 +46,10 @@ def item_affinity(df: DataFrame, parts: Sequence[str] = ("transaction",), item:
     first = sets.select("_n", CONTENT, F.explode(f"{CONTENT}.item").alias("_a"))
     pairs = (first.select("_n", "_a", F.explode(f"{CONTENT}.item").alias("_b"))
              .groupBy("_a", "_b").agg(F.sum("_n").alias("_both")))
-    own = pairs.where("_a = _b")
-    out = (pairs.where(F.col("_a") != F.col("_b")).where(F.col("_both") >= min_baskets)
-           .join(own.select("_a", F.col("_both").alias("_with_a")), "_a")
-           .join(own.select("_b", F.col("_both").alias("_with_b")), "_b"))
+    own = F.when(F.col("_a") == F.col("_b"), F.col("_both"))  # windows of at most a row per item of the catalogue
+    out = (pairs.withColumn("_with_a", F.max(own).over(Window.partitionBy("_a")))
+           .withColumn("_with_b", F.max(own).over(Window.partitionBy("_b")))
+           .where(F.col("_a") != F.col("_b")).where(F.col("_both") >= min_baskets))
     out = out.select(
         F.col("_a").alias(item), F.col("_b").alias(other), F.col("_both").alias("baskets"),
         F.col("_with_a").alias("item_baskets"), ratio(_n("_both"), total, digits).alias("support"),
