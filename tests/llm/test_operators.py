@@ -170,6 +170,13 @@ def test_line_dedup_edge_cases(edge_docs, no_docs):
     assert line_dedup.dedup_lines(no_docs).collect() == []
 
 
+def test_line_dedup_of_a_text_of_many_lines(spark):
+    """200,000 lines, most of them deleted: a cost in proportion to the lines (a scan of the deleted per line never ends)."""
+    own = [f"own line number {i}" for i in range(50)]
+    docs = {1: "\n".join(["the same line"] * 200_000 + own), 2: "\n".join(own[:25])}
+    assert cut(spark, docs, 50) == {1: "\n".join(["the same line", *own]), 2: ""}  # repeats that overlap count
+
+
 # 3. fingerprints
 
 def test_fingerprints_of_edits(spark, edge_docs, no_docs):

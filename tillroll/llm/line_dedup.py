@@ -129,8 +129,11 @@ def dedup_lines(documents: DataFrame, min_words: int = 50) -> DataFrame:
     gone = (repeated_lines(rows.select(*KEY, "doc_id", "text"), min_words)
             .groupBy(*KEY).agg(F.collect_set("pos").alias("_gone")))
     joined = rows.join(gone, KEY, "left")
-    numbered = F.transform(_lines(F.col("text")), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    kept = F.array_join(F.filter(numbered, lambda s: ~F.array_contains("_gone", s["i"]))["x"], "\n")
+    # Kept positions by a hash set, lines bound once: linear in the lines of a text.
+    both = F.array(F.struct(_lines(F.col("text")).alias("lines"), F.col("_gone").alias("gone")))
+    kept = F.array_join(F.transform(both, lambda s: F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(s["lines"]) - 1), s["gone"]),
+        lambda i: F.get(s["lines"], i)))[0], "\n")
     own = {"n_lines": F.coalesce(F.size(_lines(F.col("text"))), F.lit(0)),
            "removed_lines": F.coalesce(F.size("_gone"), F.lit(0)),
            "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)}
