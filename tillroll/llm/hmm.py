@@ -7,16 +7,17 @@ three bytes, and P(word | class) is the add-a-half estimate over the class's
 training words. A text's probability is the exact scaled forward probability
 of its symbols times P(word | class) of each word without an own symbol.
 
-Emissions of words are a distributed table that grows with the vocabulary; the
-driver holds those of the classes and the end mark only. Texts are cut into
-chunks of about ``chunk_tokens`` tokens, each with its distinct words once and
-its tokens as places in that list. Spark jobs: (1) chunks; (2) word counts
-(counts per chunk, then one shuffle by word), joined back to the chunks' words;
-(3) for each Baum-Welch iteration the emissions are joined to the chunks' words
-with own symbols, meet their chunk's tokens by chunk, and a pass over all training
-tokens gives expected counts per word and chunk, added up by word into the
-next table; (4) one forward pass over all tokens by the same way. A word is one
-row per chunk in every join, so no word is hot.
+Emissions of words are a distributed table that grows with the vocabulary, in
+blocks of about ``block_words`` words; the driver holds those of the classes and
+the end mark only. Texts are cut into chunks of about ``chunk_tokens`` tokens, each
+with its distinct words once and its tokens as places in that list. Spark jobs:
+(1) chunks; (2) word counts (counts per chunk, then one shuffle by word), joined
+back to the chunks' words, by which each chunk has one row of places for each block;
+(3) for each Baum-Welch iteration the blocks answer these rows with slices of
+emissions, the slices meet their chunk's tokens, and a pass over all training tokens
+gives expected counts per chunk and block, added up by block into the next table;
+(4) one forward pass over all tokens by the same way. A block answers, and adds up,
+at most about ``salt_chunks`` chunks in one group, whatever their number.
 
 Starting values are the symbols' frequencies over all training tokens with a
 seeded perturbation. Iterations go on until the log likelihood gains less than
@@ -35,15 +36,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.store import materialize
 from tillroll.llm.text import crc_mod, text_bytes
 
-SEGMENT = 256
+SEGMENT = 512
 LN10 = float(np.log(10.0))
 
 
@@ -53,7 +53,9 @@ class HmmParams:
     iterations: int | None = None
     gain: float = 1e-3
     own_count: int = 16
-    chunk_tokens: int = 1 << 22
+    chunk_tokens: int = 1 << 20
+    block_words: int = 4096
+    salt_chunks: int = 32
     classes: int = 1024
     prior_weight: float = 50.0
     seed: int = 7
@@ -100,53 +102,68 @@ class Segments:
         padded = np.concatenate([flat, np.zeros(SEGMENT, np.int64)])
         self.obs = [padded[begin[:k] + t] for t, k in enumerate(self.active)]
         self.by_docs = np.argsort(-self.per_doc, kind="stable")
-        self.n_docs, self.flat, self.ends = len(docs), flat, np.cumsum(n)
+        self.several = np.flatnonzero(self.per_doc[doc][order] > 1)
+        self.n_docs, self.flat, self.ends, self.padded, self.begin = len(docs), flat, np.cumsum(n), padded, begin
 
-    def transfer(self, m: Hmm) -> tuple[np.ndarray, np.ndarray]:
-        """Per segment the K x K product of its steps and the log of its scale."""
-        k, s = len(m.start), len(self.length)
+    def transfer(self, m: Hmm) -> np.ndarray:
+        """The K x K product of the steps of each segment of the documents with several, up to scale."""
+        k, s = len(m.start), len(self.several)
         x = np.broadcast_to(np.eye(k), (s, k, k)).copy()
-        log = np.zeros(s)
-        for t, (a, o) in enumerate(zip(self.active, self.obs, strict=True)):
+        for t in range(SEGMENT if s else 0):
+            a = int(np.searchsorted(-self.length[self.several], -t))
             if not a:
                 break
             step = (x[:a].reshape(-1, k) @ m.trans).reshape(a, k, k)
-            step *= m.scaled[o][:, None, :]
+            step *= m.scaled[self.padded[self.begin[self.several[:a]] + t]][:, None, :]
             x[:a] = step
             if t % 16 == 15:
-                scale = x[:a].sum(axis=(1, 2))
-                x[:a] /= scale[:, None, None]
-                log[:a] += np.log(scale)
-        return x, log
+                x[:a] /= x[:a].sum(axis=(1, 2))[:, None, None]
+        return x
 
     def rounds(self):
-        """Per position of a segment in its document: the documents that have
-        one, and where the segments lie."""
+        """Per position of a segment in its document, for documents with several: the
+        documents that have one, where the segments lie, and where their products."""
         counts = self.per_doc[self.by_docs]
         for j in range(int(counts[0])):
-            docs = self.by_docs[: int((counts > j).sum())]
-            yield docs, self.place[self.first[docs] + j]
-
-    def chain(self, m: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The state distribution that enters each segment, the products, and
-        the natural log likelihood of each document."""
-        x, log = self.transfer(m)
+            docs = self.by_docs[: int((counts > max(j, 1)).sum())]
+            at = self.place[self.first[docs] + j]
+            yield docs, at, np.searchsorted(self.several, at)
+
+    def enter(self, m: Hmm) -> tuple[np.ndarray, np.ndarray]:
+        """The state distribution that enters each segment, and the products."""
+        x = self.transfer(m)
+        enter = np.broadcast_to(m.start, (len(self.length), len(m.start))).copy()
         v = np.broadcast_to(m.start, (self.n_docs, len(m.start))).copy()
-        enter = np.empty((len(self.length), len(m.start)))
-        loglik = np.zeros(self.n_docs)
-        for docs, at in self.rounds():
+        for docs, at, product in self.rounds():
             enter[at] = v[docs]
-            out = np.einsum("dk,dkj->dj", v[docs], x[at])
-            scale = out.sum(axis=1)
-            v[docs] = out / scale[:, None]
-            loglik[docs] += np.log(scale) + log[at]
+            out = np.einsum("dk,dkj->dj", v[docs], x[product])
+            v[docs] = out / out.sum(axis=1, keepdims=True)
+        return enter, x
+
+    def forward(self, m: Hmm, enter: np.ndarray, keep: bool) -> tuple[list, list, np.ndarray, np.ndarray]:
+        """State distributions (``enter`` first) and scales of each step, the last if not
+        ``keep``; each segment's last distribution; the natural log likelihood per document."""
+        ahead, scales, last = [enter], [], enter.copy()
+        logs = np.zeros(len(enter))
+        for a, o in zip(self.active, self.obs, strict=True):
+            if not a:
+                break
+            step = (last[:a] @ m.trans) * m.scaled[o]
+            scale = step.sum(axis=1)
+            step /= scale[:, None]
+            last[:a] = step
+            logs[:a] += np.log(scale)
+            if keep:
+                ahead.append(step)
+                scales.append(scale)
         tops = np.concatenate([[0.0], np.cumsum(np.log(m.top)[self.flat])])[self.ends]
-        return enter, x, loglik + np.diff(tops, prepend=0.0)
+        return ahead, scales, last, np.add.reduceat(logs[self.place], self.first) + np.diff(tops, prepend=0.0)
 
 
 def log_likelihood(m: Hmm, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log of each document's probability, by the scaled forward recursion."""
-    return Segments(docs).chain(m)[2]
+    seg = Segments(docs)
+    return seg.forward(m, seg.enter(m)[0], keep=False)[3]
 
 
 def expected_counts(m: Hmm, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,42 +174,35 @@ def expected_counts(m: Hmm, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
 def _expected(m: Hmm, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """The expected counts and the log likelihood of ``docs``."""
     seg = Segments(docs)
-    enter, x, loglik = seg.chain(m)
+    enter, x = seg.enter(m)
+    ahead, scales, last, loglik = seg.forward(m, enter, keep=True)
     k, s = len(m.start), len(seg.length)
-    leave = np.ones((s, k))
+    behind = np.ones((s, k))
     w = np.ones((seg.n_docs, k))
-    for docs_j, at in reversed(list(seg.rounds())):
-        leave[at] = w[docs_j]
-        back = np.einsum("dkj,dj->dk", x[at], w[docs_j])
+    for docs_j, at, product in reversed(list(seg.rounds())):
+        behind[at] = w[docs_j]
+        back = np.einsum("dkj,dj->dk", x[product], w[docs_j])
         w[docs_j] = back / back.sum(axis=1, keepdims=True)
-    start = m.start * w
-    start = (start / start.sum(axis=1, keepdims=True)).sum(axis=0)
 
-    ahead = [enter]
-    for a, o in zip(seg.active, seg.obs, strict=True):
-        step = (ahead[-1][:a] @ m.trans) * m.scaled[o]
-        ahead.append(step / step.sum(axis=1, keepdims=True))
+    # Scaled so that the two sides' product sums to one at every step of a segment.
+    behind /= (last * behind).sum(axis=1, keepdims=True)
     moves = np.zeros((k, k))
     emit = np.zeros(m.emit.shape)
     gammas, symbols = [], []
-    behind = leave
-    for t in range(SEGMENT - 1, -1, -1):
+    for t in range(len(scales) - 1, -1, -1):
         a = seg.active[t]
-        if not a:
-            continue
-        tmp = m.scaled[seg.obs[t]] * behind[:a]
-        before = ahead[t][:a]
-        total = ((before @ m.trans) * tmp).sum(axis=1)
-        moves += m.trans * ((before / total[:, None]).T @ tmp)
-        gamma = ahead[t + 1] * behind[:a]
-        gammas.append(gamma / gamma.sum(axis=1, keepdims=True))
+        gammas.append(ahead[t + 1] * behind[:a])
         symbols.append(seg.obs[t])
-        back = tmp @ m.trans.T
-        behind[:a] = back / back.sum(axis=1, keepdims=True)
+        tmp = m.scaled[seg.obs[t]] * behind[:a] / scales[t][:, None]
+        moves += ahead[t][:a].T @ tmp
+        behind[:a] = tmp @ m.trans.T
+    begins = seg.place[seg.first]
+    start = m.start * behind[begins]
+    start = (start / start.sum(axis=1, keepdims=True)).sum(axis=0)
     gamma, symbol = np.concatenate(gammas), np.concatenate(symbols)
     for z in range(k):
         emit[:, z] = np.bincount(symbol, weights=gamma[:, z], minlength=len(emit))
-    return start, moves, emit, float(loglik.sum())
+    return start, m.trans * moves, emit, float(loglik.sum())
 
 
 def _chunks(classes: int, limit: int):
@@ -213,7 +223,7 @@ def _chunks(classes: int, limit: int):
                 "chunk": pa.array([base + nth], pa.int64()), "held_out": pa.array([held]),
                 "doc_ids": pa.array([ids], pa.list_(pa.int64())),
                 "lens": pa.array([np.array(lens, "<i8").tobytes()], pa.binary()),
-                "codes": pa.array([flat.astype("<u4").tobytes()], pa.binary()),
+                "codes": pa.array([flat.astype("<u2" if len(words) < 1 << 16 else "<u4").tobytes()], pa.binary()),
                 "cls": pa.array([np.array([classes, *cls], "<u4").tobytes()], pa.binary()),
                 "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.StructArray.from_arrays(
                     [pa.array(range(1, len(words) + 1), pa.int32()), pa.array(words, pa.binary()),
@@ -226,7 +236,7 @@ def _chunks(classes: int, limit: int):
                     open_[held] = [[], [], [], {}, 0]
                 part = open_[held]
                 seen = part[3]
-                code = np.zeros(len(words) + 1, np.int64)  # 0 is the end mark
+                code = np.zeros(len(words) + 1, np.int32)  # 0 is the end mark
                 code[:-1] = [seen.setdefault(w, len(seen) + 1) for w in words]
                 part[0].append(doc_id)
                 part[1].append(len(code))
@@ -241,7 +251,8 @@ def _chunks(classes: int, limit: int):
 
 CHUNKS = ("chunk long, held_out boolean, doc_ids array<long>, lens binary, codes binary, cls binary, "
           "words array<struct<idx:int,word:binary,times:long,cls:int>>")
-LAST = 2 ** 31 - 1  # sorts a chunk's tokens behind its words
+SLICES = "chunk long, kind int, block int, salt int, idx binary, place binary, e binary"
+COUNTED = "block int, salt int, place binary, v binary, sums array<double>"
 
 
 @dataclass
@@ -265,59 +276,125 @@ def _doc_slices(lens: np.ndarray, limit: int = 400_000):
 
 
 def _by_chunk(batches):
-    """Sorted rows of words and tokens to (words, tokens) per chunk; words: idx, id, n, s0, ..."""
-    parts: list = []
+    """Sorted rows to each chunk's slices of emissions, known words' counts and tokens."""
+    slices, counts = [], None
     for batch in batches:
-        last = np.flatnonzero(batch.column("idx").to_numpy(zero_copy_only=False) == LAST)
-        begin = 0
-        for at in [*last.tolist(), None]:
-            parts.append(batch.slice(begin, (batch.num_rows if at is None else at) - begin)
-                         .drop_columns(["doc_ids", "lens", "codes", "cls"]))
-            if at is None:
-                break
-            t = pa.Table.from_batches(parts)
-            yield t, {c: batch.column(c)[at].as_py() for c in ("held_out", "doc_ids", "lens", "codes", "cls")}
-            parts, begin = [], at + 1
+        kinds = batch.column("kind").to_pylist()
+        for i, kind in enumerate(kinds):
+            cell = lambda c: batch.column(c)[i].as_py()  # noqa: E731, B023
+            if kind == 0:
+                slices.append({c: cell(c) for c in ("block", "salt", "idx", "place", "e")})
+            elif kind == 1:
+                known = batch.column("known")[i].values
+                counts = [known.field(c).to_numpy(zero_copy_only=False) for c in (0, 1)]
+            else:
+                yield slices, counts, {c: cell(c) for c in ("chunk", "held_out", "doc_ids", "lens", "codes", "cls")}
+                slices, counts = [], None
 
 
-def _local(shared: Shared, words: pa.Table, tokens: dict):
-    """The model with rows for the classes, the end mark and the chunk's own words, in
-    order; the lengths of its documents; the place of each word of the chunk; the documents."""
+def _local(shared: Shared, slices: list, tokens: dict):
+    """The model with rows for the classes, the end mark and the chunk's own words, slice by
+    slice; the lengths of its documents; the place of each word of the chunk; the tokens."""
     place = np.frombuffer(tokens["cls"], "<u4").astype(np.int64)
-    place[words["idx"].to_numpy()] = len(shared.emit) + np.arange(len(words))
-    emit = np.stack([words[f"s{z}"].to_numpy() for z in range(len(shared.start))], axis=1)
     lens = np.frombuffer(tokens["lens"], "<i8")
-    flat = np.frombuffer(tokens["codes"], "<u4")
-    return (Hmm(shared.start, shared.trans, np.concatenate([shared.emit, emit])), lens, place,
-            np.split(place[flat], np.cumsum(lens)[:-1]))
-
-
-def _expect(shared: Shared):
-    """Expected counts: rows of words per chunk, then of classes, starts (-1), moves
-    (-2 - state) and, first value, the log likelihood (-2 - states)."""
+    width = len(tokens["codes"]) // int(lens.sum())
+    flat = np.frombuffer(tokens["codes"], f"<u{width}")
+    emit, size = [shared.emit], len(shared.emit)
+    for part in slices:
+        idx = np.frombuffer(part["idx"], "<u4")
+        place[idx] = size + np.arange(len(idx))
+        emit.append(np.frombuffer(part["e"]).reshape(len(idx), -1))
+        size += len(idx)
+    return Hmm(shared.start, shared.trans, np.concatenate(emit)), lens, place, flat
+
+
+def _docs(place: np.ndarray, flat: np.ndarray, lens: np.ndarray):
+    """The symbols of the documents, in slices of about 400,000 tokens."""
+    ends = np.cumsum(lens)
+    for i, j in _doc_slices(lens):
+        begin = ends[i] - lens[i]
+        yield np.split(place[flat[begin:ends[j - 1]]], ends[i:j - 1] - begin)
+
+
+def _expect(shared: Shared, salts: int):
+    """Expected counts: per chunk and block those of its words; per task, as block -1, those of
+    classes, starts, moves and, first value of the last row, the log likelihood."""
     k, dense = len(shared.start), len(shared.emit)
-    names = ["id", "n", "sym"] + [f"s{z}" for z in range(k)]
+
+    def row(block, salt, place, v):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([place], pa.binary()),
+             pa.array([v.tobytes()], pa.binary()), pa.nulls(1, pa.list_(pa.float64()))],
+            [c.split()[0] for c in COUNTED.split(", ")])
 
     def run(batches):
         few = np.zeros((dense + 1 + k + 1, k))
-        for words, tokens in _by_chunk(batches):
-            model, lens, _, docs = _local(shared, words, tokens)
+        for slices, _, tokens in _by_chunk(batches):
+            model, lens, place, flat = _local(shared, slices, tokens)
             total = np.zeros(model.emit.shape)
-            for i, j in _doc_slices(lens):
-                start, moves, part, loglik = _expected(model, docs[i:j])
+            for docs in _docs(place, flat, lens):
+                start, moves, part, loglik = _expected(model, docs)
                 total += part
                 few[dense] += start
                 few[dense + 1: dense + 1 + k] += moves
                 few[-1, 0] += loglik
             few[:dense] += total[:dense]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words[c].to_numpy(), pa.int64()) for c in ("id", "n")] + [pa.nulls(len(words), pa.int32())]
-                + [pa.array(np.ascontiguousarray(total[dense:, z])) for z in range(k)], names)
-        ids = [*range(dense), -1, *(-2 - z for z in range(k + 1))]
-        used = np.flatnonzero(few.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(used), pa.int64())] * 2 + [pa.array(np.array(ids)[used], pa.int32())]
-            + [pa.array(few[used, z]) for z in range(k)], names)
+            at = dense
+            for part in slices:
+                n = len(part["idx"]) // 4
+                yield row(part["block"], part["salt"], part["place"], total[at:at + n])
+                at += n
+        yield row(-1, TaskContext.get().partitionId() % salts, np.arange(len(few), dtype="<u4").tobytes(), few)
+    return run
+
+
+def _add(k: int):
+    """The counts of a group of rows of one block, added up by place."""
+    def run(table: pa.Table) -> pa.Table:
+        places = [np.frombuffer(x.as_py(), "<u4") for x in table["place"]]
+        total = np.zeros((max(int(x.max()) for x in places) + 1, k))
+        for x, v in zip(places, table["v"], strict=True):  # a row names a place once
+            total[x] += np.frombuffer(v.as_py()).reshape(-1, k)
+        return pa.table({
+            "block": table["block"][:1], "salt": table["salt"][:1],
+            "place": pa.array([np.arange(len(total), dtype="<u4").tobytes()], pa.binary()),
+            "v": pa.array([total.tobytes()], pa.binary()),
+            "sums": pa.array([total.sum(axis=0)], pa.list_(pa.float64()))})
+    return run
+
+
+def _packed(k: int):
+    """Rows (block, words: place, n, starting value per state) to (block, n, v, sums)."""
+    def run(batches):
+        for batch in batches:
+            for block, words in zip(batch.column(0), batch.column(1), strict=True):
+                x = words.values.flatten()
+                v = np.stack([c.to_numpy() for c in x[2:]], axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block.as_py()], pa.int32()), pa.array([x[1].to_numpy().astype("<i8").tobytes()], pa.binary()),
+                     pa.array([v.tobytes()], pa.binary()), pa.array([v.sum(axis=0)], pa.list_(pa.float64()))],
+                    ["block", "n", "v", "sums"])
+    return run
+
+
+def _slice(lean: float, norm: float, sums: np.ndarray):
+    """What chunks ask of one block, with the emissions of the words they name: the block's
+    values plus ``lean`` times the words' frequencies, over their ``sums``."""
+    k = len(sums)
+
+    def run(asked: pa.Table, block: pa.Table) -> pa.Table:
+        out: dict = {c.split()[0]: [] for c in SLICES.split(", ")}
+        if len(asked):
+            n = np.frombuffer(block["n"][0].as_py(), "<i8")
+            e = (np.frombuffer(block["v"][0].as_py()).reshape(-1, k) + lean * ((n + 0.5) / norm)[:, None]) / sums
+            for i in range(len(asked)):
+                idx, place = (x.to_numpy().astype("<u4") for x in asked["at"][i].values.flatten())
+                for c, v in (("kind", 0), ("idx", idx.tobytes()), ("place", place.tobytes()), ("e", e[place].tobytes()),
+                             *((c, asked[c][i].as_py()) for c in ("chunk", "block", "salt"))):
+                    out[c].append(v)
+        return pa.table([pa.array(out[c], t) for c, t in zip(out, (
+            pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
+            names=list(out))
     return run
 
 
@@ -325,17 +402,18 @@ SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
           "base_score double, score double")
 
 
-def _forward(shared: Shared, own_count: int, log_den: np.ndarray, n_docs: int, total: int, distinct: int):
+def _forward(shared: Shared, log_den: np.ndarray, n_docs: int, total: int, distinct: int):
     base_den = np.log10(total + 0.5 * (distinct + 1))
 
     def run(batches):
-        for words, tokens in _by_chunk(batches):
-            own = words.filter(pc.greater_equal(words["n"], own_count))
-            model, lens, place, docs = _local(shared, own, tokens)
-            logs = np.concatenate([log_likelihood(model, docs[i:j]) for i, j in _doc_slices(lens)]) / LN10
-            flat, begin = np.frombuffer(tokens["codes"], "<u4"), np.cumsum(lens) - lens
-            count = np.full(len(place), n_docs)  # place 0 is the end mark
-            count[words["idx"].to_numpy()] = words["n"].to_numpy()
+        for slices, known, tokens in _by_chunk(batches):
+            model, lens, place, flat = _local(shared, slices, tokens)
+            logs = np.concatenate([log_likelihood(model, docs) for docs in _docs(place, flat, lens)]) / LN10
+            begin = np.cumsum(lens) - lens
+            count = np.zeros(len(place), np.int64)
+            count[0] = n_docs  # place 0 is the end mark
+            if known:
+                count[known[0]] = known[1]
             log_c = np.log10(count + 0.5)
             rare = place < len(log_den)
             inside = np.zeros(len(place))
@@ -350,16 +428,6 @@ def _forward(shared: Shared, own_count: int, log_den: np.ndarray, n_docs: int, t
     return run
 
 
-def _met(chunks: DataFrame, own: DataFrame, emissions: DataFrame, rest: DataFrame | None = None) -> DataFrame:
-    """The words ``own`` with their emissions (and the ``rest`` without), each
-    chunk's tokens behind them."""
-    words = own.join(emissions.drop("n"), "id")
-    words = words if rest is None else words.unionByName(rest, allowMissingColumns=True)
-    tokens = chunks.select("chunk", F.lit(LAST).alias("idx"), "held_out", "doc_ids", "lens", "codes", "cls")
-    return (words.unionByName(tokens, allowMissingColumns=True).repartition("chunk")
-            .sortWithinPartitions("chunk", "idx"))
-
-
 def hmm_scores(documents: DataFrame, params: HmmParams | None = None, held_mod: int = 5,
                held_rest: int = 1) -> DataFrame:
     """Score every text of ``documents`` (doc_id, text): columns doc_id,
@@ -373,65 +441,83 @@ def hmm_scores(documents: DataFrame, params: HmmParams | None = None, held_mod:
                             text_bytes().alias("text"))
     chunks = materialize(docs.mapInArrow(_chunks(p.classes, p.chunk_tokens), CHUNKS), "chunks")
     listed = chunks.select("chunk", "held_out", F.explode("words").alias("w")).select("chunk", "held_out", "w.*")
-    vocab = materialize(listed.filter("not held_out").groupBy("word").agg(
-        F.sum("times").alias("n"), F.first("cls").alias("cls"))
-        .withColumn("id", F.monotonically_increasing_id()), "vocab")
-    entries = materialize(listed.select("chunk", "held_out", "idx", "word").join(
-        vocab.select("word", "n", "id"), "word", "left").select(
-        "chunk", "held_out", "idx", "id", F.coalesce("n", F.lit(0)).alias("n")), "words")
-
-    n_docs = chunks.filter("not held_out").agg(F.coalesce(F.sum(F.size("doc_ids")), F.lit(0))).first()[0]
-    size = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total, distinct = size["n"] + n_docs, size["v"] + (n_docs > 0)
-    own = vocab.filter(F.col("n") >= p.own_count)
+    counts = materialize(listed.filter("not held_out").groupBy("word").agg(
+        F.sum("times").alias("n"), F.first("cls").alias("cls")), "counts")
+    has_own = F.col("n") >= p.own_count
+    tables = chunks.agg(F.count("*").alias("chunks"), F.coalesce(F.sum(
+        F.when(~F.col("held_out"), F.size("doc_ids"))), F.lit(0)).alias("docs")).first()
+    size = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(has_own).alias("own"),
+        F.coalesce(F.sum(F.when(has_own, F.col("n") + 0.5)), F.lit(0.0)).alias("own_n")).first()
+    n_docs, total, distinct = tables["docs"], size["n"] + tables["docs"], size["v"] + (tables["docs"] > 0)
     class_n, class_v = np.zeros(p.classes), np.zeros(p.classes)
-    for r in vocab.filter(F.col("n") < p.own_count).groupBy("cls").agg(
-            F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        class_n[r["cls"]], class_v[r["cls"]] = r["n"], r["v"]
+    for r in counts.filter(~has_own).groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        class_n[r["cls"]], class_v[r["cls"]] = r["n"], r["v"]  # a row per class
     log_den = np.log10(class_n + 0.5 * (class_v + 1))
 
+    # Words with an emission of their own lie in blocks; a chunk asks a block for its words at once.
+    blocks, salts = 1 + size["own"] // p.block_words, 1 + tables["chunks"] // p.salt_chunks
+    block = F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int")
+    numbered = counts.filter(has_own).select("word", "n", block.alias("block")).withColumn(
+        "place", F.row_number().over(Window.partitionBy("block").orderBy("word")) - 1)
+    vocab = materialize(numbered.unionByName(counts.filter(~has_own).select("word", "n"), allowMissingColumns=True), "vocab")
+    entries = materialize(listed.select("chunk", "held_out", "idx", "word").join(vocab, "word").drop("word"), "words")
+    asked = materialize(entries.filter("block is not null").groupBy("chunk", "held_out", "block").agg(
+        F.collect_list(F.struct("idx", "place")).alias("at")).withColumn(
+        "salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int")), "asked")
+
     # Frequencies of all symbols, and the start: each times a seeded draw per state.
     unigram = np.append(class_n, n_docs) + 0.5
-    norm = float(unigram.sum()) + own.agg(F.coalesce(F.sum(F.col("n") + 0.5), F.lit(0.0))).first()[0]
+    norm = float(unigram.sum()) + size["own_n"]
     unigram /= norm
-    frequency = (F.col("n") + 0.5) / norm
     few = unigram[:, None] * (np.random.default_rng(p.seed).gamma(1.0, 1.0, (len(unigram), k)) + 1e-3)
     draw = [-F.log((F.pmod(F.xxhash64("word", F.lit(p.seed), F.lit(z)), F.lit(1 << 31)) + 0.5) / (1 << 31)) + 1e-3
             for z in range(k)]
-    raw = materialize(own.select("id", "n", *((frequency * d).alias(c) for d, c in zip(draw, states, strict=True))),
-                      "start")
+    start = [((F.col("n") + 0.5) / norm * d).alias(f"s{z}") for z, d in enumerate(draw)]
+    first = materialize(vocab.filter("block is not null").groupBy("block").agg(
+        F.sort_array(F.collect_list(F.struct("place", "n", *start))).alias("words"))
+        .mapInArrow(_packed(k), "block int, n binary, v binary, sums array<double>"), "start")
 
-    def normal(few: np.ndarray, raw: DataFrame, lean: float) -> tuple[np.ndarray, DataFrame]:
-        """Emissions in proportion to ``few`` and ``raw``, plus ``lean`` times the frequencies."""
+    def normal(few: np.ndarray, values: DataFrame, lean: float) -> tuple[np.ndarray, DataFrame, tuple]:
+        """Emissions in proportion to ``few`` and ``values``, plus ``lean`` times the frequencies."""
         few = few + lean * unigram[:, None]
-        sums = raw.agg(*(F.coalesce(F.sum(F.col(c) + lean * frequency), F.lit(0.0)) for c in states)).first()
-        sums = few.sum(axis=0) + np.array(sums)
-        return few / sums, raw.select("id", "n", *(
-            ((F.col(c) + lean * frequency) / float(x)).alias(c) for c, x in zip(states, sums, strict=True)))
+        sums = values.agg(*(F.coalesce(F.sum(F.col("sums")[z]), F.lit(0.0)) for z in range(k))).first()
+        sums = few.sum(axis=0) + np.array(sums) + lean * size["own_n"] / norm
+        return few / sums, values, (lean, norm, sums)
+
+    def met(asked: DataFrame, values: DataFrame, scale: tuple, *others: DataFrame) -> DataFrame:
+        """Each chunk's slices of emissions and, behind them, its rows of ``others``."""
+        rows = asked.groupBy("block", "salt").cogroup(
+            values.select("block", "n", "v", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+            .groupBy("block", "salt")).applyInArrow(_slice(*scale), SLICES)
+        for other in others:
+            rows = rows.unionByName(other, allowMissingColumns=True)
+        return rows.repartition("chunk").sortWithinPartitions("chunk", "kind")
+
+    def added(rows: DataFrame) -> DataFrame:
+        """Counts per block, by rounds that each bring at most ``salt_chunks`` chunks or sums into a group."""
+        left = salts
+        while True:
+            rows = rows.groupBy("block", "salt").applyInArrow(_add(k), COUNTED)
+            if left == 1:
+                return rows
+            left = 1 + left // p.salt_chunks if left > p.salt_chunks else 1
+            rows = rows.withColumn("salt", F.pmod("salt", F.lit(left)))
 
     trans = np.full((k, k), 0.1 / max(1, k - 1))
     np.fill_diagonal(trans, 0.9 if k > 1 else 1.0)
-    few, table = normal(few, raw, 0.0)
+    few, table, scale = normal(few, first, 0.0)
     model, last, passes = Shared(np.full(k, 1 / k), trans, few), None, 0
-    training, has_own = chunks.filter("not held_out"), F.col("n") >= p.own_count
-    words = entries.filter(has_own & ~F.col("held_out")).drop("held_out")
-    fields = "id long, n long, sym int, " + ", ".join(f"{c} double" for c in states)
+    tokens = chunks.select("chunk", F.lit(2).alias("kind"), "held_out", "doc_ids", "lens", "codes", "cls")
+    training = tokens.filter("not held_out").withColumn("doc_ids", F.lit(None).cast("array<long>"))
+    training_asked = asked.filter("not held_out")
     while n_docs and (p.iterations is None or passes < p.iterations):
-        counted = materialize(
-            _met(training, words, table).mapInArrow(_expect(model), fields)
-            .groupBy("id", "n", "sym").agg(*(F.sum(c).alias(c) for c in states)), "expected")
-        few = np.zeros((p.classes + 1, k))
-        start, moves, loglik = np.zeros(k), np.zeros((k, k)), 0.0
-        for _, _, sym, *values in counted.filter("sym is not null").collect():  # a row per class and state
-            if sym >= 0:
-                few[sym] = values
-            elif sym == -1:
-                start[:] = values
-            elif sym == -2 - k:
-                loglik = values[0]
-            else:
-                moves[-2 - sym] = values
-        few, table = normal(few, counted.filter("sym is null"), p.prior_weight)
+        counted = materialize(added(met(training_asked, table, scale, training).mapInArrow(
+            _expect(model, salts), COUNTED)), "expected")
+        few = np.frombuffer(counted.filter("block = -1").first()["v"]).reshape(-1, k)
+        start, moves, loglik = few[p.classes + 1], few[p.classes + 2: p.classes + 2 + k], few[-1, 0]
+        few, table, scale = normal(few[: p.classes + 1], counted.filter("block >= 0").join(
+            first.select("block", "n"), "block"), p.prior_weight)
         model = Shared((start + 1) / (start + 1).sum(), (moves + 1) / (moves + 1).sum(axis=1, keepdims=True), few)
         passes += 1
         done = last is not None and loglik - last < p.gain * abs(last)
@@ -440,6 +526,6 @@ def hmm_scores(documents: DataFrame, params: HmmParams | None = None, held_mod:
         spark._jvm.System.gc()  # shuffles of the pass before go
         if done:
             break
-    entries = entries.drop("held_out")
-    return _met(chunks, entries.filter(has_own), table, entries.filter(~has_own)).mapInArrow(
-        _forward(model, p.own_count, log_den, int(n_docs), int(total), int(distinct)), SCORED)
+    known = entries.groupBy("chunk").agg(F.collect_list(F.struct("idx", "n")).alias("known")).withColumn("kind", F.lit(1))
+    return met(asked, table, scale, known, tokens).mapInArrow(
+        _forward(model, log_den, int(n_docs), int(total), int(distinct)), SCORED)
