@@ -96,6 +96,30 @@ def test_expected_counts_match_enumeration():
     assert all(np.allclose(x, y) for x, y in zip(got, (start, moves, emit), strict=True))
 
 
+def test_counts_and_scores_are_exact_for_texts_of_several_segments():
+    """Against a plain forward-backward, step by step, of texts shorter and longer than segments."""
+    m, rng, n = random_hmm(), np.random.default_rng(4), hmm.SEGMENT
+    docs = [rng.integers(0, 7, size) for size in (3, n - 1, n, n + 1, 3 * n + 5, 40, 2 * n)]
+    start, moves, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((7, 3))
+    for codes in docs:
+        ahead, behind = [m.start], [np.ones(3)]
+        for c in codes:
+            x = (ahead[-1] @ m.trans) * m.emit[c]
+            ahead.append(x / x.sum())
+        for c in codes[::-1]:
+            x = m.trans @ (m.emit[c] * behind[-1])
+            behind.append(x / x.sum())
+        behind.reverse()
+        share = lambda x: x / x.sum()
+        start += share(ahead[0] * behind[0])
+        for t, c in enumerate(codes):
+            moves += share(ahead[t][:, None] * m.trans * (m.emit[c] * behind[t + 1]))
+            emit[c] += share(ahead[t + 1] * behind[t + 1])
+    got = hmm.expected_counts(m, docs)
+    assert all(np.allclose(x, y) for x, y in zip(got, (start, moves, emit), strict=True))
+    assert np.allclose(hmm.log_likelihood(m, docs), [plain_forward(m, d) for d in docs])
+
+
 def test_baum_welch_never_lowers_the_likelihood():
     m, rng = random_hmm(), np.random.default_rng(2)
     docs = [rng.integers(0, 7, n) for n in (40, 90, 200)]

@@ -17,7 +17,9 @@ back to the chunks' words, by which each chunk has one row of places for each bl
 emissions, the slices meet their chunk's tokens, and a pass over all training tokens
 gives expected counts per chunk and block, added up by block into the next table;
 (4) one forward pass over all tokens by the same way. A block answers, and adds up,
-at most about ``salt_chunks`` chunks in one group, whatever their number.
+at most about ``salt_chunks`` chunks in one group, whatever their number. Words'
+emissions and a chunk's counts travel as 32-bit floats, all recursions and sums run in
+doubles: scores are exact under emissions so rounded (1e-7 of a token's probability).
 
 Starting values are the symbols' frequencies over all training tokens with a
 seeded perturbation. Iterations go on until the log likelihood gains less than
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 from tillroll.llm.store import materialize
 from tillroll.llm.text import crc_mod, text_bytes
 
-SEGMENT = 512
+SEGMENT = 1024
 LN10 = float(np.log(10.0))
 
 
@@ -53,7 +55,7 @@ class HmmParams:
     iterations: int | None = None
     gain: float = 1e-3
     own_count: int = 16
-    chunk_tokens: int = 1 << 20
+    chunk_tokens: int = 1 << 21
     block_words: int = 4096
     salt_chunks: int = 32
     classes: int = 1024
@@ -107,18 +109,19 @@ class Segments:
 
     def transfer(self, m: Hmm) -> np.ndarray:
         """The K x K product of the steps of each segment of the documents with several, up to scale."""
-        k, s = len(m.start), len(self.several)
-        x = np.broadcast_to(np.eye(k), (s, k, k)).copy()
-        for t in range(SEGMENT if s else 0):
-            a = int(np.searchsorted(-self.length[self.several], -t))
-            if not a:
-                break
-            step = (x[:a].reshape(-1, k) @ m.trans).reshape(a, k, k)
-            step *= m.scaled[self.padded[self.begin[self.several[:a]] + t]][:, None, :]
-            x[:a] = step
+        k, s, moves = len(m.start), len(self.several), np.ascontiguousarray(m.trans.T)
+        x = np.empty((k, k, s))
+        now = np.broadcast_to(np.eye(k)[:, :, None], x.shape)
+        length, begin = self.length[self.several], self.begin[self.several]
+        for t in range(int(length[0]) if s else 0):
+            a = int(np.searchsorted(-length, -t))
+            x[:, :, a:now.shape[2]] = now[:, :, a:]
+            now = moves @ now[:, :, :a]
+            now *= m.scaled[self.padded[begin[:a] + t]].T
             if t % 16 == 15:
-                x[:a] /= x[:a].sum(axis=(1, 2))[:, None, None]
-        return x
+                now /= now.sum(axis=(0, 1))
+        x[:, :, :now.shape[2]] = now
+        return x.transpose(2, 0, 1)
 
     def rounds(self):
         """Per position of a segment in its document, for documents with several: the
@@ -141,23 +144,29 @@ class Segments:
         return enter, x
 
     def forward(self, m: Hmm, enter: np.ndarray, keep: bool) -> tuple[list, list, np.ndarray, np.ndarray]:
-        """State distributions (``enter`` first) and scales of each step, the last if not
-        ``keep``; each segment's last distribution; the natural log likelihood per document."""
-        ahead, scales, last = [enter], [], enter.copy()
-        logs = np.zeros(len(enter))
+        """Of each step, if ``keep``, the state distributions before it (a row per state) and its
+        emissions over its scale; each segment's last distribution; the natural log likelihood per document."""
+        moves, last = np.ascontiguousarray(m.trans.T), np.empty(enter.T.shape)
+        now, ahead, steps, logs = np.ascontiguousarray(enter.T), [], [], np.zeros(len(enter))
         for a, o in zip(self.active, self.obs, strict=True):
+            last[:, a:now.shape[1]] = now[:, a:]
+            now = now[:, :a]
             if not a:
                 break
-            step = (last[:a] @ m.trans) * m.scaled[o]
-            scale = step.sum(axis=1)
-            step /= scale[:, None]
-            last[:a] = step
+            emit = np.ascontiguousarray(m.scaled[o].T)
+            if keep:
+                ahead.append(now)
+            now = moves @ now
+            now *= emit
+            scale = now.sum(axis=0)
+            now /= scale
             logs[:a] += np.log(scale)
             if keep:
-                ahead.append(step)
-                scales.append(scale)
+                emit /= scale
+                steps.append(emit)
+        last[:, :now.shape[1]] = now
         tops = np.concatenate([[0.0], np.cumsum(np.log(m.top)[self.flat])])[self.ends]
-        return ahead, scales, last, np.add.reduceat(logs[self.place], self.first) + np.diff(tops, prepend=0.0)
+        return ahead, steps, last, np.add.reduceat(logs[self.place], self.first) + np.diff(tops, prepend=0.0)
 
 
 def log_likelihood(m: Hmm, docs: list[np.ndarray]) -> np.ndarray:
@@ -175,9 +184,9 @@ def _expected(m: Hmm, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, n
     """The expected counts and the log likelihood of ``docs``."""
     seg = Segments(docs)
     enter, x = seg.enter(m)
-    ahead, scales, last, loglik = seg.forward(m, enter, keep=True)
-    k, s = len(m.start), len(seg.length)
-    behind = np.ones((s, k))
+    ahead, steps, last, loglik = seg.forward(m, enter, keep=True)
+    k = len(m.start)
+    behind = np.ones(enter.shape)
     w = np.ones((seg.n_docs, k))
     for docs_j, at, product in reversed(list(seg.rounds())):
         behind[at] = w[docs_j]
@@ -185,23 +194,24 @@ def _expected(m: Hmm, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, n
         w[docs_j] = back / back.sum(axis=1, keepdims=True)
 
     # Scaled so that the two sides' product sums to one at every step of a segment.
-    behind /= (last * behind).sum(axis=1, keepdims=True)
-    moves = np.zeros((k, k))
-    emit = np.zeros(m.emit.shape)
-    gammas, symbols = [], []
-    for t in range(len(scales) - 1, -1, -1):
+    behind = np.ascontiguousarray(behind.T)
+    behind /= (last * behind).sum(axis=0)
+    moves, gammas, symbols = np.zeros((k, k)), [], []
+    for t in range(len(steps) - 1, -1, -1):
         a = seg.active[t]
-        gammas.append(ahead[t + 1] * behind[:a])
+        after = last[:, :a].copy()
+        if t + 1 < len(steps):
+            after[:, :ahead[t + 1].shape[1]] = ahead[t + 1]
+        after *= behind[:, :a]
+        gammas.append(after)
         symbols.append(seg.obs[t])
-        tmp = m.scaled[seg.obs[t]] * behind[:a] / scales[t][:, None]
-        moves += ahead[t][:a].T @ tmp
-        behind[:a] = tmp @ m.trans.T
-    begins = seg.place[seg.first]
-    start = m.start * behind[begins]
-    start = (start / start.sum(axis=1, keepdims=True)).sum(axis=0)
-    gamma, symbol = np.concatenate(gammas), np.concatenate(symbols)
-    for z in range(k):
-        emit[:, z] = np.bincount(symbol, weights=gamma[:, z], minlength=len(emit))
+        tmp = steps[t] * behind[:, :a]
+        moves += ahead[t] @ tmp.T
+        behind[:, :a] = m.trans @ tmp
+    start = m.start[:, None] * behind[:, seg.place[seg.first]]
+    start = (start / start.sum(axis=0)).sum(axis=1)
+    gamma, symbol = np.concatenate(gammas, axis=1), np.concatenate(symbols)
+    emit = np.stack([np.bincount(symbol, weights=g, minlength=len(m.emit)) for g in gamma], axis=1)
     return start, m.trans * moves, emit, float(loglik.sum())
 
 
@@ -303,7 +313,7 @@ def _local(shared: Shared, slices: list, tokens: dict):
     for part in slices:
         idx = np.frombuffer(part["idx"], "<u4")
         place[idx] = size + np.arange(len(idx))
-        emit.append(np.frombuffer(part["e"]).reshape(len(idx), -1))
+        emit.append(np.frombuffer(part["e"], "<f4").reshape(len(idx), -1))
         size += len(idx)
     return Hmm(shared.start, shared.trans, np.concatenate(emit)), lens, place, flat
 
@@ -342,7 +352,7 @@ def _expect(shared: Shared, salts: int):
             at = dense
             for part in slices:
                 n = len(part["idx"]) // 4
-                yield row(part["block"], part["salt"], part["place"], total[at:at + n])
+                yield row(part["block"], part["salt"], part["place"], total[at:at + n].astype("<f4"))
                 at += n
         yield row(-1, TaskContext.get().partitionId() % salts, np.arange(len(few), dtype="<u4").tobytes(), few)
     return run
@@ -354,7 +364,8 @@ def _add(k: int):
         places = [np.frombuffer(x.as_py(), "<u4") for x in table["place"]]
         total = np.zeros((max(int(x.max()) for x in places) + 1, k))
         for x, v in zip(places, table["v"], strict=True):  # a row names a place once
-            total[x] += np.frombuffer(v.as_py()).reshape(-1, k)
+            v = v.as_py()  # numbers of 4 bytes from chunks, of 8 from tasks and sums
+            total[x] += np.frombuffer(v, f"<f{len(v) // (len(x) * k)}").reshape(-1, k)
         return pa.table({
             "block": table["block"][:1], "salt": table["salt"][:1],
             "place": pa.array([np.arange(len(total), dtype="<u4").tobytes()], pa.binary()),
@@ -389,7 +400,7 @@ def _slice(lean: float, norm: float, sums: np.ndarray):
             e = (np.frombuffer(block["v"][0].as_py()).reshape(-1, k) + lean * ((n + 0.5) / norm)[:, None]) / sums
             for i in range(len(asked)):
                 idx, place = (x.to_numpy().astype("<u4") for x in asked["at"][i].values.flatten())
-                for c, v in (("kind", 0), ("idx", idx.tobytes()), ("place", place.tobytes()), ("e", e[place].tobytes()),
+                for c, v in (("kind", 0), ("idx", idx.tobytes()), ("place", place.tobytes()), ("e", e[place].astype("<f4").tobytes()),
                              *((c, asked[c][i].as_py()) for c in ("chunk", "block", "salt"))):
                     out[c].append(v)
         return pa.table([pa.array(out[c], t) for c, t in zip(out, (
@@ -504,6 +515,11 @@ def hmm_scores(documents: DataFrame, params: HmmParams | None = None, held_mod:
             left = 1 + left // p.salt_chunks if left > p.salt_chunks else 1
             rows = rows.withColumn("salt", F.pmod("salt", F.lit(left)))
 
+    def free():
+        gc.collect()
+        spark._jvm.System.gc()  # shuffles that no table needs any more go
+
+    free()
     trans = np.full((k, k), 0.1 / max(1, k - 1))
     np.fill_diagonal(trans, 0.9 if k > 1 else 1.0)
     few, table, scale = normal(few, first, 0.0)
@@ -522,8 +538,7 @@ def hmm_scores(documents: DataFrame, params: HmmParams | None = None, held_mod:
         passes += 1
         done = last is not None and loglik - last < p.gain * abs(last)
         last = loglik
-        gc.collect()
-        spark._jvm.System.gc()  # shuffles of the pass before go
+        free()
         if done:
             break
     known = entries.groupBy("chunk").agg(F.collect_list(F.struct("idx", "n")).alias("known")).withColumn("kind", F.lit(1))
