@@ -13,17 +13,22 @@ the end mark only. Texts are cut into chunks of about ``chunk_tokens`` tokens, e
 with its distinct words once and its tokens as places in that list. Spark jobs:
 (1) chunks; (2) word counts (counts per chunk, then one shuffle by word), joined
 back to the chunks' words, by which each chunk has one row of places for each block;
-(3) for each Baum-Welch iteration the blocks answer these rows with slices of
-emissions, the slices meet their chunk's tokens, and a pass over all training tokens
-gives expected counts per chunk and block, added up by block into the next table;
-(4) one forward pass over all tokens by the same way. A block answers, and adds up,
+(3) for each step the blocks answer these rows with slices of emissions, the slices
+meet their chunk's tokens, which gives expected counts per chunk and block, added up
+by block into the next table; (4) one forward pass over all tokens by the same way. A block answers, and adds up,
 at most about ``salt_chunks`` chunks in one group, whatever their number. Words'
 emissions and a chunk's counts travel as 32-bit floats, all recursions and sums run in
 doubles: scores are exact under emissions so rounded (1e-7 of a token's probability).
 
-Starting values are the symbols' frequencies over all training tokens with a
-seeded perturbation. Iterations go on until the log likelihood gains less than
-``gain`` of its size, or ``iterations`` passes if that is given.
+Baum-Welch is incremental: the training chunks lie in ``parts`` parts, each but the
+second twice as large as the one before, a step replaces the expected counts of one part by
+those under the present model, and the next model comes from the sum over all parts'
+latest counts: early steps are cheap, one pass over all training tokens improves the
+model ``parts`` times, and each token weighs once. Starting values are the symbols'
+frequencies over all training tokens with a seeded perturbation.
+There are ``iterations`` passes, each over all training tokens, at any size of the
+corpus, or, where that is None, as many as it takes until the log likelihood gains less
+than ``gain`` of its size.
 
 Defined cases: null text is empty (one end mark); a null id belongs to the
 training part (crc32 of '' is 0); repeated rows count and score one by one;
@@ -32,6 +37,7 @@ without training rows every probability is the uniform start.
 
 from __future__ import annotations
 
+import functools
 import gc
 import zlib
 from dataclasses import dataclass, field
@@ -52,7 +58,8 @@ LN10 = float(np.log(10.0))
 @dataclass
 class HmmParams:
     states: int = 6
-    iterations: int | None = None
+    iterations: int | None = 2
+    parts: int = 5
     gain: float = 1e-3
     own_count: int = 16
     chunk_tokens: int = 1 << 21
@@ -215,22 +222,28 @@ def _expected(m: Hmm, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, n
     return start, m.trans * moves, emit, float(loglik.sum())
 
 
-def _chunks(classes: int, limit: int):
-    """Rows (doc_id, held_out, text) to chunks, of training or held-out texts only."""
+def _chunks(classes: int, limit: int, parts: int):
+    """Rows (doc_id, held_out, text) to chunks, of training or held-out texts only.
+    Every other training chunk is of the last part, every other one of the rest of the part before,
+    and so on, counted from a task's own number; chunks of held-out texts have part -1."""
     def run(batches):
-        base, nth = TaskContext.get().partitionId() << 32, 0
+        task = TaskContext.get().partitionId()
+        base, nth, dealt = task << 32, 0, task
         open_: dict = {}
 
         def emit(held):
-            nonlocal nth
+            nonlocal nth, dealt
             ids, lens, codes, seen, _ = open_.pop(held)
             flat = np.concatenate(codes)
             nth += 1
+            dealt += not held
+            halvings = min(parts - 1, (dealt & -dealt).bit_length() - 1) if dealt else parts - 1
             words = list(seen)
             counts = np.bincount(flat, minlength=len(words) + 1)[1:]
             cls = [suffix_class(w, classes) for w in words]
             return pa.RecordBatch.from_pydict({
                 "chunk": pa.array([base + nth], pa.int64()), "held_out": pa.array([held]),
+                "part": pa.array([-1 if held else parts - 1 - halvings], pa.int32()),
                 "doc_ids": pa.array([ids], pa.list_(pa.int64())),
                 "lens": pa.array([np.array(lens, "<i8").tobytes()], pa.binary()),
                 "codes": pa.array([flat.astype("<u2" if len(words) < 1 << 16 else "<u4").tobytes()], pa.binary()),
@@ -259,7 +272,7 @@ def _chunks(classes: int, limit: int):
     return run
 
 
-CHUNKS = ("chunk long, held_out boolean, doc_ids array<long>, lens binary, codes binary, cls binary, "
+CHUNKS = ("chunk long, held_out boolean, part int, doc_ids array<long>, lens binary, codes binary, cls binary, "
           "words array<struct<idx:int,word:binary,times:long,cls:int>>")
 SLICES = "chunk long, kind int, block int, salt int, idx binary, place binary, e binary"
 COUNTED = "block int, salt int, place binary, v binary, sums array<double>"
@@ -397,7 +410,10 @@ def _slice(lean: float, norm: float, sums: np.ndarray):
         out: dict = {c.split()[0]: [] for c in SLICES.split(", ")}
         if len(asked):
             n = np.frombuffer(block["n"][0].as_py(), "<i8")
-            e = (np.frombuffer(block["v"][0].as_py()).reshape(-1, k) + lean * ((n + 0.5) / norm)[:, None]) / sums
+            e = np.repeat(lean * ((n + 0.5) / norm)[:, None], k, axis=1)
+            v = np.frombuffer(block["v"][0].as_py() or b"").reshape(-1, k)  # words not met so far have no counts
+            e[:len(v)] += v
+            e /= sums
             for i in range(len(asked)):
                 idx, place = (x.to_numpy().astype("<u4") for x in asked["at"][i].values.flatten())
                 for c, v in (("kind", 0), ("idx", idx.tobytes()), ("place", place.tobytes()), ("e", e[place].astype("<f4").tobytes()),
@@ -450,13 +466,14 @@ def hmm_scores(documents: DataFrame, params: HmmParams | None = None, held_mod:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"),
                             (crc_mod("doc_id", held_mod) == held_rest).alias("held_out"),
                             text_bytes().alias("text"))
-    chunks = materialize(docs.mapInArrow(_chunks(p.classes, p.chunk_tokens), CHUNKS), "chunks")
-    listed = chunks.select("chunk", "held_out", F.explode("words").alias("w")).select("chunk", "held_out", "w.*")
-    counts = materialize(listed.filter("not held_out").groupBy("word").agg(
+    chunks = materialize(docs.mapInArrow(_chunks(p.classes, p.chunk_tokens, p.parts), CHUNKS), "chunks", part="part")
+    listed = chunks.select("chunk", "part", F.explode("words").alias("w")).select("chunk", "part", "w.*")
+    counts = materialize(listed.filter("part >= 0").groupBy("word").agg(
         F.sum("times").alias("n"), F.first("cls").alias("cls")), "counts")
     has_own = F.col("n") >= p.own_count
     tables = chunks.agg(F.count("*").alias("chunks"), F.coalesce(F.sum(
-        F.when(~F.col("held_out"), F.size("doc_ids"))), F.lit(0)).alias("docs")).first()
+        F.when(~F.col("held_out"), F.size("doc_ids"))), F.lit(0)).alias("docs"), F.sort_array(F.collect_set(
+            F.when(~F.col("held_out"), F.col("part")))).alias("parts")).first()
     size = counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(has_own).alias("own"),
         F.coalesce(F.sum(F.when(has_own, F.col("n") + 0.5)), F.lit(0.0)).alias("own_n")).first()
@@ -472,10 +489,10 @@ def hmm_scores(documents: DataFrame, params: HmmParams | None = None, held_mod:
     numbered = counts.filter(has_own).select("word", "n", block.alias("block")).withColumn(
         "place", F.row_number().over(Window.partitionBy("block").orderBy("word")) - 1)
     vocab = materialize(numbered.unionByName(counts.filter(~has_own).select("word", "n"), allowMissingColumns=True), "vocab")
-    entries = materialize(listed.select("chunk", "held_out", "idx", "word").join(vocab, "word").drop("word"), "words")
-    asked = materialize(entries.filter("block is not null").groupBy("chunk", "held_out", "block").agg(
+    entries = materialize(listed.select("chunk", "part", "idx", "word").join(vocab, "word").drop("word"), "words")
+    asked = materialize(entries.filter("block is not null").groupBy("chunk", "part", "block").agg(
         F.collect_list(F.struct("idx", "place")).alias("at")).withColumn(
-        "salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int")), "asked")
+        "salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int")), "asked", part="part")
 
     # Frequencies of all symbols, and the start: each times a seeded draw per state.
     unigram = np.append(class_n, n_docs) + 0.5
@@ -523,22 +540,30 @@ def hmm_scores(documents: DataFrame, params: HmmParams | None = None, held_mod:
     trans = np.full((k, k), 0.1 / max(1, k - 1))
     np.fill_diagonal(trans, 0.9 if k > 1 else 1.0)
     few, table, scale = normal(few, first, 0.0)
-    model, last, passes = Shared(np.full(k, 1 / k), trans, few), None, 0
-    tokens = chunks.select("chunk", F.lit(2).alias("kind"), "held_out", "doc_ids", "lens", "codes", "cls")
-    training = tokens.filter("not held_out").withColumn("doc_ids", F.lit(None).cast("array<long>"))
-    training_asked = asked.filter("not held_out")
+    model = Shared(np.full(k, 1 / k), trans, few)
+    tokens = chunks.select("chunk", F.lit(2).alias("kind"), "part", "held_out", "doc_ids", "lens", "codes", "cls")
+    training = tokens.withColumn("doc_ids", F.lit(None).cast("array<long>")).filter("part >= 0")
+    counted, dense, last, passes = {}, {}, None, 0
     while n_docs and (p.iterations is None or passes < p.iterations):
-        counted = materialize(added(met(training_asked, table, scale, training).mapInArrow(
-            _expect(model, salts), COUNTED)), "expected")
-        few = np.frombuffer(counted.filter("block = -1").first()["v"]).reshape(-1, k)
-        start, moves, loglik = few[p.classes + 1], few[p.classes + 2: p.classes + 2 + k], few[-1, 0]
-        few, table, scale = normal(few[: p.classes + 1], counted.filter("block >= 0").join(
-            first.select("block", "n"), "block"), p.prior_weight)
-        model = Shared((start + 1) / (start + 1).sum(), (moves + 1) / (moves + 1).sum(axis=1, keepdims=True), few)
+        loglik = 0.0
+        for part in tables["parts"]:
+            mine = F.col("part") == part
+            counted[part] = materialize(added(met(asked.filter(mine), table, scale, training.filter(mine)).mapInArrow(
+                _expect(model, salts), COUNTED)), "expected")
+            dense[part] = np.frombuffer(counted[part].filter("block = -1").first()["v"]).reshape(-1, k)
+            loglik += dense[part][-1, 0]
+            few = sum(dense.values())
+            start, moves = few[p.classes + 1], few[p.classes + 2: p.classes + 2 + k]
+            values = functools.reduce(DataFrame.unionByName, counted.values()).filter("block >= 0")
+            if len(counted) > 1:
+                values = materialize(values.groupBy("block", "salt").applyInArrow(_add(k), COUNTED), "emissions")
+            few, table, scale = normal(few[: p.classes + 1], first.select("block", "n").join(
+                values.select("block", "v", "sums"), "block", "left"), p.prior_weight)
+            model = Shared((start + 1) / (start + 1).sum(), (moves + 1) / (moves + 1).sum(axis=1, keepdims=True), few)
+            free()
         passes += 1
         done = last is not None and loglik - last < p.gain * abs(last)
         last = loglik
-        free()
         if done:
             break
     known = entries.groupBy("chunk").agg(F.collect_list(F.struct("idx", "n")).alias("known")).withColumn("kind", F.lit(1))

@@ -22,11 +22,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str, rows: int | None = None, per_task: int = 200_000) -> DataFrame:
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None, per_task: int = 200_000,
+                part: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written.
     ``rows``, a bound on its rows where one is known, keeps a small table from
-    being written by more tasks than one for every ``per_task`` rows."""
-    path = scratch_path(df.sparkSession, name)
+    being written by more tasks than one for every ``per_task`` rows. A column
+    ``part`` of few values lays the rows out in a folder for each, so that a filter
+    on it reads no others; tasks keep a writer open for each, without a sort."""
+    path, spark = scratch_path(df.sparkSession, name), df.sparkSession
+    if part:
+        before = spark.conf.get(WRITERS)
+        spark.conf.set(WRITERS, 16)
+        try:
+            df.write.partitionBy(part).parquet(path)
+        finally:
+            spark.conf.set(WRITERS, before)
+        return spark.read.schema(df.schema).parquet(path)
     if rows is not None:
         tasks = 1 + rows // per_task
         if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
