@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.store import materialize
+from tillroll.llm.store import discard, materialize
 from tillroll.llm.text import crc_mod, text_bytes
 
 SEGMENT = 1024
@@ -274,7 +274,7 @@ def _chunks(classes: int, limit: int, parts: int):
 
 CHUNKS = ("chunk long, held_out boolean, part int, doc_ids array<long>, lens binary, codes binary, cls binary, "
           "words array<struct<idx:int,word:binary,times:long,cls:int>>")
-SLICES = "chunk long, kind int, block int, salt int, idx binary, place binary, e binary"
+SLICES = "chunk long, kind int, block int, salt int, idx binary, place binary, e binary, n binary"
 COUNTED = "block int, salt int, place binary, v binary, sums array<double>"
 
 
@@ -299,14 +299,14 @@ def _doc_slices(lens: np.ndarray, limit: int = 400_000):
 
 
 def _by_chunk(batches):
-    """Sorted rows to each chunk's slices of emissions, known words' counts and tokens."""
+    """Sorted rows to each chunk's slices of emissions, rarer words' counts and tokens."""
     slices, counts = [], None
     for batch in batches:
         kinds = batch.column("kind").to_pylist()
         for i, kind in enumerate(kinds):
             cell = lambda c: batch.column(c)[i].as_py()  # noqa: E731, B023
             if kind == 0:
-                slices.append({c: cell(c) for c in ("block", "salt", "idx", "place", "e")})
+                slices.append({c: cell(c) for c in ("block", "salt", "idx", "place", "e", "n")})
             elif kind == 1:
                 known = batch.column("known")[i].values
                 counts = [known.field(c).to_numpy(zero_copy_only=False) for c in (0, 1)]
@@ -401,9 +401,9 @@ def _packed(k: int):
     return run
 
 
-def _slice(lean: float, norm: float, sums: np.ndarray):
+def _slice(lean: float, norm: float, sums: np.ndarray, counts: bool):
     """What chunks ask of one block, with the emissions of the words they name: the block's
-    values plus ``lean`` times the words' frequencies, over their ``sums``."""
+    values plus ``lean`` times the words' frequencies, over their ``sums``; and their ``counts``."""
     k = len(sums)
 
     def run(asked: pa.Table, block: pa.Table) -> pa.Table:
@@ -416,11 +416,11 @@ def _slice(lean: float, norm: float, sums: np.ndarray):
             e /= sums
             for i in range(len(asked)):
                 idx, place = (x.to_numpy().astype("<u4") for x in asked["at"][i].values.flatten())
-                for c, v in (("kind", 0), ("idx", idx.tobytes()), ("place", place.tobytes()), ("e", e[place].astype("<f4").tobytes()),
+                for c, v in (("kind", 0), ("idx", idx.tobytes()), ("place", place.tobytes()), ("e", e[place].astype("<f4").tobytes()), ("n", n[place].tobytes() if counts else None),
                              *((c, asked[c][i].as_py()) for c in ("chunk", "block", "salt"))):
                     out[c].append(v)
         return pa.table([pa.array(out[c], t) for c, t in zip(out, (
-            pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
+            pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
             names=list(out))
     return run
 
@@ -433,18 +433,20 @@ def _forward(shared: Shared, log_den: np.ndarray, n_docs: int, total: int, disti
     base_den = np.log10(total + 0.5 * (distinct + 1))
 
     def run(batches):
-        for slices, known, tokens in _by_chunk(batches):
+        for slices, rare, tokens in _by_chunk(batches):
             model, lens, place, flat = _local(shared, slices, tokens)
             logs = np.concatenate([log_likelihood(model, docs) for docs in _docs(place, flat, lens)]) / LN10
             begin = np.cumsum(lens) - lens
             count = np.zeros(len(place), np.int64)
             count[0] = n_docs  # place 0 is the end mark
-            if known:
-                count[known[0]] = known[1]
+            for part in slices:
+                count[np.frombuffer(part["idx"], "<u4")] = np.frombuffer(part["n"], "<i8")
+            if rare:
+                count[rare[0]] = rare[1]
             log_c = np.log10(count + 0.5)
-            rare = place < len(log_den)
+            in_class = place < len(log_den)
             inside = np.zeros(len(place))
-            inside[rare] = log_c[rare] - log_den[place[rare]]
+            inside[in_class] = log_c[in_class] - log_den[place[in_class]]
             per_doc = lambda x: np.add.reduceat(x[flat], begin)  # noqa: E731, B023
             ids = tokens["doc_ids"]
             yield pa.RecordBatch.from_arrays([
@@ -489,10 +491,14 @@ def hmm_scores(documents: DataFrame, params: HmmParams | None = None, held_mod:
     numbered = counts.filter(has_own).select("word", "n", block.alias("block")).withColumn(
         "place", F.row_number().over(Window.partitionBy("block").orderBy("word")) - 1)
     vocab = materialize(numbered.unionByName(counts.filter(~has_own).select("word", "n"), allowMissingColumns=True), "vocab")
-    entries = materialize(listed.select("chunk", "part", "idx", "word").join(vocab, "word").drop("word"), "words")
-    asked = materialize(entries.filter("block is not null").groupBy("chunk", "part", "block").agg(
+    # Rows of block -1 name a chunk's rarer training words with their counts in place of a place.
+    entries = listed.select("chunk", "part", "idx", "word").join(vocab.hint("shuffle_hash"), "word").select(
+        "chunk", "part", "idx", F.coalesce("block", F.lit(-1)).alias("block"), F.coalesce("place", "n").cast("int").alias("place"))
+    rows = materialize(entries.groupBy("chunk", "part", "block").agg(
         F.collect_list(F.struct("idx", "place")).alias("at")).withColumn(
         "salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int")), "asked", part="part")
+    asked = rows.filter("block >= 0")
+    rare = rows.filter("block < 0").select("chunk", "part", F.lit(1).alias("kind"), F.col("at").alias("known"))
 
     # Frequencies of all symbols, and the start: each times a seeded draw per state.
     unigram = np.append(class_n, n_docs) + 0.5
@@ -513,11 +519,11 @@ def hmm_scores(documents: DataFrame, params: HmmParams | None = None, held_mod:
         sums = few.sum(axis=0) + np.array(sums) + lean * size["own_n"] / norm
         return few / sums, values, (lean, norm, sums)
 
-    def met(asked: DataFrame, values: DataFrame, scale: tuple, *others: DataFrame) -> DataFrame:
+    def met(asked: DataFrame, values: DataFrame, scale: tuple, *others: DataFrame, counts: bool = False) -> DataFrame:
         """Each chunk's slices of emissions and, behind them, its rows of ``others``."""
         rows = asked.groupBy("block", "salt").cogroup(
             values.select("block", "n", "v", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-            .groupBy("block", "salt")).applyInArrow(_slice(*scale), SLICES)
+            .groupBy("block", "salt")).applyInArrow(_slice(*scale, counts), SLICES)
         for other in others:
             rows = rows.unionByName(other, allowMissingColumns=True)
         return rows.repartition("chunk").sortWithinPartitions("chunk", "kind")
@@ -543,11 +549,12 @@ def hmm_scores(documents: DataFrame, params: HmmParams | None = None, held_mod:
     model = Shared(np.full(k, 1 / k), trans, few)
     tokens = chunks.select("chunk", F.lit(2).alias("kind"), "part", "held_out", "doc_ids", "lens", "codes", "cls")
     training = tokens.withColumn("doc_ids", F.lit(None).cast("array<long>")).filter("part >= 0")
-    counted, dense, last, passes = {}, {}, None, 0
+    counted, dense, old, last, passes = {}, {}, [], None, 0
     while n_docs and (p.iterations is None or passes < p.iterations):
         loglik = 0.0
         for part in tables["parts"]:
             mine = F.col("part") == part
+            spent = [*old, *([counted[part]] if part in counted else [])]
             counted[part] = materialize(added(met(asked.filter(mine), table, scale, training.filter(mine)).mapInArrow(
                 _expect(model, salts), COUNTED)), "expected")
             dense[part] = np.frombuffer(counted[part].filter("block = -1").first()["v"]).reshape(-1, k)
@@ -560,12 +567,18 @@ def hmm_scores(documents: DataFrame, params: HmmParams | None = None, held_mod:
             few, table, scale = normal(few[: p.classes + 1], first.select("block", "n").join(
                 values.select("block", "v", "sums"), "block", "left"), p.prior_weight)
             model = Shared((start + 1) / (start + 1).sum(), (moves + 1) / (moves + 1).sum(axis=1, keepdims=True), few)
+            old = [] if len(counted) == 1 else [values]
+            discard(*spent)
             free()
         passes += 1
         done = last is not None and loglik - last < p.gain * abs(last)
         last = loglik
         if done:
             break
-    known = entries.groupBy("chunk").agg(F.collect_list(F.struct("idx", "n")).alias("known")).withColumn("kind", F.lit(1))
-    return met(asked, table, scale, known, tokens).mapInArrow(
-        _forward(model, log_den, int(n_docs), int(total), int(distinct)), SCORED)
+    scored = []
+    for part in [-1, *tables["parts"]]:
+        mine = F.col("part") == part
+        scored.append(materialize(met(asked.filter(mine), table, scale, rare.filter(mine), tokens.filter(mine), counts=True)
+                                  .mapInArrow(_forward(model, log_den, int(n_docs), int(total), int(distinct)), SCORED), "scored"))
+        free()
+    return functools.reduce(DataFrame.unionByName, scored)

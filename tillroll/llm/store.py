@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.session import remove_at_exit, shared_dir
+from tillroll.session import file_system, remove_at_exit, shared_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -47,3 +47,11 @@ def materialize(df: DataFrame, name: str, rows: int | None = None, per_task: int
             df = df.coalesce(tasks)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` (without ``part``) that a later one has replaced and nothing reads again."""
+    for df in tables:
+        for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            fs, target = file_system(df.sparkSession, path)
+            fs.delete(target, True)
