@@ -26,9 +26,9 @@ those under the present model, and the next model comes from the sum over all pa
 latest counts: early steps are cheap, one pass over all training tokens improves the
 model ``parts`` times, and each token weighs once. Starting values are the symbols'
 frequencies over all training tokens with a seeded perturbation.
-There are ``iterations`` passes, each over all training tokens, at any size of the
-corpus, or, where that is None, as many as it takes until the log likelihood gains less
-than ``gain`` of its size.
+Passes, each over all training tokens, go on until the model was improved ``steps`` times
+(two passes where all parts hold chunks, more for a corpus of a few chunks) or the log
+likelihood gains less than ``gain`` of its size, or for ``iterations`` passes if that is given.
 
 Defined cases: null text is empty (one end mark); a null id belongs to the
 training part (crc32 of '' is 0); repeated rows count and score one by one;
@@ -58,7 +58,8 @@ LN10 = float(np.log(10.0))
 @dataclass
 class HmmParams:
     states: int = 6
-    iterations: int | None = 2
+    iterations: int | None = None
+    steps: int = 10
     parts: int = 5
     gain: float = 1e-3
     own_count: int = 16
@@ -550,7 +551,8 @@ def hmm_scores(documents: DataFrame, params: HmmParams | None = None, held_mod:
     tokens = chunks.select("chunk", F.lit(2).alias("kind"), "part", "held_out", "doc_ids", "lens", "codes", "cls")
     training = tokens.withColumn("doc_ids", F.lit(None).cast("array<long>")).filter("part >= 0")
     counted, dense, old, last, passes = {}, {}, [], None, 0
-    while n_docs and (p.iterations is None or passes < p.iterations):
+    most = -(-p.steps // max(1, len(tables["parts"]))) if p.iterations is None else p.iterations
+    while n_docs and passes < most:
         loglik = 0.0
         for part in tables["parts"]:
             mine = F.col("part") == part
