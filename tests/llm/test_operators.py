@@ -54,6 +54,16 @@ def test_lm_beats_unigram_on_held_out_texts(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_lm_of_many_chunks_in_parts(spark):
+    """Blocks lack words that no part met so far; groups of a block are added up in rounds."""
+    documents = read_table(spark, SF_SMOKE, "documents")
+    p = hmm.HmmParams(states=3, iterations=1, parts=3, chunk_tokens=4096, block_words=256, salt_chunks=2)
+    scored = hmm.hmm_scores(documents, p).collect()
+    check_base(scored, [(r["doc_id"], r["text"]) for r in documents.collect()])
+    held = [r for r in scored if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
 def random_hmm(k=3, symbols=7, seed=0):
     rng = np.random.default_rng(seed)
     norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
