@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMOKE, have_data
+from tillroll import session
 from tillroll.sources import upkeep
 from tillroll.operators import quality
 from tillroll.sources.sales import INPUTS, build_sales, sales_quality, sales_upkeep
@@ -167,3 +168,67 @@ def test_quality_of_the_table_without_a_scan(spark, parts, monkeypatch):
 def test_measures_of_no_rows():
     columns = quality.combined_measures([{"rows:": "0", "least:d": None}, {"rows:": "0", "least:d": None}])
     assert columns == [("rows", "", "0"), ("least", "d", None)]
+
+
+@pytest.fixture
+def star(spark, tmp_path):
+    """3,000 lines of own rows: a customer, order and part per key, customer 7 with a NULL nation."""
+    made = {
+        "region": (2, "id as r_regionkey", "concat('R', id) as r_name"),
+        "nation": (3, "id as n_nationkey", "id % 2 as n_regionkey"),
+        "customer": (50, "id as c_custkey", "if(id = 7, null, id % 3) as c_nationkey"),
+        "orders": (1000, "id as o_orderkey", "id % 50 as o_custkey",
+                   "timestamp_seconds(1700000000 + 9999 * id) as o_orderdate"),
+        "part": (100, "id as p_partkey", "concat('P', id) as p_name", "concat('B', id % 5) as p_brand",
+                 "concat('T', id % 4) as p_type", "id + 0.5D as p_retailprice"),
+        "lineitem": (3000, "id div 3 as l_orderkey", "if(id < 1000, 1, id % 100) as l_partkey",
+                     "cast(id % 3 as int) as l_linenumber", "double(1 + id % 4) as l_quantity", "id % 11 / 100D as l_discount"),
+    }
+    for name, (n, *columns) in made.items():
+        spark.range(n).selectExpr(*columns).coalesce(1).write.parquet(str(tmp_path / "in" / f"{name}.parquet"))
+    return tmp_path
+
+
+def files_and_most(spark, root, part):
+    """Files of a part that hold rows, and the most rows in one."""
+    df = spark.read.parquet(str(root / "out" / "parts" / part))
+    counts = [r["count"] for r in df.groupBy(F.input_file_name()).count().collect()]
+    return len(counts), max(counts)
+
+
+def test_tasks_of_a_write_follow_the_input(spark, star, monkeypatch):
+    """With more input for a task's share, more tasks join and sort it (the session's four
+    shuffle partitions wrote four files), also where added files are joined and parts become one.
+    Without AQE, which would put rows as few as these into one task."""
+    monkeypatch.setattr(session, "TASK_BYTES", 4096)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        before = spark.conf.getAll
+        table = sales_upkeep(spark, str(star / "in"), str(star / "out"))
+        done = check(spark, star, table)
+        files, most = files_and_most(spark, star, done.parts[0])
+        assert files >= 8 and most <= 1500
+        more = spark.range(3000, 6000).selectExpr(
+            "id div 6 as l_orderkey", "id % 100 as l_partkey", "cast(id % 6 as int) as l_linenumber",
+            "double(1) as l_quantity", "0D as l_discount")
+        more.coalesce(1).write.mode("append").parquet(str(star / "in" / "lineitem.parquet"))
+        done = check(spark, star, table)
+        assert done.action == "append" and files_and_most(spark, star, done.parts[1])[0] >= 8
+        table.most_parts = 1
+        done = check(spark, star, table)
+        assert done.action == "compact" and files_and_most(spark, star, done.parts[0])[0] >= 8
+        assert spark.conf.getAll == before
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_a_sized_session_keeps_the_settings(spark):
+    share = session.TASK_BYTES
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        small, large = (session.sized_session(spark, n * share) for n in (1, 100))
+        assert small.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [s.conf.get("spark.sql.shuffle.partitions") for s in (spark, small, large)] == ["4", "4", "200"]
+    assert large.sparkContext is spark.sparkContext and spark.conf.get("spark.sql.session.timeZone") == "UTC"

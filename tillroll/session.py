@@ -7,6 +7,7 @@ creates a session: it uses the one it is given and only reads its settings.
 from __future__ import annotations
 
 import atexit
+import math
 import os
 import re
 import tempfile
@@ -45,6 +46,32 @@ def build_session(cpus: int = 8, shuffle_partitions: int | None = None,
     return spark
 
 
+# What a task of a wide write takes in, in stored bytes: sales lines need some twenty
+# times their shuffled bytes where they are joined and sorted.
+TASK_BYTES = 16 << 20
+MOST_PARTITIONS = 1 << 15  # beyond, tasks grow (and their sorts spill) rather than the shuffles' bookkeeping
+
+
+def sized_session(spark: SparkSession, input_bytes: int) -> SparkSession:
+    """A session with the settings of ``spark``, in the same application, whose tasks
+    take in about ``TASK_BYTES`` whatever the input's size: shuffles have at least two
+    partitions for that many of ``input_bytes``, which AQE joins up to that size, and
+    scans are split there. A skewed partition of a join is split from four times that size."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key) or not key.startswith("spark."):
+            own.conf.set(key, value)
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    needed = min(math.ceil(2 * input_bytes / TASK_BYTES), MOST_PARTITIONS)
+    own.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    own.conf.set("spark.sql.shuffle.partitions", max(configured, needed))
+    own.conf.set("spark.sql.files.maxPartitionBytes", TASK_BYTES)
+    own.conf.set("spark.sql.files.openCostInBytes", TASK_BYTES // 16)  # small files still share a task
+    own.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", TASK_BYTES)
+    own.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", 4 * TASK_BYTES)
+    return own
+
+
 def _context(spark: SparkSession):
     try:
         return spark.sparkContext

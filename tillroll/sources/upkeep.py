@@ -23,6 +23,9 @@ A new manifest is a file of the next number, renamed into place; the rename
 fails where another process was first, which then counts, and the draft is
 thrown away. Readers see the old table or the new one, never a mixture; parts
 of earlier manifests stay until ``vacuum``.
+
+Parts are joined, sorted and written in a session of their own (``sized_session``):
+its number of tasks follows the size of the input, so a task's memory does not.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tillroll.session import file_system
+from tillroll.session import file_system, sized_session
 
 Files = dict[str, list]  # path -> [length, time of change]
 Read = Callable[[str], DataFrame]
@@ -91,9 +94,9 @@ class MaintainedJoin:
         fs, target = file_system(self.spark, path)
         return fs.makeQualified(target).toString()
 
-    def _scan(self, name: str, paths: Sequence[str]) -> DataFrame:
+    def _scan(self, own: SparkSession, name: str, paths: Sequence[str]) -> DataFrame:
         root = self._qualified(self.tables[name])
-        reader = self.spark.read
+        reader = own.read
         if list(paths) != [root]:
             reader = reader.option("basePath", root)  # columns of partition folders
         return reader.parquet(*sorted(paths))
@@ -161,7 +164,8 @@ class MaintainedJoin:
         return {other: F.col(key).between(F.lit(row[f"min{k}"]), F.lit(row[f"max{k}"]))
                 for k, (_, other, key) in enumerate(ends)}
 
-    def _append(self, old: dict[str, Files], now: dict[str, Files]) -> tuple[list[str], list[dict[str, int]]]:
+    def _append(self, own: SparkSession, old: dict[str, Files],
+                now: dict[str, Files]) -> tuple[list[str], list[dict[str, int]]]:
         parts, read, names = [], [], list(self.tables)
         for i, name in enumerate(names):
             added = sorted(set(now[name]) - set(old[name]))
@@ -170,10 +174,10 @@ class MaintainedJoin:
             chosen = {n: added if n == name else sorted(old[n] if k < i else now[n]) for k, n in enumerate(names)}
             if not all(chosen.values()):
                 continue  # a table without files joins nothing
-            bounds = self._bounds(name, self._scan(name, added))
+            bounds = self._bounds(name, self._scan(own, name, added))
 
             def scan(n, chosen=chosen, bounds=bounds):
-                df = self._scan(n, chosen[n])
+                df = self._scan(own, n, chosen[n])
                 return df.where(bounds[n]) if n in bounds else df
 
             parts.append(self._write(self.build(scan)))
@@ -190,13 +194,14 @@ class MaintainedJoin:
             added_only = usable and all(now[n].get(p) == state for n in old for p, state in old[n].items())
             if added_only and now == old and len(before["parts"]) <= self.most_parts:
                 return Refresh("none", before["parts"])
+            own = sized_session(self.spark, sum(length for files in now.values() for length, _ in files.values()))
             if added_only and now == old:
-                done = Refresh("compact", [self._write(self._table(before["parts"]))])
+                done = Refresh("compact", [self._write(self._table(before["parts"], own))])
             elif added_only:
-                parts, read = self._append(old, now)
+                parts, read = self._append(own, old, now)
                 done = Refresh("append", [*before["parts"], *parts], read)
             else:
-                part = self._write(self.build(lambda n: self._scan(n, list(now[n]))))  # noqa: B023
+                part = self._write(self.build(lambda n: self._scan(own, n, list(now[n]))))  # noqa: B023
                 done = Refresh("rebuild", [part], [{n: len(f) for n, f in now.items()}])
             known = (before["measured"] if usable else {}) | self._measured
             measured = {p: known[p] for p in done.parts}
@@ -208,8 +213,8 @@ class MaintainedJoin:
                 fs, target = self._folder(f"parts/{part}")
                 fs.delete(target, True)
 
-    def _table(self, parts: Sequence[str]) -> DataFrame:
-        reader = self.spark.read
+    def _table(self, parts: Sequence[str], own: SparkSession | None = None) -> DataFrame:
+        reader = (own or self.spark).read
         content = self.manifest()[1]
         if content:  # no job to infer what is known
             reader = reader.schema(StructType.fromJson(json.loads(content["schema"])))
