@@ -258,6 +258,32 @@ def test_likeness_across_the_length_of_short_texts():
     assert crossed >= 10
 
 
+def test_fingerprints_parse_slices_that_stay_in_cache(monkeypatch):
+    """Texts are parsed some 125 kB at a time, a longer one alone, whatever the batch; the names are as ever."""
+    rng, sizes, whole = random.Random(9), [], phrases.sketches
+    texts = [" ".join(rng.choice(("few", "words", "only", f"w{rng.random()}")) for _ in range(rng.randint(0, 700)))
+             for _ in range(400)] + ["one long text " * 20_000]
+    monkeypatch.setattr(phrases, "sketches", lambda t: sizes.append((sum(map(len, t)), len(t))) or whole(t))
+    batch = phrases.pa.record_batch([[0] * 401, [False] * 401, list(range(401)), texts], ["slot", "lead", "doc_id", "text"])
+    rows = [r for out in phrases._edits([batch]) for r in out.to_pylist()]
+    assert len(rows) == 400 and max(n for n, k in sizes if k > 1) <= 125_000
+    assert [r["fingerprint"] for r in rows] == [phrases._text(whole([t.encode()])[0]) for t in texts[:-1]]
+    for i in (0, 7, 398, 399):
+        assert rows[i]["near_next"] == phrases.likeness(*whole([texts[i].encode(), texts[i + 1].encode()]))
+    digest = hashlib.sha256(b"".join(whole([b"few words only " * 300, b"", b"aab" * 50, bytes(range(256)) * 9]))).hexdigest()
+    assert digest == "1d5732389497ba01e46897fce6a877f123d22cbb99b8b069a6a5059216d8210b"
+
+
+def test_smallest_hashes_of_texts_that_repeat_names():
+    rng = np.random.default_rng(3)
+    names = [rng.integers(0, 2 ** 32, n, np.uint64) for n in (5000, 3, 300)] + [rng.choice(
+        rng.integers(0, 2 ** 32, 200, np.uint64), 9000)]
+    owner = np.repeat(np.arange(4), [len(x) for x in names])
+    got = phrases._smallest([np.concatenate(names)], [owner], 4, 128)
+    for x, y in zip(got, names, strict=True):
+        assert (x == np.unique(y)[:128]).all()
+
+
 # 4. near-dedup
 
 def near(df, **params):

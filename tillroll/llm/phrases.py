@@ -44,6 +44,7 @@ U = np.uint64
 SIZE = 128
 LEVEL = 2
 FEW = 8
+SLICE = 125_000  # bytes parsed at once: their arrays stay in a core's cache
 MOST_SLOTS = 100_000  # bounds what the driver lays out; beyond it slots grow
 
 
@@ -54,6 +55,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def _lengths(starts: np.ndarray, n: int) -> np.ndarray:
+    """Lengths of the ranges that begin at ``starts``; the last ends at ``n``."""
+    out = np.empty_like(starts)
+    np.subtract(starts[1:], starts[:-1], out=out[:-1])
+    out[-1:] = n - starts[-1:]
+    return out
+
+
 def _toss(now: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Twice the index of the lowest bit in which a symbol differs from the one
     before it, plus that bit of the symbol."""
@@ -75,9 +84,10 @@ def _labels(x: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _names(x: np.ndarray, starts: np.ndarray, seed: U) -> np.ndarray:
     """A name for each block of ``x`` that begins at ``starts``."""
-    lengths = np.diff(starts, append=len(x))
+    lengths = _lengths(starts, len(x))
     place = np.arange(len(x)) - np.repeat(starts, lengths)
-    terms = _mix(x.astype(U) + _mix(place.astype(U) + seed))
+    places = _mix(np.arange(lengths.max(), dtype=U) + seed)
+    terms = _mix(x.astype(U) + places[place])
     return _mix(np.add.reduceat(terms, starts) + lengths.astype(U))
 
 
@@ -89,7 +99,7 @@ def _collapse(x: np.ndarray, first: np.ndarray, seed: U):
     np.not_equal(x[1:], x[:-1], out=new[1:])
     new[first] = True
     starts = np.flatnonzero(new)
-    lengths = np.diff(starts, append=len(x))
+    lengths = _lengths(starts, len(x))
     symbols, at = x[starts], np.searchsorted(starts, first)
     if x.dtype == np.uint8:
         return symbols | (lengths.astype(np.uint32) << np.uint32(8)), at
@@ -124,9 +134,25 @@ def parse_levels(texts: list[bytes], seed: int = 1):
         yield x, first
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return keys[new]
+
+
 def _smallest(names: list[np.ndarray], owner: list[np.ndarray], n: int, size: int) -> list[np.ndarray]:
     """Per text the smallest of its hashes, ascending."""
-    key = np.unique((np.concatenate(owner).astype(U) << U(32)) | np.concatenate(names))
+    name, of = np.concatenate(names), np.concatenate(owner)
+    # Hashes are spread evenly: below twice the share asked for there are nearly always enough.
+    count = np.bincount(of, minlength=n)
+    bound = (np.minimum(2 * size / np.maximum(count, 1), 1) * 2.0 ** 32).astype(U)
+    low = name < bound[of]
+    key = _distinct((of[low].astype(U) << U(32)) | name[low])
+    few = (np.bincount((key >> U(32)).astype(np.int64), minlength=n) < size) & (count > 2 * size)
+    if few.any():  # texts of repeated names: from all of them
+        rest = few[of] & ~low
+        key = _distinct(np.concatenate([key, (of[rest].astype(U) << U(32)) | name[rest]]))
     begin = np.searchsorted((key >> U(32)).astype(np.int64), np.arange(n + 1))
     low = (key & U(0xFFFFFFFF)).astype("<u4")
     return [low[i: min(j, i + size)] for i, j in zip(begin[:-1], begin[1:], strict=True)]
@@ -146,15 +172,17 @@ def sketches(texts: list[bytes], size: int = SIZE, level: int = LEVEL) -> list[b
     depth = np.zeros(len(body), int)  # levels until a text is one symbol
     short = np.ones(len(body), bool)  # too few phrases on the chosen level: no coarse part
     for k, (x, first) in enumerate(levels):
-        count = np.diff(first, append=len(x))
+        count = _lengths(first, len(x))
         depth[count > 1] = k + 1
         if k == level:
             short = count < FEW
-    cells = np.unique((np.repeat(np.arange(len(body)), sizes) << 8) | raw)
+    met = np.zeros(len(body) << 8, bool)
+    met[(np.repeat(np.arange(len(body)), sizes) << 8) | raw] = True
+    cells = np.flatnonzero(met)
     names, owner = [_mix((cells & 255).astype(U)) >> U(32)], [cells >> 8]
     coarse, above = [np.zeros(0, U)], [np.zeros(0, np.int64)]
     for k, (x, first) in enumerate(levels):
-        count = np.diff(first, append=len(x))
+        count = _lengths(first, len(x))
         of = np.repeat(np.arange(len(body)), count)
         use = k <= depth[of]
         names.append(_mix(x[use] + U(k)) >> U(32))
@@ -184,9 +212,10 @@ def likeness(a: bytes, b: bytes, size: int = SIZE) -> float:
         return 0.0
     m, n = 1 + int(x[0]), 1 + int(y[0])
     x, y = (x[1:m], y[1:n]) if m > 1 and n > 1 else (x[m:], y[n:])
-    union = np.union1d(x, y)[:size]
-    both = np.isin(union, x, assume_unique=True) & np.isin(union, y, assume_unique=True)
-    j = both.mean()
+    every = np.sort(np.concatenate((x, y)))  # a hash of both stands twice
+    again = every[1:] == every[:-1]
+    union = np.flatnonzero(np.append(True, ~again))[:size]
+    j = np.append(again, False)[union].mean()
     return float(2 * j / (1 + j))
 
 
@@ -201,13 +230,17 @@ def fingerprints(documents: DataFrame, column: str = "text") -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = [(x.as_py() or "").encode() for x in batch.column(batch.schema.get_field_index(column))]
-            prints = [_text(s) for i, j in _slices(texts) for s in sketches(texts[i:j])]
+            prints = [_text(s) for s in _sketched(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.string())],
                                              [*batch.schema.names, "fingerprint"])
     return documents.mapInArrow(run, schema)
 
 
-def _slices(texts: list, limit: int = 1_000_000):
+def _sketched(texts: list[bytes]) -> list[bytes]:
+    return [s for i, j in _slices(texts) for s in sketches(texts[i:j])]
+
+
+def _slices(texts: list, limit: int = SLICE):
     start = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t) > limit:
@@ -242,11 +275,10 @@ def _edits(batches):
         for _, t, after in chunk:
             half = len(t) // 2
             edited.append((t[: len(t) - half] + after[:half]).encode())
-        after = [n.encode() for _, _, n in chunk]
-        marks = sketches(own)
         # The next document's sketch is the following pair's own, but for the last one.
-        follows = marks[1:] + sketches(after[-1:])
-        changed = sketches(edited)
+        follows = _sketched([*own, chunk[-1][2].encode()])
+        marks, follows = follows[:-1], follows[1:]
+        changed = _sketched(edited)
         return pa.RecordBatch.from_arrays([
             pa.array([d for d, _, _ in chunk], pa.int64()), pa.array([len(t) for _, t, _ in chunk], pa.int64()),
             pa.array([hashlib.sha256(e).hexdigest() for e in edited]),
