@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF_SMOKE
 from tests.llm import brute
 from tests.llm.conftest import edge_rows, prose
-from tillroll.llm import hmm, line_dedup, mixing, packing, phrases, pu_quality, queries, setsketch, sharding, topk, warc
+from tillroll.llm import hmm, line_dedup, mixing, packing, phrases, pu_quality, queries, setsketch, sharding, store, topk, warc
 from tillroll.sources.tables import read_table
 
 CLASH = ["key_a", "score", "shard", "slot", "target", "taken", "_size", "_row", "row", "removed_lines"]
@@ -322,6 +322,32 @@ def test_near_dedup_of_crowded_buckets(spark, block):
     assert near(df, block=block) == wanted(rows)
 
 
+def test_near_dedup_shuffles_only_what_its_joins_ask_for(spark, monkeypatch):
+    """Of texts, classes and sets that link with nothing, few get past the bitmap in front of a join."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60))) for i in range(300)]
+    rows += [(400 + i, " ".join([*(f"w{i}x{k}" for k in range(60)), f"end{i}"])) for i in range(3)]
+    seen, whole = [], setsketch.sift
+
+    def sift(df, column, keys, n):
+        out = whole(df, column, keys, n)
+        seen.append((tuple(df.columns), out.count()))
+        return out
+    monkeypatch.setattr(setsketch, "sift", sift)
+    assert near(spark.createDataFrame(rows, "doc_id long, text string")) == wanted(rows)
+    assert {c for c, _ in seen} >= {("band", "bucket", "set_hash"), ("key_a", "key_b", "text"), ("set_hash", "members")}
+    assert all(n < 40 for c, n in seen if "band" not in c) and all(n < 1000 for c, n in seen if "band" in c)
+
+
+def test_sifted_rows_include_all_that_are_asked_for(spark):
+    df = spark.range(20_000).selectExpr("id * 7919 as k", "id", "cast(null as int) as other").unionAll(
+        spark.sql("select null, -1L, 1"))
+    for keys in (df.filter("id % 100 = 0"), df.filter("id < 0"), df.filter("id = -5"), df):
+        asked = keys.select("k")
+        out = store.sift(df, "k", asked, asked.count())
+        got, want = ({r["id"] for r in x.collect()} for x in (out, keys))
+        assert got >= want and len(got) <= len(want) + 4000 and out.columns == df.columns
+
+
 def test_registers_merge_and_estimate():
     p, rng = setsketch.SketchParams(), np.random.default_rng(0)
     for share in (0.3, 0.6, 0.9):

@@ -16,7 +16,8 @@ once with their registers and full sets. Then three rounds per bucket:
 as leader, as long as leaders find links, (3) every pair that is still in
 different components. Tables joined on a bucket or a root are written before, as
 adaptive execution splits a hot key only between two scans. Pairs of one component need no test, so a bucket of n
-copies costs about n pairs; nothing is capped. In the third round the pairs of
+copies costs about n pairs; nothing is capped. A table that a join asks for few of
+its rows (texts, sets, buckets) is sifted by a bitmap of the keys before its shuffle. In the third round the pairs of
 small buckets are joined; a large bucket is cut into blocks of about ``block``
 classes by a hash, its blocks meet, and each pair is compared in the first
 bucket that both share. Components come from alternating hook-and-shorten joins over the links.
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.components import components
-from tillroll.llm.store import materialize
+from tillroll.llm.store import materialize, sift
 from tillroll.llm.text import WORD, byte_groups, text_bytes
 
 U = np.uint64
@@ -197,8 +198,8 @@ def _verify(p: SketchParams):
     return run
 
 
-def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, p: SketchParams) -> DataFrame:
-    """The pairs (a, b) of classes that are similar enough."""
+def _links(pairs: DataFrame, rows: int, classes: DataFrame, sets: DataFrame, p: SketchParams) -> DataFrame:
+    """Those of the ``rows`` pairs (a, b) of classes that are similar enough."""
     def side(df, name, *columns):
         return df.select(F.col("set_hash").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
 
@@ -206,6 +207,9 @@ def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, p: SketchParam
     near = (pairs.join(side(classes, "a", "n", "sketch"), "a").join(side(classes, "b", "n", "sketch"), "b")
             .filter(100 * low >= p.threshold_pct * high)  # else even nested sets fall short
             .mapInArrow(_estimate(p), "a binary, b binary"))
+    near = materialize(near, "near", rows, per_task=20_000)  # a pair brings two sketches
+    ends = near.select(F.explode(F.array("a", "b")).alias("set_hash")).distinct()
+    sets = sift(sets, "set_hash", ends, 2 * near.count())
     return (near.join(side(sets, "a", "members"), "a").join(side(sets, "b", "members"), "b")
             .mapInArrow(_verify(p), "a binary, b binary"))
 
@@ -229,23 +233,26 @@ def sign(documents: DataFrame, p: SketchParams) -> DataFrame:
 
 def link_classes(documents: DataFrame, signed: DataFrame, p: SketchParams) -> DataFrame:
     """(set_hash, root) for every class with a verified link to another class."""
-    classes = signed.filter("set_hash is not null").groupBy("set_hash").agg(
-        F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    own = signed.filter("set_hash is not null")
     width = 2 * p.rows
     bands = F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda b: F.xxhash64(
         b, F.substring(F.col("sketch"), b * width + 1, F.lit(width))))
-    buckets = classes.select(F.posexplode(bands).alias("band", "bucket"), "set_hash")
-    crowded = materialize(buckets.groupBy("bucket").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y"))
+    buckets = own.select(F.posexplode(bands).alias("band", "bucket"), "set_hash")
+    one = F.xxhash64("set_hash")
+    crowded = materialize(buckets.groupBy("bucket").agg(F.min(one).alias("x"), F.max(one).alias("y"))
                           .filter("x != y").select("bucket"), "crowded")
-    members = materialize(buckets.join(crowded, "bucket"), "members")
+    members = materialize(sift(buckets, "bucket", crowded, crowded.count()).distinct().join(crowded, "bucket")
+                          .select("bucket", "band", "set_hash"), "members")
     total = members.count()
     if not total:
         return members.select("set_hash", F.col("set_hash").alias("root"))
     candidates = materialize(members.select("set_hash").distinct(), "candidates", total)
-    known = materialize(classes.join(candidates, "set_hash", "left_semi"), "classes")
-    source = (signed.join(candidates, "set_hash", "left_semi").groupBy("set_hash")
-              .agg(F.min(F.struct("key_a", "key_b")).alias("key")).select("set_hash", "key.*"))
-    texts = (text_keyed(documents).select("key_a", "key_b", text_bytes().alias("text"))
+    n_classes = candidates.count()
+    known = materialize(sift(own, "set_hash", candidates, n_classes).groupBy("set_hash").agg(
+        F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"),
+        F.min(F.struct("key_a", "key_b")).alias("key")).join(candidates, "set_hash", "left_semi"), "classes")
+    source = known.select("set_hash", "key.*")
+    texts = (sift(text_keyed(documents).select("key_a", "key_b", text_bytes().alias("text")), "key_a", source, n_classes)
              .join(source, ["key_a", "key_b"]).dropDuplicates(["key_a", "key_b"]).select("set_hash", "text"))
     sets = materialize(texts.mapInArrow(_full(p), "set_hash binary, members binary"), "sets")
 
@@ -282,7 +289,7 @@ def link_classes(documents: DataFrame, signed: DataFrame, p: SketchParams) -> Da
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs", open_pairs if last else total)
         tests = pairs.count()
-        found = materialize(_links(pairs, known, sets, p), "links")
+        found = materialize(_links(pairs, tests, known, sets, p), "links")
         if crowds is not None:
             found = found.unionByName(crowds)
         gained = found.count()
@@ -301,7 +308,10 @@ def link_classes(documents: DataFrame, signed: DataFrame, p: SketchParams) -> Da
 def _crowd_links(rows: DataFrame, classes: DataFrame, sets: DataFrame, p: SketchParams) -> DataFrame:
     """Links between different components inside large buckets, block against
     block; ``rows``: bucket, band, set_hash, comp, main, n."""
-    content = classes.select("set_hash", "sketch").join(sets, "set_hash")
+    rows = materialize(rows, "crowd")
+    keys, n = rows.select("set_hash").distinct(), rows.count()
+    content = sift(classes.select("set_hash", "sketch"), "set_hash", keys, n).join(
+        sift(sets, "set_hash", keys, n), "set_hash")
     full = (rows.join(content, "set_hash")
             .withColumn("block", F.pmod(F.xxhash64(F.lit(p.seed), "set_hash"), F.ceil(F.col("n") / p.block))))
     # A block's size is bounded by the hash; a large bucket has many blocks.

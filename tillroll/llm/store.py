@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillroll.session import file_system, remove_at_exit, shared_dir
 
@@ -49,6 +50,23 @@ def materialize(df: DataFrame, name: str, rows: int | None = None, per_task: int
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+MOST_BITS = 1 << 27  # 16 MB broadcast; more keys are sifted less well
+
+
+def sift(df: DataFrame, column: str, keys: DataFrame, n: int) -> DataFrame:
+    """``df`` without most rows whose ``column`` is not in that of ``keys`` (about ``n``
+    rows), so that the exact join that has to follow shuffles few others: a bitmap of 16
+    bits a key, in pieces of 2^15 bits, goes to every task."""
+    bits = min(max(1 << 15, 1 << (16 * n).bit_length()), MOST_BITS)
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    maps = (keys.select(place.alias("_place")).groupBy(F.shiftright("_place", 15).alias("_piece"))
+            .agg(F.bitmap_construct_agg(F.col("_place").bitwiseAND(F.lit((1 << 15) - 1))).alias("_map")))
+    byte = F.expr("cast(conv(hex(substring(_map, cast(shiftright(_place & 32767, 3) as int) + 1, 1)), 16, 10) as int)")
+    return (df.withColumn("_place", place)
+            .join(F.broadcast(maps), F.shiftright("_place", 15) == F.col("_piece"))
+            .filter(F.getbit(byte, F.col("_place").bitwiseAND(F.lit(7)).cast("int")) == 1).select(*df.columns))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``materialize`` (without ``part``) that a later one has replaced and nothing reads again."""
     for df in tables:
